@@ -43,3 +43,119 @@ def q_esg_score(spark, sf_dir):
 def q_peer_comparison(spark, sf_dir):
     from verdant.operators.peers import peer_comparison
     return peer_comparison(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+# ----------------------------------------------------------------- quality (V2-V6)
+QUALITY_TABLES = ["panel", "lineitem", "orders", "customer", "events", "labels"]
+
+
+def _dataset(spark, sf_dir, name):
+    from verdant.sources.tables import read_table
+    return esg_panel(spark, sf_dir) if name == "panel" else read_table(spark, sf_dir, name)
+
+
+def _union(dfs):
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+@register("dq_duplicates", O.DQ_DUPLICATES)
+def q_dq_duplicates(spark, sf_dir):
+    from verdant.operators.quality import duplicate_count
+    return _union([duplicate_count(_dataset(spark, sf_dir, t), t) for t in QUALITY_TABLES])
+
+
+@register("dq_missing", O.DQ_MISSING)
+def q_dq_missing(spark, sf_dir):
+    from verdant.operators.quality import missing_share
+    return _union([missing_share(_dataset(spark, sf_dir, t), t) for t in QUALITY_TABLES])
+
+
+@register("dq_constant", O.DQ_CONSTANT)
+def q_dq_constant(spark, sf_dir):
+    from verdant.operators.quality import constant_columns
+    return _union([constant_columns(_dataset(spark, sf_dir, t), t) for t in QUALITY_TABLES])
+
+
+@register("year_rule", O.YEAR_RULE)
+def q_year_rule(spark, sf_dir):
+    from verdant.operators.quality import year_rule
+    return _union([year_rule(_dataset(spark, sf_dir, t), t)
+                   for t in ["panel", "lineitem", "orders", "events", "customer"]])
+
+
+# ----------------------------------------------------------------- detection (V1)
+@register("column_detect", O.COLUMN_DETECT)
+def q_column_detect(spark, sf_dir):
+    from verdant.operators.schema import column_table, detect_columns_df
+    from verdant.sources.tables import TABLES, read_table
+    tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
+    tables["panel"] = esg_panel(spark, sf_dir)
+    return detect_columns_df(column_table(spark, tables))
+
+
+# ----------------------------------------------------------------- profiling
+def _panel_numeric(panel):
+    from verdant.operators.quality import numeric_columns
+    return numeric_columns(panel)
+
+
+@register("profile_stats", O.PROFILE_STATS)
+def q_profile_stats(spark, sf_dir):
+    from verdant.operators.profile import column_stats
+    panel = esg_panel(spark, sf_dir)
+    return column_stats(panel, _panel_numeric(panel))
+
+
+@register("describe", O.DESCRIBE)
+def q_describe(spark, sf_dir):
+    from verdant.operators.profile import describe
+    panel = esg_panel(spark, sf_dir)
+    return describe(panel, _panel_numeric(panel))
+
+
+@register("profile_summary", O.PROFILE_SUMMARY)
+def q_profile_summary(spark, sf_dir):
+    from verdant.operators.profile import company_summary
+    return company_summary(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+@register("companies", O.COMPANIES)
+def q_companies(spark, sf_dir):
+    from verdant.operators.profile import companies_sorted
+    return companies_sorted(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+@register("companies_seen", O.COMPANIES_SEEN)
+def q_companies_seen(spark, sf_dir):
+    from verdant.operators.profile import companies_first_seen
+    return companies_first_seen(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+# ----------------------------------------------------------------- trends
+@register("trend_metric", O.TREND_METRIC)
+def q_trend_metric(spark, sf_dir):
+    from verdant.operators.trends import metric_trends
+    return metric_trends(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+@register("trend_direction", O.TREND_DIRECTION)
+def q_trend_direction(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from verdant.operators.trends import metric_trends, trend_direction
+    panel = esg_panel(spark, sf_dir)
+    companies = panel.select("company").where(F.col("company").isNotNull()).distinct()
+    return trend_direction(metric_trends(panel, IDENTITY_MAP), companies)
+
+
+@register("yoy_long", O.YOY_LONG)
+def q_yoy_long(spark, sf_dir):
+    from verdant.operators.trends import yoy_long
+    return yoy_long(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+@register("yoy_pivot", O.YOY_PIVOT)
+def q_yoy_pivot(spark, sf_dir):
+    from verdant.operators.trends import yoy_pivot
+    return yoy_pivot(esg_panel(spark, sf_dir), IDENTITY_MAP)

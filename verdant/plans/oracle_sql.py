@@ -168,3 +168,182 @@ def values_sql(rows, cols) -> str:
 
 __all__ = ["R", "q", "PANEL", "LATEST", "SCORED", "BASE", "ESG_SCORE", "PEER_COMPARISON",
            "LATEST_ROW", "values_sql", "GRADE", "with_ctes", "fixed"]
+
+
+# ----------------------------------------------------------------- quality
+# Column lists of the tables the quality checks run on (schema facts of the
+# driver tables; the panel is the CTE above).
+PANEL_USER_COLUMNS = ["company", "industry", "country", "year", "employees", "revenue", "esg_budget",
+                      "carbon_emissions", "energy", "renewable_energy", "water", "waste_total",
+                      "waste_recycled", "gender_diversity", "employee_turnover", "training",
+                      "board_independence", "safety", "community_investment", "scope1", "scope2", "scope3"]
+PANEL_NUMERIC = PANEL_USER_COLUMNS[3:]
+PANEL_METRICS = PANEL_USER_COLUMNS[4:]
+QUALITY_TABLES = {
+    "panel": PANEL_USER_COLUMNS,
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "labels": ["doc_id", "quality", "toxic"],
+}
+QUALITY_NUMERIC = {
+    "panel": PANEL_NUMERIC,
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax"],
+    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
+    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "events": ["event_id", "user_id", "value"],
+    "labels": ["doc_id", "quality", "toxic"],
+}
+
+DQ_DUPLICATES = with_ctes(PANEL) + " " + " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n_rows,
+        CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS n_duplicates,
+        CASE WHEN COALESCE(SUM(n - 1), 0) > 0 THEN printf('Found %d duplicate row(s). Consider deduplicating.',
+             CAST(SUM(n - 1) AS BIGINT)) END AS message
+        FROM (SELECT COUNT(*) AS n FROM {t} GROUP BY ALL_COLS_{t})"""
+    for t in QUALITY_TABLES)
+for _t, _cols in QUALITY_TABLES.items():
+    DQ_DUPLICATES = DQ_DUPLICATES.replace(f"ALL_COLS_{_t})", ", ".join(_cols) + ")")
+
+DQ_MISSING = with_ctes(PANEL) + " SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
+        {R(f"100e0 * AVG(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END)")} AS pct_missing,
+        100e0 * AVG(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) AS _raw FROM {t}"""
+    for t, cols in QUALITY_TABLES.items() for c in cols) + """) WHERE _raw > 50e0"""
+DQ_MISSING = ("SELECT table_name, column_name, pct_missing, printf('Column ''%s'' has %.1f%% missing values.', "
+              "column_name, pct_missing) AS message FROM (" + DQ_MISSING + ")")
+
+DQ_CONSTANT = with_ctes(PANEL) + " SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
+        printf('Column ''%s'' has only one unique value (constant).', '{c}') AS message
+        FROM {t} HAVING COUNT(DISTINCT {c}) <= 1"""
+    for t, cols in QUALITY_NUMERIC.items() for c in cols) + ")"
+
+_PASS = "✅ Data constraint check passed – all records are from 2010 onwards."
+_SKIP = "No year/date column found – temporal validation skipped."
+YEAR_RULE = with_ctes(PANEL) + f"""
+SELECT 'panel' AS table_name, NOT COALESCE(MIN(year) < 2010, FALSE) AS passed,
+       CASE WHEN MIN(year) < 2010 THEN printf('Column ''year'' contains data from %d, before 2010.', CAST(MIN(year) AS BIGINT))
+            ELSE {q(_PASS)} END AS message FROM panel
+UNION ALL
+SELECT 'lineitem', NOT COALESCE(MIN(YEAR(l_shipdate)) < 2010, FALSE),
+       CASE WHEN MIN(YEAR(l_shipdate)) < 2010 THEN printf('Column ''l_shipdate'' contains dates from %d, before 2010.', CAST(MIN(YEAR(l_shipdate)) AS BIGINT))
+            ELSE {q(_PASS)} END FROM lineitem
+UNION ALL
+SELECT 'orders', NOT COALESCE(MIN(YEAR(o_orderdate)) < 2010, FALSE),
+       CASE WHEN MIN(YEAR(o_orderdate)) < 2010 THEN printf('Column ''o_orderdate'' contains dates from %d, before 2010.', CAST(MIN(YEAR(o_orderdate)) AS BIGINT))
+            ELSE {q(_PASS)} END FROM orders
+UNION ALL
+SELECT 'events', TRUE, {q(_SKIP)} FROM (SELECT COUNT(*) FROM events)
+UNION ALL
+SELECT 'customer', TRUE, {q(_SKIP)} FROM (SELECT COUNT(*) FROM customer)"""
+
+# ----------------------------------------------------------------- detection
+DETECT_TABLES = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": QUALITY_TABLES["customer"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": QUALITY_TABLES["orders"],
+    "lineitem": QUALITY_TABLES["lineitem"],
+    "events": QUALITY_TABLES["events"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": QUALITY_TABLES["labels"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+    "panel": PANEL_USER_COLUMNS + ["_row_id"],
+}
+_COLS_VALUES = values_sql([(t, i, c) for t, cols in DETECT_TABLES.items() for i, c in enumerate(cols)],
+                          ["table_name", "column_ord", "column_name"])
+_PATS_VALUES = values_sql([(mo, m, po, p) for mo, (m, ps) in enumerate(fixed.COLUMN_PATTERNS.items())
+                           for po, p in enumerate(ps)], ["metric_ord", "metric", "pattern_ord", "pattern"])
+COLUMN_DETECT = f"""
+WITH cols AS (SELECT * FROM {_COLS_VALUES}),
+pats AS (SELECT * FROM {_PATS_VALUES}),
+hits AS (SELECT c.table_name, c.column_ord, c.column_name, p.metric, p.pattern, p.pattern_ord
+         FROM cols c JOIN pats p ON contains(lower(replace(c.column_name, ' ', '_')), p.pattern)),
+first_hit AS (SELECT table_name, column_ord, column_name, metric, arg_min(pattern, pattern_ord) AS pattern
+              FROM hits GROUP BY table_name, column_ord, column_name, metric),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY table_name, metric
+                                        ORDER BY length(pattern) DESC, column_ord) AS rn FROM first_hit)
+SELECT table_name, metric, column_name, CAST(length(pattern) AS BIGINT) AS score FROM ranked WHERE rn = 1"""
+
+# ----------------------------------------------------------------- profiling
+_UNPIV = ", ".join(PANEL_NUMERIC)
+_NUMCAST = f"""numcast AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PANEL_NUMERIC)} FROM panel)"""
+_LONG = _NUMCAST + f""", long AS (SELECT column_name, CAST(value AS DOUBLE) AS value FROM
+  (UNPIVOT numcast ON {_UNPIV} INTO NAME column_name VALUE value))"""
+_LONG_NULLS = _NUMCAST + f""", long AS (SELECT column_name, CAST(value AS DOUBLE) AS value FROM
+  numcast UNPIVOT INCLUDE NULLS (value FOR column_name IN ({_UNPIV})))"""
+
+PROFILE_STATS = with_ctes(PANEL, _LONG) + f"""
+SELECT column_name, {R('MIN(value)', 2)} AS min_val, {R('MAX(value)', 2)} AS max_val,
+       {R('AVG(value)', 2)} AS mean_val, {R('quantile_cont(value, 0.5)', 2)} AS median_val
+FROM long GROUP BY column_name"""
+
+DESCRIBE = with_ctes(PANEL, _LONG_NULLS) + f"""
+SELECT column_name, CAST(COUNT(value) AS DOUBLE) AS count, {R('AVG(value)', 2)} AS mean,
+       {R('STDDEV_SAMP(value)', 2)} AS std, {R('MIN(value)', 2)} AS min,
+       {R('quantile_cont(value, 0.25)', 2)} AS p25, {R('quantile_cont(value, 0.5)', 2)} AS p50,
+       {R('quantile_cont(value, 0.75)', 2)} AS p75, {R('MAX(value)', 2)} AS max
+FROM long GROUP BY column_name"""
+
+_NULLS = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in PANEL_USER_COLUMNS)
+PROFILE_SUMMARY = with_ctes(PANEL) + f"""
+SELECT company, COUNT(*) AS row_count, CAST(MIN(year) AS BIGINT) AS year_min, CAST(MAX(year) AS BIGINT) AS year_max,
+       CAST({len(PANEL_USER_COLUMNS)} AS BIGINT) AS col_count,
+       {R(f'(1e0 - SUM({_NULLS}) / (COUNT(*) * {float(len(PANEL_USER_COLUMNS))}e0)) * 100e0')} AS completeness_pct
+FROM panel WHERE company IS NOT NULL GROUP BY company"""
+
+COMPANIES = with_ctes(PANEL) + " SELECT DISTINCT company FROM panel WHERE company IS NOT NULL"
+COMPANIES_SEEN = with_ctes(PANEL) + """
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY first_row) AS BIGINT) AS seen_order, company
+FROM (SELECT company, MIN(_row_id) AS first_row FROM panel WHERE company IS NOT NULL GROUP BY company)"""
+
+# ----------------------------------------------------------------- trends
+_MLONG = f"""mcast AS (SELECT company, year, _row_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PANEL_METRICS)}
+   FROM panel WHERE company IS NOT NULL),
+mlong AS (SELECT company, CAST(year AS DOUBLE) AS year, _row_id, metric, metric AS column_name,
+  CAST(value AS DOUBLE) AS value FROM
+  mcast UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(PANEL_METRICS)})))"""
+_LOWER = ", ".join(q(m) for m in fixed.LOWER_IS_BETTER)
+_HIGHER = ", ".join(q(m) for m in fixed.HIGHER_IS_BETTER)
+_TRENDS = f"""trends AS (
+SELECT company, metric, column_name, n_values, first_value, last_value,
+       CASE WHEN first_value <> 0 THEN {R('(last_value - first_value) / ABS(first_value) * 100e0')} ELSE 0e0 END AS pct_change
+FROM (SELECT company, metric, column_name, COUNT(*) AS n_values,
+             FIRST(value ORDER BY year IS NULL, year, _row_id) AS first_value,
+             LAST(value ORDER BY year IS NULL, year, _row_id) AS last_value
+      FROM mlong WHERE value IS NOT NULL GROUP BY company, metric, column_name)
+WHERE n_values >= 2),
+trends2 AS (SELECT *, CASE WHEN metric IN ({_LOWER}) THEN pct_change < 0
+                          WHEN metric IN ({_HIGHER}) THEN pct_change > 0 END AS is_improving FROM trends)"""
+TREND_METRIC = with_ctes(PANEL, _MLONG, _TRENDS) + " SELECT * FROM trends2"
+TREND_DIRECTION = with_ctes(PANEL, _MLONG, _TRENDS) + """
+SELECT c.company, COALESCE(improving_count, 0) AS improving_count, COALESCE(declining_count, 0) AS declining_count,
+       CASE WHEN COALESCE(improving_count, 0) + COALESCE(declining_count, 0) = 0 THEN 'Insufficient Data'
+            WHEN improving_count / (improving_count + declining_count) >= 0.7 THEN 'Improving'
+            WHEN declining_count / (improving_count + declining_count) >= 0.7 THEN 'Declining'
+            ELSE 'Mixed' END AS overall_direction
+FROM (SELECT DISTINCT company FROM panel WHERE company IS NOT NULL) c
+LEFT JOIN (SELECT company, COUNT(*) FILTER (WHERE is_improving) AS improving_count,
+                  COUNT(*) FILTER (WHERE NOT is_improving) AS declining_count
+           FROM trends2 GROUP BY company) t ON c.company = t.company"""
+
+_TITLES = values_sql([(m, m.replace("_", " ").title()) for m in PANEL_METRICS], ["metric", "title"])
+_YOY = f"""yoy AS (
+SELECT l.company, t.title AS metric, l.column_name, CAST(l.year AS BIGINT) AS year,
+       {R('arg_max(l.value, l._row_id)')} AS value
+FROM mlong l JOIN {_TITLES} ON l.metric = t.metric
+WHERE l.year IS NOT NULL
+  AND (l.company, l.metric) IN (SELECT company, metric FROM mlong GROUP BY company, metric HAVING COUNT(value) > 0)
+GROUP BY l.company, t.title, l.column_name, l.year)"""
+YOY_LONG = with_ctes(PANEL, _MLONG, _YOY) + " SELECT * FROM yoy"
+YOY_PIVOT = with_ctes(PANEL, _MLONG, _YOY) + """
+SELECT * FROM (PIVOT yoy ON year USING first(value) GROUP BY company, metric, column_name)"""

@@ -39,25 +39,25 @@ def with_ordinal(df: DataFrame, order: list[Column], group_cols: list[str] | tup
     n = _num_partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_o_mid", F.monotonically_increasing_id()))
     checkpoint_root(df.sparkSession)
     tagged = (tagged.checkpoint(eager=True)
-              .withColumn("_pid", F.shiftrightunsigned(F.col("_mid"), 33))
-              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
-    counts = tagged.groupBy("_pid", *group_cols).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_local").alias("_first"))
+              .withColumn("_o_pid", F.shiftrightunsigned(F.col("_o_mid"), 33))
+              .withColumn("_o_local", F.col("_o_mid").bitwiseAND(F.lit(_LOW_BITS))))
+    counts = tagged.groupBy("_o_pid", *group_cols).agg(
+        F.count(F.lit(1)).alias("_o_cnt"), F.min("_o_local").alias("_o_first"))
     by_group = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     counts = (counts
-              .withColumn("_before", F.coalesce(F.sum("_cnt").over(
-                  by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn(size_col, F.sum("_cnt").over(by_group)))
-    counts = counts.select(*[F.col(c).alias(f"_k_{c}") for c in ["_pid", *group_cols]],
-                           "_before", "_first", size_col)
+              .withColumn("_o_before", F.coalesce(F.sum("_o_cnt").over(
+                  by_group.orderBy("_o_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .withColumn(size_col, F.sum("_o_cnt").over(by_group)))
+    counts = counts.select(*[F.col(c).alias(f"_o_k_{c}") for c in ["_o_pid", *group_cols]],
+                           "_o_before", "_o_first", size_col)
     cond = reduce(lambda a, b: a & b,
-                  [tagged[c].eqNullSafe(counts[f"_k_{c}"]) for c in ["_pid", *group_cols]])
+                  [tagged[c].eqNullSafe(counts[f"_o_k_{c}"]) for c in ["_o_pid", *group_cols]])
     joined = tagged.join(counts, cond, "inner")
-    out = joined.withColumn(pos_col, F.col("_before") + F.col("_local") - F.col("_first"))
-    drop = ["_mid", "_pid", "_local", "_before", "_first"] + [f"_k_{c}" for c in ["_pid", *group_cols]]
+    out = joined.withColumn(pos_col, F.col("_o_before") + F.col("_o_local") - F.col("_o_first"))
+    drop = ["_o_mid", "_o_pid", "_o_local", "_o_before", "_o_first"] + [f"_o_k_{c}" for c in ["_o_pid", *group_cols]]
     return out.drop(*drop)
 
 
