@@ -159,3 +159,120 @@ def q_yoy_long(spark, sf_dir):
 def q_yoy_pivot(spark, sf_dir):
     from verdant.operators.trends import yoy_pivot
     return yoy_pivot(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+# ----------------------------------------------------------------- company context
+def _ctx(spark, sf_dir):
+    from verdant.operators.companies import company_maturity
+    from verdant.sources.tables import company_profiles
+    panel = esg_panel(spark, sf_dir)
+    profiles = company_profiles(spark, sf_dir)
+    return panel, profiles, company_maturity(profiles, panel, IDENTITY_MAP)
+
+
+@register("size_class", O.SIZE_CLASS)
+def q_size_class(spark, sf_dir):
+    from verdant.sources.tables import company_profiles
+    return company_profiles(spark, sf_dir).select("company", "employee_count", "business_size")
+
+
+@register("maturity", O.MATURITY)
+def q_maturity(spark, sf_dir):
+    from verdant.operators.companies import maturity_view
+    return maturity_view(_ctx(spark, sf_dir)[2])
+
+
+@register("readiness", O.READINESS)
+def q_readiness(spark, sf_dir):
+    from verdant.operators.benchmark import readiness_view
+    return readiness_view(_ctx(spark, sf_dir)[2])
+
+
+@register("pillar_status", O.PILLAR_STATUS)
+def q_pillar_status(spark, sf_dir):
+    from verdant.operators.benchmark import pillar_view
+    return pillar_view(_ctx(spark, sf_dir)[2])
+
+
+@register("benchmark_compare", O.BENCHMARK_COMPARE)
+def q_benchmark_compare(spark, sf_dir):
+    from verdant.operators.benchmark import benchmark_comparison
+    panel, _, cm = _ctx(spark, sf_dir)
+    return benchmark_comparison(cm, panel, IDENTITY_MAP)
+
+
+@register("gap_below", O.GAP_BELOW)
+def q_gap_below(spark, sf_dir):
+    from verdant.operators.benchmark import benchmark_comparison, gap_below
+    panel, _, cm = _ctx(spark, sf_dir)
+    return gap_below(benchmark_comparison(cm, panel, IDENTITY_MAP))
+
+
+@register("regulation", O.REGULATION)
+def q_regulation(spark, sf_dir):
+    from verdant.operators.benchmark import regulation
+    return regulation(_ctx(spark, sf_dir)[2])
+
+
+def _ranked(spark, sf_dir):
+    from verdant.operators.solutions import rank_solutions
+    panel, profiles, cm = _ctx(spark, sf_dir)
+    return panel, profiles, cm, rank_solutions(cm)
+
+
+@register("rank_solutions", O.RANK_SOLUTIONS)
+def q_rank_solutions(spark, sf_dir):
+    return _ranked(spark, sf_dir)[3]
+
+
+@register("roi_timeline", O.ROI_TIMELINE)
+def q_roi_timeline(spark, sf_dir):
+    from verdant.operators.solutions import roi_timeline
+    return roi_timeline(_ranked(spark, sf_dir)[3])
+
+
+@register("kpi_projection", O.KPI_PROJECTION)
+def q_kpi_projection(spark, sf_dir):
+    from verdant.operators.kpi import kpi_projection
+    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
+    return kpi_projection(ranked, profiles, panel, IDENTITY_MAP)
+
+
+@register("kpi_heatmap", O.KPI_HEATMAP)
+def q_kpi_heatmap(spark, sf_dir):
+    from verdant.operators.kpi import kpi_heatmap, kpi_projection
+    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
+    return kpi_heatmap(kpi_projection(ranked, profiles, panel, IDENTITY_MAP))
+
+
+@register("kpi_real", O.KPI_REAL)
+def q_kpi_real(spark, sf_dir):
+    from verdant.operators.kpi import kpi_real
+    from verdant.operators.trends import metric_trends
+    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
+    return kpi_real(metric_trends(panel, IDENTITY_MAP), ranked)
+
+
+@register("risks", O.RISKS)
+def q_risks(spark, sf_dir):
+    from verdant.operators.narrative import risks_and_opportunities
+    return risks_and_opportunities(_ctx(spark, sf_dir)[2])
+
+
+@register("risk_severity", O.RISK_SEVERITY)
+def q_risk_severity(spark, sf_dir):
+    from verdant.operators.narrative import risk_severity, risks_and_opportunities
+    return risk_severity(risks_and_opportunities(_ctx(spark, sf_dir)[2]))
+
+
+@register("scenario_numbers", O.SCENARIO)
+def q_scenario_numbers(spark, sf_dir):
+    from verdant.operators.narrative import scenario_numbers
+    return scenario_numbers(_ctx(spark, sf_dir)[2])
+
+
+@register("executive_summary")
+def q_executive_summary(spark, sf_dir):
+    from verdant.operators.narrative import executive_summary
+    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
+    return executive_summary(cm, ranked)

@@ -347,3 +347,224 @@ GROUP BY l.company, t.title, l.column_name, l.year)"""
 YOY_LONG = with_ctes(PANEL, _MLONG, _YOY) + " SELECT * FROM yoy"
 YOY_PIVOT = with_ctes(PANEL, _MLONG, _YOY) + """
 SELECT * FROM (PIVOT yoy ON year USING first(value) GROUP BY company, metric, column_name)"""
+
+
+# ----------------------------------------------------------------- company context
+def money0_sql(x: str) -> str:
+    return f"printf('%,.0f', CAST(round_even(CAST(({x}) AS DECIMAL(38,8)), 0) AS DOUBLE))"
+
+
+def thousands_sql(x: str) -> str:
+    return f"printf('%.0f', CAST(round_even(CAST(({x}) / 1000e0 AS DECIMAL(38,8)), 0) AS DOUBLE))"
+
+
+PROFILES = f"""
+profiles AS (
+SELECT s.s_name AS company, MOD(s.s_suppkey * 37, 2000) AS employee_count, s.s_acctbal * 100e0 AS budget,
+       {INDUSTRY_CASE} AS industry, {COUNTRY_CASE} AS country,
+       CASE WHEN COALESCE(MOD(s.s_suppkey * 37, 2000), 0) >= 250 THEN 'Large'
+            WHEN COALESCE(MOD(s.s_suppkey * 37, 2000), 0) >= 50 THEN 'Medium' ELSE 'Small' END AS business_size
+FROM supplier s)"""
+
+COMPLETENESS = f"""
+comp AS (
+SELECT company, {R(f'(1e0 - SUM({_NULLS}) / (COUNT(*) * {float(len(PANEL_USER_COLUMNS))}e0)) * 100e0')} AS completeness_pct
+FROM panel WHERE company IS NOT NULL GROUP BY company)"""
+
+_MODS = values_sql(fixed.INDUSTRY_MODIFIERS, ["industry_key", "e", "s", "g"])
+MATURITY_CTE = f"""
+cm0 AS (
+SELECT p.*, c.completeness_pct, COALESCE(p.budget, 0e0) AS _b, COALESCE(CAST(p.employee_count AS DOUBLE), 0e0) AS _e
+FROM profiles p JOIN comp c ON p.company = c.company),
+cm1 AS (
+SELECT cm0.*, _b / GREATEST(_e, 1e0) AS _pe, COALESCE(t.e, 0) AS _me, COALESCE(t.s, 0) AS _ms, COALESCE(t.g, 0) AS _mg
+FROM cm0 LEFT JOIN {_MODS} ON lower(COALESCE(cm0.industry, 'unknown')) = t.industry_key),
+cm2 AS (
+SELECT *,
+  GREATEST(LEAST((CASE WHEN _pe > 2000 THEN 72 WHEN _pe > 1000 THEN 58 WHEN _pe > 500 THEN 45 ELSE 32 END) + _me, 95), 10) AS _env,
+  GREATEST(LEAST((CASE WHEN _e > 1000 THEN 60 WHEN _e > 500 THEN 55 WHEN _e > 100 THEN 45 ELSE 35 END) + _ms, 95), 10) AS _soc,
+  GREATEST(LEAST((CASE WHEN _b > 1000000 THEN 68 WHEN _b > 500000 THEN 60 WHEN _b > 200000 THEN 52
+                       WHEN _b > 50000 THEN 40 ELSE 30 END) + _mg, 95), 10) AS _gov0
+FROM cm1),
+cm3 AS (
+SELECT *, CAST(_env AS DOUBLE) AS m_environmental, CAST(_soc AS DOUBLE) AS m_social,
+  CAST(CASE WHEN completeness_pct > 90 THEN LEAST(_gov0 + 8, 95) WHEN completeness_pct < 50 THEN GREATEST(_gov0 - 10, 10)
+       ELSE _gov0 END AS DOUBLE) AS m_governance
+FROM cm2),
+cm AS (
+SELECT *, {R('m_environmental * 0.4e0 + m_social * 0.3e0 + m_governance * 0.3e0')} AS m_overall,
+  'Based on a ' || lower(COALESCE(business_size, 'Medium')) || ' ' || lower(industry) || ' company with '
+  || printf('%,d', CAST(COALESCE(employee_count, 0) AS BIGINT)) || ' employees and $' || {money0_sql('_b')}
+  || ' ESG budget. Environmental score reflects per-employee commitment of $' || {money0_sql('_pe')}
+  || '. Social score accounts for workforce scale and industry norms. Governance score considers budget magnitude and disclosure readiness.' AS m_rationale
+FROM cm3)"""
+
+CTX = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE)
+
+SIZE_CLASS = with_ctes(PROFILES) + " SELECT company, employee_count, business_size FROM profiles"
+MATURITY = CTX + f"""
+SELECT company, industry, country, employee_count, budget, business_size, completeness_pct,
+       m_environmental AS environmental, m_social AS social, m_governance AS governance, m_overall AS overall,
+       {GRADE.format(x='m_overall')} AS grade, m_rationale AS rationale FROM cm"""
+
+READINESS = CTX + """
+SELECT company, m_governance AS governance, LEAST(100e0, m_governance * 1.2e0) AS readiness_score,
+       CASE WHEN LEAST(100e0, m_governance * 1.2e0) >= 70 THEN 'High'
+            WHEN LEAST(100e0, m_governance * 1.2e0) >= 45 THEN 'Medium' ELSE 'Low' END AS readiness_label FROM cm"""
+
+_BENCH = values_sql([(i, *map(float, v)) for i, *v in fixed.INDUSTRY_BENCHMARKS],
+                    ["b_industry"] + fixed.BENCHMARK_COLUMNS)
+_BCOLS = ", ".join(f"COALESCE(t.{c}, {float(d)}e0) AS {c}" for c, d in zip(fixed.BENCHMARK_COLUMNS,
+                                                                          fixed.DEFAULT_BENCHMARK))
+BENCH_JOIN = f"""
+cb AS (SELECT cm.*, {_BCOLS} FROM cm LEFT JOIN {_BENCH} ON cm.industry = t.b_industry)"""
+
+
+def _status(x):
+    return (f"CASE WHEN {x} >= 65 THEN 'Strong' WHEN {x} >= 45 THEN 'Moderate' ELSE 'Weak' END",
+            f"CASE WHEN {x} >= 65 THEN 'Strong' WHEN {x} >= 45 THEN 'Moderate' ELSE 'Needs Improvement' END",
+            f"CASE WHEN {x} >= 65 THEN 'Strong' ELSE 'Needs Work' END")
+
+
+PILLAR_STATUS = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, BENCH_JOIN) + " SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT company, {o} AS pillar_ord, '{p}' AS pillar, {col} AS score, esg_score_avg * {f}e0 AS industry_reference,
+        {_status(col)[0]} AS status, {_status(col)[1]} AS status_detailed, {_status(col)[2]} AS status_dashboard FROM cb"""
+    for o, p, col, f in [(1, "Environmental", "m_environmental", 0.95), (2, "Social", "m_social", 1.0),
+                         (3, "Governance", "m_governance", 1.05)]) + ")"
+
+LATEST_REAL = """
+lr AS (SELECT company, renewable_energy AS real_renewable_energy, gender_diversity AS real_gender_diversity,
+              esg_budget AS real_esg_budget FROM latest)"""
+_B_ROWS = [
+    (1, "Overall ESG Score", "m_overall", "esg_score_avg", "esg_score_top_quartile"),
+    (2, "Environmental Pillar", "m_environmental", R("esg_score_avg * 0.95e0"), R("esg_score_top_quartile * 0.95e0")),
+    (3, "Social Pillar", "m_social", "esg_score_avg", "esg_score_top_quartile"),
+    (4, "Governance Pillar", "m_governance", R("esg_score_avg * 1.05e0"), R("esg_score_top_quartile * 1.05e0")),
+    (5, "Renewable Energy (%)", f"COALESCE(real_renewable_energy, {R('renewable_energy_pct * 0.7e0')})",
+     "renewable_energy_pct", "LEAST(renewable_energy_pct * 1.5e0, 100e0)"),
+    (6, "Gender Diversity (%)", f"COALESCE(real_gender_diversity, {R('gender_diversity_pct * 0.85e0')})",
+     "gender_diversity_pct", "LEAST(gender_diversity_pct * 1.3e0, 50e0)"),
+    (7, "ESG Disclosure (%)", f"COALESCE(real_esg_budget, {R('esg_disclosure_pct * 0.65e0')})",
+     "esg_disclosure_pct", "LEAST(esg_disclosure_pct * 1.2e0, 100e0)"),
+]
+BENCH_ROWS = f"""
+brows AS (SELECT * FROM (""" + " UNION ALL ".join(
+    f"SELECT cb.company, {o} AS metric_ord, {q(n)} AS metric, {R(cv)} AS company_value, {R(ia)} AS industry_avg, "
+    f"{R(tq)} AS top_quartile FROM cb LEFT JOIN lr ON cb.company = lr.company"
+    for o, n, cv, ia, tq in _B_ROWS) + f""")),
+bench AS (SELECT *, {R('company_value - industry_avg')} AS gap FROM brows),
+bench2 AS (SELECT *, CASE WHEN gap > 5 THEN 'Above Average' WHEN gap >= -5 THEN 'At Average'
+                          ELSE 'Below Average' END AS status FROM bench)"""
+BENCH_CTX = with_ctes(PANEL, LATEST, PROFILES, COMPLETENESS, MATURITY_CTE, BENCH_JOIN, LATEST_REAL, BENCH_ROWS)
+BENCHMARK_COMPARE = BENCH_CTX + " SELECT * FROM bench2"
+GAP_BELOW = BENCH_CTX + """ SELECT *, printf('**%s**: %+.1f points below industry average. Target: %.1f (avg) / %.1f (top quartile)',
+    metric, gap, industry_avg, top_quartile) AS message FROM bench2 WHERE status = 'Below Average'"""
+
+_REGS = values_sql([(c, fw, dl, pen, reg) for c, fw, dl, pen, reg in fixed.REGULATIONS if c],
+                   ["r_country", "frameworks", "key_deadlines", "penalties", "regulator"])
+_DREG = fixed.REGULATIONS[-1]
+_DEFAULT_FW = "[" + ", ".join(q(x) for x in _DREG[1]) + "]"
+REG_JOIN = f"""
+creg AS (SELECT cm.*, COALESCE(t.frameworks, {_DEFAULT_FW}) AS frameworks,
+  COALESCE(t.key_deadlines, {q(_DREG[2])}) AS key_deadlines, COALESCE(t.penalties, {q(_DREG[3])}) AS penalties,
+  COALESCE(t.regulator, {q(_DREG[4])}) AS regulator
+FROM cm LEFT JOIN {_REGS} ON cm.country = t.r_country)"""
+REGULATION = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + """
+SELECT company, country, array_to_string(frameworks, ' | ') AS frameworks, CAST(len(frameworks) AS BIGINT) AS n_frameworks,
+       key_deadlines, penalties, regulator FROM creg"""
+
+# ----------------------------------------------------------------- solutions
+_SOLS = values_sql([(o, n, c, d, float(lo), float(hi), float(sv), float(pb), fit)
+                    for o, n, c, d, lo, hi, sv, pb, fit in fixed.SOLUTIONS],
+                   ["template_ord", "name", "category", "description", "cost_low", "cost_high", "savings",
+                    "payback_years", "base_fit"])
+_BOOSTS = values_sql([(i, n) for i, ns in fixed.INDUSTRY_BOOSTS for n in ns], ["boost_industry", "boost_name"])
+_CSCALE = "CASE business_size " + " ".join(f"WHEN {q(k)} THEN {float(v)}e0" for k, v in fixed.COST_SCALE.items()) + " ELSE 1e0 END"
+SOL_CTE = f"""
+sol0 AS (SELECT p.company, p.industry, p.business_size, p.budget, s.*,
+                s.cost_low * ({_CSCALE}) AS upfront_cost_low, s.cost_high * ({_CSCALE}) AS upfront_cost_high,
+                s.savings * ({_CSCALE}) AS annual_savings
+         FROM profiles p JOIN comp c ON p.company = c.company, {_SOLS.replace(') AS t(', ') AS s(')}),
+sol1 AS (SELECT sol0.*, CASE WHEN b.boost_name IS NOT NULL THEN LEAST(base_fit + 5, 100) ELSE base_fit END AS _fit0
+         FROM sol0 LEFT JOIN {_BOOSTS.replace(') AS t(', ') AS b(')} ON sol0.industry = b.boost_industry AND sol0.name = b.boost_name),
+sol2 AS (SELECT *, CAST(CASE WHEN budget IS NOT NULL AND budget > 0 AND upfront_cost_low > budget * 2e0
+                        THEN GREATEST(_fit0 - 15, 10) ELSE _fit0 END AS INTEGER) AS fit_score FROM sol1),
+ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY company ORDER BY fit_score DESC, template_ord) AS BIGINT) AS rank,
+                  (upfront_cost_low + upfront_cost_high) / 2e0 AS avg_cost FROM sol2)"""
+SOL_CTX = with_ctes(PANEL, PROFILES, COMPLETENESS, SOL_CTE)
+RANK_SOLUTIONS = SOL_CTX + f"""
+SELECT company, rank, template_ord, name, category, description, fit_score, upfront_cost_low, upfront_cost_high,
+       annual_savings, payback_years, avg_cost,
+       '$' || {thousands_sql('avg_cost')} || 'K' AS investment_display,
+       printf('%.1f yrs', payback_years) AS payback_display,
+       '$' || {thousands_sql('upfront_cost_low')} || 'K–$' || {thousands_sql('upfront_cost_high')} || 'K' AS cost_range,
+       '$' || {thousands_sql('annual_savings')} || 'K/yr' AS savings_display
+FROM ranked"""
+ROI_TIMELINE = SOL_CTX + """
+SELECT company, rank, name, CAST(y.year AS BIGINT) AS year, -avg_cost + annual_savings * y.year AS cumulative_value
+FROM ranked, (SELECT unnest(range(0, 6)) AS year) y WHERE rank <= 4"""
+
+# ----------------------------------------------------------------- KPI
+_KSCALE = "CASE business_size " + " ".join(f"WHEN {q(k)} THEN {float(v)}e0" for k, v in fixed.KPI_SCALE.items()) + " ELSE 1e0 END"
+_KT = values_sql([(o, k, float(b), i) for o, k, b, i in fixed.KPI_TEMPLATES], ["kpi_ord", "kpi", "base_default", "imp_default"])
+_MEAS = {k: (m, i) for m, k, i in fixed.KPI_MEASURED}
+_BASE = "CASE " + " ".join(f"WHEN kpi = {q(k)} AND {m} IS NOT NULL THEN {m}" for k, (m, i) in _MEAS.items()) + \
+        f" WHEN kpi_ord = 1 THEN base_default * ({_KSCALE}) ELSE base_default END"
+_IMP = "CASE " + " ".join(f"WHEN kpi = {q(k)} AND {m} IS NOT NULL THEN {i}" for k, (m, i) in _MEAS.items()) + \
+       " ELSE imp_default END"
+KPI_CTE = f"""
+k0 AS (SELECT r.company, r.rank, r.name AS solution, r.business_size, t.kpi_ord, t.kpi, t.base_default, t.imp_default,
+              l.carbon_emissions, l.energy, l.gender_diversity, l.waste_recycled, l.employee_turnover
+       FROM ranked r LEFT JOIN latest l ON r.company = l.company, {_KT}),
+k1 AS (SELECT company, rank, solution, kpi_ord, kpi, {_BASE} AS _base, CAST({_IMP} AS INTEGER) AS improvement_pct FROM k0),
+kpis AS (SELECT company, rank, solution, kpi_ord, kpi, {R('_base')} AS current,
+                {R('_base * (1e0 + improvement_pct / 100e0)')} AS projected, improvement_pct FROM k1)"""
+KPI_CTX = with_ctes(PANEL, LATEST, PROFILES, COMPLETENESS, SOL_CTE, KPI_CTE)
+KPI_PROJECTION = KPI_CTX + " SELECT * FROM kpis"
+_KNAMES = {1: "carbon_emissions_tco2e", 2: "energy_efficiency_pct", 3: "employee_satisfaction_pct",
+           4: "waste_diversion_rate_pct", 5: "esg_disclosure_score"}
+KPI_HEATMAP = KPI_CTX + " SELECT company, solution, " + ", ".join(
+    f"MAX(CASE WHEN kpi_ord = {o} THEN improvement_pct END) AS {n}" for o, n in _KNAMES.items()) + \
+    " FROM kpis GROUP BY company, solution"
+_IMAP = values_sql(fixed.KPI_IMPROVEMENT_MAP, ["metric", "kpi", "improvement"])
+KPI_REAL = with_ctes(PANEL, PROFILES, COMPLETENESS, SOL_CTE, _MLONG, _TRENDS) + f"""
+SELECT tr.company, r.rank, r.name AS solution, tr.metric, t.kpi, {R('tr.last_value')} AS current,
+       {R('tr.last_value * (1e0 + t.improvement / 100e0)')} AS projected, t.improvement AS improvement_pct
+FROM trends tr JOIN {_IMAP} ON tr.metric = t.metric JOIN ranked r ON tr.company = r.company WHERE r.rank <= 3"""
+
+# ----------------------------------------------------------------- risks
+_TPL = values_sql(fixed.RISK_OPP_TEMPLATES, ["t_kind", "t_industry", "ord", "title", "description", "level",
+                                            "fw_slot", "fw_fallback"])
+_RISK_IND = ", ".join(q(x) for x in sorted({t[1] for t in fixed.RISK_OPP_TEMPLATES if t[0] == "risk" and t[1]}))
+_OPP_IND = ", ".join(q(x) for x in sorted({t[1] for t in fixed.RISK_OPP_TEMPLATES if t[0] == "opportunity" and t[1]}))
+RISK_CTE = f"""
+kinds AS (SELECT company, industry, country, business_size, frameworks, key_deadlines, 'risk' AS kind,
+                 CASE WHEN industry IN ({_RISK_IND}) THEN industry END AS tpl_industry FROM creg
+          UNION ALL
+          SELECT company, industry, country, business_size, frameworks, key_deadlines, 'opportunity',
+                 CASE WHEN industry IN ({_OPP_IND}) THEN industry END FROM creg),
+ro0 AS (SELECT k.*, t.ord, t.title, t.description, t.level, t.fw_slot, t.fw_fallback,
+               CASE WHEN t.fw_slot = 0 THEN (CASE WHEN len(k.frameworks) > 0
+                                                  THEN array_to_string(list_slice(k.frameworks, 1, 2), ', ')
+                                                  ELSE t.fw_fallback END)
+                    ELSE COALESCE(k.frameworks[t.fw_slot], t.fw_fallback) END AS fw
+        FROM kinds k JOIN {_TPL} ON k.kind = t.t_kind AND k.tpl_industry IS NOT DISTINCT FROM t.t_industry),
+ro AS (SELECT company, kind, CAST(ord AS BIGINT) AS ord, title,
+              replace(replace(replace(replace(replace(description, '{{fw}}', COALESCE(fw, '')), '{{dl}}', key_deadlines),
+                      '{{country}}', COALESCE(country, '')), '{{size}}', lower(COALESCE(business_size, ''))),
+                      '{{industry}}', lower(COALESCE(industry, ''))) AS description, level
+       FROM ro0)"""
+RISK_CTX = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN, RISK_CTE)
+RISKS = RISK_CTX + " SELECT * FROM ro"
+RISK_SEVERITY = RISK_CTX + " SELECT company, level AS severity, COUNT(*) AS count FROM ro WHERE kind = 'risk' GROUP BY company, level"
+
+SCENARIO = CTX + """
+SELECT company, business_size, COALESCE(budget, 0e0) AS budget, CAST(COALESCE(employee_count, 0) AS BIGINT) AS employee_count,
+       COALESCE(budget, 0e0) * 1.2e0 AS budget_optimistic, COALESCE(budget, 0e0) * 0.8e0 AS budget_pessimistic,
+       CAST(GREATEST(1, FLOOR((CASE WHEN COALESCE(employee_count, 0) = 0 THEN 10 ELSE employee_count END) / 50e0)) AS BIGINT) AS esg_fte,
+       CAST(COALESCE(employee_count, 0) * 200 AS BIGINT) AS attrition_savings,
+       8000e0 * (CASE WHEN business_size = 'Large' THEN 2.5e0 ELSE 1e0 END) AS compliance_cost_low,
+       30000e0 * (CASE WHEN business_size = 'Large' THEN 2.5e0 ELSE 1e0 END) AS compliance_cost_high,
+       CAST(COALESCE(employee_count, 0) * 50 AS BIGINT) AS carbon_credit_low,
+       CAST(COALESCE(employee_count, 0) * 150 AS BIGINT) AS carbon_credit_high
+FROM cm"""
