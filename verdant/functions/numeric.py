@@ -65,3 +65,53 @@ def grade(score: Column) -> Column:
 
 def weighted_overall(e: Column, s: Column, g: Column) -> Column:
     return py_round(e * F.lit(0.4) + s * F.lit(0.3) + g * F.lit(0.3), 1)
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable so ``body`` can use it many times
+    without copying its expression tree (keeps generated code small)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def py_float_str(x: Column) -> Column:
+    """DOUBLE -> text the way Python's ``repr(float)`` writes it (fixed
+    notation for decimal exponents -4..15, else ``1.5e-05`` / ``1e+16``),
+    built from Spark's shortest-digits cast plus string arithmetic."""
+    def parse(s):
+        body = F.regexp_replace(s, "^-", "")
+        has_e = F.contains(body, F.lit("E"))
+        mant = F.when(has_e, F.substring_index(body, "E", 1)).otherwise(body)
+        exp = F.when(has_e, F.substring_index(body, "E", -1).cast("int")).otherwise(F.lit(0))
+        int_part = F.substring_index(mant, ".", 1)
+        frac = F.when(F.contains(mant, F.lit(".")), F.substring_index(mant, ".", -1)).otherwise(F.lit(""))
+        return F.struct(F.startswith(s, F.lit("-")).alias("neg"), int_part.alias("ip"), frac.alias("fr"),
+                        exp.alias("ex"))
+
+    def digits(p):
+        all_digits = F.concat(p["ip"], p["fr"])
+        lz = F.length(F.regexp_extract(all_digits, "^0*", 0))
+        d = F.regexp_replace(F.regexp_replace(all_digits, "^0+", ""), "0+$", "")
+        return F.struct(p["neg"].alias("neg"), d.alias("d"), (F.length(p["ip"]) + p["ex"] - lz).alias("pos"))
+
+    def render(q):
+        d, pos = q["d"], q["pos"]          # value = 0.d * 10^pos
+        nd = F.length(d)
+        e10 = pos - 1
+        zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+        fixed_txt = (F.when(pos <= 0, F.concat(F.lit("0."), zeros(-pos), d))
+                     .when(pos >= nd, F.concat(d, zeros(pos - nd), F.lit(".0")))
+                     .otherwise(F.concat(F.substr(d, F.lit(1), pos), F.lit("."),
+                                         F.substr(d, pos + 1, nd - pos))))
+        sci_txt = F.concat(F.substr(d, F.lit(1), F.lit(1)),
+                           F.when(nd > 1, F.concat(F.lit("."), F.substr(d, F.lit(2), nd - 1))).otherwise(F.lit("")),
+                           F.lit("e"), F.when(e10 >= 0, F.lit("+")).otherwise(F.lit("-")),
+                           F.when(F.abs(e10) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e10).cast("string"))
+        txt = F.when(nd == 0, F.lit("0.0")).when((e10 >= -4) & (e10 < 16), fixed_txt).otherwise(sci_txt)
+        return F.concat(F.when(q["neg"], F.lit("-")).otherwise(F.lit("")), txt)
+
+    txt = let(x.cast("string"), lambda s: let(parse(s), lambda p: let(digits(p), render)))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), F.lit("nan"))
+            .when(x == F.lit(float("inf")), F.lit("inf"))
+            .when(x == F.lit(float("-inf")), F.lit("-inf"))
+            .otherwise(txt))

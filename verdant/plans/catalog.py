@@ -276,3 +276,77 @@ def q_executive_summary(spark, sf_dir):
     from verdant.operators.narrative import executive_summary
     panel, profiles, cm, ranked = _ranked(spark, sf_dir)
     return executive_summary(cm, ranked)
+
+
+# ----------------------------------------------------------------- text
+@register("pii_scrub", O.PII_SCRUB)
+def q_pii_scrub(spark, sf_dir):
+    from verdant.functions.text import pii_scrub
+    from verdant.sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii_scrub("text", max_chars=None).alias("scrubbed"),
+                       pii_scrub("text").alias("prompt_text"))
+
+
+def _profile_extract(spark, sf_dir):
+    from verdant.functions import text as T
+    from verdant.sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.employee_count("text").alias("employee_count"),
+                       T.budget("text").alias("budget"), T.industry("text").alias("industry"),
+                       T.country("text").alias("country"))
+
+
+@register("profile_extract", O.PROFILE_EXTRACT)
+def q_profile_extract(spark, sf_dir):
+    return _profile_extract(spark, sf_dir)
+
+
+@register("missing_fields", O.MISSING_FIELDS)
+def q_missing_fields(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from verdant.operators.quality import fill_profile, missing_fields
+    ex = missing_fields(_profile_extract(spark, sf_dir))
+    filled = fill_profile(ex.withColumn("employee_count_raw", F.col("employee_count"))
+                          .withColumn("budget_raw", F.col("budget")))
+    return filled.select("doc_id", F.array_join("missing_fields", ",").alias("missing_fields"),
+                         F.size("missing_fields").cast("bigint").alias("n_missing"),
+                         F.col("employee_count").alias("employee_count_filled"),
+                         F.col("budget").alias("budget_filled"), "employee_count_in_range",
+                         "budget_in_range", "industry_allowed", "country_allowed")
+
+
+@register("latin1", O.LATIN1)
+def q_latin1(spark, sf_dir):
+    from verdant.functions.text import latin1
+    from verdant.sources.tables import read_table
+    return read_table(spark, sf_dir, "documents").select("doc_id", latin1("text").alias("text_latin1"))
+
+
+@register("intent_route", O.INTENT_ROUTE)
+def q_intent_route(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from verdant.functions.text import intent
+    from verdant.sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return conv.select("conv_id", "turn", intent("text").alias("intent"))
+
+
+@register("json_extract", O.JSON_EXTRACT)
+def q_json_extract(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from verdant.functions.jsonx import extract_json
+    from verdant.sources.tables import read_table
+    src = _union([
+        read_table(spark, sf_dir, "events").select(F.lit("events").alias("source"), F.col("event_id").alias("id"),
+                                                    F.col("props").alias("txt")),
+        read_table(spark, sf_dir, "conversations").select(
+            F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+            F.col("text").alias("txt")),
+        read_table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"),
+                                                       F.col("doc_id").alias("id"), F.col("text").alias("txt")),
+    ])
+    return src.select("source", "id", extract_json("txt").alias("json_text"))

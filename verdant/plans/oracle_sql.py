@@ -568,3 +568,89 @@ SELECT company, business_size, COALESCE(budget, 0e0) AS budget, CAST(COALESCE(em
        CAST(COALESCE(employee_count, 0) * 50 AS BIGINT) AS carbon_credit_low,
        CAST(COALESCE(employee_count, 0) * 150 AS BIGINT) AS carbon_credit_high
 FROM cm"""
+
+# ----------------------------------------------------------------- text
+def _scrub_sql(x: str) -> str:
+    out = x
+    for pattern, marker in fixed.PII_RULES:
+        out = f"regexp_replace({out}, {q(pattern)}, {q(marker)}, 'g')"
+    return out
+
+
+PII_SCRUB = f"""
+SELECT doc_id, {_scrub_sql('text')} AS scrubbed,
+       {_scrub_sql(f'substring(text, 1, {fixed.PII_MAX_CHARS})')} AS prompt_text
+FROM documents"""
+
+
+def _first_capture_sql(x: str, patterns) -> str:
+    return "COALESCE(" + ", ".join(f"NULLIF(regexp_extract({x}, {q(p)}, 1), '')" for p in patterns) + ")"
+
+
+def _contained_sql(x: str, names) -> str:
+    return "CASE " + " ".join(f"WHEN contains({x}, {q(n)}) THEN {q(n.title())}" for n in names) + " END"
+
+
+_MULT = "CASE {u} " + " ".join(f"WHEN {q(k)} THEN {float(v)}e0" for k, v in fixed.BUDGET_MULTIPLIERS.items()) + " ELSE 1e0 END"
+_BUDGET_PARTS = []
+for _p in fixed.BUDGET_PATTERNS:
+    _raw = f"trim(replace(regexp_extract(low, {q(_p)}, 1), ',', ''))"
+    _unit = f"lower(regexp_extract(low, {q(_p)}, 2))"
+    _BUDGET_PARTS.append((_raw, f"TRY_CAST({_raw} AS DOUBLE) * ({_MULT.format(u=_unit)})"))
+_BUDGET = "CASE " + " ".join(f"WHEN {r} <> '' THEN {a}" for r, a in _BUDGET_PARTS) + " END"
+
+PROFILE_EXTRACT = f"""
+SELECT doc_id,
+       TRY_CAST(replace({_first_capture_sql('low', fixed.EMPLOYEE_PATTERNS)}, ',', '') AS BIGINT) AS employee_count,
+       {_BUDGET} AS budget,
+       {_contained_sql('low', fixed.TEXT_INDUSTRIES)} AS industry,
+       {_contained_sql('low', fixed.TEXT_COUNTRIES)} AS country
+FROM (SELECT doc_id, lower(text) AS low FROM documents)"""
+
+_MISSING = " || ".join(
+    f"CASE WHEN {f} IS NULL THEN '{f},' ELSE '' END" for f in fixed.REQUIRED_PROFILE_FIELDS)
+MISSING_FIELDS = f"""
+WITH ex AS ({PROFILE_EXTRACT})
+SELECT doc_id, rtrim({_MISSING}, ',') AS missing_fields,
+       CAST(({' + '.join(f'CAST({f} IS NULL AS INTEGER)' for f in fixed.REQUIRED_PROFILE_FIELDS)}) AS BIGINT) AS n_missing,
+       COALESCE(employee_count, {fixed.FORM_DEFAULTS['employee_count']}) AS employee_count_filled,
+       COALESCE(budget, {fixed.FORM_DEFAULTS['budget']}e0) AS budget_filled,
+       COALESCE(employee_count, {fixed.FORM_DEFAULTS['employee_count']}) BETWEEN {fixed.FORM_RANGES['employee_count'][0]} AND {fixed.FORM_RANGES['employee_count'][1]} AS employee_count_in_range,
+       COALESCE(budget, {fixed.FORM_DEFAULTS['budget']}e0) BETWEEN {fixed.FORM_RANGES['budget'][0]}e0 AND {fixed.FORM_RANGES['budget'][1]}e0 AS budget_in_range,
+       industry IN ({', '.join(q(x) for x in fixed.FORM_INDUSTRIES)}) AS industry_allowed,
+       country IN ({', '.join(q(x) for x in fixed.FORM_COUNTRIES)}) AS country_allowed
+FROM ex"""
+
+
+def _latin1_sql(x: str) -> str:
+    out = x
+    for ch, rep in fixed.LATIN1_REPLACEMENTS:
+        out = f"replace({out}, {q(ch)}, {q(rep)})"
+    return f"regexp_replace({out}, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')"
+
+
+LATIN1 = f"SELECT doc_id, {_latin1_sql('text')} AS text_latin1 FROM documents"
+
+_INTENT = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"contains(low, {q(w)})" for w in words) + f" THEN {q(name)}"
+    for name, words in fixed.INTENT_KEYWORDS) + f" ELSE {q(fixed.INTENT_DEFAULT)} END"
+INTENT_ROUTE = f"""
+SELECT conv_id, turn, {_INTENT} AS intent
+FROM (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user')"""
+
+_CLEAN = ("regexp_replace(regexp_replace(replace(regexp_replace(txt, '```(?:json)?\\s*', '', 'g'), '```', ''), "
+          "'^\\s+', ''), '\\s+$', '')")
+JSON_EXTRACT = f"""
+WITH src AS (
+  SELECT 'events' AS source, event_id AS id, props AS txt FROM events
+  UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations
+  UNION ALL SELECT 'documents', doc_id, text FROM documents),
+c AS (SELECT source, id, {_CLEAN} AS cleaned FROM src),
+s AS (SELECT source, id, cleaned,
+             NULLIF(regexp_extract(cleaned, '(?s)\\{{.*\\}}', 0), '') AS obj,
+             NULLIF(regexp_extract(cleaned, '(?s)\\[.*\\]', 0), '') AS arr FROM c)
+SELECT source, id,
+       CASE WHEN json_valid(cleaned) THEN cleaned
+            WHEN obj IS NOT NULL AND json_valid(obj) THEN obj
+            WHEN arr IS NOT NULL AND json_valid(arr) THEN arr END AS json_text
+FROM s"""
