@@ -101,23 +101,79 @@ def companies_first_seen(df: DataFrame, col_map: dict, row_id: str = "_row_id")
     return ranked.select("seen_order", "company")
 
 
-def summary_text(summary: DataFrame, col_map: dict, highlights: DataFrame | None = None) -> DataFrame:
-    """X8 per company: the one-paragraph data summary.
+# ---------------------------------------------------------------- X8, P8 per company
+HIGHLIGHT_METRICS = ["carbon_emissions", "renewable_energy", "gender_diversity", "energy"]
 
-    ``highlights``: (company, metric, mean, min, max) rows for the four
-    highlight metrics (already rounded)."""
-    detected = ", ".join(col_map.keys())
+
+def _value_text(df: DataFrame, c: str) -> F.Column:
+    """A cell as Python prints it: floats like ``repr``, missing float as nan."""
+    from pyspark.sql.types import DoubleType, FloatType, IntegralType
+
+    from verdant.functions.numeric import py_float_str
+    t = df.schema[c].dataType
+    if isinstance(t, (DoubleType, FloatType)):
+        return F.coalesce(py_float_str(F.col(c).cast("double")), F.lit("nan"))
+    if isinstance(t, IntegralType):
+        return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+    return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+
+
+def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFrame:
+    """X8 for every company at once: the summary sentence of the company's
+    rows (rows, columns, completeness, years, company, detected metrics and
+    the mean / range of up to four highlight metrics among the first 15
+    numeric columns). ``col_map`` defaults to detection on the column names."""
+    from verdant.functions.numeric import py_float_str
+    from verdant.operators.schema import detect_columns
+
+    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    cmap = col_map if col_map is not None else detect_columns(user_cols)
+    summ = company_summary(panel, cmap)
+    first15 = numeric_columns(panel)[:15]
+    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in first15]
+    keyed = company_key(panel, cmap)
+    aggs = []
+    for i, (_, c) in enumerate(hl):
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        aggs += [F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"), F.avg(v).alias(f"_av{i}")]
     parts = [F.format_string("Dataset: %d rows, %d columns.", F.col("row_count"), F.col("col_count")),
-             F.concat(F.lit("Completeness: "), F.col("completeness_pct").cast("string"), F.lit("%.")),
-             F.when(F.col("year_min").isNotNull(),
-                    F.format_string("Year range: %d-%d.", F.col("year_min"), F.col("year_max"))),
-             F.concat(F.lit("Companies: "), F.col("company"), F.lit("."))]
-    if detected:
-        parts.append(F.lit(f"ESG columns detected: {detected}."))
-    out = summary
-    if highlights is not None:
-        hl = highlights.groupBy("company").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("_hl"))
-        out = out.join(hl, "company", "left")
-        parts.append(F.col("_hl"))
-    return out.withColumn("text_summary", F.concat_ws(" ", *parts)).drop("_hl")
+             F.concat(F.lit("Completeness: "), py_float_str(F.col("completeness_pct")), F.lit("%."))]
+    if "year" in cmap:
+        parts.append(F.when(F.col("year_min").isNotNull(),
+                            F.format_string("Year range: %d-%d.", F.col("year_min"), F.col("year_max"))))
+    if "company" in cmap:
+        parts.append(F.concat(F.lit("Companies: "), F.col("company"), F.lit(".")))
+    if cmap:
+        parts.append(F.lit(f"ESG columns detected: {', '.join(cmap.keys())}."))
+    r2 = lambda c: py_float_str(py_round(F.col(c), 2))
+    for i, (m, _) in enumerate(hl):
+        title = m.replace("_", " ").title()
+        parts.append(F.when(F.col(f"_mn{i}").isNotNull(), F.concat(
+            F.lit(f"{title}: mean="), r2(f"_av{i}"), F.lit(", range ["), r2(f"_mn{i}"), F.lit(", "),
+            r2(f"_mx{i}"), F.lit("]."))))
+    out = summ
+    if aggs:
+        stats = keyed.groupBy(F.col("_company").alias("company")).agg(*aggs)
+        out = summ.join(stats, "company")
+    out = out.withColumn("text_summary", F.concat_ws(" ", *parts))
+    return out.select("company", "row_count", "col_count", "completeness_pct", "text_summary")
+
+
+def profile_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_row_id",
+                 sample_fields: int = 15) -> DataFrame:
+    """P8 per company: column list, row count, the X8 summary, and the first
+    ``sample_fields`` fields of the company's first row as ``k: v`` pairs."""
+    from verdant.operators.schema import detect_columns
+
+    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    cmap = col_map if col_map is not None else detect_columns(user_cols)
+    summ = data_summary_text(panel, cmap)
+    keyed = company_key(panel, cmap)
+    fields = user_cols[:sample_fields]
+    pairs = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), _value_text(panel, c)) for c in fields])
+    first = (keyed.groupBy(F.col("_company").alias("company"))
+             .agg(F.min_by(pairs, F.col(row_id)).alias("_sample")))
+    j = summ.join(first, "company")
+    text = F.concat(F.lit(f"Columns: {', '.join(user_cols)}. Row count: "), F.col("row_count").cast("string"),
+                    F.lit(". "), F.col("text_summary"), F.lit("\nSample record: "), F.col("_sample"))
+    return j.select("company", text.alias("profile_text"))

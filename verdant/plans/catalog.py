@@ -350,3 +350,36 @@ def q_json_extract(spark, sf_dir):
                                                        F.col("doc_id").alias("id"), F.col("text").alias("txt")),
     ])
     return src.select("source", "id", extract_json("txt").alias("json_text"))
+
+
+# ----------------------------------------------------------------- X8, P8, entry-1 profile flow
+@register("data_summary", O.DATA_SUMMARY)
+def q_data_summary(spark, sf_dir):
+    from verdant.operators.profile import data_summary_text
+    return data_summary_text(esg_panel(spark, sf_dir))
+
+
+@register("profile_text", O.PROFILE_TEXT)
+def q_profile_text(spark, sf_dir):
+    from verdant.operators.profile import profile_text
+    return profile_text(esg_panel(spark, sf_dir))
+
+
+@register("data_profile", O.DATA_PROFILE)
+def q_data_profile(spark, sf_dir):
+    """Entry-1 flow: profile text per company -> field extraction -> missing
+    fields -> form defaults -> size class."""
+    from pyspark.sql import functions as F
+
+    from verdant.functions import text as T
+    from verdant.operators.profile import profile_text
+    from verdant.operators.quality import fill_profile, missing_fields
+    from verdant.operators.score import business_size
+    pt = profile_text(esg_panel(spark, sf_dir))
+    ex = pt.select("company", T.employee_count("profile_text").alias("employee_count"),
+                   T.budget("profile_text").alias("budget"), T.industry("profile_text").alias("industry"),
+                   T.country("profile_text").alias("country"))
+    filled = fill_profile(missing_fields(ex))
+    return filled.select("company", F.array_join("missing_fields", ",").alias("missing_fields"),
+                         "employee_count", "budget", "industry", "country",
+                         business_size(F.col("employee_count")).alias("business_size"))

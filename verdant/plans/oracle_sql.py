@@ -654,3 +654,64 @@ SELECT source, id,
             WHEN obj IS NOT NULL AND json_valid(obj) THEN obj
             WHEN arr IS NOT NULL AND json_valid(arr) THEN arr END AS json_text
 FROM s"""
+
+# ----------------------------------------------------------------- X8 / P8 per company
+def _detected_keys() -> str:
+    from verdant.operators.schema import detect_columns
+    return ", ".join(detect_columns(PANEL_USER_COLUMNS).keys())
+
+
+_HL = [("carbon_emissions", "Carbon Emissions"), ("renewable_energy", "Renewable Energy"),
+       ("gender_diversity", "Gender Diversity"), ("energy", "Energy")]
+_HL_AGGS = ", ".join(f"MIN({c}) AS mn_{c}, MAX({c}) AS mx_{c}, AVG({c}) AS av_{c}" for c, _ in _HL)
+_HL_TXT = ", ".join(
+    f"CASE WHEN mn_{c} IS NOT NULL THEN '{t}: mean=' || CAST({R(f'av_{c}', 2)} AS VARCHAR) || ', range [' || "
+    f"CAST({R(f'mn_{c}', 2)} AS VARCHAR) || ', ' || CAST({R(f'mx_{c}', 2)} AS VARCHAR) || '].' END"
+    for c, t in _HL)
+SUMMARY_CTE = f"""
+summ AS (
+SELECT company, COUNT(*) AS row_count, CAST({len(PANEL_USER_COLUMNS)} AS BIGINT) AS col_count,
+       {R(f'(1e0 - SUM({_NULLS}) / (COUNT(*) * {float(len(PANEL_USER_COLUMNS))}e0)) * 100e0')} AS completeness_pct,
+       CAST(MIN(year) AS BIGINT) AS year_min, CAST(MAX(year) AS BIGINT) AS year_max, {_HL_AGGS}
+FROM panel WHERE company IS NOT NULL GROUP BY company),
+summ_txt AS (
+SELECT company, row_count, col_count, completeness_pct,
+       concat_ws(' ', printf('Dataset: %d rows, %d columns.', row_count, col_count),
+                 'Completeness: ' || CAST(completeness_pct AS VARCHAR) || '%.',
+                 CASE WHEN year_min IS NOT NULL THEN printf('Year range: %d-%d.', year_min, year_max) END,
+                 'Companies: ' || company || '.',
+                 'ESG columns detected: {_detected_keys()}.',
+                 {_HL_TXT}) AS text_summary
+FROM summ)"""
+DATA_SUMMARY = with_ctes(PANEL, SUMMARY_CTE) + " SELECT * FROM summ_txt"
+
+
+def _cell(c: str) -> str:
+    if c in ("company", "industry", "country"):
+        return f"COALESCE(CAST({c} AS VARCHAR), 'None')"
+    return f"COALESCE(CAST({c} AS VARCHAR), 'nan')"
+
+
+_SAMPLE = " || ' | ' || ".join(f"'{c}: ' || {_cell(c)}" for c in PANEL_USER_COLUMNS[:15])
+PROFILE_TEXT_CTE = f"""
+first_row AS (SELECT company, arg_min({_SAMPLE}, _row_id) AS sample FROM panel WHERE company IS NOT NULL GROUP BY company),
+ptext AS (SELECT s.company, 'Columns: {', '.join(PANEL_USER_COLUMNS)}. Row count: ' || CAST(s.row_count AS VARCHAR) || '. '
+                 || s.text_summary || chr(10) || 'Sample record: ' || f.sample AS profile_text
+          FROM summ_txt s JOIN first_row f ON s.company = f.company)"""
+PROFILE_TEXT = with_ctes(PANEL, SUMMARY_CTE, PROFILE_TEXT_CTE) + " SELECT * FROM ptext"
+
+DATA_PROFILE = with_ctes(PANEL, SUMMARY_CTE, PROFILE_TEXT_CTE) + f""",
+ex AS (
+SELECT company,
+       TRY_CAST(replace({_first_capture_sql('low', fixed.EMPLOYEE_PATTERNS)}, ',', '') AS BIGINT) AS employee_count,
+       {_BUDGET} AS budget,
+       {_contained_sql('low', fixed.TEXT_INDUSTRIES)} AS industry,
+       {_contained_sql('low', fixed.TEXT_COUNTRIES)} AS country
+FROM (SELECT company, lower(profile_text) AS low FROM ptext)),
+filled AS (
+SELECT company, rtrim({_MISSING}, ',') AS missing_fields,
+       COALESCE(employee_count, {fixed.FORM_DEFAULTS['employee_count']}) AS employee_count,
+       COALESCE(budget, {fixed.FORM_DEFAULTS['budget']}e0) AS budget, industry, country
+FROM ex)
+SELECT *, CASE WHEN employee_count >= 250 THEN 'Large' WHEN employee_count >= 50 THEN 'Medium' ELSE 'Small' END AS business_size
+FROM filled"""
