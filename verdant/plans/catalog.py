@@ -383,3 +383,73 @@ def q_data_profile(spark, sf_dir):
     return filled.select("company", F.array_join("missing_fields", ",").alias("missing_fields"),
                          "employee_count", "budget", "industry", "country",
                          business_size(F.col("employee_count")).alias("business_size"))
+
+
+# ----------------------------------------------------------------- ad-hoc SQL
+def _register_smoke():
+    from verdant.plans.adhoc import SMOKE
+
+    for _name, _sql in SMOKE.items():
+        def _run(spark, sf_dir, _sql=_sql):
+            from verdant.plans.adhoc import query_with_sql
+            from verdant.sources.tables import read_table
+            for t in ("supplier", "nation", "region"):
+                read_table(spark, sf_dir, t).createOrReplaceTempView(t)
+            return query_with_sql(esg_panel(spark, sf_dir), _sql)
+        register(_name, O.adhoc_sql(_sql))(_run)
+
+
+_register_smoke()
+
+
+# ----------------------------------------------------------------- streaming (ST1)
+@register("stream_route", O.STREAM_ROUTE)
+def q_stream_route(spark, sf_dir):
+    from verdant.streaming.chat import run_routing
+    return spark.read.parquet(run_routing(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- delimited source
+@register("csv_peer_comparison", O.CSV_PEER_COMPARISON)
+def q_csv_peer_comparison(spark, sf_dir):
+    """Panel written as delimited text, read back through the delimited
+    source (header trim, long-row rule, inferred types), then ranked."""
+    import os
+    import uuid
+
+    from verdant.operators.peers import peer_comparison
+    from verdant.session import checkpoint_root
+    from verdant.sources.delimited import read_delimited
+    path = os.path.join(checkpoint_root(spark), "csv", uuid.uuid4().hex)
+    esg_panel(spark, sf_dir).drop("_row_id").write.option("header", "true").csv(path)
+    return peer_comparison(read_delimited(spark, path), IDENTITY_MAP)
+
+
+# ----------------------------------------------------------------- exports and reports
+@register("profile_sheet", O.PROFILE_SHEET)
+def q_profile_sheet(spark, sf_dir):
+    from verdant.sources.sinks import profile_sheet
+    return profile_sheet(_ctx(spark, sf_dir)[2])
+
+
+def _report(spark, sf_dir, mode):
+    from verdant.operators import dims
+    from verdant.operators.benchmark import benchmark_comparison, pillar_view, regulation
+    from verdant.operators.kpi import kpi_projection
+    from verdant.operators.narrative import risks_and_opportunities
+    from verdant.sources.sinks import report_datasets
+    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
+    return report_datasets(mode, cm, ranked, regulation(cm), risks_and_opportunities(cm),
+                           kpi_projection(ranked, profiles, panel, IDENTITY_MAP),
+                           benchmark_comparison(cm, panel, IDENTITY_MAP), pillar_view(cm),
+                           dims.timeline(spark))
+
+
+@register("report_top_actions", O.REPORT_TOP_ACTIONS)
+def q_report_top_actions(spark, sf_dir):
+    return _report(spark, sf_dir, "executive")["top_actions"]
+
+
+@register("report_frameworks", O.REPORT_FRAMEWORKS)
+def q_report_frameworks(spark, sf_dir):
+    return _report(spark, sf_dir, "executive")["frameworks"]

@@ -715,3 +715,33 @@ SELECT company, rtrim({_MISSING}, ',') AS missing_fields,
 FROM ex)
 SELECT *, CASE WHEN employee_count >= 250 THEN 'Large' WHEN employee_count >= 50 THEN 'Medium' ELSE 'Small' END AS business_size
 FROM filled"""
+
+# ----------------------------------------------------------------- ad-hoc SQL, stream, CSV, sheets
+def adhoc_sql(body: str) -> str:
+    return with_ctes(PANEL, "\ncompany_data AS (SELECT * EXCLUDE (_row_id) FROM panel)") + " " + body
+
+
+STREAM_ROUTE = f"""
+SELECT conv_id, turn, {_INTENT} AS intent, {_scrub_sql('text')} AS question_scrubbed
+FROM (SELECT conv_id, turn, text, lower(text) AS low FROM conversations WHERE role = 'user')"""
+
+CSV_PEER_COMPARISON = PEER_COMPARISON
+
+_PF = [("Industry", "COALESCE(industry, 'N/A')"), ("Country", "COALESCE(country, 'N/A')"),
+       ("Employees", "COALESCE(CAST(employee_count AS VARCHAR), 'N/A')"),
+       ("ESG Budget", "'$' || " + money0_sql("COALESCE(budget, 0e0)")),
+       ("Business Size", "COALESCE(business_size, 'N/A')"),
+       ("ESG Grade", GRADE.format(x="m_overall")), ("Overall Score", "CAST(m_overall AS VARCHAR)"),
+       ("Environmental", "CAST(m_environmental AS VARCHAR)"), ("Social", "CAST(m_social AS VARCHAR)"),
+       ("Governance", "CAST(m_governance AS VARCHAR)")]
+PROFILE_SHEET = CTX + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT company, {i + 1} AS field_ord, {q(f)} AS field, {v} AS value FROM cm" for i, (f, v) in enumerate(_PF)) + ")"
+
+REPORT_TOP_ACTIONS = SOL_CTX + f"""
+SELECT company, rank, name, category, '$' || {thousands_sql('avg_cost')} || 'K' AS investment_display,
+       printf('%.1f yrs', payback_years) AS payback_display
+FROM ranked WHERE rank <= 3"""
+
+REPORT_FRAMEWORKS = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + """
+SELECT company, CAST(pos - 1 AS INTEGER) AS pos, frameworks[pos] AS framework
+FROM creg, (SELECT unnest(range(1, 10)) AS pos) p WHERE pos <= len(frameworks) AND pos <= 4"""
