@@ -23,23 +23,27 @@ def _long_values(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFra
     return casted.unpivot(list(ids), cols, "column_name", "value")
 
 
-def column_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> DataFrame:
-    """A6 (A5 with ``cols`` = first 15): min, max, mean, median per numeric
-    column, rounded; columns without values are skipped."""
+def column_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 2,
+                 group_cols: list[str] = ()) -> DataFrame:
+    """A6 (A5 with ``cols`` = first 15 and ``group_cols`` = company): min,
+    max, mean, median per numeric column (and group), rounded; columns
+    without values are skipped."""
     cols = cols if cols is not None else numeric_columns(df)
+    group_cols = list(group_cols)
     num = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.min(num[c]).alias(f"mn{i}"), F.max(num[c]).alias(f"mx{i}"),
                  F.avg(num[c]).alias(f"av{i}")]
-    one = df.agg(*aggs)
-    stats = one.select(F.inline(F.array(*[
+    one = df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
+    stats = one.select(*group_cols, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"mn{i}").alias("mn"),
                  F.col(f"mx{i}").alias("mx"), F.col(f"av{i}").alias("av"))
         for i, c in enumerate(cols)])))
-    med = exact_quantiles(_long_values(df, cols), ["column_name"], "value", {"md": 0.5})
-    j = stats.join(med, "column_name").where(F.col("mn").isNotNull())
-    return j.select("column_name", py_round(F.col("mn"), digits).alias("min_val"),
+    med = exact_quantiles(_long_values(df, cols, group_cols), group_cols + ["column_name"], "value",
+                          {"md": 0.5})
+    j = stats.join(med, group_cols + ["column_name"]).where(F.col("mn").isNotNull())
+    return j.select(*group_cols, "column_name", py_round(F.col("mn"), digits).alias("min_val"),
                     py_round(F.col("mx"), digits).alias("max_val"),
                     py_round(F.col("av"), digits).alias("mean_val"),
                     py_round(F.col("md"), digits).alias("median_val"))

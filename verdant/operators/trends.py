@@ -55,16 +55,17 @@ def metric_trends(panel: DataFrame, col_map: dict) -> DataFrame:
     return agg.withColumn("is_improving", improving)
 
 
-def trend_values(panel: DataFrame, col_map: dict) -> DataFrame:
-    """P7 / A9 value list: the year-ordered values of each (company, metric).
-
-    The list holds one entry per panel row of the company, i.e. one per
-    reporting year; use on panels keyed by (company, year)."""
+def trend_series(panel: DataFrame, col_map: dict) -> DataFrame:
+    """P7 / A9 value list in long form: (company, metric, pos, year, value)
+    with ``pos`` the 0-based place in year order (null year last, then file
+    order). Positions come from the distributed ordinal helper, so a company
+    with a huge number of rows is never sorted in a single task."""
+    from verdant.plans.ordinal import with_ordinal
     long = metric_long(panel, col_map).where(F.col("value").isNotNull())
-    return long.groupBy("company", "metric").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("year").isNull().alias("a"), F.col("year").alias("b"),
-                                             F.col("_row_id").alias("c"), F.col("value").alias("v")))),
-        lambda x: x["v"]).alias("trend_values"))
+    ranked = with_ordinal(long, [F.col("year").asc_nulls_last(), F.col("_row_id").asc()],
+                          ["company", "metric"], "pos", "_n")
+    return ranked.select("company", "metric", F.col("pos").cast("bigint").alias("pos"),
+                         F.col("year").cast("bigint").alias("year"), "value")
 
 
 def trend_direction(trends: DataFrame, companies: DataFrame | None = None) -> DataFrame:

@@ -271,7 +271,7 @@ def q_scenario_numbers(spark, sf_dir):
     return scenario_numbers(_ctx(spark, sf_dir)[2])
 
 
-@register("executive_summary")
+@register("executive_summary", O.EXECUTIVE_SUMMARY)
 def q_executive_summary(spark, sf_dir):
     from verdant.operators.narrative import executive_summary
     panel, profiles, cm, ranked = _ranked(spark, sf_dir)
@@ -453,3 +453,25 @@ def q_report_top_actions(spark, sf_dir):
 @register("report_frameworks", O.REPORT_FRAMEWORKS)
 def q_report_frameworks(spark, sf_dir):
     return _report(spark, sf_dir, "executive")["frameworks"]
+
+
+# ----------------------------------------------------------------- more profiling
+@register("key_metrics", O.KEY_METRICS)
+def q_key_metrics(spark, sf_dir):
+    """A5 per company: stats of the first 15 numeric columns."""
+    from verdant.operators.profile import column_stats
+    panel = esg_panel(spark, sf_dir)
+    return column_stats(panel, _panel_numeric(panel)[:15],
+                        group_cols=["company"])
+
+
+@register("trend_series", O.TREND_SERIES)
+def q_trend_series(spark, sf_dir):
+    from verdant.operators.trends import trend_series
+    return trend_series(esg_panel(spark, sf_dir), IDENTITY_MAP)
+
+
+@register("dq_few_rows", O.DQ_FEW_ROWS)
+def q_dq_few_rows(spark, sf_dir):
+    from verdant.operators.quality import few_rows
+    return _union([few_rows(_dataset(spark, sf_dir, t), t) for t in QUALITY_TABLES])

@@ -745,3 +745,34 @@ FROM ranked WHERE rank <= 3"""
 REPORT_FRAMEWORKS = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + """
 SELECT company, CAST(pos - 1 AS INTEGER) AS pos, frameworks[pos] AS framework
 FROM creg, (SELECT unnest(range(1, 10)) AS pos) p WHERE pos <= len(frameworks) AND pos <= 4"""
+
+KEY_METRICS = with_ctes(PANEL, f"""
+kcast AS (SELECT company, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PANEL_NUMERIC[:15])} FROM panel
+          WHERE company IS NOT NULL),
+klong AS (SELECT company, column_name, value FROM kcast UNPIVOT (value FOR column_name IN ({', '.join(PANEL_NUMERIC[:15])})))""") + f"""
+SELECT company, column_name, {R('MIN(value)', 2)} AS min_val, {R('MAX(value)', 2)} AS max_val,
+       {R('AVG(value)', 2)} AS mean_val, {R('quantile_cont(value, 0.5)', 2)} AS median_val
+FROM klong GROUP BY company, column_name"""
+
+TREND_SERIES = with_ctes(PANEL, _MLONG) + """
+SELECT company, metric, CAST(ROW_NUMBER() OVER (PARTITION BY company, metric ORDER BY year NULLS LAST, _row_id) - 1 AS BIGINT) AS pos,
+       CAST(year AS BIGINT) AS year, value
+FROM mlong WHERE value IS NOT NULL"""
+
+DQ_FEW_ROWS = with_ctes(PANEL) + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, 'Dataset has fewer than 2 rows – results may be unreliable.' AS message "
+    f"FROM (SELECT COUNT(*) AS n FROM (SELECT 1 FROM {t} LIMIT 2)) WHERE n < 2" for t in QUALITY_TABLES) + ")"
+
+_ACTION = ("printf('(%d) %s – estimated $%s investment, $%s/yr savings, %.1f-year payback.', rank, name, "
+           + money0_sql("avg_cost") + ", " + money0_sql("annual_savings") + ", payback_years)")
+EXECUTIVE_SUMMARY = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN, SOL_CTE) + f""",
+acts AS (SELECT company, string_agg({_ACTION}, chr(10) ORDER BY rank) AS actions FROM ranked WHERE rank <= 3 GROUP BY company)
+SELECT c.company,
+  'Your organisation currently holds an ESG maturity grade of ' || {GRADE.format(x='c.m_overall')} || ' (' || CAST(c.m_overall AS VARCHAR)
+  || '/100), positioning it in the ' || CASE WHEN c.m_overall >= 60 THEN 'upper' ELSE 'lower' END || ' tier of '
+  || lower(c.industry) || ' sector peers.' || chr(10) || chr(10) || 'Three priority actions are recommended:' || chr(10)
+  || COALESCE(a.actions, '') || chr(10) || chr(10) || 'Regulatory exposure: ' || array_to_string(list_slice(c.frameworks, 1, 2), ', ')
+  || ' create compliance obligations. ' || c.key_deadlines || chr(10) || chr(10) || 'Recommendation: Allocate $'
+  || {money0_sql('COALESCE(c.budget, 0e0) * 0.6e0')} || ' to the top-ranked solution immediately, phasing remaining initiatives over 18-24 months to stay ahead of '
+  || c.country || ' disclosure deadlines.' AS executive_summary
+FROM creg c LEFT JOIN acts a ON c.company = a.company"""
