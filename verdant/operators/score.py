@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from verdant.functions.numeric import (clamp, grade, mean_present, n_present, py_round,
-                                       to_num, weighted_overall)
+from verdant.functions.numeric import NUMERIC_TEXT, grade, py_round, to_num, weighted_overall
 
 
 def metric_value(df: DataFrame, col_map: dict, metric: str) -> Column | None:
@@ -28,75 +27,111 @@ def metric_value(df: DataFrame, col_map: dict, metric: str) -> Column | None:
     return to_num(F.col(name))
 
 
-def _term(cond: Column, value: Column) -> Column:
-    return F.when(cond, value)
-
-
-def score_terms(df: DataFrame, col_map: dict) -> dict[str, list[Column]]:
-    """The per-pillar score terms; a term is null when its input is missing."""
-    v = {m: metric_value(df, col_map, m) for m in (
+def metric_sql(types: dict, col_map: dict, metric: str) -> str | None:
+    """``metric_value`` as SQL text (one JVM call to build, however long)."""
+    name = col_map.get(metric)
+    if name is None or name not in types:
+        return None
+    c = f"`{name}`"
+    if isinstance(types[name], NumericType):
+        return f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
+    txt = f"trim(CAST({c} AS STRING))"
+    return f"(CASE WHEN lower({txt}) RLIKE '{NUMERIC_TEXT}' THEN try_cast({txt} AS DOUBLE) END)"
+
+
+def _clamp_sql(x: str, lo=None, hi=None) -> str:
+    out = x
+    if hi is not None:
+        out = f"least({out}, {float(hi)}D)"
+    if lo is not None:
+        out = f"greatest({out}, {float(lo)}D)"
+    return out
+
+
+def score_terms_sql(types: dict, col_map: dict) -> dict[str, list[str]]:
+    """The per-pillar score terms as SQL; a term is null when its input is
+    missing (each term is guarded, since least/greatest skip nulls)."""
+    v = {m: metric_sql(types, col_map, m) for m in (
         "renewable_energy", "carbon_emissions", "employees", "waste_recycled",
         "gender_diversity", "employee_turnover", "training", "safety",
         "board_independence", "esg_budget", "revenue", "community_investment")}
+
+    def guard(cond, expr):
+        return f"(CASE WHEN {cond} THEN {expr} END)"
+
     e, s, g = [], [], []
-    if v["renewable_energy"] is not None:
-        e.append(clamp(v["renewable_energy"], None, 100))
-    if v["carbon_emissions"] is not None and v["employees"] is not None:
+    if v["renewable_energy"]:
+        x = v["renewable_energy"]
+        e.append(guard(f"{x} IS NOT NULL", _clamp_sql(x, None, 100)))
+    if v["carbon_emissions"] and v["employees"]:
         em, emp = v["carbon_emissions"], v["employees"]
-        per_emp = em / emp
-        ok = em.isNotNull() & emp.isNotNull() & (emp > 0)
-        e.append(_term(ok, clamp(F.lit(90.0) - (per_emp - F.lit(1.0)) * F.lit(7.8), 20, 90)))
-    if v["waste_recycled"] is not None:
-        e.append(clamp(v["waste_recycled"], None, 100))
-    if v["gender_diversity"] is not None:
-        s.append(clamp(v["gender_diversity"] * F.lit(2.0), None, 100))
-    if v["employee_turnover"] is not None:
-        s.append(clamp(F.lit(90.0) - (v["employee_turnover"] - F.lit(5.0)) * F.lit(2.8), 20, 90))
-    if v["training"] is not None:
-        s.append(clamp(F.lit(20.0) + v["training"] * F.lit(1.75), 20, 90))
-    if v["safety"] is not None:
-        s.append(clamp(F.lit(95.0) - v["safety"] * F.lit(3.75), 20, 95))
-    if v["board_independence"] is not None:
-        g.append(clamp(v["board_independence"], None, 100))
-    if v["esg_budget"] is not None and v["revenue"] is not None:
+        e.append(guard(f"{em} IS NOT NULL AND {emp} IS NOT NULL AND {emp} > 0",
+                       _clamp_sql(f"90D - ({em} / {emp} - 1D) * 7.8D", 20, 90)))
+    if v["waste_recycled"]:
+        x = v["waste_recycled"]
+        e.append(guard(f"{x} IS NOT NULL", _clamp_sql(x, None, 100)))
+    if v["gender_diversity"]:
+        x = v["gender_diversity"]
+        s.append(guard(f"{x} IS NOT NULL", _clamp_sql(f"{x} * 2D", None, 100)))
+    if v["employee_turnover"]:
+        x = v["employee_turnover"]
+        s.append(guard(f"{x} IS NOT NULL", _clamp_sql(f"90D - ({x} - 5D) * 2.8D", 20, 90)))
+    if v["training"]:
+        x = v["training"]
+        s.append(guard(f"{x} IS NOT NULL", _clamp_sql(f"20D + {x} * 1.75D", 20, 90)))
+    if v["safety"]:
+        x = v["safety"]
+        s.append(guard(f"{x} IS NOT NULL", _clamp_sql(f"95D - {x} * 3.75D", 20, 95)))
+    if v["board_independence"]:
+        x = v["board_independence"]
+        g.append(guard(f"{x} IS NOT NULL", _clamp_sql(x, None, 100)))
+    if v["esg_budget"] and v["revenue"]:
         b, r = v["esg_budget"], v["revenue"]
-        ok = b.isNotNull() & r.isNotNull() & (r > 0)
-        pct = F.when(ok, b / r) * F.lit(100.0)
-        g.append(_term(ok, clamp(F.lit(30.0) + pct * F.lit(60.0), 30, 90)))
-    if v["community_investment"] is not None:
-        c = v["community_investment"]
-        ok = c.isNotNull() & (c > 0)
-        g.append(_term(ok, clamp(F.lit(40.0) + F.log10(F.when(ok, c)) * F.lit(10.0), None, 90)))
+        g.append(guard(f"{b} IS NOT NULL AND {r} IS NOT NULL AND {r} > 0",
+                       _clamp_sql(f"30D + ({b} / {r}) * 100D * 60D", 30, 90)))
+    if v["community_investment"]:
+        x = v["community_investment"]
+        g.append(guard(f"{x} IS NOT NULL AND {x} > 0", _clamp_sql(f"40D + log10({x}) * 10D", None, 90)))
     return {"e": e, "s": s, "g": g}
 
 
 def esg_score(latest: DataFrame, col_map: dict) -> DataFrame:
     """B1 on each row of ``latest`` (one row per company): pillar means of the
     present terms (50 when none), clamped to [10, 95], weighted overall and
-    grade, plus the rationale."""
-    t = score_terms(latest, col_map)
-
-    def pillar(terms):
-        if not terms:
-            return F.lit(50.0)
-        return F.greatest(F.least(mean_present(terms), F.lit(95.0)), F.lit(10.0))
-
-    def count(terms):
-        return n_present(terms) if terms else F.lit(0)
-
-    out = (latest
-           .withColumn("environmental", pillar(t["e"]))
-           .withColumn("social", pillar(t["s"]))
-           .withColumn("governance", pillar(t["g"]))
-           .withColumn("n_e", count(t["e"]))
-           .withColumn("n_s", count(t["s"]))
-           .withColumn("n_g", count(t["g"])))
-    out = out.withColumn("esg_score", weighted_overall(F.col("environmental"), F.col("social"),
-                                                       F.col("governance")))
-    out = out.withColumn("grade", grade(F.col("esg_score")))
-    return out.withColumn("rationale", F.format_string(
-        "Scored from actual uploaded data. E based on %d metric(s), S based on %d metric(s), "
-        "G based on %d metric(s).", F.col("n_e"), F.col("n_s"), F.col("n_g")))
+    grade, plus the rationale.
+
+    Terms are materialised as columns first, so the pillar formulas refer to
+    them by name (small expression trees, one projection per stage)."""
+    types = {f.name: f.dataType for f in latest.schema.fields}
+    t = score_terms_sql(types, col_map)
+    names = {p: [f"_t_{p}{i}" for i in range(len(cols))] for p, cols in t.items()}
+    staged = latest.select("*", *[F.expr(c).alias(n) for p in t for c, n in zip(t[p], names[p])])
+
+    def pillar(p):
+        if not t[p]:
+            return "50D"
+        total = " + ".join(["0D"] + [f"coalesce({n}, 0D)" for n in names[p]])
+        cnt = " + ".join(f"(CASE WHEN {n} IS NOT NULL THEN 1 ELSE 0 END)" for n in names[p])
+        mean = (f"CASE WHEN ({cnt}) > 0 THEN CAST(bround(CAST(({total}) / ({cnt}) AS DECIMAL(38,8)), 1) "
+                f"AS DOUBLE) ELSE 50D END")
+        return f"greatest(least({mean}, 95D), 10D)"
+
+    def count(p):
+        if not t[p]:
+            return "0"
+        return " + ".join(f"(CASE WHEN {n} IS NOT NULL THEN 1 ELSE 0 END)" for n in names[p])
+
+    out = staged.selectExpr("*", f"{pillar('e')} AS environmental", f"{pillar('s')} AS social",
+                            f"{pillar('g')} AS governance", f"{count('e')} AS n_e", f"{count('s')} AS n_s",
+                            f"{count('g')} AS n_g")
+    out = out.selectExpr("*", "CAST(bround(CAST(environmental * 0.4D + social * 0.3D + governance * 0.3D "
+                              "AS DECIMAL(38,8)), 1) AS DOUBLE) AS esg_score")
+    out = out.selectExpr(
+        "*", "CASE WHEN esg_score >= 80 THEN 'A' WHEN esg_score >= 65 THEN 'B' WHEN esg_score >= 50 THEN 'C' "
+             "WHEN esg_score >= 35 THEN 'D' ELSE 'F' END AS grade",
+        "format_string('Scored from actual uploaded data. E based on %d metric(s), S based on %d metric(s), "
+        "G based on %d metric(s).', n_e, n_s, n_g) AS rationale")
+    return out.drop(*[n for p in names for n in names[p]])
 
 
 # ---------------------------------------------------------------- B3
@@ -162,4 +197,4 @@ def radar_reference(esg_score_avg: Column) -> list[tuple[str, Column]]:
 
 
 __all__ = ["esg_score", "maturity", "business_size", "readiness", "pillar_status",
-           "radar_reference", "metric_value", "score_terms", "py_round"]
+           "radar_reference", "metric_value", "metric_sql", "score_terms_sql", "py_round"]

@@ -52,59 +52,74 @@ def esg_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
 
-    def dec(c):
-        return F.col(c).cast("decimal(18,2)")
-
-    rf, qty = F.col("l_returnflag"), dec("l_quantity")
-    per_year = li.groupBy(F.col("l_suppkey"), F.year("l_shipdate").alias("year")).agg(
-        F.count_distinct("l_orderkey").alias("employees"),
-        F.sum(dec("l_extendedprice")).alias("_rev"),
-        F.sum(dec("l_extendedprice") * F.col("l_tax").cast("decimal(4,2)")).alias("_budget"),
-        F.sum(qty).alias("_qty"),
-        F.count(F.when(rf == "N", 1)).alias("_n_n"),
-        F.sum("l_linenumber").alias("_lines"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("_n_f"),
-        F.count(F.when(rf == "A", 1)).alias("_n_a"),
-        F.sum(dec("l_discount")).alias("_disc"),
-        F.count(F.when(F.col("l_tax") >= 0.04, 1)).alias("_n_tax"),
-        F.count(F.when(F.col("l_discount") < 0.005, 1)).alias("_n_low"),
-        F.sum(dec("l_tax")).alias("_tax"),
-        F.sum(F.when(rf == "A", qty)).alias("_q_a"),
-        F.sum(F.when(rf == "N", qty)).alias("_q_n"),
-        F.sum(F.when(rf == "R", qty)).alias("_q_r"),
-    )
-    d = lambda c: F.col(c).cast("double")
-    n = F.col("_n")
+    # Exact sums in integer hundredths (BIGINT, the long-backed fast path)
+    # instead of DECIMAL(18,2) sums (whose DECIMAL(28,2) result falls back to
+    # BigDecimal arithmetic). N / 100.0 is the correctly rounded double of the
+    # exact decimal sum, i.e. the same value CAST(SUM(decimal) AS DOUBLE) gives.
+    # Overflow would need ~1e11 line items in one supplier-year; ANSI mode
+    # raises on it rather than wrapping. Formulas are SQL expression text: one
+    # JVM call each instead of one per operator.
+    def cents(c):
+        return (f"CAST(CASE WHEN {c} >= 0 THEN FLOOR({c} * 100D + 0.5D) "
+                f"ELSE -FLOOR(-{c} * 100D + 0.5D) END AS BIGINT)")
+
+    qty = cents("l_quantity")
+    aggs = [
+        "count(DISTINCT l_orderkey) AS employees",
+        f"sum({cents('l_extendedprice')}) AS _rev",
+        f"sum({cents('l_extendedprice')} * {cents('l_tax')}) AS _budget",
+        f"sum({qty}) AS _qty",
+        "count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS _n_n",
+        "sum(l_linenumber) AS _lines",
+        "count(1) AS _n",
+        "count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS _n_f",
+        "count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS _n_a",
+        f"sum({cents('l_discount')}) AS _disc",
+        "count(CASE WHEN l_tax >= 0.04D THEN 1 END) AS _n_tax",
+        "count(CASE WHEN l_discount < 0.005D THEN 1 END) AS _n_low",
+        f"sum({cents('l_tax')}) AS _tax",
+        f"sum(CASE WHEN l_returnflag = 'A' THEN {qty} END) AS _q_a",
+        f"sum(CASE WHEN l_returnflag = 'N' THEN {qty} END) AS _q_n",
+        f"sum(CASE WHEN l_returnflag = 'R' THEN {qty} END) AS _q_r",
+    ]
+    per_year = (li.groupBy(F.col("l_suppkey"), F.year("l_shipdate").alias("year"))
+                .agg(*[F.expr(a) for a in aggs]))
     joined = per_year.join(sup, per_year.l_suppkey == sup.s_suppkey)
-    return joined.select(
-        F.col("s_name").alias("company"),
-        _industry_of(F.col("s_suppkey")).alias("industry"),
-        _country_of(F.col("s_nationkey")).alias("country"),
-        F.col("year"),
-        F.col("employees"),
-        d("_rev").alias("revenue"),
-        (d("_budget") / F.lit(10.0)).alias("esg_budget"),
-        (d("_qty") / F.lit(8.0)).alias("carbon_emissions"),
-        (d("_qty") * F.lit(3.0)).alias("energy"),
-        (F.lit(100.0) * F.col("_n_n") / n).alias("renewable_energy"),
-        d("_lines").alias("water"),
-        d("_n").alias("waste_total"),
-        (F.lit(100.0) * F.col("_n_f") / n).alias("waste_recycled"),
-        F.when(n >= 90, F.lit(100.0) * F.col("_n_a") / n).alias("gender_diversity"),
-        (F.lit(400.0) * d("_disc") / n).alias("employee_turnover"),
-        (d("_qty") / n).alias("training"),
-        (F.lit(100.0) * F.col("_n_tax") / n).alias("board_independence"),
-        d("_n_low").alias("safety"),
-        F.when(F.pmod(F.col("s_suppkey"), F.lit(5)) != 0, d("_tax") * F.lit(1000.0))
-         .alias("community_investment"),
-        d("_q_a").alias("scope1"),
-        d("_q_n").alias("scope2"),
-        d("_q_r").alias("scope3"),
-        (F.col("s_suppkey") * F.lit(10000) + F.col("year")).alias("_row_id"),
+    c2 = "(CAST({} AS DOUBLE) / 100D)".format  # hundredths -> value
+    return joined.selectExpr(
+        "s_name AS company",
+        f"{INDUSTRY_SQL} AS industry",
+        f"{COUNTRY_SQL} AS country",
+        "year",
+        "employees",
+        f"{c2('_rev')} AS revenue",
+        "CAST(_budget AS DOUBLE) / 10000D / 10D AS esg_budget",
+        f"{c2('_qty')} / 8D AS carbon_emissions",
+        f"{c2('_qty')} * 3D AS energy",
+        "100D * _n_n / _n AS renewable_energy",
+        "CAST(_lines AS DOUBLE) AS water",
+        "CAST(_n AS DOUBLE) AS waste_total",
+        "100D * _n_f / _n AS waste_recycled",
+        "CASE WHEN _n >= 90 THEN 100D * _n_a / _n END AS gender_diversity",
+        f"400D * {c2('_disc')} / _n AS employee_turnover",
+        f"{c2('_qty')} / _n AS training",
+        "100D * _n_tax / _n AS board_independence",
+        "CAST(_n_low AS DOUBLE) AS safety",
+        f"CASE WHEN pmod(s_suppkey, 5) != 0 THEN {c2('_tax')} * 1000D END AS community_investment",
+        f"{c2('_q_a')} AS scope1",
+        f"{c2('_q_n')} AS scope2",
+        f"{c2('_q_r')} AS scope3",
+        "s_suppkey * 10000 + year AS _row_id",
     )
 
 
+INDUSTRY_SQL = ("CASE pmod(s_suppkey, 6) WHEN 0 THEN 'Technology' WHEN 1 THEN 'Finance' "
+                "WHEN 2 THEN 'Manufacturing' WHEN 3 THEN 'Energy' WHEN 4 THEN 'Financial Services' "
+                "ELSE 'Automotive' END")
+COUNTRY_SQL = ("CASE pmod(s_nationkey, 5) WHEN 0 THEN 'Germany' WHEN 1 THEN 'United States' "
+               "WHEN 2 THEN 'Japan' WHEN 3 THEN 'Brazil' ELSE 'Norway' END")
+
+
 def company_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile per company (FIXTURES F5): head count, ESG budget, industry, country."""
     from verdant.operators.score import business_size
