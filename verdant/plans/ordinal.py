@@ -1,17 +1,21 @@
 """Distributed ordinal positions (global rank, rank within huge groups, exact
 quantiles) without routing a whole group through one task.
 
-Plan: sort globally on (group, order) (range exchange + sort, AQE may coalesce
-partitions), tag each row with ``monotonically_increasing_id`` (partition id
-in the high bits, row number in the low 33 bits), and checkpoint the tagged
-rows to the shared checkpoint folder so that every later reader sees the same
-ids. Then count rows per (partition, group), turn the counts into running
-offsets on that small table, and join the offsets back. The offsets table has
-one row per (partition, group present in it).
+Plan: range-partition on (group, order) with an explicit partition count (AQE
+does not coalesce it, so partition ids are stable), sort inside each
+partition, tag each row with ``monotonically_increasing_id`` (partition id in
+the high bits, row number in the low 33 bits), count rows per (partition,
+group), turn the counts into running offsets on that small table, and join the
+offsets back. The tagged rows are written once as a table in the shared
+checkpoint folder (``spark.checkpoint.dir``) and both branches read that
+table, so the ids are stable even if executors are lost. The offsets table
+has one row per (partition, group present in it).
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,11 +41,14 @@ def with_ordinal(df: DataFrame, order: list[Column], group_cols: list[str] | tup
     group_cols = list(group_cols)
     keys = [F.col(g).asc_nulls_last() for g in group_cols] + list(order)
     n = _num_partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_o_mid", F.monotonically_increasing_id()))
-    checkpoint_root(df.sparkSession)
-    tagged = (tagged.checkpoint(eager=True)
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Materialise the tagged rows once as a table in the shared checkpoint
+    # folder: every later reader (the counts branch and the main branch) sees
+    # the same stored ids, whatever happens to executors afterwards.
+    path = os.path.join(checkpoint_root(spark), "ordinal", uuid.uuid4().hex)
+    ranged.withColumn("_o_mid", F.monotonically_increasing_id()).write.parquet(path)
+    tagged = (spark.read.parquet(path)
               .withColumn("_o_pid", F.shiftrightunsigned(F.col("_o_mid"), 33))
               .withColumn("_o_local", F.col("_o_mid").bitwiseAND(F.lit(_LOW_BITS))))
     counts = tagged.groupBy("_o_pid", *group_cols).agg(
