@@ -27,48 +27,33 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 2,
                  group_cols: list[str] = ()) -> DataFrame:
     """A6 (A5 with ``cols`` = first 15 and ``group_cols`` = company): min,
     max, mean, median per numeric column (and group), rounded; columns
-    without values are skipped."""
+    without values are skipped. Everything comes from one materialised long
+    table, so the input is computed once."""
     cols = cols if cols is not None else numeric_columns(df)
     group_cols = list(group_cols)
-    num = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.min(num[c]).alias(f"mn{i}"), F.max(num[c]).alias(f"mx{i}"),
-                 F.avg(num[c]).alias(f"av{i}")]
-    one = df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
-    stats = one.select(*group_cols, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"mn{i}").alias("mn"),
-                 F.col(f"mx{i}").alias("mx"), F.col(f"av{i}").alias("av"))
-        for i, c in enumerate(cols)])))
-    med = exact_quantiles(_long_values(df, cols, group_cols), group_cols + ["column_name"], "value",
-                          {"md": 0.5})
-    j = stats.join(med, group_cols + ["column_name"]).where(F.col("mn").isNotNull())
-    return j.select(*group_cols, "column_name", py_round(F.col("mn"), digits).alias("min_val"),
+    v = F.col("value")
+    q = exact_quantiles(_long_values(df, cols, group_cols), group_cols + ["column_name"], "value",
+                        {"md": 0.5}, stats={"mn": F.min(v), "mx": F.max(v), "av": F.avg(v)})
+    return q.select(*group_cols, "column_name", py_round(F.col("mn"), digits).alias("min_val"),
                     py_round(F.col("mx"), digits).alias("max_val"),
                     py_round(F.col("av"), digits).alias("mean_val"),
                     py_round(F.col("md"), digits).alias("median_val"))
 
 
 def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> DataFrame:
-    """Count, mean, std, min, 25 %, 50 %, 75 %, max per numeric column."""
+    """Count, mean, std, min, 25 %, 50 %, 75 %, max per numeric column
+    (columns without values keep a row with count 0)."""
     cols = cols if cols is not None else numeric_columns(df)
-    num = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(num[c]).alias(f"n{i}"), F.avg(num[c]).alias(f"av{i}"),
-                 F.stddev_samp(num[c]).alias(f"sd{i}"), F.min(num[c]).alias(f"mn{i}"),
-                 F.max(num[c]).alias(f"mx{i}")]
-    one = df.agg(*aggs)
-    stats = one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"av{i}").alias("av"),
-                 F.col(f"sd{i}").alias("sd"), F.col(f"mn{i}").alias("mn"), F.col(f"mx{i}").alias("mx"))
-        for i, c in enumerate(cols)])))
+    v = F.col("value")
     q = exact_quantiles(_long_values(df, cols), ["column_name"], "value",
-                        {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    j = stats.join(q, "column_name", "left")
+                        {"q25": 0.25, "q50": 0.5, "q75": 0.75},
+                        stats={"n": F.count(v), "av": F.avg(v), "sd": F.stddev_samp(v),
+                               "mn": F.min(v), "mx": F.max(v)})
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    j = names.join(q, "column_name", "left")
     r = lambda c: py_round(F.col(c), digits)
-    return j.select("column_name", F.col("n").cast("double").alias("count"), r("av").alias("mean"),
-                    r("sd").alias("std"), r("mn").alias("min"), r("q25").alias("p25"),
+    return j.select("column_name", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("count"),
+                    r("av").alias("mean"), r("sd").alias("std"), r("mn").alias("min"), r("q25").alias("p25"),
                     r("q50").alias("p50"), r("q75").alias("p75"), r("mx").alias("max"))
 
 

@@ -81,12 +81,19 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
 
 
 def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str,
-                    probs: dict[str, float], num_partitions: int | None = None) -> DataFrame:
+                    probs: dict[str, float], num_partitions: int | None = None,
+                    stats: dict | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group (pandas / ``quantile_cont``
     semantics) for groups of any size. Nulls are ignored.
 
-    Returns one row per group with one column per entry of ``probs``.
+    Returns one row per group with one column per entry of ``probs``, plus
+    one per entry of ``stats`` (name -> aggregate Column over the group's
+    non-null values), computed from the same materialised rows so the input
+    is evaluated once.
     """
+    single = not group_cols
+    if single:  # one global group: a constant key keeps every step a keyed one
+        long_df, group_cols = long_df.withColumn("_o_g", F.lit(0)), ["_o_g"]
     vals = long_df.where(F.col(value_col).isNotNull())
     ranked = with_ordinal(vals, [F.col(value_col).asc()], group_cols, "_pos", "_size", num_partitions)
     picks, aggs = [], []
@@ -99,7 +106,11 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str,
                  F.max(idx - lo).alias(f"_fr_{name}")]
     sel = ranked.where(reduce(lambda a, b: a | b, picks))
     out = sel.groupBy(*group_cols).agg(*aggs)
+    if stats:
+        extra = ranked.groupBy(*group_cols).agg(*[c.alias(k) for k, c in stats.items()])
+        out = out.join(extra, group_cols)
     for name in probs:
         lo_v, hi_v, fr = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_fr_{name}")
         out = out.withColumn(name, lo_v + (hi_v - lo_v) * fr)
-    return out.drop(*[f"_{k}_{n}" for n in probs for k in ("lo", "hi", "fr")])
+    out = out.drop(*[f"_{k}_{n}" for n in probs for k in ("lo", "hi", "fr")])
+    return out.drop("_o_g") if single else out
