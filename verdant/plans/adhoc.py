@@ -30,7 +30,7 @@ JOIN supplier s ON cd.company = s.s_name
 JOIN nation n ON s.s_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 WHERE EXISTS (SELECT 1 FROM company_data x WHERE x.company = cd.company AND x.year = 1998)
-  AND cd.company NOT IN (SELECT company FROM company_data WHERE gender_diversity > 40)
+  AND NOT EXISTS (SELECT 1 FROM company_data z WHERE z.company = cd.company AND z.gender_diversity > 40)
 GROUP BY r.r_name""",
     "sql_rollup": """
 SELECT industry, country, COUNT(*) AS n_rows, CAST(SUM(employees) AS BIGINT) AS employees,
@@ -41,7 +41,7 @@ GROUP BY ROLLUP (industry, country)""",
 SELECT company, year, revenue,
        CAST(SUM(CAST(revenue AS DECIMAL(18,2))) OVER (PARTITION BY company ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_revenue,
        LAG(employees, 1) OVER (PARTITION BY company ORDER BY year) AS prev_employees,
-       CAST(RANK() OVER (PARTITION BY year ORDER BY employees DESC, company) AS BIGINT) AS employee_rank,
+       CAST(RANK() OVER (PARTITION BY company ORDER BY employees DESC) AS BIGINT) AS employee_rank,
        MAX(training) OVER (PARTITION BY company ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS training_max_3y
 FROM company_data""",
     "sql_setop": """
