@@ -258,3 +258,21 @@ def test_exact_quantiles_match_pandas(spark):
         s = pd.Series([v for gg, v in vals if gg == g])
         for got_v, p in zip(got[g], (.25, .5, .75)):
             assert math.isclose(got_v, s.quantile(p))
+
+
+# ------------------------------------------------------------------ X14, X15
+def test_validate_ranking_orders_by_fit(spark):
+    from verdant.operators.narrative import validate_ranking
+    replies = spark.createDataFrame(
+        [("a", '[{"name":"x","fit_score":50},{"name":"y","fit_score":90},{"name":"z"}]'),
+         ("b", '[{"name":"x","fit_score":50}]'), ("c", "not json")], "company string, reply_json string")
+    got = [(r.company, r["rank"], r.name) for r in validate_ranking(replies).orderBy("company", "rank").collect()]
+    assert got == [("a", 1, "y"), ("a", 2, "x"), ("a", 3, "z")]   # short or invalid replies fall back
+
+
+def test_merge_profile_overrides_only_present_keys(spark):
+    from verdant.functions.jsonx import merge_profile
+    df = spark.createDataFrame([("T", 10, '{"employee_count": 250, "industry": null}')],
+                               "industry string, employee_count bigint, reply string")
+    r = merge_profile(df, "reply", {"employee_count": "bigint", "industry": "string"}).first()
+    assert (r.employee_count, r.industry) == (250, "T")

@@ -106,3 +106,11 @@ def test_peer_rank_has_no_single_partition_window(spark):
     df.collect()
     plan = _plan(df)
     assert "SinglePartition" not in plan.split("Window")[0]  # ranking does not funnel rows into one task
+
+
+def test_delimited_header_only_is_an_error(spark):
+    import pytest
+
+    from verdant.sources.delimited import DelimitedReadError, read_delimited
+    with pytest.raises(DelimitedReadError):
+        read_delimited(spark, _write("a,b\n"))

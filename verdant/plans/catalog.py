@@ -475,3 +475,35 @@ def q_trend_series(spark, sf_dir):
 def q_dq_few_rows(spark, sf_dir):
     from verdant.operators.quality import few_rows
     return _union([few_rows(_dataset(spark, sf_dir, t), t) for t in QUALITY_TABLES])
+
+
+# ----------------------------------------------------------------- S3, P2, P6/S7, X13
+@register("preview_rows", O.PREVIEW_ROWS)
+def q_preview_rows(spark, sf_dir):
+    """S3: first ten rows in row order (the limit is the feature)."""
+    from verdant.sources.delimited import preview
+    return preview(esg_panel(spark, sf_dir), 10).drop("_row_id")
+
+
+@register("table_score", O.TABLE_SCORE)
+def q_table_score(spark, sf_dir):
+    """Whole-table mode (no company column): one score for the table."""
+    from verdant.operators.peers import scored_latest
+    no_company = {k: v for k, v in IDENTITY_MAP.items() if k != "company"}
+    s = scored_latest(esg_panel(spark, sf_dir).drop("company"), no_company)
+    return s.select(s["_company"].alias("company"), "year", "environmental", "social", "governance",
+                    "esg_score", "grade")
+
+
+@register("kpi_top_solution", O.KPI_TOP_SOLUTION)
+def q_kpi_top_solution(spark, sf_dir):
+    """KPI rows of each company's top-ranked solution."""
+    return _report(spark, sf_dir, "detailed")["kpis"].drop("rank")
+
+
+@register("prompt_context", O.PROMPT_CONTEXT)
+def q_prompt_context(spark, sf_dir):
+    """The data summary capped for each prompt kind."""
+    from verdant.functions.narrative_caps import capped
+    from verdant.operators.profile import data_summary_text
+    return capped(data_summary_text(esg_panel(spark, sf_dir)))

@@ -776,3 +776,21 @@ SELECT c.company,
   || {money0_sql('COALESCE(c.budget, 0e0) * 0.6e0')} || ' to the top-ranked solution immediately, phasing remaining initiatives over 18-24 months to stay ahead of '
   || c.country || ' disclosure deadlines.' AS executive_summary
 FROM creg c LEFT JOIN acts a ON c.company = a.company"""
+
+PREVIEW_ROWS = with_ctes(PANEL) + " SELECT * EXCLUDE (_row_id) FROM panel ORDER BY _row_id LIMIT 10"
+
+# No company column -> the whole table is one group ('ALL'); its latest
+# row is the one a sort by year puts last.
+TABLE_SCORE = with_ctes(PANEL, """
+latest AS (SELECT * FROM panel ORDER BY year IS NULL DESC, year DESC, _row_id DESC LIMIT 1)""", SCORED) + f"""
+SELECT 'ALL' AS company, year, environmental, social, governance, esg_score, {GRADE.format(x='esg_score')} AS grade
+FROM scored"""
+
+KPI_TOP_SOLUTION = KPI_CTX + " SELECT company, solution, kpi_ord, kpi, current, projected, improvement_pct FROM kpis WHERE rank = 1"
+
+PROMPT_CONTEXT = with_ctes(PANEL, SUMMARY_CTE) + f"""
+SELECT company, substring(text_summary, 1, {fixed.PROMPT_CAPS['narrative']}) AS narrative_context,
+       substring(text_summary, 1, {fixed.PROMPT_CAPS['risks']}) AS risks_context,
+       substring(text_summary, 1, {fixed.PROMPT_CAPS['solutions']}) AS solutions_context,
+       substring(text_summary, 1, {fixed.PROMPT_CAPS['what_if']}) AS what_if_context
+FROM summ_txt"""

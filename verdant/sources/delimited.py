@@ -36,7 +36,9 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strict_order: bool = True,
-                   sampling_ratio: float = 1.0) -> DataFrame:
+                   sampling_ratio: float = 1.0, require_rows: bool = True) -> DataFrame:
+    """Read a delimited file or folder (see module doc); a file without data
+    rows is an error, as every parse strategy would come back empty."""
     delim = sep or ("," if strict_order else sniff_delimiter(spark, path))
     opts = {"header": "true", "sep": delim, "inferSchema": "true", "samplingRatio": str(sampling_ratio),
             "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false"}
@@ -52,6 +54,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, stric
     extra = F.size(F.split(F.regexp_replace(F.col("_corrupt_record"), r'"[^"]*"', ""), _re(delim), -1)) > n
     df = df.where(F.col("_corrupt_record").isNull() | ~extra).drop("_corrupt_record")
     df = df.toDF(*[c.strip() for c in df.columns])
+    if require_rows and df.limit(1).count() == 0:
+        raise DelimitedReadError(f"Failed to parse CSV. Last error: no data rows in {path}")
     return df.withColumn("_row_id", F.monotonically_increasing_id())
 
 
