@@ -54,7 +54,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, stric
     extra = F.size(F.split(F.regexp_replace(F.col("_corrupt_record"), r'"[^"]*"', ""), _re(delim), -1)) > n
     df = df.where(F.col("_corrupt_record").isNull() | ~extra).drop("_corrupt_record")
     df = df.toDF(*[c.strip() for c in df.columns])
-    if require_rows and df.limit(1).count() == 0:
+    if require_rows and spark.read.options(**opts).schema(inferred).csv(path).limit(1).count() == 0:
         raise DelimitedReadError(f"Failed to parse CSV. Last error: no data rows in {path}")
     return df.withColumn("_row_id", F.monotonically_increasing_id())
 
