@@ -27,21 +27,52 @@ def pii_scrub(text: Column | str, max_chars: int | None = fixed.PII_MAX_CHARS, l
     if local:
         return F.substring(t, 1, fixed.PII_MAX_CHARS_LOCAL)
     out = t if max_chars is None else F.substring(t, 1, max_chars)
-    for pattern, marker in fixed.PII_RULES:
-        out = F.regexp_replace(out, pattern, marker)
+    for (pattern, marker), need in zip(fixed.PII_RULES, PII_PREFILTERS):
+        out = F.when(need(out), F.regexp_replace(out, pattern, marker)).otherwise(out)
     return out
 
 
+# Cheap tests that must hold for each scrub pattern to match at all (an
+# e-mail needs '@', a URL needs '://', a phone number digits, an ID five
+# digits in a row); a text failing the test is left as it is, which is what
+# the regex would do, only without scanning it.
+PII_PREFILTERS = [
+    lambda x: F.instr(x, "@") > 0,
+    lambda x: x.rlike("[0-9]"),
+    lambda x: F.instr(x, "://") > 0,
+    lambda x: x.rlike("[0-9]{5}"),
+]
+
+
 # ---------------------------------------------------------------- X3-X6
-def _first_capture(text: Column, patterns: list[str], group: int = 1) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
+def _first_capture(text: Column, patterns: list[str], group: int = 1,
+                   needs: list[list[str]] | None = None) -> Column:
+    """First non-empty capture over the patterns in order. ``needs``: per
+    pattern, literals of which one must occur for the pattern to match; the
+    regex is skipped otherwise (same result, no scan)."""
+    outs = []
+    for i, p in enumerate(patterns):
+        cap = F.nullif(F.regexp_extract(text, p, group), F.lit(""))
+        if needs is not None:
+            cond = None
+            for lit in needs[i]:
+                c = F.instr(text, lit) > 0
+                cond = c if cond is None else (cond | c)
+            cap = F.when(cond, cap)
+        outs.append(cap)
+    return F.coalesce(*outs)
+
+
+# Literals each extraction pattern cannot match without (in pattern order).
+EMPLOYEE_NEEDS = [["employees"], ["employee"], ["headcount"], ["staff"], ["workforce"]]
+BUDGET_NEEDS = [["budget", "spend", "investment"], ["$"]]
 
 
 def employee_count(text: Column | str) -> Column:
     """First of the employee patterns that matches (lower-cased text),
     commas removed, as BIGINT."""
     low = F.lower(_c(text))
-    raw = _first_capture(low, fixed.EMPLOYEE_PATTERNS)
+    raw = _first_capture(low, fixed.EMPLOYEE_PATTERNS, needs=EMPLOYEE_NEEDS)
     return F.replace(raw, F.lit(","), F.lit("")).try_cast("bigint")
 
 
@@ -51,9 +82,16 @@ def budget(text: Column | str) -> Column:
     low = F.lower(_c(text))
     mult = F.create_map(*[x for k, v in fixed.BUDGET_MULTIPLIERS.items() for x in (F.lit(k), F.lit(float(v)))])
     value = F.lit(None).cast("double")
-    for p in reversed(fixed.BUDGET_PATTERNS):
-        raw = F.trim(F.replace(F.regexp_extract(low, p, 1), F.lit(","), F.lit("")))
-        unit = F.lower(F.regexp_extract(low, p, 2))
+    for p, need in reversed(list(zip(fixed.BUDGET_PATTERNS, BUDGET_NEEDS))):
+        present = None
+        for lit in need:
+            c = F.instr(low, lit) > 0
+            present = c if present is None else (present | c)
+        # The first match only (search semantics), then its groups from the
+        # short matched span.
+        match = F.when(present, F.regexp_extract(low, p, 0)).otherwise(F.lit(""))
+        raw = F.trim(F.replace(F.regexp_extract(match, "^" + p, 1), F.lit(","), F.lit("")))
+        unit = F.lower(F.regexp_extract(match, "^" + p, 2))
         amount = raw.try_cast("double") * F.coalesce(F.try_element_at(mult, unit), F.lit(1.0))
         value = F.when(raw != "", amount).otherwise(value)
     return value

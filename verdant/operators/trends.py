@@ -105,6 +105,10 @@ def yoy_pivot(panel: DataFrame, col_map: dict, years: list[int] | None = None) -
     (a distinct over the year column: one small aggregation)."""
     long = yoy_long(panel, col_map)
     if years is None:
+        # The pivot columns are read from the data; materialise the long
+        # table first so the panel is computed once for both uses.
+        from verdant.session import materialize
+        long = materialize(long, "yoy_long")
         years = sorted(r[0] for r in long.select("year").distinct().collect())
     return (long.groupBy("company", "metric", "column_name")
             .pivot("year", years).agg(F.first("value"))

@@ -65,3 +65,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def sub_checkpoint(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), name)
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a table under the shared checkpoint folder and
+    read it back: later readers share one computation and the lineage is cut
+    (survives executor loss)."""
+    import uuid
+
+    path = os.path.join(checkpoint_root(df.sparkSession), name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
