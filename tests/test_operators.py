@@ -110,11 +110,13 @@ def test_solution_ranking_golden(spark):
 
 def test_benchmark_golden(spark):
     from verdant.operators.benchmark import benchmark_comparison
-    cm = spark.createDataFrame([("A", "Technology", 60.0, 63.0, 48.0, 68.0)],
-                               "company string, industry string, m_overall double, m_environmental double, "
-                               "m_social double, m_governance double")
+    from verdant.operators.facts import company_facts
     panel = _panel(spark, [("A", "Technology", "X", 2020, *[None] * 4, 40.0, *[None] * 7, 1)])
-    rows = benchmark_comparison(cm, panel, IDENT).orderBy("metric_ord").collect()
+    pillars = spark.createDataFrame([("A", "Technology", 60.0, 63.0, 48.0, 68.0)],
+                                    "company string, industry string, m_overall double, m_environmental double, "
+                                    "m_social double, m_governance double")
+    cm = pillars.join(company_facts(panel, IDENT).select("company", "latest"), "company")
+    rows = benchmark_comparison(cm, IDENT).orderBy("metric_ord").collect()
     assert [(r.gap, r.status) for r in rows] == [
         (-2.0, "At Average"), (4.1, "At Average"), (-14.0, "Below Average"), (2.9, "At Average"),
         (-15.0, "Below Average"), (-4.8, "At Average"), (-25.2, "Below Average")]

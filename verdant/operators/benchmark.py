@@ -13,21 +13,26 @@ from pyspark.sql import functions as F
 
 from verdant.functions.numeric import py_round
 from verdant.operators import dims
-from verdant.operators.latest import latest_rows
-from verdant.operators.score import metric_value, pillar_status, readiness
+from verdant.operators.score import metric_sql, pillar_status, readiness
 
 
-def benchmark_comparison(cm: DataFrame, panel: DataFrame, col_map: dict) -> DataFrame:
+def latest_values(cm: DataFrame, col_map: dict, metrics, prefix: str = "b_") -> DataFrame:
+    """Metric values of each company's latest row (the ``latest`` struct of
+    the company facts), coerced, as columns ``<prefix><metric>``."""
+    types = {f.name: f.dataType for f in cm.schema["latest"].dataType.fields}
+    out = []
+    for m in metrics:
+        v = metric_sql(types, col_map, m, prefix="latest.")
+        out.append(F.expr(v if v else "CAST(NULL AS DOUBLE)").alias(f"{prefix}{m}"))
+    return cm.select("*", *out)
+
+
+def benchmark_comparison(cm: DataFrame, col_map: dict) -> DataFrame:
     """B7 per company. ``cm`` is the company context from
-    ``companies.company_maturity`` (maturity pillars, industry)."""
+    ``companies.company_maturity`` (maturity pillars, industry, latest row)."""
     spark = cm.sparkSession
-    latest = latest_rows(panel, col_map)
-    real = latest.select(
-        F.col("_company").alias("company"),
-        *[(metric_value(latest, col_map, m) if metric_value(latest, col_map, m) is not None
-           else F.lit(None).cast("double")).alias(f"real_{m}")
-          for m in ("renewable_energy", "gender_diversity", "esg_budget")])
-    j = dims.with_benchmark(cm.join(real, "company", "left"), "industry", spark)
+    real = latest_values(cm, col_map, ("renewable_energy", "gender_diversity", "esg_budget"), "real_")
+    j = dims.with_benchmark(real, "industry", spark)
     avg, top = F.col("esg_score_avg"), F.col("esg_score_top_quartile")
     ren, gen, dis = F.col("renewable_energy_pct"), F.col("gender_diversity_pct"), F.col("esg_disclosure_pct")
     r1 = lambda c: py_round(c, 1)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from verdant.functions.numeric import py_round
 from verdant.operators import dims
-from verdant.operators.profile import company_summary
 from verdant.operators.score import maturity
 
 
@@ -22,10 +21,13 @@ def money0(c) -> F.Column:
 
 def company_maturity(profiles: DataFrame, panel: DataFrame, col_map: dict) -> DataFrame:
     """Each company's profile with maturity recomputed on its own rows
-    (the completeness of its panel rows drives the governance adjustment)."""
+    (the completeness of its panel rows drives the governance adjustment).
+    The result carries the company facts (latest row, per-metric first /
+    last values), so later operators need no second pass over the panel."""
+    from verdant.operators.facts import company_facts
     spark = profiles.sparkSession
-    summ = company_summary(panel, col_map).select("company", "completeness_pct")
-    base = profiles.join(summ, "company")
+    facts = company_facts(panel, col_map).drop("row_count", "null_count", "col_count", "year_min", "year_max")
+    base = profiles.join(facts, "company")
     m = maturity(base, dims.modifiers(spark), F.col("completeness_pct"))
     emp = F.coalesce(F.col("employee_count"), F.lit(0))
     budget = F.coalesce(F.col("budget").cast("double"), F.lit(0.0))

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from verdant import fixed
 from verdant.functions.numeric import py_round
 from verdant.operators import dims
-from verdant.operators.latest import latest_rows
-from verdant.operators.score import metric_value
 
 KPI_COLUMN_NAMES = {1: "carbon_emissions_tco2e", 2: "energy_efficiency_pct", 3: "employee_satisfaction_pct",
                     4: "waste_diversion_rate_pct", 5: "esg_disclosure_score"}
@@ -27,20 +25,14 @@ def _templates():
                      for o, k, b, i in fixed.KPI_TEMPLATES])
 
 
-def kpi_projection(ranked: DataFrame, profiles: DataFrame, panel: DataFrame, col_map: dict) -> DataFrame:
-    """B5 per company. ``ranked``: output of ``solutions.rank_solutions``."""
-    latest = latest_rows(panel, col_map)
+def kpi_projection(ranked: DataFrame, col_map: dict) -> DataFrame:
+    """B5 per company. ``ranked``: ``solutions.rank_solutions`` output
+    carrying ``business_size`` and the company's ``latest`` row."""
+    from verdant.operators.benchmark import latest_values
     measured = {kpi: (m, imp) for m, kpi, imp in fixed.KPI_MEASURED}
-    base_cols = []
-    for m, kpi, imp in fixed.KPI_MEASURED:
-        v = metric_value(latest, col_map, m)
-        base_cols.append((v if v is not None else F.lit(None).cast("double")).alias(f"b_{m}"))
-    real = latest.select(F.col("_company").alias("company"), *base_cols)
+    sol = latest_values(ranked, col_map, [m for m, _, _ in fixed.KPI_MEASURED], "b_")
     scale = dims.size_scale(F.col("business_size"), fixed.KPI_SCALE)
-    sol = (ranked.select("company", "rank", F.col("name").alias("solution"))
-           .join(profiles.select("company", "business_size"), "company")
-           .join(real, "company", "left"))
-    rows = sol.select("company", "rank", "solution", scale.alias("_scale"),
+    rows = sol.select("company", "rank", F.col("name").alias("solution"), scale.alias("_scale"),
                       *[f"b_{m}" for m, _, _ in fixed.KPI_MEASURED], F.inline(_templates()))
     base = F.when(F.col("kpi_ord") == 1, F.col("base_default") * F.col("_scale")).otherwise(F.col("base_default"))
     imp = F.col("imp_default")
@@ -63,12 +55,14 @@ def kpi_heatmap(kpis: DataFrame) -> DataFrame:
     return p.select("company", "solution", *[F.col(str(o)).alias(KPI_COLUMN_NAMES[o]) for o in ords])
 
 
-def kpi_real(trends: DataFrame, ranked: DataFrame, top: int = 3) -> DataFrame:
-    """Trend metrics with an improvement rule, for each of the top solutions."""
-    imp = F.broadcast(dims.kpi_improvement_map(trends.sparkSession))
-    t = trends.join(imp, "metric")
-    top_sol = ranked.where(F.col("rank") <= top).select("company", "rank", F.col("name").alias("solution"))
-    j = t.join(top_sol, "company")
+def kpi_real(ranked: DataFrame, col_map: dict, top: int = 3) -> DataFrame:
+    """Trend metrics with an improvement rule, for each of the top
+    solutions. ``ranked`` carries the per-metric facts columns."""
+    from verdant.operators.trends import trends_from_facts
+    top_sol = ranked.where(F.col("rank") <= top).withColumnRenamed("name", "solution")
+    t = trends_from_facts(top_sol, col_map)
+    imp = F.broadcast(dims.kpi_improvement_map(ranked.sparkSession))
+    j = t.join(imp, "metric")
     proj = F.col("last_value") * (F.lit(1.0) + F.col("improvement") / F.lit(100.0))
     return j.select("company", "rank", "solution", "metric", "kpi",
                     py_round(F.col("last_value"), 1).alias("current"), py_round(proj, 1).alias("projected"),

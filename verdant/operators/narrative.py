@@ -54,20 +54,21 @@ def risk_severity(ro: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def executive_summary(cm: DataFrame, ranked: DataFrame) -> DataFrame:
+def executive_summary(ranked: DataFrame) -> DataFrame:
     """X9 per company, template form (no model call): grade, tier, top three
-    actions, two frameworks and 60 % of the budget."""
-    spark = cm.sparkSession
-    reg = dims.with_regulation(cm, "country", spark)
-    top3 = (ranked.where(F.col("rank") <= 3)
-            .withColumn("_line", F.format_string(
-                "(%d) %s – estimated $%s investment, $%s/yr savings, %.1f-year payback.",
-                F.col("rank"), F.col("name"), money0(F.col("avg_cost")), money0(F.col("annual_savings")),
-                F.col("payback_years")))
-            .groupBy("company")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_line"))),
-                                          lambda x: x["_line"]), "\n").alias("_actions")))
-    j = reg.join(top3, "company", "left")
+    actions, two frameworks and 60 % of the budget. ``ranked`` carries the
+    company's maturity, industry, country and budget on each solution row."""
+    spark = ranked.sparkSession
+    line = F.format_string(
+        "(%d) %s – estimated $%s investment, $%s/yr savings, %.1f-year payback.",
+        F.col("rank"), F.col("name"), money0(F.col("avg_cost")), money0(F.col("annual_savings")),
+        F.col("payback_years"))
+    per = ranked.groupBy("company").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.when(F.col("rank") <= 3, F.struct(F.col("rank"), line.alias("_line"))))),
+            lambda x: x["_line"]), "\n").alias("_actions"),
+        *[F.first(c).alias(c) for c in ("m_grade", "m_overall", "industry", "budget", "country")])
+    j = dims.with_regulation(per, "country", spark)
     tier = F.when(F.col("m_overall") >= 60, "upper").otherwise("lower")
     budget = F.coalesce(F.col("budget").cast("double"), F.lit(0.0))
     text = F.concat(

@@ -27,12 +27,13 @@ def metric_value(df: DataFrame, col_map: dict, metric: str) -> Column | None:
     return to_num(F.col(name))
 
 
-def metric_sql(types: dict, col_map: dict, metric: str) -> str | None:
-    """``metric_value`` as SQL text (one JVM call to build, however long)."""
+def metric_sql(types: dict, col_map: dict, metric: str, prefix: str = "") -> str | None:
+    """``metric_value`` as SQL text (one JVM call to build, however long).
+    ``prefix``: a struct column holding the fields (e.g. ``latest.``)."""
     name = col_map.get(metric)
     if name is None or name not in types:
         return None
-    c = f"`{name}`"
+    c = f"{prefix}`{name}`"
     if isinstance(types[name], NumericType):
         return f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
     txt = f"trim(CAST({c} AS STRING))"

@@ -28,11 +28,14 @@ def thousands(c) -> F.Column:
     return F.format_string("%.0f", F.bround((c / F.lit(1000.0)).cast("decimal(38,8)"), 0).cast("double"))
 
 
-def rank_solutions(profiles: DataFrame) -> DataFrame:
-    """B6 per company. ``profiles``: company, industry, business_size, budget."""
+def rank_solutions(profiles: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
+    """B6 per company. ``profiles``: company, industry, business_size, budget.
+    ``carry``: extra per-company columns passed through to every solution row
+    (so later steps need no join back)."""
     spark = profiles.sparkSession
+    carry = [c for c in carry if c not in ("company", "industry", "business_size", "budget")]
     scale = dims.size_scale(F.col("business_size"), fixed.COST_SCALE)
-    sol = profiles.select("company", "industry", "business_size", "budget", F.inline(_catalogue()))
+    sol = profiles.select("company", "industry", "business_size", "budget", *carry, F.inline(_catalogue()))
     sol = (sol.withColumn("upfront_cost_low", F.col("cost_low") * scale)
               .withColumn("upfront_cost_high", F.col("cost_high") * scale)
               .withColumn("annual_savings", F.col("savings") * scale))
@@ -56,7 +59,8 @@ def rank_solutions(profiles: DataFrame) -> DataFrame:
         F.format_string("%.1f yrs", F.col("payback_years")).alias("payback_display"),
         F.concat(F.lit("$"), thousands(F.col("upfront_cost_low")), F.lit("K–$"),
                  thousands(F.col("upfront_cost_high")), F.lit("K")).alias("cost_range"),
-        F.concat(F.lit("$"), thousands(F.col("annual_savings")), F.lit("K/yr")).alias("savings_display"))
+        F.concat(F.lit("$"), thousands(F.col("annual_savings")), F.lit("K/yr")).alias("savings_display"),
+        *(["industry", "business_size", "budget", *carry] if carry else []))
 
 
 def roi_timeline(ranked: DataFrame, top: int = 4, years: int = 5) -> DataFrame:

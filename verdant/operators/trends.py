@@ -33,20 +33,24 @@ def metric_long(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> Dat
                         F.inline(entries))
 
 
-def _order_key():
-    return F.struct(F.col("year").isNull(), F.col("year"), F.col("_row_id"))
-
-
 def metric_trends(panel: DataFrame, col_map: dict) -> DataFrame:
     """A9 + A10: per (company, metric) with at least two values: first and
     last value in year order, pct_change (1 decimal, 0.0 when first is 0)
-    and the improving flag (from the rounded change; zero is not improving)."""
-    long = metric_long(panel, col_map).where(F.col("value").isNotNull())
-    agg = long.groupBy("company", "metric", "column_name").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.min_by("value", _order_key()).alias("first_value"),
-        F.max_by("value", _order_key()).alias("last_value"))
-    agg = agg.where(F.col("n_values") >= 2)
+    and the improving flag (from the rounded change; zero is not improving).
+    Computed from the one-pass company facts."""
+    from verdant.operators.facts import company_facts
+    return trends_from_facts(company_facts(panel, col_map), col_map)
+
+
+def trends_from_facts(facts: DataFrame, col_map: dict) -> DataFrame:
+    """Unpivot the per-metric first / last / count columns of a facts table
+    (or of any table carrying them) into trend rows."""
+    metrics = [(m, c) for m, c in col_map.items() if f"n_{m}" in facts.columns]
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("column_name"),
+                              F.col(f"n_{m}").alias("n_values"), F.col(f"first_{m}").alias("first_value"),
+                              F.col(f"last_{m}").alias("last_value")) for m, c in metrics])
+    keep = [c for c in facts.columns if c in ("rank", "solution")]
+    agg = facts.select("company", *keep, F.inline(rows)).where(F.col("n_values") >= 2)
     first, last = F.col("first_value"), F.col("last_value")
     pct = F.when(first != 0, py_round((last - first) / F.abs(first) * F.lit(100.0), 1)).otherwise(F.lit(0.0))
     agg = agg.withColumn("pct_change", pct)

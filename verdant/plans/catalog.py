@@ -197,15 +197,13 @@ def q_pillar_status(spark, sf_dir):
 @register("benchmark_compare", O.BENCHMARK_COMPARE)
 def q_benchmark_compare(spark, sf_dir):
     from verdant.operators.benchmark import benchmark_comparison
-    panel, _, cm = _ctx(spark, sf_dir)
-    return benchmark_comparison(cm, panel, IDENTITY_MAP)
+    return benchmark_comparison(_ctx(spark, sf_dir)[2], IDENTITY_MAP)
 
 
 @register("gap_below", O.GAP_BELOW)
 def q_gap_below(spark, sf_dir):
     from verdant.operators.benchmark import benchmark_comparison, gap_below
-    panel, _, cm = _ctx(spark, sf_dir)
-    return gap_below(benchmark_comparison(cm, panel, IDENTITY_MAP))
+    return gap_below(benchmark_comparison(_ctx(spark, sf_dir)[2], IDENTITY_MAP))
 
 
 @register("regulation", O.REGULATION)
@@ -214,10 +212,17 @@ def q_regulation(spark, sf_dir):
     return regulation(_ctx(spark, sf_dir)[2])
 
 
-def _ranked(spark, sf_dir):
+def _fact_columns(cm):
+    return ["latest", "country", "m_overall", "m_grade"] + [
+        c for c in cm.columns if c.startswith(("n_", "first_", "last_"))]
+
+
+def _ranked(spark, sf_dir, carry: bool = False):
+    """Ranked solutions; with ``carry`` every row also holds the company's
+    facts, so KPI and narrative steps need no second pass over the panel."""
     from verdant.operators.solutions import rank_solutions
     panel, profiles, cm = _ctx(spark, sf_dir)
-    return panel, profiles, cm, rank_solutions(cm)
+    return panel, profiles, cm, rank_solutions(cm, carry=_fact_columns(cm) if carry else ())
 
 
 @register("rank_solutions", O.RANK_SOLUTIONS)
@@ -234,23 +239,19 @@ def q_roi_timeline(spark, sf_dir):
 @register("kpi_projection", O.KPI_PROJECTION)
 def q_kpi_projection(spark, sf_dir):
     from verdant.operators.kpi import kpi_projection
-    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
-    return kpi_projection(ranked, profiles, panel, IDENTITY_MAP)
+    return kpi_projection(_ranked(spark, sf_dir, carry=True)[3], IDENTITY_MAP)
 
 
 @register("kpi_heatmap", O.KPI_HEATMAP)
 def q_kpi_heatmap(spark, sf_dir):
     from verdant.operators.kpi import kpi_heatmap, kpi_projection
-    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
-    return kpi_heatmap(kpi_projection(ranked, profiles, panel, IDENTITY_MAP))
+    return kpi_heatmap(kpi_projection(_ranked(spark, sf_dir, carry=True)[3], IDENTITY_MAP))
 
 
 @register("kpi_real", O.KPI_REAL)
 def q_kpi_real(spark, sf_dir):
     from verdant.operators.kpi import kpi_real
-    from verdant.operators.trends import metric_trends
-    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
-    return kpi_real(metric_trends(panel, IDENTITY_MAP), ranked)
+    return kpi_real(_ranked(spark, sf_dir, carry=True)[3], IDENTITY_MAP)
 
 
 @register("risks", O.RISKS)
@@ -274,8 +275,7 @@ def q_scenario_numbers(spark, sf_dir):
 @register("executive_summary", O.EXECUTIVE_SUMMARY)
 def q_executive_summary(spark, sf_dir):
     from verdant.operators.narrative import executive_summary
-    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
-    return executive_summary(cm, ranked)
+    return executive_summary(_ranked(spark, sf_dir, carry=True)[3])
 
 
 # ----------------------------------------------------------------- text
@@ -438,11 +438,10 @@ def _report(spark, sf_dir, mode):
     from verdant.operators.kpi import kpi_projection
     from verdant.operators.narrative import risks_and_opportunities
     from verdant.sources.sinks import report_datasets
-    panel, profiles, cm, ranked = _ranked(spark, sf_dir)
-    return report_datasets(mode, cm, ranked, regulation(cm), risks_and_opportunities(cm),
-                           kpi_projection(ranked, profiles, panel, IDENTITY_MAP),
-                           benchmark_comparison(cm, panel, IDENTITY_MAP), pillar_view(cm),
-                           dims.timeline(spark))
+    panel, profiles, cm, ranked = _ranked(spark, sf_dir, carry=True)
+    return report_datasets(mode, cm, ranked.drop(*_fact_columns(cm)), regulation(cm), risks_and_opportunities(cm),
+                           kpi_projection(ranked, IDENTITY_MAP), benchmark_comparison(cm, IDENTITY_MAP),
+                           pillar_view(cm), dims.timeline(spark))
 
 
 @register("report_top_actions", O.REPORT_TOP_ACTIONS)

@@ -20,6 +20,9 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Skip per-call Python call-site capture (error-message context only);
+    # it costs a stack walk and a JVM round trip on every API call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
