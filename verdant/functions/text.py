@@ -68,18 +68,19 @@ EMPLOYEE_NEEDS = [["employees"], ["employee"], ["headcount"], ["staff"], ["workf
 BUDGET_NEEDS = [["budget", "spend", "investment"], ["$"]]
 
 
-def employee_count(text: Column | str) -> Column:
+def employee_count(text: Column | str, lowered: bool = False) -> Column:
     """First of the employee patterns that matches (lower-cased text),
-    commas removed, as BIGINT."""
-    low = F.lower(_c(text))
+    commas removed, as BIGINT. ``lowered``: the text is already lower-case
+    (lower-case once in a projection when several extractors share it)."""
+    low = _c(text) if lowered else F.lower(_c(text))
     raw = _first_capture(low, fixed.EMPLOYEE_PATTERNS, needs=EMPLOYEE_NEEDS)
     return F.replace(raw, F.lit(","), F.lit("")).try_cast("bigint")
 
 
-def budget(text: Column | str) -> Column:
+def budget(text: Column | str, lowered: bool = False) -> Column:
     """Budget amount with optional multiplier; a pattern whose amount is
     only commas falls through to the next pattern."""
-    low = F.lower(_c(text))
+    low = _c(text) if lowered else F.lower(_c(text))
     mult = F.create_map(*[x for k, v in fixed.BUDGET_MULTIPLIERS.items() for x in (F.lit(k), F.lit(float(v)))])
     value = F.lit(None).cast("double")
     for p, need in reversed(list(zip(fixed.BUDGET_PATTERNS, BUDGET_NEEDS))):
@@ -104,29 +105,45 @@ def _first_contained(text: Column, names: list[str]) -> Column:
     return out
 
 
-def industry(text: Column | str) -> Column:
+def industry(text: Column | str, lowered: bool = False) -> Column:
     """First listed industry contained in the lower-cased text, title-cased."""
-    return _first_contained(F.lower(_c(text)), fixed.TEXT_INDUSTRIES)
+    return _first_contained(_c(text) if lowered else F.lower(_c(text)), fixed.TEXT_INDUSTRIES)
 
 
-def country(text: Column | str) -> Column:
+def country(text: Column | str, lowered: bool = False) -> Column:
     """First listed country contained in the lower-cased text, title-cased."""
-    return _first_contained(F.lower(_c(text)), fixed.TEXT_COUNTRIES)
+    return _first_contained(_c(text) if lowered else F.lower(_c(text)), fixed.TEXT_COUNTRIES)
+
+
+def extract_profile(df, text_col: str, keep: list[str]):
+    """X3-X6 on a DataFrame: lower-case the text once in a projection, then
+    run the four extractors on that column (a CASE chain would otherwise
+    lower-case the text again for every test)."""
+    low = df.select(*keep, F.lower(F.col(text_col)).alias("_low"))
+    return low.select(*keep, employee_count("_low", True).alias("employee_count"),
+                      budget("_low", True).alias("budget"), industry("_low", True).alias("industry"),
+                      country("_low", True).alias("country"))
 
 
 # ---------------------------------------------------------------- X7
 def latin1(text: Column | str) -> Column:
-    """Typographic replacements, then every code point outside Latin-1 -> '?'."""
+    """Typographic replacements, then every code point outside Latin-1 -> '?'.
+    The one-to-one replacements run as a single ``translate`` pass, the
+    multi-character ones as ``replace`` (outputs are ASCII, so the order of
+    the replacements does not matter)."""
     out = _c(text)
-    for ch, rep in fixed.LATIN1_REPLACEMENTS:
+    single = [(a, b) for a, b in fixed.LATIN1_REPLACEMENTS if len(b) == 1]
+    multi = [(a, b) for a, b in fixed.LATIN1_REPLACEMENTS if len(b) != 1]
+    out = F.translate(out, "".join(a for a, _ in single), "".join(b for _, b in single))
+    for ch, rep in multi:
         out = F.replace(out, F.lit(ch), F.lit(rep))
     return F.regexp_replace(out, r"[^\x{00}-\x{FF}]", "?")
 
 
 # ---------------------------------------------------------------- X10
-def intent(question: Column | str) -> Column:
+def intent(question: Column | str, lowered: bool = False) -> Column:
     """First keyword group contained in the lower-cased question."""
-    low = F.lower(_c(question))
+    low = _c(question) if lowered else F.lower(_c(question))
     out = F.lit(fixed.INTENT_DEFAULT)
     for name, words in reversed(fixed.INTENT_KEYWORDS):
         hit = None

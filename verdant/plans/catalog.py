@@ -289,12 +289,9 @@ def q_pii_scrub(spark, sf_dir):
 
 
 def _profile_extract(spark, sf_dir):
-    from verdant.functions import text as T
+    from verdant.functions.text import extract_profile
     from verdant.sources.tables import read_table
-    docs = read_table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.employee_count("text").alias("employee_count"),
-                       T.budget("text").alias("budget"), T.industry("text").alias("industry"),
-                       T.country("text").alias("country"))
+    return extract_profile(read_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
 @register("profile_extract", O.PROFILE_EXTRACT)
@@ -376,9 +373,7 @@ def q_data_profile(spark, sf_dir):
     from verdant.operators.quality import fill_profile, missing_fields
     from verdant.operators.score import business_size
     pt = profile_text(esg_panel(spark, sf_dir))
-    ex = pt.select("company", T.employee_count("profile_text").alias("employee_count"),
-                   T.budget("profile_text").alias("budget"), T.industry("profile_text").alias("industry"),
-                   T.country("profile_text").alias("country"))
+    ex = T.extract_profile(pt, "profile_text", ["company"])
     filled = fill_profile(missing_fields(ex))
     return filled.select("company", F.array_join("missing_fields", ",").alias("missing_fields"),
                          "employee_count", "budget", "industry", "country",
