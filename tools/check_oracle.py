@@ -11,7 +11,7 @@ import traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from verdant.plans.catalog import ORACLE, QUERIES  # noqa: E402
-from verdant.plans.compare import compare, duck_connect  # noqa: E402
+from verdant.plans.compare import compare, duck_connect, type_mismatches  # noqa: E402
 from verdant.session import get_session  # noqa: E402
 
 
@@ -26,10 +26,15 @@ def main():
         try:
             df = QUERIES[name](spark, sf_dir)
             if name in ORACLE:
-                r = compare(df, ORACLE[name], con)
+                r = compare(df, ORACLE[name], con, exact=True)
                 status = "OK " if r["ok"] else "BAD"
                 bad += not r["ok"]
                 extra = "" if r["ok"] else f" {r}"
+                tm = type_mismatches(df, ORACLE[name], con)
+                if tm:
+                    extra += f" TYPES {tm}"
+                if r.get("exact_diffs"):
+                    extra += f" EXACT_FLOAT_DIFFS {r['exact_diffs']}"
                 print(f"{status} {name}: rows {r['spark_rows']}/{r['oracle_rows']} "
                       f"{time.time() - t0:.1f}s{extra}", flush=True)
             else:

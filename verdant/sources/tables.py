@@ -90,7 +90,7 @@ def esg_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s_name AS company",
         f"{INDUSTRY_SQL} AS industry",
         f"{COUNTRY_SQL} AS country",
-        "year",
+        "CAST(year AS BIGINT) AS year",
         "employees",
         f"{c2('_rev')} AS revenue",
         "CAST(_budget AS DOUBLE) / 10000D / 10D AS esg_budget",
