@@ -119,3 +119,30 @@ def validate_ranking(replies: DataFrame, json_col: str = "reply_json") -> DataFr
     return exploded.select(*key, F.row_number().over(w).cast("bigint").alias("rank"),
                            F.col("_e.name").alias("name"), F.col("_e.category").alias("category"),
                            F.coalesce(F.col("_e.fit_score"), F.lit(0.0)).alias("fit_score"))
+
+
+def whatif_context(ranked: DataFrame) -> DataFrame:
+    """X12 per company: the compact context of a what-if prompt: the profile
+    keep-list (employee_count, budget, industry, country, business_size), the
+    solutions with cost strings (``$aK–$bK``, ``$cK/yr``) in rank order, and
+    three frameworks with deadlines and penalties. ``ranked`` carries the
+    company's profile fields on each solution row (six rows per company)."""
+    from verdant.operators.solutions import thousands
+    spark = ranked.sparkSession
+    sol = F.struct(
+        F.col("name").alias("name"), F.col("category").alias("category"),
+        F.concat(F.lit("$"), thousands(F.col("upfront_cost_low")), F.lit("K–$"),
+                 thousands(F.col("upfront_cost_high")), F.lit("K")).alias("cost_range"),
+        F.concat(F.lit("$"), thousands(F.col("annual_savings")), F.lit("K/yr")).alias("annual_savings"),
+        F.col("payback_years").alias("payback_years"))
+    per = ranked.groupBy("company").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), sol.alias("s")))),
+                    lambda x: x["s"]).alias("_sols"),
+        *[F.first(c).alias(c) for c in ("employee_count", "budget", "industry", "country", "business_size")])
+    j = dims.with_regulation(per, "country", spark)
+    return j.select(
+        "company",
+        F.to_json(F.struct("employee_count", "budget", "industry", "country", "business_size")).alias("profile_json"),
+        F.to_json(F.col("_sols")).alias("solutions_json"),
+        F.to_json(F.struct(F.slice("frameworks", 1, 3).alias("frameworks"), "key_deadlines", "penalties"))
+         .alias("regulatory_json"))

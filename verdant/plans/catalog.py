@@ -213,7 +213,7 @@ def q_regulation(spark, sf_dir):
 
 
 def _fact_columns(cm):
-    return ["latest", "country", "m_overall", "m_grade"] + [
+    return ["latest", "country", "employee_count", "m_overall", "m_grade"] + [
         c for c in cm.columns if c.startswith(("n_", "first_", "last_"))]
 
 
@@ -501,3 +501,10 @@ def q_prompt_context(spark, sf_dir):
     from verdant.functions.narrative_caps import capped
     from verdant.operators.profile import data_summary_text
     return capped(data_summary_text(esg_panel(spark, sf_dir)))
+
+
+@register("whatif_context", O.WHATIF_CONTEXT)
+def q_whatif_context(spark, sf_dir):
+    """Profile keep-list, compact solutions and regulation as JSON."""
+    from verdant.operators.narrative import whatif_context
+    return whatif_context(_ranked(spark, sf_dir, carry=True)[3])

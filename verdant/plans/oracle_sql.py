@@ -794,3 +794,17 @@ SELECT company, substring(text_summary, 1, {fixed.PROMPT_CAPS['narrative']}) AS
        substring(text_summary, 1, {fixed.PROMPT_CAPS['solutions']}) AS solutions_context,
        substring(text_summary, 1, {fixed.PROMPT_CAPS['what_if']}) AS what_if_context
 FROM summ_txt"""
+
+WHATIF_CONTEXT = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN, SOL_CTE) + f""",
+sols AS (SELECT company, CAST(to_json(list({{'name': name, 'category': category,
+            'cost_range': '$' || {thousands_sql('upfront_cost_low')} || 'K–$' || {thousands_sql('upfront_cost_high')} || 'K',
+            'annual_savings': '$' || {thousands_sql('annual_savings')} || 'K/yr', 'payback_years': payback_years}}
+            ORDER BY rank)) AS VARCHAR) AS solutions_json
+         FROM ranked GROUP BY company)
+SELECT c.company,
+       CAST(to_json({{'employee_count': c.employee_count, 'budget': c.budget, 'industry': c.industry,
+                 'country': c.country, 'business_size': c.business_size}}) AS VARCHAR) AS profile_json,
+       s.solutions_json,
+       CAST(to_json({{'frameworks': c.frameworks[1:3], 'key_deadlines': c.key_deadlines, 'penalties': c.penalties}}) AS VARCHAR)
+         AS regulatory_json
+FROM creg c JOIN sols s ON c.company = s.company"""
