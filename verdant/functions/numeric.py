@@ -21,7 +21,15 @@ def py_round(c: Column | str, digits: int = 1) -> Column:
     which is what a half-even round of a short decimal gives.
     """
     col = F.col(c) if isinstance(c, str) else c
-    return F.bround(col.cast("decimal(38,8)"), digits).cast("double")
+    # try_cast: NaN, infinities and magnitudes beyond DECIMAL(38,8) keep their
+    # value (such doubles have no fractional digits left to round).
+    return F.coalesce(F.bround(col.try_cast("decimal(38,8)"), digits).cast("double"), col.cast("double"))
+
+
+def py_round_sql(expr: str, digits: int = 1) -> str:
+    """``py_round`` as SQL text."""
+    return (f"coalesce(CAST(bround(try_cast(({expr}) AS DECIMAL(38,8)), {digits}) AS DOUBLE), "
+            f"CAST(({expr}) AS DOUBLE))")
 
 
 def to_num(c: Column | str) -> Column:

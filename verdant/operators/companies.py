@@ -16,7 +16,7 @@ from verdant.operators.score import maturity
 
 def money0(c) -> F.Column:
     """``f"{x:,.0f}"``: round half-even to a whole number first, then group."""
-    return F.format_string("%,.0f", F.bround(c.cast("decimal(38,8)"), 0).cast("double"))
+    return F.format_string("%,.0f", py_round(c, 0))
 
 
 def company_maturity(profiles: DataFrame, panel: DataFrame, col_map: dict) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant.functions.numeric import py_round_sql
 from verdant.operators.latest import company_key
 from verdant.operators.score import metric_sql
 
@@ -47,8 +48,7 @@ def company_facts(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> D
     ncol = len(user_cols)
     return out.selectExpr(
         "*", f"CAST({ncol} AS BIGINT) AS col_count",
-        f"CAST(bround(CAST((1D - null_count / (row_count * {float(ncol)}D)) * 100D AS DECIMAL(38,8)), 1) "
-        "AS DOUBLE) AS completeness_pct")
+        py_round_sql(f"(1D - null_count / (row_count * {float(ncol)}D)) * 100D", 1) + " AS completeness_pct")
 
 
 def facts_summary(facts: DataFrame) -> DataFrame:

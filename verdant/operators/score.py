@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from verdant.functions.numeric import NUMERIC_TEXT, grade, py_round, to_num, weighted_overall
+from verdant.functions.numeric import NUMERIC_TEXT, grade, py_round, py_round_sql, to_num, weighted_overall
 
 
 def metric_value(df: DataFrame, col_map: dict, metric: str) -> Column | None:
@@ -113,8 +113,7 @@ def esg_score(latest: DataFrame, col_map: dict) -> DataFrame:
             return "50D"
         total = " + ".join(["0D"] + [f"coalesce({n}, 0D)" for n in names[p]])
         cnt = " + ".join(f"(CASE WHEN {n} IS NOT NULL THEN 1 ELSE 0 END)" for n in names[p])
-        mean = (f"CASE WHEN ({cnt}) > 0 THEN CAST(bround(CAST(({total}) / ({cnt}) AS DECIMAL(38,8)), 1) "
-                f"AS DOUBLE) ELSE 50D END")
+        mean = f"CASE WHEN ({cnt}) > 0 THEN {py_round_sql(f'({total}) / ({cnt})', 1)} ELSE 50D END"
         return f"greatest(least({mean}, 95D), 10D)"
 
     def count(p):
@@ -125,8 +124,8 @@ def esg_score(latest: DataFrame, col_map: dict) -> DataFrame:
     out = staged.selectExpr("*", f"{pillar('e')} AS environmental", f"{pillar('s')} AS social",
                             f"{pillar('g')} AS governance", f"{count('e')} AS n_e", f"{count('s')} AS n_s",
                             f"{count('g')} AS n_g")
-    out = out.selectExpr("*", "CAST(bround(CAST(environmental * 0.4D + social * 0.3D + governance * 0.3D "
-                              "AS DECIMAL(38,8)), 1) AS DOUBLE) AS esg_score")
+    out = out.selectExpr("*", py_round_sql("environmental * 0.4D + social * 0.3D + governance * 0.3D", 1)
+                         + " AS esg_score")
     out = out.selectExpr(
         "*", "CASE WHEN esg_score >= 80 THEN 'A' WHEN esg_score >= 65 THEN 'B' WHEN esg_score >= 50 THEN 'C' "
              "WHEN esg_score >= 35 THEN 'D' ELSE 'F' END AS grade",

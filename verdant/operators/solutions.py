@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdant import fixed
+from verdant.functions.numeric import py_round
 from verdant.operators import dims
 
 
@@ -25,7 +26,7 @@ def _catalogue():
 
 def thousands(c) -> F.Column:
     """``f"{x/1000:.0f}"`` with half-even rounding."""
-    return F.format_string("%.0f", F.bround((c / F.lit(1000.0)).cast("decimal(38,8)"), 0).cast("double"))
+    return F.format_string("%.0f", py_round(c / F.lit(1000.0), 0))
 
 
 def rank_solutions(profiles: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
