@@ -41,10 +41,26 @@ def solutions_sheet(ranked: DataFrame) -> DataFrame:
     return ranked.select("company", *[F.col(k).alias(v) for k, v in SOLUTION_SHEET.items()])
 
 
+def with_report_defaults(cm: DataFrame, regulation: DataFrame | None = None):
+    """S8 defaults: a company without maturity scores reports 50 / 50 / 50 /
+    50 and grade C; without a regulation row, no frameworks and "N/A"."""
+    for c in ("m_overall", "m_environmental", "m_social", "m_governance"):
+        cm = cm.withColumn(c, F.coalesce(F.col(c), F.lit(50.0)))
+    cm = cm.withColumn("m_grade", F.coalesce(F.col("m_grade"), F.lit("C")))
+    if regulation is not None:
+        regulation = regulation.select(
+            "company", F.coalesce(F.col("frameworks"), F.lit("")).alias("frameworks"),
+            *[F.coalesce(F.col(c), F.lit("N/A")).alias(c) for c in ("key_deadlines", "penalties", "regulator")])
+    return cm, regulation
+
+
 def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: DataFrame, risks: DataFrame,
                     kpis: DataFrame, bench: DataFrame | None, pillars: DataFrame, timeline: DataFrame) -> dict:
-    """The sections of the executive or detailed report."""
-    fw = regulation.select("company", F.posexplode(F.split("frameworks", r" \| ")).alias("pos", "framework"))
+    """The sections of the executive (``mode="executive"``) or
+    detailed (any other mode) report."""
+    cm, regulation = with_report_defaults(cm, regulation)
+    fw = (regulation.where(F.col("frameworks") != "")
+          .select("company", F.posexplode(F.split("frameworks", r" \| ")).alias("pos", "framework")))
     if mode == "executive":
         return {
             "pillars": pillars.select("company", "pillar", "score", "status"),
