@@ -94,17 +94,20 @@ def companies_first_seen(df: DataFrame, col_map: dict, row_id: str = "_row_id")
 HIGHLIGHT_METRICS = ["carbon_emissions", "renewable_energy", "gender_diversity", "energy"]
 
 
-def _value_text(df: DataFrame, c: str) -> F.Column:
-    """A cell as Python prints it: floats like ``repr``, missing float as nan."""
+def _value_text(df: DataFrame, c: str, ref: str | None = None) -> F.Column:
+    """A cell as Python prints it: floats like ``repr``, missing float as nan.
+    ``c`` names the column in ``df`` (for its type); ``ref`` the column to
+    read (defaults to ``c``)."""
     from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
     from verdant.functions.numeric import py_float_str
     t = df.schema[c].dataType
+    col = F.col(ref or c)
     if isinstance(t, (DoubleType, FloatType)):
-        return F.coalesce(py_float_str(F.col(c).cast("double")), F.lit("nan"))
+        return F.coalesce(py_float_str(col.cast("double")), F.lit("nan"))
     if isinstance(t, IntegralType):
-        return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-    return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+        return F.coalesce(col.cast("string"), F.lit("nan"))
+    return F.coalesce(col.cast("string"), F.lit("None"))
 
 
 def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFrame:
@@ -159,9 +162,14 @@ def profile_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_
     summ = data_summary_text(panel, cmap)
     keyed = company_key(panel, cmap)
     fields = user_cols[:sample_fields]
-    pairs = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), _value_text(panel, c)) for c in fields])
+    # Pick each company's first row as a struct of raw values, then format
+    # only that row (formatting every panel row would be wasted work).
     first = (keyed.groupBy(F.col("_company").alias("company"))
-             .agg(F.min_by(pairs, F.col(row_id)).alias("_sample")))
+             .agg(F.min_by(F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)]),
+                           F.col(row_id)).alias("_first")))
+    pairs = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), _value_text(panel, c, f"_first.f{i}"))
+                                 for i, c in enumerate(fields)])
+    first = first.select("company", pairs.alias("_sample"))
     j = summ.join(first, "company")
     text = F.concat(F.lit(f"Columns: {', '.join(user_cols)}. Row count: "), F.col("row_count").cast("string"),
                     F.lit(". "), F.col("text_summary"), F.lit("\nSample record: "), F.col("_sample"))
