@@ -278,3 +278,13 @@ def test_merge_profile_overrides_only_present_keys(spark):
                                "industry string, employee_count bigint, reply string")
     r = merge_profile(df, "reply", {"employee_count": "bigint", "industry": "string"}).first()
     assert (r.employee_count, r.industry) == (250, "T")
+
+
+def test_duplicates_with_nulls_and_many_copies(spark):
+    from verdant.operators.quality import duplicate_count
+    rows = [(None, 1, "a")] * 4 + [(None, 1, None)] * 2 + [(2, None, "b"), (3, None, "b")]
+    df = spark.createDataFrame(rows, "x int, y int, z string")
+    r = duplicate_count(df, "t").first()
+    assert (r.n_rows, r.n_duplicates) == (8, 4)
+    empty = duplicate_count(spark.createDataFrame([], "x int"), "e").first()
+    assert (empty.n_rows, empty.n_duplicates, empty.message) == (0, 0, None)
