@@ -39,10 +39,16 @@ def with_ordinal(df: DataFrame, order: list[Column], group_cols: list[str] | tup
     and the group size. Ties in ``order`` get distinct, arbitrary positions;
     give a total order for a deterministic result."""
     group_cols = list(group_cols)
-    keys = [F.col(g).asc_nulls_last() for g in group_cols] + list(order)
+    # A per-row tiebreaker ends the range key, so a run of equal keys (say a
+    # third of a column holding the same value) is split across partitions
+    # instead of landing in one task. Positions are read back from the
+    # written table below, so the tiebreaker never affects the result.
+    keys = ([F.col(g).asc_nulls_last() for g in group_cols] + list(order)
+            + [F.col("_o_tie").asc()])
     n = _num_partitions(df, num_partitions)
     spark = df.sparkSession
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = (df.withColumn("_o_tie", F.monotonically_increasing_id())
+              .repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_o_tie"))
     # Materialise the tagged rows once as a table in the shared checkpoint
     # folder: every later reader (the counts branch and the main branch) sees
     # the same stored ids, whatever happens to executors afterwards.
