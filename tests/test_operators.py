@@ -303,3 +303,18 @@ def test_quantiles_with_massive_ties_spread_over_partitions(spark):
     pos = with_ordinal(df, [F.col("v").asc()], ["g"], num_partitions=8)
     assert sorted(r._pos for r in pos.select("_pos").collect()) == list(range(len(vals)))
     assert pos.where(F.col("_pos") == 3000).first().v == 1.0
+
+
+def test_float_text_sql_form_matches_python(spark):
+    import random
+
+    from verdant.functions.numeric import py_float_str_sql
+    rnd = random.Random(3)
+    vals = [0.1, 3.0, -0.0, 12345678.0, 1e16, 1.5e-05, 0.00015, 1e22, 97.3] + \
+        [round(rnd.uniform(-1e7, 1e7), 2) for _ in range(300)] + \
+        [float(f"{rnd.uniform(0, 1) * 10 ** rnd.randint(-9, 18):.15g}") for _ in range(300)]
+    # (doubles that need all 17 significant digits can print one digit longer
+    # on Java 17, whose Double.toString is not always shortest)
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.selectExpr(py_float_str_sql("x")).collect()]
+    assert got == [repr(v) for v in vals]

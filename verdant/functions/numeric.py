@@ -123,3 +123,35 @@ def py_float_str(x: Column) -> Column:
             .when(x == F.lit(float("inf")), F.lit("inf"))
             .when(x == F.lit(float("-inf")), F.lit("-inf"))
             .otherwise(txt))
+
+
+_PY_FLOAT_SQL = """CASE WHEN ({x}) IS NULL THEN CAST(NULL AS STRING)
+ WHEN isnan({x}) THEN 'nan' WHEN ({x}) = double('inf') THEN 'inf' WHEN ({x}) = double('-inf') THEN '-inf'
+ ELSE element_at(transform(array(CAST(({x}) AS STRING)), s ->
+  element_at(transform(array(named_struct(
+     'neg', startswith(s, '-'),
+     'ip', substring_index(CASE WHEN instr(s, 'E') > 0 THEN substring_index(regexp_replace(s, '^-', ''), 'E', 1)
+                                ELSE regexp_replace(s, '^-', '') END, '.', 1),
+     'fr', CASE WHEN instr(s, '.') > 0 THEN substring_index(CASE WHEN instr(s, 'E') > 0
+                THEN substring_index(s, 'E', 1) ELSE s END, '.', -1) ELSE '' END,
+     'ex', CASE WHEN instr(s, 'E') > 0 THEN CAST(substring_index(s, 'E', -1) AS INT) ELSE 0 END)), p ->
+   element_at(transform(array(named_struct(
+      'neg', p.neg,
+      'd', regexp_replace(regexp_replace(concat(p.ip, p.fr), '^0+', ''), '0+$', ''),
+      'pos', length(p.ip) + p.ex - length(regexp_extract(concat(p.ip, p.fr), '^0*', 0)))), q ->
+    concat(CASE WHEN q.neg THEN '-' ELSE '' END,
+     CASE WHEN length(q.d) = 0 THEN '0.0'
+          WHEN q.pos - 1 >= -4 AND q.pos - 1 < 16 THEN
+            CASE WHEN q.pos <= 0 THEN concat('0.', repeat('0', -q.pos), q.d)
+                 WHEN q.pos >= length(q.d) THEN concat(q.d, repeat('0', q.pos - length(q.d)), '.0')
+                 ELSE concat(substr(q.d, 1, q.pos), '.', substr(q.d, q.pos + 1)) END
+          ELSE concat(substr(q.d, 1, 1), CASE WHEN length(q.d) > 1 THEN concat('.', substr(q.d, 2)) ELSE '' END,
+                      'e', CASE WHEN q.pos - 1 >= 0 THEN '+' ELSE '-' END,
+                      CASE WHEN abs(q.pos - 1) < 10 THEN '0' ELSE '' END, CAST(abs(q.pos - 1) AS STRING)) END)
+   ), 1)), 1)), 1) END"""
+
+
+def py_float_str_sql(x: str) -> str:
+    """``py_float_str`` as SQL text over a DOUBLE expression ``x`` (one JVM
+    call to build, however many times it is used)."""
+    return _PY_FLOAT_SQL.format(x=f"CAST(({x}) AS DOUBLE)")

@@ -100,11 +100,12 @@ def _value_text(df: DataFrame, c: str, ref: str | None = None) -> F.Column:
     read (defaults to ``c``)."""
     from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
-    from verdant.functions.numeric import py_float_str
+    from verdant.functions.numeric import py_float_str_sql
     t = df.schema[c].dataType
     col = F.col(ref or c)
     if isinstance(t, (DoubleType, FloatType)):
-        return F.coalesce(py_float_str(col.cast("double")), F.lit("nan"))
+        name = ref or f"`{c}`"
+        return F.expr(f"coalesce({py_float_str_sql(name)}, 'nan')")
     if isinstance(t, IntegralType):
         return F.coalesce(col.cast("string"), F.lit("nan"))
     return F.coalesce(col.cast("string"), F.lit("None"))
@@ -115,7 +116,7 @@ def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFram
     rows (rows, columns, completeness, years, company, detected metrics and
     the mean / range of up to four highlight metrics among the first 15
     numeric columns). ``col_map`` defaults to detection on the column names."""
-    from verdant.functions.numeric import py_float_str
+    from verdant.functions.numeric import py_float_str_sql, py_round_sql
     from verdant.operators.schema import detect_columns
 
     user_cols = [c for c in panel.columns if not c.startswith("_")]
@@ -129,7 +130,7 @@ def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFram
         v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         aggs += [F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"), F.avg(v).alias(f"_av{i}")]
     parts = [F.format_string("Dataset: %d rows, %d columns.", F.col("row_count"), F.col("col_count")),
-             F.concat(F.lit("Completeness: "), py_float_str(F.col("completeness_pct")), F.lit("%."))]
+             F.concat(F.lit("Completeness: "), F.expr(py_float_str_sql("completeness_pct")), F.lit("%."))]
     if "year" in cmap:
         parts.append(F.when(F.col("year_min").isNotNull(),
                             F.format_string("Year range: %d-%d.", F.col("year_min"), F.col("year_max"))))
@@ -137,7 +138,7 @@ def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFram
         parts.append(F.concat(F.lit("Companies: "), F.col("company"), F.lit(".")))
     if cmap:
         parts.append(F.lit(f"ESG columns detected: {', '.join(cmap.keys())}."))
-    r2 = lambda c: py_float_str(py_round(F.col(c), 2))
+    r2 = lambda c: F.expr(py_float_str_sql(py_round_sql(c, 2)))
     for i, (m, _) in enumerate(hl):
         title = m.replace("_", " ").title()
         parts.append(F.when(F.col(f"_mn{i}").isNotNull(), F.concat(
