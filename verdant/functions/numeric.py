@@ -45,27 +45,6 @@ def to_num_typed(c: Column | str, is_numeric: bool) -> Column:
     return col.cast("double") if is_numeric else to_num(col)
 
 
-def clamp(c: Column, lo: float | None, hi: float | None) -> Column:
-    """min/max clamp that keeps null as null (``least``/``greatest`` skip nulls)."""
-    out = c
-    if hi is not None:
-        out = F.least(out, F.lit(float(hi)))
-    if lo is not None:
-        out = F.greatest(out, F.lit(float(lo)))
-    return F.when(c.isNotNull(), out)
-
-
-def mean_present(terms: list[Column], default: float = 50.0, digits: int = 1) -> Column:
-    """Mean of the non-null terms, rounded; ``default`` when all are null."""
-    total = sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0))
-    n = n_present(terms)
-    return F.when(n > 0, py_round(total / n, digits)).otherwise(F.lit(float(default)))
-
-
-def n_present(terms: list[Column]) -> Column:
-    return sum((F.when(t.isNotNull(), 1).otherwise(0) for t in terms), F.lit(0))
-
-
 def grade(score: Column) -> Column:
     return (F.when(score >= 80, "A").when(score >= 65, "B").when(score >= 50, "C")
             .when(score >= 35, "D").otherwise("F"))
