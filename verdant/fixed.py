@@ -401,6 +401,10 @@ PII_RULES = [
     (r"\b[A-Z]{2,3}-?\d{5,10}\b", "[ID]"),
 ]
 
+# Field texts a pandas CSV read treats as missing by default.
+CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                 "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # Question routing; first group with a contained keyword wins.
 INTENT_KEYWORDS = [
     ("budget", ["budget", "spend", "cost", "invest"]),

@@ -37,7 +37,13 @@ def metric_sql(types: dict, col_map: dict, metric: str, prefix: str = "") -> str
     if isinstance(types[name], NumericType):
         return f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
     txt = f"trim(CAST({c} AS STRING))"
-    return f"(CASE WHEN lower({txt}) RLIKE '{NUMERIC_TEXT}' THEN try_cast({txt} AS DOUBLE) END)"
+    return f"(CASE WHEN lower({txt}) RLIKE {sql_literal(NUMERIC_TEXT)} THEN try_cast({txt} AS DOUBLE) END)"
+
+
+def sql_literal(text: str) -> str:
+    """A Spark SQL string literal for ``text`` (backslashes and quotes escaped,
+    since the SQL parser unescapes them)."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _clamp_sql(x: str, lo=None, hi=None) -> str:

@@ -8,8 +8,8 @@
   with nulls (Spark PERMISSIVE mode flags over-long rows in
   ``_corrupt_record``).
 * Header names are trimmed. ``_row_id`` records file order.
-* Types are inferred from a sample (``sampling_ratio``) in one pass, then the
-  file is read once more with that schema.
+* Types are decided the way a pandas read decides them (see
+  ``read_delimited``): one aggregation pass over the text fields.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from verdant.fixed import CSV_NA_TOKENS
+from verdant.functions.numeric import NUMERIC_TEXT, to_num
+
 CANDIDATES = [",", ";", "\t", "|"]
 
 
@@ -36,29 +39,68 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strict_order: bool = True,
-                   sampling_ratio: float = 1.0, require_rows: bool = True) -> DataFrame:
+                   require_rows: bool = True) -> DataFrame:
     """Read a delimited file or folder (see module doc); a file without data
-    rows is an error, as every parse strategy would come back empty."""
+    rows is an error, as every parse strategy would come back empty.
+
+    Types follow a pandas read rather than Spark's CSV inference (which
+    would read ``1d`` as 1.0): every field is read as text, the default
+    missing-value tokens (``nan``, ``n/a``, ``NULL``, ...) become null, and
+    a column is numeric when all its other values are plain numbers (one
+    aggregation over the data decides this for all columns at once);
+    integral without gaps -> BIGINT, else DOUBLE; an all-missing column is
+    numeric (DOUBLE)."""
     delim = sep or ("," if strict_order else sniff_delimiter(spark, path))
-    opts = {"header": "true", "sep": delim, "inferSchema": "true", "samplingRatio": str(sampling_ratio),
-            "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false"}
-    inferred = spark.read.options(**opts).csv(path).schema
-    if not inferred.fields:
+    opts = {"header": "true", "sep": delim, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false",
+            "ignoreTrailingWhiteSpace": "false", "nullValue": None}
+    opts = {k: v for k, v in opts.items() if v is not None}
+    header = spark.read.options(**opts).csv(path).columns
+    if not header:
         raise DelimitedReadError(f"Failed to parse CSV. Last error: no columns in {path}")
-    schema = StructType(list(inferred.fields) + [StructField("_corrupt_record", StringType(), True)])
-    df = (spark.read.options(**{k: v for k, v in opts.items() if k != "inferSchema"})
-          .option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).csv(path))
-    n = len(inferred.fields)
+    raw_schema = StructType([StructField(c, StringType(), True) for c in header])
+    if require_rows and spark.read.options(**opts).schema(raw_schema).csv(path).limit(1).count() == 0:
+        raise DelimitedReadError(f"Failed to parse CSV. Last error: no data rows in {path}")
+    schema = StructType(list(raw_schema.fields) + [StructField("_corrupt_record", StringType(), True)])
+    df = (spark.read.options(**opts).option("columnNameOfCorruptRecord", "_corrupt_record")
+          .schema(schema).csv(path))
+    n = len(header)
     # A flagged row is dropped only when it has more fields than the header
     # (quote-aware count); short rows stay, padded with nulls.
     extra = F.size(F.split(F.regexp_replace(F.col("_corrupt_record"), r'"[^"]*"', ""), _re(delim), -1)) > n
     df = df.where(F.col("_corrupt_record").isNull() | ~extra).drop("_corrupt_record")
-    df = df.toDF(*[c.strip() for c in df.columns])
-    if require_rows and spark.read.options(**opts).schema(inferred).csv(path).limit(1).count() == 0:
-        raise DelimitedReadError(f"Failed to parse CSV. Last error: no data rows in {path}")
+    names = [c.strip() for c in header]
+    na = F.array(*[F.lit(t) for t in CSV_NA_TOKENS])
+    df = df.select(*[F.when(F.array_contains(na, F.col(f"`{c}`")) | F.col(f"`{c}`").isNull(), F.lit(None))
+                     .otherwise(F.col(f"`{c}`")).alias(nm) for c, nm in zip(header, names)])
+    df = _apply_inferred_types(df)
     return df.withColumn("_row_id", F.monotonically_increasing_id())
 
 
+def _apply_inferred_types(df: DataFrame) -> DataFrame:
+    """One aggregation decides, for every text column, whether all present
+    values are numbers (and integers); the decision (a few numbers per
+    column) comes back to the driver and becomes casts."""
+    cols = df.columns
+    stats = []
+    for i, c in enumerate(cols):
+        v, t = F.col(f"`{c}`"), F.lower(F.trim(F.col(f"`{c}`")))
+        stats += [F.count(v).alias(f"p{i}"), F.count_if(t.rlike(NUMERIC_TEXT)).alias(f"n{i}"),
+                  F.count_if(t.rlike(r"^[+-]?\d+$")).alias(f"i{i}")]
+    stats.append(F.count(F.lit(1)).alias("rows"))
+    row = df.agg(*stats).first()
+    out = []
+    for i, c in enumerate(cols):
+        present, numeric, integral = row[f"p{i}"], row[f"n{i}"], row[f"i{i}"]
+        col = F.col(f"`{c}`")
+        if numeric == present and present == row["rows"] and integral == present and present > 0:
+            out.append(F.trim(col).try_cast("bigint").alias(c))
+        elif numeric == present:
+            out.append(to_num(col).alias(c))
+        else:
+            out.append(col.alias(c))
+    return df.select(*out)
+
+
 def _re(delim: str) -> str:
     return "\\t" if delim == "\t" else "\\" + delim if delim in "|.^$*+?()[]{}\\" else delim
 
