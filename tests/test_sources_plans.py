@@ -135,3 +135,20 @@ def test_dirty_text_panel_scores_like_clean_numbers(spark):
     got = {r.company: (r.environmental, r.governance) for r in scored_latest(df, cmap).collect()}
     assert got["A"] == (50.0, 70.0)              # mean(40, 60); board 70
     assert got["B"] == (50.0, 70.0)              # '1d' and 'nan' are not numbers -> no E terms
+
+
+def test_text_year_column_never_raises(spark):
+    from verdant.operators.companies import company_maturity  # noqa: F401  (import check)
+    from verdant.operators.facts import company_facts
+    from verdant.operators.trends import metric_trends, yoy_long
+    from verdant.sources.delimited import read_delimited
+    text = "company,year,water\nA,2020,10\nA,unknown,30\nA,2021,20\nB,2020,5\n"
+    df = read_delimited(spark, _write(text))
+    cmap = {"company": "company", "year": "year", "water": "water"}
+    f = {r.company: r for r in company_facts(df, cmap).collect()}
+    assert (f["A"].year_min, f["A"].year_max) == (2020, 2021)
+    # raw text order: '2020' < '2021' < 'unknown', so the unknown-year row is latest
+    assert f["A"].latest["water"] == 30 and f["A"].last_water == 30.0
+    t = {(r.company, r.metric): r.pct_change for r in metric_trends(df, cmap).collect()}
+    assert t[("A", "water")] == 200.0
+    assert {r.year for r in yoy_long(df, cmap).collect()} == {2020, 2021}

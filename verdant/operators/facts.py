@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from verdant.functions.numeric import py_round_sql
 from verdant.operators.latest import company_key
-from verdant.operators.score import metric_sql
+from verdant.operators.score import metric_sql, number_sql
 
 DIMENSIONS = ("company", "industry", "country", "year")
 
@@ -32,9 +32,11 @@ def company_facts(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> D
     user_cols = [c for c in panel.columns if not c.startswith("_")]
     cols = [c for c in panel.columns]
     has_rid = row_id in types
-    year = (f"nanvl(CAST(`{col_map['year']}` AS DOUBLE), CAST(NULL AS DOUBLE))"
-            if "year" in col_map else "CAST(NULL AS DOUBLE)")
-    order = f"struct({year} IS NULL, {year}" + (f", `{row_id}`)" if has_rid else ")")
+    # Rows are ordered by the raw year value (as a sort of the column would
+    # order them; a missing year last); the year range uses coerced numbers.
+    year = number_sql(types, col_map["year"]) if "year" in col_map else "CAST(NULL AS DOUBLE)"
+    raw = f"`{col_map['year']}`" if "year" in col_map else "CAST(NULL AS DOUBLE)"
+    order = f"struct({raw} IS NULL, {raw}" + (f", `{row_id}`)" if has_rid else ")")
     nulls = " + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in user_cols)
     aggs = ["count(1) AS row_count", f"sum({nulls}) AS null_count",
             f"CAST(min({year}) AS BIGINT) AS year_min", f"CAST(max({year}) AS BIGINT) AS year_max",

@@ -67,7 +67,8 @@ def company_summary(panel: DataFrame, col_map: dict) -> DataFrame:
     nulls = sum((F.col(c).isNull().cast("int") for c in user_cols), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("row_count"), F.sum(nulls).alias("_nulls")]
     if "year" in col_map:
-        y = F.nanvl(F.col(col_map["year"]).cast("double"), F.lit(None).cast("double"))
+        from verdant.operators.score import number_sql
+        y = F.expr(number_sql({f.name: f.dataType for f in panel.schema.fields}, col_map["year"]))
         aggs += [F.min(y).cast("bigint").alias("year_min"), F.max(y).cast("bigint").alias("year_max")]
     out = keyed.groupBy("_company").agg(*aggs)
     ncol = len(user_cols)

@@ -27,17 +27,23 @@ def metric_value(df: DataFrame, col_map: dict, metric: str) -> Column | None:
     return to_num(F.col(name))
 
 
+def number_sql(types: dict, name: str, prefix: str = "") -> str:
+    """A column coerced to DOUBLE as SQL text: numeric types cast (NaN as
+    null), text through the strict number pattern (never an ANSI cast error)."""
+    c = f"{prefix}`{name}`"
+    if isinstance(types[name], NumericType):
+        return f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
+    txt = f"trim(CAST({c} AS STRING))"
+    return f"(CASE WHEN lower({txt}) RLIKE {sql_literal(NUMERIC_TEXT)} THEN try_cast({txt} AS DOUBLE) END)"
+
+
 def metric_sql(types: dict, col_map: dict, metric: str, prefix: str = "") -> str | None:
     """``metric_value`` as SQL text (one JVM call to build, however long).
     ``prefix``: a struct column holding the fields (e.g. ``latest.``)."""
     name = col_map.get(metric)
     if name is None or name not in types:
         return None
-    c = f"{prefix}`{name}`"
-    if isinstance(types[name], NumericType):
-        return f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
-    txt = f"trim(CAST({c} AS STRING))"
-    return f"(CASE WHEN lower({txt}) RLIKE {sql_literal(NUMERIC_TEXT)} THEN try_cast({txt} AS DOUBLE) END)"
+    return number_sql(types, name, prefix)
 
 
 def sql_literal(text: str) -> str:

@@ -19,18 +19,22 @@ DIMENSIONS = ("company", "industry", "country", "year")
 
 
 def metric_long(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> DataFrame:
-    """(company, metric, column_name, year, _row_id, value) over the mapped
-    metrics other than company/industry/country/year; values coerced."""
+    """(company, metric, column_name, year, _year_raw, _row_id, value) over
+    the mapped metrics other than company/industry/country/year; values and
+    ``year`` coerced to numbers, ``_year_raw`` kept for ordering as a sort of
+    the raw column would order rows."""
+    from verdant.operators.score import number_sql
     keyed = company_key(panel, col_map)
+    types = {f.name: f.dataType for f in panel.schema.fields}
     metrics = [(m, c) for m, c in col_map.items() if m not in DIMENSIONS and c in panel.columns]
-    year = (F.nanvl(F.col(col_map["year"]).cast("double"), F.lit(None).cast("double"))
-            if "year" in col_map else F.lit(None).cast("double"))
+    year = (F.expr(number_sql(types, col_map["year"])) if "year" in col_map else F.lit(None).cast("double"))
     rid = F.col(row_id) if row_id in panel.columns else F.lit(0).cast("bigint")
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("column_name"),
                                  metric_value(panel, col_map, m).alias("value"))
                         for m, c in metrics])
-    return keyed.select(F.col("_company").alias("company"), year.alias("year"), rid.alias("_row_id"),
-                        F.inline(entries))
+    raw = F.col(col_map["year"]) if "year" in col_map else F.lit(None)
+    return keyed.select(F.col("_company").alias("company"), year.alias("year"), raw.alias("_year_raw"),
+                        rid.alias("_row_id"), F.inline(entries))
 
 
 def metric_trends(panel: DataFrame, col_map: dict) -> DataFrame:
@@ -66,7 +70,7 @@ def trend_series(panel: DataFrame, col_map: dict) -> DataFrame:
     with a huge number of rows is never sorted in a single task."""
     from verdant.plans.ordinal import with_ordinal
     long = metric_long(panel, col_map).where(F.col("value").isNotNull())
-    ranked = with_ordinal(long, [F.col("year").asc_nulls_last(), F.col("_row_id").asc()],
+    ranked = with_ordinal(long, [F.col("_year_raw").asc_nulls_last(), F.col("_row_id").asc()],
                           ["company", "metric"], "pos", "_n")
     return ranked.select("company", "metric", F.col("pos").cast("bigint").alias("pos"),
                          F.col("year").cast("bigint").alias("year"), "value")
