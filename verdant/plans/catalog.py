@@ -164,10 +164,11 @@ def q_yoy_pivot(spark, sf_dir):
 # ----------------------------------------------------------------- company context
 def _ctx(spark, sf_dir):
     from verdant.operators.companies import company_maturity
-    from verdant.sources.tables import company_profiles
+    from verdant.sources.tables import company_profiles, defined
     panel = esg_panel(spark, sf_dir)
     profiles = company_profiles(spark, sf_dir)
-    return panel, profiles, company_maturity(profiles, panel, IDENTITY_MAP)
+    cm = defined(spark, ("company_context", sf_dir), lambda: company_maturity(profiles, panel, IDENTITY_MAP))
+    return panel, profiles, cm
 
 
 @register("size_class", O.SIZE_CLASS)
@@ -221,8 +222,11 @@ def _ranked(spark, sf_dir, carry: bool = False):
     """Ranked solutions; with ``carry`` every row also holds the company's
     facts, so KPI and narrative steps need no second pass over the panel."""
     from verdant.operators.solutions import rank_solutions
+    from verdant.sources.tables import defined
     panel, profiles, cm = _ctx(spark, sf_dir)
-    return panel, profiles, cm, rank_solutions(cm, carry=_fact_columns(cm) if carry else ())
+    ranked = defined(spark, ("ranked", sf_dir, carry),
+                     lambda: rank_solutions(cm, carry=_fact_columns(cm) if carry else ()))
+    return panel, profiles, cm, ranked
 
 
 @register("rank_solutions", O.RANK_SOLUTIONS)

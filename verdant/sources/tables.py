@@ -31,8 +31,23 @@ PANEL_COLUMNS = ["company", "industry", "country", "year"] + PANEL_METRICS
 IDENTITY_MAP = {c: c for c in PANEL_COLUMNS}
 
 
+_DEFS: dict = {}
+
+
+def defined(spark: SparkSession, key: tuple, build):
+    """Define a DataFrame once per session (like creating a view once): the
+    lazy plan is reused, nothing is cached; every query still reads the
+    tables. Saves repeated file listing, footer reads and plan analysis."""
+    k = (id(spark._jsparkSession),) + key
+    df = _DEFS.get(k)
+    if df is None:
+        df = _DEFS[k] = build()
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    return defined(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def _industry_of(suppkey):
@@ -49,6 +64,10 @@ def _country_of(nationkey):
 
 def esg_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company x year panel derived from line items (FIXTURES F17)."""
+    return defined(spark, ("panel", sf_dir), lambda: _build_panel(spark, sf_dir))
+
+
+def _build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
 
@@ -127,6 +146,10 @@ COUNTRY_SQL = ("CASE pmod(s_nationkey, 5) WHEN 0 THEN 'Germany' WHEN 1 THEN 'Uni
 
 def company_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile per company (FIXTURES F5): head count, ESG budget, industry, country."""
+    return defined(spark, ("profiles", sf_dir), lambda: _build_profiles(spark, sf_dir))
+
+
+def _build_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdant.operators.score import business_size
 
     sup = read_table(spark, sf_dir, "supplier")
