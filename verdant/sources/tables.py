@@ -42,7 +42,10 @@ def defined(spark: SparkSession, key: tuple, build):
     df = _DEFS.get(k)
     if df is None:
         df = _DEFS[k] = build()
-    return df
+    # A fresh projection: each query gets its own physical plan and shuffles
+    # (no reuse of an earlier query's shuffle files), while the file listing
+    # and the analysed plan underneath are shared.
+    return df.select("*")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
