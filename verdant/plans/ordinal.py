@@ -1,8 +1,7 @@
 """Distributed ordinal positions (global rank, rank within huge groups, exact
 quantiles) without routing a whole group through one task.
 
-Plan: range-partition on (group, order) with an explicit partition count (AQE
-does not coalesce it, so partition ids are stable), sort inside each
+Plan: range-partition on (group, order, row tiebreaker), sort inside each
 partition, tag each row with ``monotonically_increasing_id`` (partition id in
 the high bits, row number in the low 33 bits), count rows per (partition,
 group), turn the counts into running offsets on that small table, and join the
@@ -26,12 +25,6 @@ from verdant.session import checkpoint_root
 _LOW_BITS = (1 << 33) - 1
 
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def with_ordinal(df: DataFrame, order: list[Column], group_cols: list[str] | tuple = (),
                  pos_col: str = "_pos", size_col: str = "_size",
                  num_partitions: int | None = None) -> DataFrame:
@@ -45,10 +38,14 @@ def with_ordinal(df: DataFrame, order: list[Column], group_cols: list[str] | tup
     # written table below, so the tiebreaker never affects the result.
     keys = ([F.col(g).asc_nulls_last() for g in group_cols] + list(order)
             + [F.col("_o_tie").asc()])
-    n = _num_partitions(df, num_partitions)
     spark = df.sparkSession
-    ranged = (df.withColumn("_o_tie", F.monotonically_increasing_id())
-              .repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_o_tie"))
+    tied = df.withColumn("_o_tie", F.monotonically_increasing_id())
+    # Without an explicit count AQE may coalesce neighbouring ranges (small
+    # inputs then write few files); ids stay consistent because they are
+    # assigned and written in the same job.
+    ranged = (tied.repartitionByRange(num_partitions, *keys) if num_partitions
+              else tied.repartitionByRange(*keys))
+    ranged = ranged.sortWithinPartitions(*keys).drop("_o_tie")
     # Materialise the tagged rows once as a table in the shared checkpoint
     # folder: every later reader (the counts branch and the main branch) sees
     # the same stored ids, whatever happens to executors afterwards.
