@@ -176,3 +176,51 @@ def profile_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_
     text = F.concat(F.lit(f"Columns: {', '.join(user_cols)}. Row count: "), F.col("row_count").cast("string"),
                     F.lit(". "), F.col("text_summary"), F.lit("\nSample record: "), F.col("_sample"))
     return j.select("company", text.alias("profile_text"))
+
+
+def table_summary_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_row_id") -> DataFrame:
+    """X8 for the whole table (no company selected): one row with the
+    summary sentence; the company list is the first five companies in
+    first-seen order (W5), taken from the distributed first-seen ranking."""
+    from verdant.functions.numeric import py_float_str_sql, py_round_sql
+    from verdant.operators.schema import detect_columns
+
+    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    cmap = col_map if col_map is not None else detect_columns(user_cols)
+    whole = {k: v for k, v in cmap.items() if k != "company"}
+    summ = company_summary(panel, whole).drop("company")
+    first15 = numeric_columns(panel)[:15]
+    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in first15]
+    aggs = []
+    for i, (_, c) in enumerate(hl):
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        aggs += [F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"), F.avg(v).alias(f"_av{i}")]
+    parts = [F.format_string("Dataset: %d rows, %d columns.", F.col("row_count"), F.col("col_count")),
+             F.concat(F.lit("Completeness: "), F.expr(py_float_str_sql("completeness_pct")), F.lit("%."))]
+    if "year" in cmap:
+        parts.append(F.when(F.col("year_min").isNotNull(),
+                            F.format_string("Year range: %d-%d.", F.col("year_min"), F.col("year_max"))))
+    # Three one-row results are combined by a union and a max per column
+    # (no join between them).
+    pieces = [summ]
+    if aggs:
+        pieces.append(panel.agg(*aggs))
+    if "company" in cmap:
+        seen = companies_first_seen(panel, cmap, row_id).where(F.col("seen_order") <= 5)
+        pieces.append(seen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.struct("seen_order", "company"))), lambda x: x["company"]), ", ").alias("_names"),
+            F.count(F.lit(1)).alias("_nn")))
+        parts.append(F.when(F.col("_nn") > 0, F.concat(F.lit("Companies: "), F.col("_names"), F.lit("."))))
+    union = pieces[0]
+    for piece in pieces[1:]:
+        union = union.unionByName(piece, allowMissingColumns=True)
+    out = union.agg(*[F.max(c).alias(c) for c in union.columns])
+    if cmap:
+        parts.append(F.lit(f"ESG columns detected: {', '.join(cmap.keys())}."))
+    r2 = lambda c: F.expr(py_float_str_sql(py_round_sql(c, 2)))
+    for i, (m, _) in enumerate(hl):
+        title = m.replace("_", " ").title()
+        parts.append(F.when(F.col(f"_mn{i}").isNotNull(), F.concat(
+            F.lit(f"{title}: mean="), r2(f"_av{i}"), F.lit(", range ["), r2(f"_mn{i}"), F.lit(", "),
+            r2(f"_mx{i}"), F.lit("]."))))
+    return out.select("row_count", "col_count", "completeness_pct", F.concat_ws(" ", *parts).alias("text_summary"))

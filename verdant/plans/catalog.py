@@ -512,3 +512,10 @@ def q_whatif_context(spark, sf_dir):
     """Profile keep-list, compact solutions and regulation as JSON."""
     from verdant.operators.narrative import whatif_context
     return whatif_context(_ranked(spark, sf_dir, carry=True)[3])
+
+
+@register("table_summary", O.TABLE_SUMMARY)
+def q_table_summary(spark, sf_dir):
+    """X8 / W5 for the whole table: summary with the first five companies seen."""
+    from verdant.operators.profile import table_summary_text
+    return table_summary_text(esg_panel(spark, sf_dir))

@@ -808,3 +808,22 @@ SELECT c.company,
        CAST(to_json({{'frameworks': c.frameworks[1:3], 'key_deadlines': c.key_deadlines, 'penalties': c.penalties}}) AS VARCHAR)
          AS regulatory_json
 FROM creg c JOIN sols s ON c.company = s.company"""
+
+_WHOLE_HL = ", ".join(
+    f"CASE WHEN mn_{c} IS NOT NULL THEN '{t}: mean=' || CAST({R(f'av_{c}', 2)} AS VARCHAR) || ', range [' || "
+    f"CAST({R(f'mn_{c}', 2)} AS VARCHAR) || ', ' || CAST({R(f'mx_{c}', 2)} AS VARCHAR) || '].' END"
+    for c, t in _HL)
+TABLE_SUMMARY = with_ctes(PANEL) + f""",
+first5 AS (SELECT string_agg(company, ', ' ORDER BY first_row) AS names, COUNT(*) AS nn FROM (
+  SELECT company, MIN(_row_id) AS first_row FROM panel WHERE company IS NOT NULL GROUP BY company
+  ORDER BY first_row LIMIT 5)),
+st AS (SELECT COUNT(*) AS row_count, CAST({len(PANEL_USER_COLUMNS)} AS BIGINT) AS col_count,
+  {R(f'(1e0 - SUM({_NULLS}) / (COUNT(*) * {float(len(PANEL_USER_COLUMNS))}e0)) * 100e0')} AS completeness_pct,
+  CAST(MIN(year) AS BIGINT) AS year_min, CAST(MAX(year) AS BIGINT) AS year_max, {_HL_AGGS} FROM panel)
+SELECT row_count, col_count, completeness_pct,
+  concat_ws(' ', printf('Dataset: %d rows, %d columns.', row_count, col_count),
+            'Completeness: ' || CAST(completeness_pct AS VARCHAR) || '%.',
+            CASE WHEN year_min IS NOT NULL THEN printf('Year range: %d-%d.', year_min, year_max) END,
+            CASE WHEN nn > 0 THEN 'Companies: ' || names || '.' END,
+            'ESG columns detected: {_detected_keys()}.', {_WHOLE_HL}) AS text_summary
+FROM st, first5"""
