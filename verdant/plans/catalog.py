@@ -289,7 +289,8 @@ def q_pii_scrub(spark, sf_dir):
     from verdant.sources.tables import read_table
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", pii_scrub("text", max_chars=None).alias("scrubbed"),
-                       pii_scrub("text").alias("prompt_text"))
+                       pii_scrub("text").alias("prompt_text"),
+                       pii_scrub("text", local=True).alias("local_prompt_text"))
 
 
 def _profile_extract(spark, sf_dir):

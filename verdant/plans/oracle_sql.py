@@ -579,7 +579,8 @@ def _scrub_sql(x: str) -> str:
 
 PII_SCRUB = f"""
 SELECT doc_id, {_scrub_sql('text')} AS scrubbed,
-       {_scrub_sql(f'substring(text, 1, {fixed.PII_MAX_CHARS})')} AS prompt_text
+       {_scrub_sql(f'substring(text, 1, {fixed.PII_MAX_CHARS})')} AS prompt_text,
+       substring(text, 1, {fixed.PII_MAX_CHARS_LOCAL}) AS local_prompt_text
 FROM documents"""
 
 
