@@ -318,3 +318,14 @@ def test_float_text_sql_form_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.selectExpr(py_float_str_sql("x")).collect()]
     assert got == [repr(v) for v in vals]
+
+
+def test_peer_comparison_needs_two_companies(spark):
+    from verdant.operators.peers import peer_comparison
+    one = _panel(spark, [("A", None, None, 2020, 10, *[1.0] * 11, 1), ("A", None, None, 2021, 10, *[1.0] * 11, 2)])
+    assert peer_comparison(one, IDENT).count() == 0
+    no_company = {k: v for k, v in IDENT.items() if k != "company"}
+    assert peer_comparison(one.drop("company"), no_company).count() == 0
+    two = one.unionByName(_panel(spark, [("B", None, None, 2021, 10, *[2.0] * 11, 3)]))
+    rows = peer_comparison(two, IDENT).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2] and {r.company for r in rows} == {"A", "B"}
