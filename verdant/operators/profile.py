@@ -16,11 +16,14 @@ from verdant.operators.quality import numeric_columns
 from verdant.plans.ordinal import exact_quantiles, global_rank
 
 
-def _long_values(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFrame:
-    """Unpivot numeric columns to (ids..., column_name, value DOUBLE), NaN as null."""
+def _long_values(df: DataFrame, cols: list[str], ids: list[str] = (), row_id: str = "_row_id") -> DataFrame:
+    """Unpivot numeric columns to (ids..., column_name, value DOUBLE), NaN as
+    null. The source row id rides along (when there is one) so equal values
+    from different rows stay distinguishable for the ordinal tiebreaker."""
+    ids = list(ids) + ([row_id] if row_id in df.columns and row_id not in ids else [])
     casted = df.select(*ids, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
                                for c in cols])
-    return casted.unpivot(list(ids), cols, "column_name", "value")
+    return casted.unpivot(ids, cols, "column_name", "value")
 
 
 def column_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 2,

@@ -34,12 +34,15 @@ def with_ordinal(df: DataFrame, order: list[Column], group_cols: list[str] | tup
     group_cols = list(group_cols)
     # A per-row tiebreaker ends the range key, so a run of equal keys (say a
     # third of a column holding the same value) is split across partitions
-    # instead of landing in one task. Positions are read back from the
-    # written table below, so the tiebreaker never affects the result.
+    # instead of landing in one task. It is a hash of the row's values:
+    # deterministic, so a recomputed map task sends every row to the same
+    # partition as before (carry a row id in ``df`` when whole rows repeat).
+    # Positions are read back from the written table, so the tiebreaker
+    # never affects the result.
     keys = ([F.col(g).asc_nulls_last() for g in group_cols] + list(order)
             + [F.col("_o_tie").asc()])
     spark = df.sparkSession
-    tied = df.withColumn("_o_tie", F.monotonically_increasing_id())
+    tied = df.withColumn("_o_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     # Without an explicit count AQE may coalesce neighbouring ranges (small
     # inputs then write few files); ids stay consistent because they are
     # assigned and written in the same job.
