@@ -172,3 +172,13 @@ def test_hot_supplier_with_a_third_of_all_rows(spark):
         assert res["ok"], (name, res)
     plan = QUERIES["latest_row"](spark, out)._jdf.queryExecution().executedPlan().toString()
     assert "partial_" in plan or "Partial" in plan
+
+
+def test_checkpoint_root_rules():
+    import pytest
+
+    from verdant.session import resolve_checkpoint_root
+    assert resolve_checkpoint_root("hdfs://nn/shared/ckpt/", "yarn") == "hdfs://nn/shared/ckpt"
+    assert resolve_checkpoint_root(None, "local[8]") is None          # tests may use a temp folder
+    with pytest.raises(RuntimeError):
+        resolve_checkpoint_root(None, "spark://cluster:7077")         # never a machine-local folder

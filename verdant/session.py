@@ -47,23 +47,30 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and streaming state.
+    """Shared folder for checkpoints, scratch tables and streaming state.
 
     Uses ``spark.checkpoint.dir`` from the session. Only a local-mode session
     (tests, bench) may fall back to a fresh temporary folder; a cluster
     session without the setting is an error, since a machine-local folder
     does not survive executor loss.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master or ""
+    root = resolve_checkpoint_root(spark.conf.get("spark.checkpoint.dir", None),
+                                   spark.sparkContext.master or "")
+    if root is None:
+        root = tempfile.mkdtemp(prefix="verdant-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def resolve_checkpoint_root(configured: str | None, master: str) -> str | None:
+    """The configured folder; None when a local session may use a temporary
+    one; an error for a cluster session without a configured folder."""
+    if configured:
+        return configured.rstrip("/")
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="verdant-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return None
 
 
 def sub_checkpoint(spark: SparkSession, name: str) -> str:
