@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant import fixed
 from verdant.functions.numeric import py_round
 from verdant.operators import dims
 from verdant.operators.score import metric_sql, pillar_status, readiness
@@ -68,8 +69,7 @@ def gap_below(bench: DataFrame) -> DataFrame:
     """P5: the below-average rows with their target text."""
     return (bench.where(F.col("status") == "Below Average")
             .withColumn("message", F.format_string(
-                "**%s**: %+.1f points below industry average. Target: %.1f (avg) / %.1f (top quartile)",
-                F.col("metric"), F.col("gap"), F.col("industry_avg"), F.col("top_quartile"))))
+                fixed.MSG_GAP_BELOW, F.col("metric"), F.col("gap"), F.col("industry_avg"), F.col("top_quartile"))))
 
 
 def regulation(cm: DataFrame) -> DataFrame:

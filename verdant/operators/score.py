@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from verdant.fixed import MSG_SCORE_RATIONALE
 from verdant.functions.numeric import NUMERIC_TEXT, grade, py_round, py_round_sql, to_num, weighted_overall
 
 
@@ -141,8 +142,7 @@ def esg_score(latest: DataFrame, col_map: dict) -> DataFrame:
     out = out.selectExpr(
         "*", "CASE WHEN esg_score >= 80 THEN 'A' WHEN esg_score >= 65 THEN 'B' WHEN esg_score >= 50 THEN 'C' "
              "WHEN esg_score >= 35 THEN 'D' ELSE 'F' END AS grade",
-        "format_string('Scored from actual uploaded data. E based on %d metric(s), S based on %d metric(s), "
-        "G based on %d metric(s).', n_e, n_s, n_g) AS rationale")
+        f"format_string({sql_literal(MSG_SCORE_RATIONALE)}, n_e, n_s, n_g) AS rationale")
     return out.drop(*[n for p in names for n in names[p]])
 
 
