@@ -44,7 +44,8 @@ def main():
             bad += 1
             print(f"ERR {name}:\n{traceback.format_exc()[-3000:]}", flush=True)
     print(f"done, {bad} bad")
+    return 1 if bad else 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())
