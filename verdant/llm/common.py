@@ -84,8 +84,8 @@ class Words(NamedTuple):
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit content hash of each byte span: differences of one running
-    polynomial sum, shifted back to position 0, then mixed."""
+    """64-bit content hash of each span of bytes (or code points): differences
+    of one running polynomial sum, shifted back to position 0, then mixed."""
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
     terms = total[1:]
@@ -115,6 +115,13 @@ def split_words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray = WORD
     return Words(row, start, end, span_hashes(data, start, end))
 
 
+def span_indices(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Indices of the elements of all spans, one span after the other."""
+    size = end - start
+    first = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    return first + np.arange(len(first))
+
+
 def text_array(col) -> pa.Array:
     """Column as large UTF-8 array; null counts as the empty text."""
     if isinstance(col, pa.ChunkedArray):

@@ -253,6 +253,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _by_blocks(cut(src.withColumn("row", F.monotonically_increasing_id())), id_type, blocks, window)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
+                    item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window (see
+    ``contamination``); all columns stay. Each benchmark block is one filter."""
+    sc = docs.sparkSession.sparkContext
+    out = docs
+    for names, texts in benchmark_blocks(benchmark, item_id, item_text, block_bytes):
+        shared = sc.broadcast(_block(names, texts))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, w in _folded_words(text_array(batch.column(text_col)), SHARD_BYTES):
+                    clean = np.ones(hi - lo, bool)
+                    clean[_shard_hits(w, hi - lo, shared.value, window)[0]] = False
+                    yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
+
+
 def _by_blocks(src: DataFrame, id_type: str, blocks: list, window: int) -> DataFrame:
     """The same for a benchmark of many blocks: each block gives the spans of
     its own hits, and a document's spans meet by row (their number is bounded

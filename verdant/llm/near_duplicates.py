@@ -121,24 +121,15 @@ def _verify(pdf: pd.DataFrame, words: int, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "head": node[head[has]]})
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                           words: int = WORDS, threshold: float = THRESHOLD,
-                           recall: float = RECALL) -> DataFrame:
-    """One row per input row: ``doc_id``, ``class_id`` (smallest id of its
-    class of near duplicates, itself if it has none), ``n_links`` (other texts
-    with Jaccard similarity of at least ``threshold``), ``n_copies`` (rows with
-    the very same text) and ``is_head`` (the text of the class's smallest id).
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
 
-    Words are ``[^\\x20\\x09-\\x0D]+``, shingles five of them; a text of one to
-    four words is one shingle. Null counts as the empty text; empty texts have
-    no links and are copies of each other. Rows without an id belong to their
-    class like others; the class of a group in which no row has an id is null.
-    Repeated rows come back as often as they came in. An empty table gives an
-    empty result. Other columns are neither read nor returned."""
+
+def _verdicts(keyed: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
+    """One row per distinct text: ``key, rep`` (its smallest id), ``class_id,
+    n_links, n_copies, is_head``."""
     bands, rows = choose_bands(threshold, recall)
-    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    keyed = src.withColumn("key", F.unhex(F.md5(F.col("text"))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +141,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                  if len(texts) else pa.array([], pa.int64())],
                 names=["doc_id", "key", "bands", "bytes"])
 
-    id_type = dict(src.dtypes)["doc_id"]
+    id_type = dict(keyed.dtypes)["doc_id"]
     signed = keyed.mapInArrow(sign, f"doc_id {id_type}, key binary, bands array<bigint>, bytes bigint")
     classes = cut(signed.groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"),
@@ -182,8 +173,39 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
            .withColumn("root", F.coalesce("root", "node")))
     least = ids.groupBy("root").agg(F.min("rep").alias("class_id"), F.min_by("node", F.struct(
         F.col("rep").isNull(), "rep", "node")).alias("head_node"))
-    verdict = ids.join(least, "root").select(
-        "key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies",
+    return ids.join(least, "root").select(
+        "key", "rep", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies",
         (F.col("node") == F.col("head_node")).alias("is_head"))
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                           words: int = WORDS, threshold: float = THRESHOLD,
+                           recall: float = RECALL) -> DataFrame:
+    """One row per input row: ``doc_id``, ``class_id`` (smallest id of its
+    class of near duplicates, itself if it has none), ``n_links`` (other texts
+    with Jaccard similarity of at least ``threshold``), ``n_copies`` (rows with
+    the very same text) and ``is_head`` (the text of the class's smallest id).
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, shingles five of them; a text of one to
+    four words is one shingle. Null counts as the empty text; empty texts have
+    no links and are copies of each other. Rows without an id belong to their
+    class like others; the class of a group in which no row has an id is null.
+    Repeated rows come back as often as they came in. An empty table gives an
+    empty result. Other columns are neither read nor returned."""
+    keyed = _keyed(docs, id_col, text_col)
+    verdict = _verdicts(keyed, words, threshold, recall)
     return (keyed.select("doc_id", "key").join(verdict, "key")
             .select("doc_id", "class_id", "n_links", "n_copies", "is_head"))
+
+
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                     threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id (one of
+    them, if it is repeated with the same text). The id is part of the join
+    key, so a large group of copies is spread over all tasks."""
+    heads = _verdicts(_keyed(docs, id_col, text_col), words, threshold, recall).where("is_head").select(
+        F.col("key").alias("_near_key"), F.col("rep").alias("_near_rep"))
+    rows = docs.select("*", F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("_near_text"))
+    return (rows.join(heads, (F.col("_near_text") == F.col("_near_key"))
+                      & F.col(f"`{id_col}`").eqNullSafe(F.col("_near_rep")))
+            .dropDuplicates(["_near_key", "_near_rep"]).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -6,10 +6,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdant.llm.common import ship, table
 from verdant.llm.decontaminate import contamination
+from verdant.llm.mixing import mix
 from verdant.llm.near_duplicates import near_duplicate_classes
+from verdant.llm.packing import pack_tokens
+from verdant.llm.toxicity import fit, in_held_out, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +32,23 @@ def op3_ngram_jaccard_join(spark, sf_dir):
 @query
 def op8_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_source_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_packed_tokens(spark, sf_dir):
+    packed = pack_tokens(table(spark, sf_dir, "documents"))
+    return packed.select("pack_id", "n_tokens", "doc_ids", "starts", "cu_seqlens",
+                         F.sha2("input_ids", 256).alias("ids_sha256"),
+                         F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), held_out=in_held_out)
+    return toxicity(docs, model).select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
