@@ -37,8 +37,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 256
 #: A block of a cluster holds about so many texts and bytes at most.
-BLOCK_DOCS = 1024
-BLOCK_BYTES = 4 << 20
+BLOCK_DOCS = 128
+BLOCK_BYTES = 1 << 20
 _COLUMNS = 4096
 
 

@@ -13,6 +13,8 @@ from verdant.llm.decontaminate import contamination
 from verdant.llm.mixing import mix
 from verdant.llm.near_duplicates import near_duplicate_classes
 from verdant.llm.packing import pack_tokens
+from verdant.llm.quality import quality
+from verdant.llm.secrets import secret_scan
 from verdant.llm.toxicity import fit, in_held_out, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,11 @@ def query(f):
     return f
 
 
+@query
+def op1_secret_scan(spark, sf_dir):
+    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 @query
 def op3_ngram_jaccard_join(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("is_head")
@@ -39,6 +46,11 @@ def op5_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality_outliers(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_packed_tokens(spark, sf_dir):
     packed = pack_tokens(table(spark, sf_dir, "documents"))
