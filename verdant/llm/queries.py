@@ -15,6 +15,7 @@ from verdant.llm.near_duplicates import near_duplicate_classes
 from verdant.llm.packing import pack_tokens
 from verdant.llm.quality import quality
 from verdant.llm.secrets import secret_scan
+from verdant.llm.substrings import repeated_passages
 from verdant.llm.toxicity import fit, in_held_out, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,11 @@ def op1_secret_scan(spark, sf_dir):
     return secret_scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op3_ngram_jaccard_join(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("is_head")
