@@ -78,9 +78,11 @@ def _band_hashes(texts: pa.Array, words: int, bands: int, rows: int) -> list[np.
     return out
 
 
-def _verify(pdf: pd.DataFrame, words: int, threshold: float) -> pd.DataFrame:
-    """Links among the texts of one block or between two blocks of a cluster."""
-    pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+def verify(pdf: pd.DataFrame, words: int, threshold: float, order: list[str] = ["node"]) -> pd.DataFrame:  # noqa: B006
+    """Links among the texts of one block or between two blocks of a cluster:
+    per linked text their number, the smallest text it is joined to, and whether
+    one of them comes earlier in ``order``."""
+    pdf = pdf.drop_duplicates("node").sort_values(order, ignore_index=True)
     node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
     sets, at = [], [0]
     for lo, hi, data, bounds in chunks(text_array(pa.array(pdf["text"], type=pa.large_utf8()))):
@@ -118,7 +120,26 @@ def _verify(pdf: pd.DataFrame, words: int, threshold: float) -> pd.DataFrame:
         head = least
     links = linked.sum(axis=1)
     has = links > 0
-    return pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "head": node[head[has]]})
+    return pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "head": node[head[has]],
+                         "earlier": np.tril(linked, -1).any(axis=1)[has]})
+
+
+VERIFIED = "node bigint, links bigint, head bigint, earlier boolean"
+
+
+def in_blocks(clusters: DataFrame) -> DataFrame:
+    """Rows (node, root, bytes, ...) with their block, of at most about
+    BLOCK_DOCS texts and BLOCK_BYTES, and their cluster's number of blocks k."""
+    blocks = clusters.groupBy("root").agg(F.greatest(
+        F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).alias("k"))
+    return clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+
+
+def in_block_pairs(texts: DataFrame) -> DataFrame:
+    """Every row once for each pair (bi, bj) of blocks that holds its block."""
+    other = F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("long")))
+    return texts.withColumn("other", other).withColumn("bi", F.least("block", "other")).withColumn(
+        "bj", F.greatest("block", "other")).drop("other", "k")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,18 +175,12 @@ def _verdicts(keyed: DataFrame, words: int, threshold: float, recall: float) ->
     clusters = cut(connected_components(near))
 
     sized = clusters.join(classes.select("node", "key", "rep", "bytes"), "node")
-    blocks = sized.groupBy("root").agg(F.greatest(
-        F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).alias("k"))
-    members = (sized.join(blocks, "root")
-               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
-               .select("node", "root", "k", "block", "key", "rep"))
+    members = in_blocks(sized).select("node", "root", "k", "block", "key", "rep")
     # The id in the join key spreads the rows of one large group of copies.
     texts = keyed.join(members, (keyed["key"] == members["key"]) & keyed["doc_id"].eqNullSafe(members["rep"])) \
         .select("node", "root", "k", "block", "text")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("long")))).select(
-        "node", "root", "block", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    verified = cut(dealt.groupBy("root", "bi", "bj").applyInPandas(
-        lambda pdf: _verify(pdf, words, threshold), "node bigint, links bigint, head bigint"))
+    verified = cut(in_block_pairs(texts).groupBy("root", "bi", "bj").applyInPandas(
+        lambda pdf: verify(pdf, words, threshold), VERIFIED))
 
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     found = cut(connected_components(verified.selectExpr("node AS a", "head AS b")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm.common import ship, table
 from verdant.llm.decontaminate import contamination
+from verdant.llm.lines import duplicate_lines
 from verdant.llm.mixing import mix
 from verdant.llm.near_duplicates import near_duplicate_classes
 from verdant.llm.packing import pack_tokens
@@ -47,6 +48,11 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_line_dedup(spark, sf_dir):
+    return duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
