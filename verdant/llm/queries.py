@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm.common import ship, table
 from verdant.llm.decontaminate import contamination
+from verdant.llm.licenses import license_scan
 from verdant.llm.lines import duplicate_lines
 from verdant.llm.mixing import mix
 from verdant.llm.near_duplicates import near_duplicate_classes
@@ -71,6 +72,13 @@ def op7_packed_tokens(spark, sf_dir):
                          F.sha2("position_ids", 256).alias("positions_sha256"))
 
 
+@query
+def op9_license_scan(spark, sf_dir):
+    """The documents have no paths of their own: source, language and id stand for one."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 @query
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
