@@ -76,6 +76,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def order_within(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Order by (group, value) for small whole groups in ascending order: one
+    sort of 64-bit keys that hold the group and the value's high bits, and the
+    exact two-key sort where those bits leave a tie between unequal values."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    bits = max(int(group[-1]).bit_length(), 1)
+    key = (group.astype(np.uint64) << np.uint64(64 - bits)) | (value >> np.uint64(bits))
+    order = np.argsort(key)
+    sorted_key, sorted_value = key[order], value[order]
+    if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_value[1:] != sorted_value[:-1])).any():
+        return np.lexsort((value, group))
+    return order
+
+
 class Words(NamedTuple):
     row: np.ndarray    # row of each word, ascending
     start: np.ndarray  # byte positions in the chunk's data
@@ -170,7 +185,10 @@ def shingles(words: Words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         row = np.concatenate([row, short])
         hashed = np.concatenate([hashed, tail + count[short].astype(np.uint64)])
     hashed = mix(hashed)
-    order = np.lexsort((hashed, row))
+    if len(short):  # rows in ascending order again
+        order = np.argsort(row, kind="stable")
+        row, hashed = row[order], hashed[order]
+    order = order_within(row, hashed)
     row, hashed = row[order], hashed[order]
     if len(row):
         keep = np.ones(len(row), bool)

@@ -4,8 +4,9 @@ A line is the set of its words. (1) A sketch of fixed size (counts of word
 hashes in 2**20 cells over all lines) orders words by rarity: the count of the
 cell, then the hash. The order is the same everywhere, so the join is exact
 whatever the sketch confuses; it only has to put frequent words last. (2) Lines
-with one word set are one class, reduced map-side; each carries its prefix (the
-``n - ceil(t n) + 1`` rarest words) and a 64-bit parity map of its words.
+with one word set are one class, named by its digest; each has its prefix (the
+``n - ceil(t n) + 1`` rarest words) and a 64-bit parity map of its words, kept
+once per batch of documents, so that a line that fills the corpus costs little.
 (3) Classes shuffle on prefix words. Within the run of a word, ordered by size,
 pairs pass the length filter, the positional filter and the parity filter (the
 maps of two sets differ in at most as many bits as the sets in words); a task
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import chunks, cut, mix, split_words, text_array
+from verdant.llm.common import chunks, cut, mix, order_within, span_hashes, split_words, text_array
 from verdant.llm.components import connected_components
-from verdant.llm.near_duplicates import VERIFIED, in_block_pairs, in_blocks, verify
+from verdant.llm.near_duplicates import in_block_pairs, in_blocks, verified
+from verdant.session import materialize
 
 THRESHOLD = 0.8
 CELLS = 1 << 20
@@ -77,7 +79,7 @@ class _Lines:
         starts = starts[starts < len(data)]
         w = split_words(data, bounds)
         of = np.searchsorted(starts, w.start, side="right") - 1
-        order = np.lexsort((w.hash, of))
+        order = order_within(of, w.hash)
         line, token = of[order], w.hash[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
@@ -107,11 +109,22 @@ class _Lines:
 
     def prefixes(self, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Rarest words of each line, line by line, and their bounds."""
-        order = np.lexsort((self.token, counts[(self.token & np.uint64(CELLS - 1)).astype(np.int64)], self.of))
+        cell = counts[(self.token & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
+        # rarity and token in one value; the token's order decides between equal cells
+        order = order_within(self.of, (np.minimum(cell, np.uint64((1 << 24) - 1)) << np.uint64(40))
+                             | (self.token >> np.uint64(24)))
         place = np.arange(len(order)) - np.repeat(self.begin, self.size)
         take = self.size - _needed(self.size, share) + 1
         inside = place < np.repeat(take, self.size)
-        return self.token[order][inside], np.concatenate([[0], np.cumsum(take)])
+        return (self.token[order][inside] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate([[0], np.cumsum(take)])
+
+    def raw(self, data: np.ndarray) -> np.ndarray:
+        """Hash of each line's bytes."""
+        return raw_lines(data, self.start, self.end)
+
+
+def raw_lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(data, start, end).view(np.int64)
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +148,9 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _passing(token, node, size, place, parity, share: float):
     """Links between classes of one prefix word that pass all filters; rows are
-    ordered by (token, size)."""
+    ordered by (token, size, node)."""
+    once = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])[:len(token)]
+    token, node, size, place, parity = (x[once] for x in (token, node, size, place, parity))
     at, step, found = np.arange(len(token)), 0, []
     held = 0
     while True:
@@ -181,13 +196,13 @@ def _candidates(classes: DataFrame, share: float) -> DataFrame:
         if kept is not None:
             yield out(kept)
 
-    return (index.repartition("token").sortWithinPartitions("token", "size")
+    return (index.repartition("token").sortWithinPartitions("token", "size", "node")
             .select("token", "node", "size", "place", "parity").mapInArrow(sweep, "a bigint, b bigint"))
 
 
-def _filter_bits(digests: DataFrame) -> np.ndarray:
-    """Bit table of ``h1``: of fixed size, at most 8 MB to the driver."""
-    words = (digests.selectExpr(f"pmod(h1, {FILTER_BITS}) AS bit").groupBy(F.expr("bit >> 6").alias("w"))
+def _filter_bits(raw: DataFrame) -> np.ndarray:
+    """Bit table of line hashes: of fixed size, at most 8 MB to the driver."""
+    words = (raw.selectExpr(f"pmod(raw, {FILTER_BITS}) AS bit").groupBy(F.expr("bit >> 6").alias("w"))
              .agg(F.expr("bit_or(1L << CAST(bit & 63 AS INT))").alias("bits")).toArrow())
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy()
@@ -214,86 +229,89 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, rows = batch.column("doc_id"), np.asarray(batch.column("row"))
+            kept = np.zeros(0, np.int64)
             for lo, hi, data, bounds in chunks(text_array(batch.column("text"))):
                 lines = _Lines(data, bounds)
                 h1, h2 = lines.digests()
                 prefix, ends = lines.prefixes(counts.value, threshold)
+                fresh = np.zeros(len(h1), bool)  # first in this batch: the others need no prefix
+                fresh[np.unique(h1, return_index=True)[1]] = True
+                fresh &= ~np.isin(h1, kept)
+                kept = np.concatenate([kept, h1[fresh]])
+                n = hi - lo
+                of = np.concatenate([lines.row, np.arange(n)])
+                bare = np.zeros(n, np.int64)  # every document also has one row with line -1
+                cat = lambda x, t: pa.array(np.concatenate([x, bare]).astype(t))
+                total = np.concatenate([np.zeros(len(h1), np.int64), np.bincount(lines.row, minlength=n)])
+                width = np.concatenate([np.where(fresh, np.diff(ends), 0), bare])
+                offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+                prefix = prefix[np.repeat(fresh, np.diff(ends))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)),
-                     pa.array(h1), pa.array(h2), pa.array(lines.size.astype(np.int32)), pa.array((lines.end - lines.start).astype(np.int32)),
-                     pa.array(lines.parity().view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64)))],
-                    names=["doc_id", "line", "h1", "h2", "size", "bytes", "parity", "prefix"])
-
-    seen = src.mapInArrow(classify, f"doc_id {id_type}, line int, h1 bigint, h2 int, size int, bytes int, "
-                                    "parity bigint, prefix array<bigint>")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("line").alias("line"))
-    classes = cut(seen.groupBy("h1", "h2").agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("c"), F.first("size").alias("size"),
-        F.first("bytes").alias("bytes"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"),
-    ).withColumn("node", F.monotonically_increasing_id()))
-
-    clusters = cut(connected_components(_candidates(classes, threshold)))
-    members = cut(in_blocks(clusters.join(classes.select("node", "h1", "h2", "first", "bytes"), "node")))
-    picked = spark.sparkContext.broadcast(_filter_bits(members))
+                    [pa.array(rows[lo:hi][of]), ids.slice(lo, n).take(pa.array(of)),
+                     pa.array(np.concatenate([lines.number, np.full(n, -1)]).astype(np.int32)),
+                     pa.array(total.astype(np.int32)), cat(h1, np.int64), cat(h2, np.int32), cat(lines.size, np.int32),
+                     cat(lines.end - lines.start, np.int32), cat(lines.raw(data), np.int64),
+                     cat(lines.parity().view(np.int64), np.int64),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
+                    names=["row", "doc_id", "line", "n_lines", "h1", "h2", "size", "bytes", "raw", "parity", "prefix"])
+
+    # A table in the shared folder: its readers need a few columns each.
+    seen = materialize(src.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        classify, f"row bigint, doc_id {id_type}, line int, n_lines int, h1 bigint, h2 int, size int, bytes int, "
+                  "raw bigint, parity bigint, prefix array<int>"), "lines")
+    # Two sets with one 64-bit digest would share a node here: their cluster is verified all the same.
+    clusters = cut(connected_components(_candidates(
+        seen.where("size(prefix) > 0").selectExpr("h1 AS node", "size", "parity", "prefix"), threshold)))
+
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("line").alias("line"),
+                     F.col("raw").alias("raw"), F.col("bytes").alias("bytes"))
+    classes = seen.where("line >= 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    marked = cut(classes.join(clusters.withColumnRenamed("node", "h1"), "h1", "left").where("c > 1 OR root IS NOT NULL")
+                 .select("h1", "h2", "first", "c", "root", F.monotonically_increasing_id().alias("node"),
+                         F.col("first.bytes").alias("bytes"), F.col("first.raw").alias("raw")))
+    members = in_blocks(marked.where("root IS NOT NULL")).select("node", "root", "k", "block", "raw", "first")
+    picked = spark.sparkContext.broadcast(_filter_bits(marked.where("root IS NOT NULL")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = picked.value.view(np.uint64)
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, data, bounds in chunks(text_array(batch.column("text"))):
-                lines = _Lines(data, bounds)
-                h1, h2 = lines.digests()
-                bit = np.mod(h1, FILTER_BITS)
+                start = np.union1d(bounds[:-1], np.flatnonzero(data == 10) + 1)
+                start = start[start < len(data)]
+                end = np.concatenate([start[1:], [len(data)]]) if len(start) else start
+                row = np.searchsorted(bounds, start, side="right") - 1
+                number = np.arange(len(start)) - np.searchsorted(start, bounds[:-1])[row]
+                raw = raw_lines(data, start, end)
+                bit = np.mod(raw, FILTER_BITS)
                 has = np.flatnonzero((bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
-                texts = [data[s:e].tobytes() for s, e in zip(lines.start[has], lines.end[has])]
+                texts = [data[s:e].tobytes() for s, e in zip(start[has], end[has])]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(lines.row[has])), pa.array(lines.number[has].astype(np.int32)),
-                     pa.array(h1[has]), pa.array(h2[has]), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "line", "h1", "h2", "text"])
+                    [ids.slice(lo, hi - lo).take(pa.array(row[has])), pa.array(number[has].astype(np.int32)),
+                     pa.array(raw[has]), pa.array(texts, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "line", "raw", "text"])
 
-    texts = src.mapInArrow(pick, f"doc_id {id_type}, line int, h1 bigint, h2 int, text string")
-    at_first = ((texts["h1"] == members["h1"]) & (texts["h2"] == members["h2"]) & (texts["line"] == members["first.line"])
+    # The id in the join key spreads the rows of a line with many copies.
+    texts = src.mapInArrow(pick, f"doc_id {id_type}, line int, raw bigint, text string")
+    at_first = ((texts["raw"] == members["raw"]) & (texts["line"] == members["first.line"])
                 & texts["doc_id"].eqNullSafe(members["first.id"]))
     held = texts.join(members, at_first).select("node", "root", "k", "block", "text", F.col("first.none").alias("p0"),
                                                 F.col("first.id").alias("p1"), F.col("first.line").alias("p2"))
-    verified = cut(in_block_pairs(held).groupBy("root", "bi", "bj").applyInPandas(
-        lambda pdf: verify(pdf, 1, threshold, ["p0", "p1", "p2", "node"]), VERIFIED))
-    linked = verified.groupBy("node").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
-    verdict = (classes.select("node", "h1", "h2", "first", "c").join(linked, "node", "left").where("c > 1 OR links > 0")
+    pairs = verified(in_block_pairs(held), 1, threshold, ["p0", "p1", "p2", "node"])
+    linked = pairs.groupBy("node").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
+    verdict = (marked.select("node", "h1", "h2", "first", "c").join(linked, "node", "left").where("c > 1 OR links > 0")
                .select("h1", "h2", "first", "links", F.coalesce("earlier", F.lit(False)).alias("earlier")))
 
-    def place_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = batch.column("doc_id"), np.asarray(batch.column("row"))
-            for lo, hi, data, bounds in chunks(text_array(batch.column("text"))):
-                lines = _Lines(data, bounds)
-                h1, h2 = lines.digests()
-                n = hi - lo
-                own = rows[lo:hi].astype(np.uint64)
-                of = np.concatenate([lines.row, np.arange(n)])
-                many = np.bincount(lines.row, minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[lo:hi][of]), ids.slice(lo, n).take(pa.array(of)),
-                     pa.array(np.concatenate([h1, mix(own).view(np.int64)])),
-                     pa.array(np.concatenate([h2, mix(own + np.uint64(1)).astype(np.uint32).view(np.int32)])),
-                     pa.array(np.concatenate([lines.number, np.full(n, -1)]).astype(np.int32)),
-                     pa.array(np.concatenate([np.zeros(len(lines.row)), many]).astype(np.int32))],
-                    names=["row", "doc_id", "h1", "h2", "line", "n_lines"])
-
-    # every document also has one row with line -1, under a digest of its own number
-    places = src.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        place_lines, f"row bigint, doc_id {id_type}, h1 bigint, h2 int, line int, n_lines int")
-    met = places.join(verdict, ["h1", "h2"], "left").where("line < 0 OR first IS NOT NULL")
-    goes = (F.col("line") >= 0) & (F.col("earlier") | ~(
-        (F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.id"))))
-    gone = F.array_sort(F.collect_list(F.when(goes, F.col("line"))))
-    return met.groupBy("row").agg(
+    whole = seen.where("line < 0").select("row", "doc_id", "n_lines", F.lit(-1).alias("line"), F.lit(0).alias("links"), F.lit(False).alias("goes"))
+    goes = F.col("earlier") | ~((F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.id")))
+    met = (seen.where("line >= 0").select("row", "doc_id", "h1", "h2", "line", "n_lines").join(verdict, ["h1", "h2"])
+           .select("row", "doc_id", "n_lines", "line", F.coalesce("links", F.lit(0)).alias("links"), goes.alias("goes")))
+    return whole.unionByName(met).groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_lines").cast("long").alias("n_lines"),
-        F.sum(F.when(goes, 1).otherwise(0)).alias("n_removed"),
-        F.sum(F.when(F.col("line") >= 0, F.coalesce("links", F.lit(0))).otherwise(0)).alias("n_links"),
-        F.concat_ws(",", F.transform(gone, lambda x: x.cast("string"))).alias("removed")).drop("row")
+        F.sum(F.col("goes").cast("long")).alias("n_removed"), F.sum("links").cast("long").alias("n_links"),
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col("goes"), F.col("line")))),
+                                     lambda x: x.cast("string"))).alias("removed")).drop("row")
 
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

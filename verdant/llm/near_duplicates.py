@@ -24,12 +24,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import chunks, cut, mix, shingles, split_words, text_array
+from verdant.llm.common import chunks, cut, mix, shingles, span_indices, split_words, text_array
 from verdant.llm.components import connected_components
 
 WORDS = 5
@@ -40,6 +39,7 @@ MAX_HASHES = 256
 BLOCK_DOCS = 128
 BLOCK_BYTES = 1 << 20
 _COLUMNS = 4096
+_HELD_BYTES = 8 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL,
@@ -78,41 +78,36 @@ def _band_hashes(texts: pa.Array, words: int, bands: int, rows: int) -> list[np.
     return out
 
 
-def verify(pdf: pd.DataFrame, words: int, threshold: float, order: list[str] = ["node"]) -> pd.DataFrame:  # noqa: B006
-    """Links among the texts of one block or between two blocks of a cluster:
-    per linked text their number, the smallest text it is joined to, and whether
-    one of them comes earlier in ``order``."""
-    pdf = pdf.drop_duplicates("node").sort_values(order, ignore_index=True)
-    node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
-    sets, at = [], [0]
-    for lo, hi, data, bounds in chunks(text_array(pa.array(pdf["text"], type=pa.large_utf8()))):
-        found, ends = shingles(split_words(data, bounds), hi - lo, words)
-        sets.append(found)
-        at += list(ends[1:] + at[-1])
-    flat, at = np.concatenate(sets), np.array(at)
-    n = len(node)
+def _links(flat: np.ndarray, at: np.ndarray, block: np.ndarray, across: bool, threshold: float) -> np.ndarray:
+    """Which of the sets ``flat[at[i]:at[i + 1]]`` are linked (symmetric)."""
+    n = len(at) - 1
     size = np.diff(at)
-    doc = np.repeat(np.arange(n), size)
-    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times[col] > 1
-    doc, col = doc[shared], col[shared]
-    order = np.argsort(col, kind="stable")
-    doc, col = doc[order], col[order]
-    col = np.cumsum(np.r_[0, col[1:] != col[:-1]]) if len(col) else col
+    order = np.argsort(flat, kind="stable")
+    sorted_flat = flat[order]
+    new = np.concatenate([[True], sorted_flat[1:] != sorted_flat[:-1]])[:len(order)]
+    col = np.cumsum(new) - 1
+    shared = (np.bincount(col) > 1)[col] if len(col) else new
+    doc = np.repeat(np.arange(n), size)[order][shared]
+    col = np.cumsum(new[shared]) - 1
     common = np.zeros((n, n), dtype=np.float32)
     for first in range(0, int(col[-1]) + 1 if len(col) else 0, _COLUMNS):
         lo, hi = np.searchsorted(col, [first, first + _COLUMNS])
-        inc = np.zeros((n, min(_COLUMNS, int(col[hi - 1]) - first + 1)), dtype=np.float32)
+        inc = np.zeros((n, int(col[hi - 1]) - first + 1), dtype=np.float32)
         inc[doc[lo:hi], col[lo:hi] - first] = 1
         common += inc @ inc.T
-    joined = size[:, None] + size[None, :] - common
-    # the same test in whole numbers as |A & B| >= threshold * |A | B|
-    linked = (common > 0) & (common >= threshold * joined - 1e-9)
+    linked = (common > 0) & (common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6)
     np.fill_diagonal(linked, False)
-    if pdf["bi"].iat[0] != pdf["bj"].iat[0]:
+    if across:
         linked &= block[:, None] != block[None, :]
+    return linked
+
+
+def _verdict(linked: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Node, number of links, smallest joined node and whether a link goes to an
+    earlier row, of every linked row."""
+    n = len(node)
     head = np.arange(n)
-    while True:  # smallest linked text, followed to the end
+    while True:  # first linked row, followed to the end
         least = np.minimum(head, np.where(linked, head[None, :], n).min(axis=1, initial=n))
         least = least[least]
         if (least == head).all():
@@ -120,8 +115,59 @@ def verify(pdf: pd.DataFrame, words: int, threshold: float, order: list[str] = [
         head = least
     links = linked.sum(axis=1)
     has = links > 0
-    return pd.DataFrame({"node": node[has], "links": links[has].astype(np.int64), "head": node[head[has]],
-                         "earlier": np.tril(linked, -1).any(axis=1)[has]})
+    return node[has], links[has], node[head[has]], np.tril(linked, -1).any(axis=1)[has]
+
+
+def verified(texts: DataFrame, words: int, threshold: float, order: list[str]) -> DataFrame:
+    """Rows (root, bi, bj, node, block, text and the columns of ``order``) of
+    blocks and pairs of blocks -> per block and linked text the number of its
+    links, a text it is joined to, and whether a linked one comes earlier in
+    ``order``. Tasks stream over their rows in order of the groups."""
+    group = ["root", "bi", "bj"]
+    columns = [*group, "node", "block", "text"]
+
+    def check(rows: pa.Table) -> pa.RecordBatch:
+        sets, at = [], [0]
+        for lo, hi, data, bounds in chunks(text_array(rows["text"])):
+            found, ends = shingles(split_words(data, bounds), hi - lo, words)
+            sets.append(found)
+            at += (ends[1:] + at[-1]).tolist()
+        flat, at = np.concatenate(sets), np.array(at)
+        node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+        keys = np.stack([rows[c].to_numpy() for c in group])
+        begin = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        out = []
+        for lo, hi in zip(begin, [*begin[1:], len(node)]):
+            _, once = np.unique(node[lo:hi], return_index=True)  # repeated rows of one text
+            if len(once) > 1:
+                pick = lo + np.sort(once)
+                held = span_indices(at[pick], at[pick + 1])
+                bounds = np.concatenate([[0], np.cumsum(at[pick + 1] - at[pick])])
+                linked = _links(flat[held], bounds, block[pick], keys[1, lo] != keys[2, lo], threshold)
+                if linked.any():
+                    out.append(_verdict(linked, node[pick]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols[:3]] + [pa.array(cols[3])],
+                                          names=["node", "links", "head", "earlier"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).select(columns)
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.nbytes < _HELD_BYTES:
+                continue
+            last = [held[c][-1].as_py() for c in group]
+            same = np.logical_and.reduce([held[c].to_numpy() == v for c, v in zip(group, last)])
+            whole = int(same.argmax())
+            if whole:
+                yield check(held.slice(0, whole).combine_chunks())
+                held = held.slice(whole).combine_chunks()
+        if held is not None and held.num_rows:
+            yield check(held.combine_chunks())
+
+    return (texts.repartition(*group).sortWithinPartitions(*group, *order)
+            .select(*columns).mapInArrow(stream, VERIFIED))
 
 
 VERIFIED = "node bigint, links bigint, head bigint, earlier boolean"
@@ -179,11 +225,10 @@ def _verdicts(keyed: DataFrame, words: int, threshold: float, recall: float) ->
     # The id in the join key spreads the rows of one large group of copies.
     texts = keyed.join(members, (keyed["key"] == members["key"]) & keyed["doc_id"].eqNullSafe(members["rep"])) \
         .select("node", "root", "k", "block", "text")
-    verified = cut(in_block_pairs(texts).groupBy("root", "bi", "bj").applyInPandas(
-        lambda pdf: verify(pdf, words, threshold), VERIFIED))
+    pairs = cut(verified(in_block_pairs(texts), words, threshold, ["node"]))
 
-    links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
-    found = cut(connected_components(verified.selectExpr("node AS a", "head AS b")))
+    links = pairs.groupBy("node").agg(F.sum("links").alias("n_links"))
+    found = cut(connected_components(pairs.selectExpr("node AS a", "head AS b")))
     ids = (classes.select("node", "key", "rep", "n_copies").join(links, "node", "left").join(found, "node", "left")
            .withColumn("root", F.coalesce("root", "node")))
     least = ids.groupBy("root").agg(F.min("rep").alias("class_id"), F.min_by("node", F.struct(
