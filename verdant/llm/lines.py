@@ -5,8 +5,8 @@ hashes in 2**20 cells over all lines) orders words by rarity: the count of the
 cell, then the hash. The order is the same everywhere, so the join is exact
 whatever the sketch confuses; it only has to put frequent words last. (2) Lines
 with one word set are one class, named by its digest; each has its prefix (the
-``n - ceil(t n) + 1`` rarest words) and a 64-bit parity map of its words, kept
-once per batch of documents, so that a line that fills the corpus costs little.
+``n - ceil(t n) + 1`` rarest words) and a parity map of its words (a bit or
+more for each), kept once per batch of documents, so that a line that fills the corpus costs little.
 (3) Classes shuffle on prefix words. Within the run of a word, ordered by size,
 pairs pass the length filter, the positional filter and the parity filter (the
 maps of two sets differ in at most as many bits as the sets in words); a task
@@ -103,9 +103,17 @@ class _Lines:
         h2 = mix(self._sum(mix(self.token ^ np.uint64(0x5851F42D4C957F2D))) + self.size.astype(np.uint64))
         return h1.view(np.int64), h2.astype(np.uint32).view(np.int32)
 
-    def parity(self) -> np.ndarray:
-        bits = np.uint64(1) << (mix(self.token + np.uint64(1)) >> np.uint64(58))
-        return np.bitwise_xor.reduceat(bits, self.begin) if len(self.begin) else np.zeros(0, np.uint64)
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parity maps, line by line, and their bounds: 64-bit words, as many as
+        the power of two that gives each word of the line a bit. Folding the
+        halves of a map by XOR gives the map of half the width."""
+        width = np.int64(1) << np.ceil(np.log2(np.maximum(self.size / 64, 1))).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(width)])
+        h = mix(self.token + np.uint64(1))
+        at = bounds[self.of] + ((h >> np.uint64(6)) & (width[self.of] - 1).astype(np.uint64)).astype(np.int64)
+        maps = np.zeros(bounds[-1], np.uint64)
+        np.bitwise_xor.at(maps, at, np.uint64(1) << (h & np.uint64(63)))
+        return maps, bounds
 
     def prefixes(self, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Rarest words of each line, line by line, and their bounds."""
@@ -146,13 +154,28 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[has], nodes[label[has]]
 
 
-def _passing(token, node, size, place, parity, share: float):
-    """Links between classes of one prefix word that pass all filters; rows are
-    ordered by (token, size, node)."""
-    once = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])[:len(token)]
-    token, node, size, place, parity = (x[once] for x in (token, node, size, place, parity))
-    at, step, found = np.arange(len(token)), 0, []
-    held = 0
+def _differing(maps, begin, width, x, y) -> np.ndarray:
+    """Differing bits of the parity maps of rows x and y, at the smaller width."""
+    out = np.zeros(len(x), np.int64)
+    wx, wy = width[x], width[y]
+    for a, b in {*zip(wx.tolist(), wy.tolist())}:
+        of = np.flatnonzero((wx == a) & (wy == b))
+        w = min(a, b)
+        fold = [np.bitwise_xor.reduce(maps[begin[r[of], None] + np.arange(k)].reshape(len(of), k // w, w), axis=1)
+                for r, k in ((x, a), (y, b))]
+        out[of] = np.bitwise_count(fold[0] ^ fold[1]).sum(axis=1)
+    return out
+
+
+def _passing(rows: dict[str, np.ndarray], maps: np.ndarray, share: float):
+    """Links between classes of one prefix word that pass all filters; the maps
+    of the rows are at ``begin``, ``width`` long."""
+    order = np.lexsort((rows["node"], rows["size"], rows["token"]))
+    rows = {c: x[order] for c, x in rows.items()}
+    new = np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])
+    once = new[:len(rows["token"])]
+    token, node, size, place, begin, width = (rows[c][once] for c in ("token", "node", "size", "place", "begin", "width"))
+    at, step, found, held = np.arange(len(token)), 0, [], 0
     while True:
         step += 1
         at = at[at + step < len(token)]
@@ -163,15 +186,17 @@ def _passing(token, node, size, place, parity, share: float):
             break
         both = size[at] + size[to]
         least = _needed(both, share / (1 + share))
-        room = 1 + np.minimum(size[at] - place[at], size[to] - place[to]) - 1
-        passed = (room >= least) & (np.bitwise_count(parity[at] ^ parity[to]) <= both - 2 * least) & (node[at] != node[to])
+        room = np.minimum(size[at] - place[at], size[to] - place[to])
+        fits = np.flatnonzero((room >= least) & (node[at] != node[to]))
+        x, y = at[fits], to[fits]
+        passed = _differing(maps, begin, width, x, y) <= both[fits] - 2 * least[fits]
         if passed.any():
-            found.append((node[at[passed]], node[to[passed]]))
+            found.append((node[x[passed]], node[y[passed]]))
             held += int(passed.sum())
             if held > 1_000_000:
-                found = [_spanning(*(np.concatenate(x) for x in zip(*found)))]
+                found = [_spanning(*(np.concatenate(f) for f in zip(*found)))]
                 held = len(found[0][0])
-    return _spanning(*(np.concatenate(x) for x in zip(*found))) if found else (node[:0], node[:0])
+    return _spanning(*(np.concatenate(f) for f in zip(*found))) if found else (node[:0], node[:0])
 
 
 def _candidates(classes: DataFrame, share: float) -> DataFrame:
@@ -179,24 +204,30 @@ def _candidates(classes: DataFrame, share: float) -> DataFrame:
     index = classes.select("node", "size", "parity", F.posexplode("prefix").alias("place", "token"))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-
-        def out(rows):
-            a, b = _passing(rows["token"], rows["node"], rows["size"].astype(np.int64), rows["place"].astype(np.int64),
-                            rows["parity"].view(np.uint64), share)
+        held = None
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            maps = rows["parity"].combine_chunks().cast(pa.large_binary())
+            ends = np.frombuffer(maps.buffers()[1], np.int64)[maps.offset:maps.offset + len(maps) + 1] // 8
+            flat = np.frombuffer(maps.buffers()[2], np.uint64, count=int(ends[-1]))
+            columns = {c: rows[c].to_numpy().astype(np.int64) for c in ("token", "node", "size", "place")}
+            a, b = _passing(columns | {"begin": ends[:-1], "width": np.diff(ends)}, flat, share)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            rows = {c: np.asarray(batch.column(c)) for c in batch.schema.names}
-            kept = rows if kept is None else {c: np.concatenate([kept[c], rows[c]]) for c in rows}
-            if len(kept["token"]) >= _RUN_ROWS and kept["token"][0] != kept["token"][-1]:
-                last = np.searchsorted(kept["token"], kept["token"][-1])
-                yield out({c: x[:last] for c, x in kept.items()})
-                kept = {c: x[last:] for c, x in kept.items()}
-        if kept is not None:
-            yield out(kept)
-
-    return (index.repartition("token").sortWithinPartitions("token", "size", "node")
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows < _RUN_ROWS:
+                continue
+            token = held["token"].to_numpy()
+            last = int(np.searchsorted(token, token[-1]))
+            if last:
+                yield out(held.slice(0, last).combine_chunks())
+                held = held.slice(last).combine_chunks()
+        if held is not None and held.num_rows:
+            yield out(held.combine_chunks())
+
+    return (index.repartition("token").sortWithinPartitions("token")
             .select("token", "node", "size", "place", "parity").mapInArrow(sweep, "a bigint, b bigint"))
 
 
@@ -244,6 +275,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 bare = np.zeros(n, np.int64)  # every document also has one row with line -1
                 cat = lambda x, t: pa.array(np.concatenate([x, bare]).astype(t))
                 total = np.concatenate([np.zeros(len(h1), np.int64), np.bincount(lines.row, minlength=n)])
+                maps, map_ends = lines.parity()
                 width = np.concatenate([np.where(fresh, np.diff(ends), 0), bare])
                 offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
                 prefix = prefix[np.repeat(fresh, np.diff(ends))]
@@ -252,14 +284,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      pa.array(np.concatenate([lines.number, np.full(n, -1)]).astype(np.int32)),
                      pa.array(total.astype(np.int32)), cat(h1, np.int64), cat(h2, np.int32), cat(lines.size, np.int32),
                      cat(lines.end - lines.start, np.int32), cat(lines.raw(data), np.int64),
-                     cat(lines.parity().view(np.int64), np.int64),
+                     pa.Array.from_buffers(pa.binary(), len(of), [
+                         None, pa.py_buffer((np.concatenate([map_ends, np.full(n, map_ends[-1])]) * 8).astype(np.int32)),
+                         pa.py_buffer(maps)]),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
                     names=["row", "doc_id", "line", "n_lines", "h1", "h2", "size", "bytes", "raw", "parity", "prefix"])
 
     # A table in the shared folder: its readers need a few columns each.
     seen = materialize(src.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         classify, f"row bigint, doc_id {id_type}, line int, n_lines int, h1 bigint, h2 int, size int, bytes int, "
-                  "raw bigint, parity bigint, prefix array<int>"), "lines")
+                  "raw bigint, parity binary, prefix array<int>"), "lines")
     # Two sets with one 64-bit digest would share a node here: their cluster is verified all the same.
     clusters = cut(connected_components(_candidates(
         seen.where("size(prefix) > 0").selectExpr("h1 AS node", "size", "parity", "prefix"), threshold)))
