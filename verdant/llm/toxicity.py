@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from verdant.llm.common import WORD_BYTES, chunks, mix, span_hashes, span_indices, split_words, text_array
 
 #: Labelled documents that training uses at most (about; chosen by a hash of the id).
-TRAIN_DOCS = 10_000
+TRAIN_DOCS = 8_000
 BUCKETS = 1 << 19
 DIM = 16
 WINDOW = 4
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
 _SEED = 7
+_BLOCK_WORDS = 200_000
 
 
 def _word_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,20 +104,27 @@ class _Sample:
         self.grams, self.size = join(grams, np.int32), join(sizes, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         self.codes = join(codes, np.int32)
-        self.row, self.begin, self.end = _windows(np.concatenate([[0], np.cumsum(join(counts, np.int64))]).astype(np.int64))
-
-    def scores(self, weight: np.ndarray) -> np.ndarray:
-        """Mean gram weight of every window."""
-        if not len(self.codes):
-            return np.zeros(0)
-        per_word = np.add.reduceat(weight[self.grams].astype(np.float64), self.first[:-1])
-        return _means(per_word[self.codes], self.size[self.codes], self.begin, self.end)
-
-    def bag(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(gram, number of its window among ``windows``), window by window."""
-        b, e = self.begin[windows], self.end[windows]
+        self.bounds = np.concatenate([[0], np.cumsum(join(counts, np.int64))]).astype(np.int64)
+
+    def worst(self, most: int, weight: np.ndarray | None = None, rng=None) -> tuple[np.ndarray, ...]:
+        """(row, first word, end word, rank) of the ``most`` windows of each row
+        with the highest mean gram weight, or of random ones; block by block."""
+        per_word = None if weight is None else np.add.reduceat(weight[self.grams], self.first[:-1]).astype(np.float64)
+        out, lo, rows = [], 0, len(self.bounds) - 1
+        while lo < rows:
+            hi = min(max(lo + 1, int(np.searchsorted(self.bounds, self.bounds[lo] + _BLOCK_WORDS))), rows)
+            codes = self.codes[self.bounds[lo]:self.bounds[hi]]
+            row, begin, end = _windows(self.bounds[lo:hi + 1] - self.bounds[lo])
+            score = rng.random(len(row)) if weight is None else _means(per_word[codes], self.size[codes], begin, end)
+            order, rank = _worst(row, score, most)
+            out.append((row[order] + lo, begin[order] + self.bounds[lo], end[order] + self.bounds[lo], rank))
+            lo = hi
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def bag(self, b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gram, number of its window) of the given windows, window by window."""
         codes = self.codes[span_indices(b, e)]
-        which = np.repeat(np.arange(len(windows)), e - b)
+        which = np.repeat(np.arange(len(b)), e - b)
         return (self.grams[span_indices(self.first[codes], self.first[codes + 1])], np.repeat(which, self.size[codes]))
 
 
@@ -125,12 +133,12 @@ def _means(value, count, begin, end):
     return (total[end] - total[begin]) / np.maximum(n[end] - n[begin], 1)
 
 
-def _worst(row: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` highest windows of each row."""
+def _worst(row: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` highest windows of each row, and their ranks from 0."""
     order = np.lexsort((-score, row))
     ranked = row[order]
     place = np.arange(len(order)) - np.searchsorted(ranked, ranked)
-    return order[place < most]
+    return order[place < most], place[place < most]
 
 
 def train(texts: list[str], labels: list[int], turns: int = 8, rate: float = 0.3) -> Model:
@@ -139,7 +147,7 @@ def train(texts: list[str], labels: list[int], turns: int = 8, rate: float = 0.3
     y = np.asarray(labels, dtype=np.int64)
     base = (y.sum() + 0.5) / (len(y) + 1.0)
     prior = float(np.log(base / (1 - base)))
-    if len(set(labels)) < 2:
+    if len(set(labels)) < 2 or not any(t and not t.isspace() for t in texts):
         return Model(np.zeros(BUCKETS, np.float32), prior)
     rng = np.random.default_rng(_SEED)
     sample = _Sample(texts)
@@ -150,23 +158,21 @@ def train(texts: list[str], labels: list[int], turns: int = 8, rate: float = 0.3
     heavier = float(np.sqrt((len(y) - y.sum()) / y.sum()))
     for turn in range(turns):
         if turn < 2:  # windows spread over the documents
-            chosen = _worst(sample.row, rng.random(len(sample.row)), 12)
-        else:
-            score = sample.scores(vectors @ (soft[:, 1] - soft[:, 0]))
-            chosen = _worst(sample.row, score, 3)
-            top = _worst(sample.row, score, 1)
-            chosen = np.union1d(chosen[y[sample.row[chosen]] == 0], top)
-        rng.shuffle(chosen)
-        for lo in range(0, len(chosen), 256):
-            part = chosen[lo:lo + 256]
-            gram, which = sample.bag(part)
+            row, begin, end, _ = sample.worst(12, rng=rng)
+        else:  # the worst window, and the worst three of documents without the label
+            row, begin, end, rank = sample.worst(3, vectors @ (soft[:, 1] - soft[:, 0]))
+            row, begin, end = (x[(rank == 0) | (y[row] == 0)] for x in (row, begin, end))
+        mixed = rng.permutation(len(row))
+        for lo in range(0, len(mixed), 256):
+            part = mixed[lo:lo + 256]
+            gram, which = sample.bag(begin[part], end[part])
             count = np.bincount(which, minlength=len(part)).astype(np.float32)[:, None]
             starts = np.searchsorted(which, np.arange(len(part)))
             mean = np.add.reduceat(vectors[gram], starts) / count
             logit = mean @ soft + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            label = y[sample.row[part]]
+            label = y[row[part]]
             p[np.arange(len(part)), label] -= 1
             p *= np.where(label == 1, heavier, 1.0).astype(np.float32)[:, None]
             back = (p @ soft.T) / count
