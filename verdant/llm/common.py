@@ -18,7 +18,7 @@ from verdant.session import checkpoint_root
 #: Rows up to which a small side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
 #: Text bytes that a task turns into numpy arrays at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,7 +141,8 @@ def text_array(col) -> pa.Array:
     """Column as large UTF-8 array; null counts as the empty text."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return pc.fill_null(col.cast(pa.large_utf8()), "")
+    col = col.cast(pa.large_utf8())
+    return pc.fill_null(col, "") if col.null_count else col
 
 
 def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

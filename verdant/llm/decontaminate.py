@@ -2,7 +2,7 @@
 
 The benchmark is the query side: its words (ids of 64-bit word hashes) are
 sent to all tasks in blocks of bounded size. Every task cuts its documents
-into shards of about a million words, builds the shard's suffix array and
+into shards of a few hundred thousand words, builds the shard's suffix array and
 binary-searches *every* benchmark suffix in it, one word deeper at a time,
 until its interval is empty: that gives the longest verbatim match of each
 suffix and, from the interval at window depth, all places of the window.
@@ -27,7 +27,7 @@ WINDOW = 10
 #: Bytes of benchmark text broadcast at once; a larger benchmark goes in blocks.
 BLOCK_BYTES = 32 << 20
 #: Text bytes of a shard (one longer document is a shard of its own).
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _ORDERED = 27  # words by which a shard's suffixes are ordered
 
 

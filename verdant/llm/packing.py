@@ -1,6 +1,6 @@
 """Token ids of documents packed into rows of fixed length.
 
-Every task tokenizes its own documents and packs them window by window (a few
+Every task tokenizes its own documents and packs them window by window (about a
 million tokens) with best-fit-decreasing: pieces in order of falling length,
 each into the open row with the least room that still holds it, found in a
 segment tree over the rooms 0..length. Documents longer than a row are cut
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 2048
-WINDOW_TOKENS = 4 << 20
+WINDOW_TOKENS = 1 << 20
 PAD = 50256
 #: Fixed value: the split pattern that belongs to the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
