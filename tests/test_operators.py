@@ -133,7 +133,8 @@ def test_pii_scrub_order(spark):
     assert _one(spark, pii_scrub, "see https://x.io/p?q=1 ID AB-12345") == "see [URL] ID [ID]"
     assert _one(spark, pii_scrub, "AB-12345678") == "AB-[PHONE]"
     assert _one(spark, pii_scrub, "http://h/12345678") == "[URL]"
-    assert len(_one(spark, pii_scrub, "x" * 5000)) == 2000
+    assert len(_one(spark, pii_scrub, "x" * 5000)) == 5000
+    assert len(_one(spark, lambda t: pii_scrub(t, max_chars=2000), "x" * 5000)) == 2000
 
 
 def test_json_extraction(spark):

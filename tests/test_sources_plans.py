@@ -182,3 +182,51 @@ def test_checkpoint_root_rules():
     assert resolve_checkpoint_root(None, "local[8]") is None          # tests may use a temp folder
     with pytest.raises(RuntimeError):
         resolve_checkpoint_root(None, "spark://cluster:7077")         # never a machine-local folder
+
+
+def test_stream_reads_a_table_of_part_files(spark):
+    from verdant.streaming.chat import route_questions, run_routing
+    folder = tempfile.mkdtemp(prefix="verdant-folder-")
+    talks = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    talks.repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    out = spark.read.parquet(run_routing(spark, folder))
+    want = route_questions(talks)
+    assert want.count() > 0 and out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
+
+
+def test_appended_rows_are_seen(spark):
+    from verdant.sources.tables import read_table
+    folder = tempfile.mkdtemp(prefix="verdant-append-")
+    spark.range(3).write.parquet(f"{folder}/nation.parquet")
+    assert read_table(spark, folder, "nation").count() == 3
+    spark.range(4).write.mode("append").parquet(f"{folder}/nation.parquet")
+    assert read_table(spark, folder, "nation").count() == 7
+
+
+def test_checks_take_any_column_name(spark):
+    from verdant.operators.quality import constant_columns, duplicate_count, missing_share, year_rule
+    df = spark.createDataFrame([(1, None, 2.0, 1, 2020), (1, None, 2.0, 2, 2021)],
+                               "`No. of Staff` int, `Owner's pct` string, `a``b` double, _note int, `the.Year` int")
+    assert duplicate_count(df, "t").first().n_duplicates == 0        # the rows differ in _note
+    assert {r.column_name for r in missing_share(df, "t").collect()} == {"Owner's pct"}
+    assert {r.column_name for r in constant_columns(df, "t").collect()} == {"No. of Staff", "a`b"}
+    assert year_rule(df, "t").first().passed
+
+
+def test_strict_json(spark):
+    from verdant.functions.jsonx import is_json
+    cases = {'{"a":1}': True, "[1,2]": True, '{"a":1}]': False, "[1,2]]": False, '{"a":1},{"b":2}': False,
+             '{"a":1,"a":2}': False, '{"a": NaN}': False, '"x"': True, "": False}
+    got = {r.x: r.ok for r in spark.createDataFrame([(c,) for c in cases], "x string").select("x", is_json(F.col("x")).alias("ok")).collect()}
+    assert got == cases
+
+
+def test_ranking_replies(spark):
+    from verdant.operators.narrative import validate_ranking
+    good = 'Sure:\n```json\n[{"name":"x","fit_score":5,"why":"w"},{"name":"y","fit_score":9},{"name":"z"}]\n```'
+    replies = spark.createDataFrame([(1, good), (1, good), (2, "no"), (3, None)], "id int, reply_json string")
+    templates = spark.createDataFrame([("t", "c", 1.0)], "name string, category string, fit_score double")
+    rows = validate_ranking(replies, templates=templates).collect()
+    assert sorted((r.id, r["rank"], r["name"], r.from_template) for r in rows) == sorted(
+        [(1, 1, "y", False), (1, 2, "x", False), (1, 3, "z", False)] * 2 + [(2, 1, "t", True), (3, 1, "t", True)])
+    assert '"why":"w"' in next(r.entry for r in rows if r["name"] == "x")

@@ -7,7 +7,9 @@ extraction is null, not an error.
 
 Validity: ``try_parse_json`` accepts a valid prefix followed by more text
 (``{"a":1},{"b":2}``), so a candidate must also parse as exactly one element
-when wrapped in ``[...]``.
+when wrapped in ``[...]`` and as one member when wrapped in ``{"v":...}``
+(which rejects a stray closing bracket). ``NaN`` and repeated keys are not
+valid JSON here.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ def _c(c):
 def is_json(x: Column) -> Column:
     one = F.size(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<variant>",
                              {"mode": "PERMISSIVE"}))
-    return F.coalesce(F.try_parse_json(x).isNotNull() & (one == 1), F.lit(False))
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}")))
+    return F.coalesce(F.try_parse_json(x).isNotNull() & alone.isNotNull() & (one == 1), F.lit(False))
 
 
 def strip_fences(text: Column | str) -> Column:

@@ -19,14 +19,14 @@ def _c(c: Column | str) -> Column:
 
 
 # ---------------------------------------------------------------- X1
-def pii_scrub(text: Column | str, max_chars: int | None = fixed.PII_MAX_CHARS, local: bool = False) -> Column:
-    """Cut to ``max_chars`` code points (``None``: the whole text), then mask
-    e-mails, phone numbers, URLs and IDs, in that order. ``local=True`` (local model backend) only
-    cuts, to the longer local limit."""
-    t = _c(text)
+def pii_scrub(text: Column | str, max_chars: int | None = None, local: bool = False) -> Column:
+    """Mask e-mails, phone numbers, URLs and IDs, in that order, in the whole
+    text; with ``max_chars`` in its first so many code points (the limits of
+    prompts are ``fixed.PII_MAX_CHARS`` and ``fixed.PII_MAX_CHARS_LOCAL``).
+    ``local=True`` (local model backend) masks nothing."""
+    out = _c(text) if max_chars is None else F.substring(_c(text), 1, max_chars)
     if local:
-        return F.substring(t, 1, fixed.PII_MAX_CHARS_LOCAL)
-    out = t if max_chars is None else F.substring(t, 1, max_chars)
+        return out
     for (pattern, marker), need in zip(fixed.PII_RULES, PII_PREFILTERS):
         out = F.when(need(out), F.regexp_replace(out, pattern, marker)).otherwise(out)
     return out

@@ -11,26 +11,12 @@ from pyspark.sql import functions as F
 
 from verdant import fixed
 
-_MEMO: dict = {}
-
-
-def _memo(name: str, spark: SparkSession, build):
-    """Dimension tables are constants: build each once per session."""
-    key = (name, id(spark._jsparkSession))
-    df = _MEMO.get(key)
-    if df is None:
-        df = _MEMO[key] = build()
-    return df
-
-
 def benchmarks(spark: SparkSession) -> DataFrame:
     """Benchmark row per industry, plus the default row (industry null)."""
-    def build():
-        rows = [(ind, *map(float, vals)) for ind, *vals in fixed.INDUSTRY_BENCHMARKS]
-        rows.append((None, *map(float, fixed.DEFAULT_BENCHMARK)))
-        cols = ", ".join(f"{c} double" for c in fixed.BENCHMARK_COLUMNS)
-        return spark.createDataFrame(rows, f"industry string, {cols}")
-    return _memo("benchmarks", spark, build)
+    rows = [(ind, *map(float, vals)) for ind, *vals in fixed.INDUSTRY_BENCHMARKS]
+    rows.append((None, *map(float, fixed.DEFAULT_BENCHMARK)))
+    cols = ", ".join(f"{c} double" for c in fixed.BENCHMARK_COLUMNS)
+    return spark.createDataFrame(rows, f"industry string, {cols}")
 
 
 def with_benchmark(df: DataFrame, industry_col: str, spark: SparkSession) -> DataFrame:
@@ -46,18 +32,14 @@ def with_benchmark(df: DataFrame, industry_col: str, spark: SparkSession) -> Dat
 
 def modifiers(spark: SparkSession) -> DataFrame:
     """Industry modifiers keyed by lower-case industry."""
-    def build():
-        return spark.createDataFrame(fixed.INDUSTRY_MODIFIERS, "industry_key string, e int, s int, g int")
-    return _memo("modifiers", spark, build)
+    return spark.createDataFrame(fixed.INDUSTRY_MODIFIERS, "industry_key string, e int, s int, g int")
 
 
 def regulations(spark: SparkSession) -> DataFrame:
     """Regulation row per country, plus the default row (country null)."""
-    def build():
-        return spark.createDataFrame(
-            fixed.REGULATIONS,
-            "country string, frameworks array<string>, key_deadlines string, penalties string, regulator string")
-    return _memo("regulations", spark, build)
+    return spark.createDataFrame(
+        fixed.REGULATIONS,
+        "country string, frameworks array<string>, key_deadlines string, penalties string, regulator string")
 
 
 def with_regulation(df: DataFrame, country_col: str, spark: SparkSession) -> DataFrame:
@@ -79,53 +61,43 @@ def with_regulation(df: DataFrame, country_col: str, spark: SparkSession) -> Dat
 
 def risk_templates(spark: SparkSession) -> DataFrame:
     """risk/opportunity templates (industry null = default set)."""
-    def build():
-        return spark.createDataFrame(
-            fixed.RISK_OPP_TEMPLATES,
-            "kind string, industry string, ord int, title string, description string, level string, "
-            "fw_slot int, fw_fallback string")
-    return _memo("risk_templates", spark, build)
+    return spark.createDataFrame(
+        fixed.RISK_OPP_TEMPLATES,
+        "kind string, industry string, ord int, title string, description string, level string, "
+        "fw_slot int, fw_fallback string")
 
 
 def solutions(spark: SparkSession) -> DataFrame:
     """B6 catalogue."""
-    def build():
-        rows = [(o, n, c, d, float(lo), float(hi), float(sv), float(pb), int(fit))
-                for o, n, c, d, lo, hi, sv, pb, fit in fixed.SOLUTIONS]
-        return spark.createDataFrame(
-            rows, "template_ord int, name string, category string, description string, cost_low double, "
-                  "cost_high double, savings double, payback_years double, fit_score int")
-    return _memo("solutions", spark, build)
+    rows = [(o, n, c, d, float(lo), float(hi), float(sv), float(pb), int(fit))
+            for o, n, c, d, lo, hi, sv, pb, fit in fixed.SOLUTIONS]
+    return spark.createDataFrame(
+        rows, "template_ord int, name string, category string, description string, cost_low double, "
+              "cost_high double, savings double, payback_years double, fit_score int")
 
 
 def boosts(spark: SparkSession) -> DataFrame:
     """(industry, solution) pairs that get the +5 fit boost."""
-    def build():
-        rows = [(ind, name) for ind, names in fixed.INDUSTRY_BOOSTS for name in names]
-        return spark.createDataFrame(rows, "boost_industry string, boost_name string")
-    return _memo("boosts", spark, build)
+    rows = [(ind, name) for ind, names in fixed.INDUSTRY_BOOSTS for name in names]
+    return spark.createDataFrame(rows, "boost_industry string, boost_name string")
 
 
 def kpi_templates(spark: SparkSession) -> DataFrame:
-    def build():
-        return spark.createDataFrame([(o, k, float(b), int(i)) for o, k, b, i in fixed.KPI_TEMPLATES],
-                                     "kpi_ord int, kpi string, base double, improvement int")
-    return _memo("kpi_templates", spark, build)
+    return spark.createDataFrame([(o, k, float(b), int(i)) for o, k, b, i in fixed.KPI_TEMPLATES],
+                                 "kpi_ord int, kpi string, base double, improvement int")
 
 
 def kpi_improvement_map(spark: SparkSession) -> DataFrame:
-    def build():
-        return spark.createDataFrame(fixed.KPI_IMPROVEMENT_MAP, "metric string, kpi string, improvement int")
-    return _memo("kpi_improvement_map", spark, build)
+    return spark.createDataFrame(fixed.KPI_IMPROVEMENT_MAP, "metric string, kpi string, improvement int")
 
 
 def timeline(spark: SparkSession, style: str = "report") -> DataFrame:
     """The fixed compliance timeline (dashboard or report wording)."""
     if style == "dashboard":
-        return _memo("timeline_dashboard", spark, lambda: spark.createDataFrame(
-            fixed.DASHBOARD_TIMELINE, "phase string, timeframe string, actions string, deliverable string"))
-    return _memo("timeline_report", spark, lambda: spark.createDataFrame(
-        fixed.REPORT_TIMELINE, "timeframe string, phase string, actions string, deliverable string"))
+        return spark.createDataFrame(
+            fixed.DASHBOARD_TIMELINE, "phase string, timeframe string, actions string, deliverable string")
+    return spark.createDataFrame(
+        fixed.REPORT_TIMELINE, "timeframe string, phase string, actions string, deliverable string")
 
 
 def scale_map(scale: dict) -> F.Column:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant.functions.names import named, user_columns
+
 from verdant.functions.numeric import py_round_sql
 from verdant.operators.latest import company_key
 from verdant.operators.score import metric_sql, number_sql
@@ -29,7 +31,7 @@ def trend_metrics(col_map: dict, columns: list[str]) -> list[tuple[str, str]]:
 def company_facts(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> DataFrame:
     keyed = company_key(panel, col_map)
     types = {f.name: f.dataType for f in panel.schema.fields}
-    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    user_cols = user_columns(panel.columns)
     cols = [c for c in panel.columns]
     has_rid = row_id in types
     # Rows are ordered by the raw year value (as a sort of the column would

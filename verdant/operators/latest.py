@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant.functions.names import named
+
 ALL_COMPANIES = "ALL"
 
 
@@ -20,8 +22,8 @@ def company_key(df: DataFrame, col_map: dict) -> DataFrame:
     whole-table mode (no company column). Rows with a null company are
     dropped, as no company name ever equals null."""
     if "company" in col_map:
-        return (df.where(F.col(col_map["company"]).isNotNull())
-                  .withColumn("_company", F.col(col_map["company"]).cast("string")))
+        return (df.where(named(col_map["company"]).isNotNull())
+                  .withColumn("_company", named(col_map["company"]).cast("string")))
     return df.withColumn("_company", F.lit(ALL_COMPANIES))
 
 
@@ -36,7 +38,7 @@ def latest_rows(df: DataFrame, col_map: dict, null_year: str = "keep",
     cols = [c for c in keyed.columns if c != "_company"]
     order = []
     if "year" in col_map:
-        y = F.col(col_map["year"])
+        y = named(col_map["year"])
         if null_year == "drop":
             keyed = keyed.where(y.isNotNull())
         order += [y.isNull(), y]
@@ -44,5 +46,5 @@ def latest_rows(df: DataFrame, col_map: dict, null_year: str = "keep",
         order.append(F.col(row_id))
     if not order:
         raise ValueError("latest_rows needs a year column or a row id")
-    best = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*order))
+    best = F.max_by(F.struct(*[named(c) for c in cols]), F.struct(*order))
     return keyed.groupBy("_company").agg(best.alias("_r")).select("_company", "_r.*")

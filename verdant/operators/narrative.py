@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant import fixed
+from verdant.functions.jsonx import extract_json
+from verdant.functions.names import named
 from verdant.operators import dims
 from verdant.operators.companies import money0
 
@@ -105,20 +107,37 @@ def prompt_context(text: F.Column, purpose: str) -> F.Column:
     return F.substring(text, 1, fixed.PROMPT_CAPS[purpose])
 
 
-def validate_ranking(replies: DataFrame, json_col: str = "reply_json") -> DataFrame:
-    """A returned ranking is used when it parses as a list with at least
-    three entries; entries are ordered by fit_score (missing = 0, stable) and
-    numbered. Otherwise the row is flagged for the template fallback."""
+def validate_ranking(replies: DataFrame, json_col: str = "reply_json",
+                     templates: DataFrame | None = None) -> DataFrame:
+    """The JSON found in a reply (fences and prose around it allowed) is
+    used as a ranking if it is a list of at least three entries; entries are
+    ordered by fit_score (missing = 0, stable) and numbered, all within the
+    row: no shuffle, and equal replies stay apart. ``entry`` holds every field
+    of the entry as JSON. Other replies give the rows of ``templates`` (name,
+    category, fit_score; a small fixed table) with ``from_template`` true, or
+    no row without templates."""
     schema = "array<struct<name:string,category:string,fit_score:double>>"
-    parsed = replies.withColumn("_arr", F.from_json(F.col(json_col), schema))
-    ok = F.col("_arr").isNotNull() & (F.size("_arr") >= 3)
-    exploded = parsed.where(ok).select("*", F.posexplode("_arr").alias("_pos", "_e"))
-    from pyspark.sql import Window
-    key = [c for c in replies.columns]
-    w = Window.partitionBy(*key).orderBy(F.coalesce(F.col("_e.fit_score"), F.lit(0.0)).desc(), F.col("_pos"))
-    return exploded.select(*key, F.row_number().over(w).cast("bigint").alias("rank"),
-                           F.col("_e.name").alias("name"), F.col("_e.category").alias("category"),
-                           F.coalesce(F.col("_e.fit_score"), F.lit(0.0)).alias("fit_score"))
+    found = extract_json(named(json_col))
+    parsed = replies.withColumn("_arr", F.from_json(found, schema)).withColumn("_raw", F.from_json(found, "array<variant>"))
+    ok = F.coalesce(F.size("_arr") >= 3, F.lit(False))
+    entry = F.transform("_arr", lambda e, i: F.struct(
+        (-F.coalesce(e["fit_score"], F.lit(0.0))).alias("o"), i.alias("i"), e["name"].alias("name"),
+        e["category"].alias("category"), F.to_json(F.get("_raw", i)).alias("entry")))
+    keep = [named(c) for c in replies.columns]
+    out = (parsed.where(ok).select(*keep, F.posexplode(F.array_sort(entry)).alias("_pos", "_e"))
+           .select(*keep, (F.col("_pos") + 1).cast("bigint").alias("rank"), F.col("_e.name").alias("name"),
+                   F.col("_e.category").alias("category"), (-F.col("_e.o")).alias("fit_score"),
+                   F.col("_e.entry").alias("entry"), F.lit(False).alias("from_template")))
+    if templates is None:
+        return out
+    rows = templates.collect()
+    each = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["category"]).alias("category"),
+                              F.lit(float(r["fit_score"])).alias("fit_score")) for r in rows])
+    fallback = (parsed.where(~ok).select(*keep, F.posexplode(each).alias("_pos", "_e"))
+                .select(*keep, (F.col("_pos") + 1).cast("bigint").alias("rank"), F.col("_e.name").alias("name"),
+                        F.col("_e.category").alias("category"), F.col("_e.fit_score").alias("fit_score"),
+                        F.to_json("_e").alias("entry"), F.lit(True).alias("from_template")))
+    return out.unionByName(fallback)
 
 
 def whatif_context(ranked: DataFrame) -> DataFrame:

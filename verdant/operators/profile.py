@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant.functions.names import named, user_columns
+
 from verdant.functions.numeric import py_round
 from verdant.operators.latest import company_key
 from verdant.operators.quality import numeric_columns
@@ -21,7 +23,7 @@ def _long_values(df: DataFrame, cols: list[str], ids: list[str] = (), row_id: st
     null. The source row id rides along (when there is one) so equal values
     from different rows stay distinguishable for the ordinal tiebreaker."""
     ids = list(ids) + ([row_id] if row_id in df.columns and row_id not in ids else [])
-    casted = df.select(*ids, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    casted = df.select(*ids, *[F.nanvl(named(c).cast("double"), F.lit(None).cast("double")).alias(c)
                                for c in cols])
     return casted.unpivot(ids, cols, "column_name", "value")
 
@@ -65,9 +67,9 @@ def company_summary(panel: DataFrame, col_map: dict) -> DataFrame:
 
     Completeness = (1 - mean over columns of the null share) * 100; with the
     same row count in every column that is 1 - nulls / (rows * columns)."""
-    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    user_cols = user_columns(panel.columns)
     keyed = company_key(panel, col_map)
-    nulls = sum((F.col(c).isNull().cast("int") for c in user_cols), F.lit(0))
+    nulls = sum((named(c).isNull().cast("int") for c in user_cols), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("row_count"), F.sum(nulls).alias("_nulls")]
     if "year" in col_map:
         from verdant.operators.score import number_sql
@@ -83,13 +85,13 @@ def company_summary(panel: DataFrame, col_map: dict) -> DataFrame:
 
 def companies_sorted(df: DataFrame, col_map: dict) -> DataFrame:
     """A4: distinct non-null companies (sorted on output)."""
-    return df.select(F.col(col_map["company"]).alias("company")).where(F.col("company").isNotNull()).distinct()
+    return df.select(named(col_map["company"]).alias("company")).where(F.col("company").isNotNull()).distinct()
 
 
 def companies_first_seen(df: DataFrame, col_map: dict, row_id: str = "_row_id") -> DataFrame:
     """A3: distinct companies in first-seen order, as (seen_order, company)."""
-    first = (df.where(F.col(col_map["company"]).isNotNull())
-             .groupBy(F.col(col_map["company"]).alias("company")).agg(F.min(row_id).alias("_first")))
+    first = (df.where(named(col_map["company"]).isNotNull())
+             .groupBy(named(col_map["company"]).alias("company")).agg(F.min(row_id).alias("_first")))
     ranked = global_rank(first, [F.col("_first").asc()], rank_col="seen_order")
     return ranked.select("seen_order", "company")
 
@@ -118,20 +120,20 @@ def _value_text(df: DataFrame, c: str, ref: str | None = None) -> F.Column:
 def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFrame:
     """X8 for every company at once: the summary sentence of the company's
     rows (rows, columns, completeness, years, company, detected metrics and
-    the mean / range of up to four highlight metrics among the first 15
+    the mean / range of up to four highlight metrics among the
     numeric columns). ``col_map`` defaults to detection on the column names."""
     from verdant.functions.numeric import py_float_str_sql, py_round_sql
     from verdant.operators.schema import detect_columns
 
-    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    user_cols = user_columns(panel.columns)
     cmap = col_map if col_map is not None else detect_columns(user_cols)
     summ = company_summary(panel, cmap)
-    first15 = numeric_columns(panel)[:15]
-    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in first15]
+    numeric = numeric_columns(panel)
+    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in numeric]
     keyed = company_key(panel, cmap)
     aggs = []
     for i, (_, c) in enumerate(hl):
-        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        v = F.nanvl(named(c).cast("double"), F.lit(None).cast("double"))
         aggs += [F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"), F.avg(v).alias(f"_av{i}")]
     parts = [F.format_string("Dataset: %d rows, %d columns.", F.col("row_count"), F.col("col_count")),
              F.concat(F.lit("Completeness: "), F.expr(py_float_str_sql("completeness_pct")), F.lit("%."))]
@@ -157,12 +159,12 @@ def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFram
 
 
 def profile_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_row_id",
-                 sample_fields: int = 15) -> DataFrame:
+                 sample_fields: int | None = None) -> DataFrame:
     """P8 per company: column list, row count, the X8 summary, and the first
-    ``sample_fields`` fields of the company's first row as ``k: v`` pairs."""
+    ``sample_fields`` fields (all by default) of the company's first row as ``k: v`` pairs."""
     from verdant.operators.schema import detect_columns
 
-    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    user_cols = user_columns(panel.columns)
     cmap = col_map if col_map is not None else detect_columns(user_cols)
     summ = data_summary_text(panel, cmap)
     keyed = company_key(panel, cmap)
@@ -170,7 +172,7 @@ def profile_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_
     # Pick each company's first row as a struct of raw values, then format
     # only that row (formatting every panel row would be wasted work).
     first = (keyed.groupBy(F.col("_company").alias("company"))
-             .agg(F.min_by(F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)]),
+             .agg(F.min_by(F.struct(*[named(c).alias(f"f{i}") for i, c in enumerate(fields)]),
                            F.col(row_id)).alias("_first")))
     pairs = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), _value_text(panel, c, f"_first.f{i}"))
                                  for i, c in enumerate(fields)])
@@ -188,15 +190,15 @@ def table_summary_text(panel: DataFrame, col_map: dict | None = None, row_id: st
     from verdant.functions.numeric import py_float_str_sql, py_round_sql
     from verdant.operators.schema import detect_columns
 
-    user_cols = [c for c in panel.columns if not c.startswith("_")]
+    user_cols = user_columns(panel.columns)
     cmap = col_map if col_map is not None else detect_columns(user_cols)
     whole = {k: v for k, v in cmap.items() if k != "company"}
     summ = company_summary(panel, whole).drop("company")
-    first15 = numeric_columns(panel)[:15]
-    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in first15]
+    numeric = numeric_columns(panel)
+    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in numeric]
     aggs = []
     for i, (_, c) in enumerate(hl):
-        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        v = F.nanvl(named(c).cast("double"), F.lit(None).cast("double"))
         aggs += [F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"), F.avg(v).alias(f"_av{i}")]
     parts = [F.format_string("Dataset: %d rows, %d columns.", F.col("row_count"), F.col("col_count")),
              F.concat(F.lit("Completeness: "), F.expr(py_float_str_sql("completeness_pct")), F.lit("%."))]

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from verdant import fixed
+from verdant.functions.names import ROW_ID, named, user_columns
 from verdant.functions.numeric import py_round, to_num
 
 
 def _user_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if not c.startswith("_")]
+    return user_columns(df.columns)
 
 
 def _stack(pairs: list[tuple[str, Column]], name_col: str, value_col: str) -> Column:
     """Unpivot a one-row set of (name, value) columns via ``stack``."""
-    args = ", ".join(f"'{n}', `{a}`" for n, a in pairs)
+    literal = lambda n: "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    args = ", ".join(f"{literal(n)}, `{a}`" for n, a in pairs)
     return F.expr(f"stack({len(pairs)}, {args}) AS ({name_col}, {value_col})")
 
 
@@ -36,13 +38,14 @@ def duplicate_count(df: DataFrame, table: str) -> DataFrame:
     count exact; the semi join against that candidate set is broadcast by AQE
     when it is small (the usual case) and sort-merged otherwise.
     """
-    cols = [F.col(c) for c in _user_columns(df)]
-    hashed = df.select("*", F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2"))
-    per_hash = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    cols = [named(c) for c in _user_columns(df)]
+    h1, h2 = ["_dup_h1", "_dup_h2"]
+    hashed = df.select("*", F.xxhash64(*cols).alias(h1), F.hash(*cols).alias(h2))
+    per_hash = hashed.groupBy(h1, h2).agg(F.count(F.lit(1)).alias("_n"))
     total = per_hash.agg(F.sum("_n").alias("v")).select(F.lit("rows").alias("k"), "v")
-    candidates = per_hash.where(F.col("_n") > 1).select("_h1", "_h2")
-    repeated = hashed.join(candidates, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
-    exact = (repeated.groupBy(*_user_columns(df)).agg(F.count(F.lit(1)).alias("_n"))
+    candidates = per_hash.where(F.col("_n") > 1).select(h1, h2)
+    repeated = hashed.join(candidates, [h1, h2], "left_semi").drop(h1, h2)
+    exact = (repeated.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
              .agg(F.sum(F.col("_n") - 1).alias("v")).select(F.lit("dups").alias("k"), "v"))
     both = total.unionByName(exact).agg(
         F.coalesce(F.max(F.when(F.col("k") == "rows", F.col("v"))), F.lit(0)).cast("bigint").alias("n_rows"),
@@ -56,7 +59,7 @@ def duplicate_count(df: DataFrame, table: str) -> DataFrame:
 def missing_share(df: DataFrame, table: str, threshold: float = 50.0) -> DataFrame:
     """Columns whose missing share is above ``threshold`` percent."""
     cols = _user_columns(df)
-    aggs = [F.avg(F.col(c).isNull().cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]
+    aggs = [F.avg(named(c).isNull().cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
     long = one.select(_stack([(c, f"m{i}") for i, c in enumerate(cols)], "column_name", "_share"))
     pct = F.col("_share") * F.lit(100.0)
@@ -81,12 +84,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
     decided by the caller; here by type only."""
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType)
-            and not f.name.startswith("_")]
+            and f.name != ROW_ID]
 
 
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)
-            and not f.name.startswith("_")]
+            and f.name != ROW_ID]
 
 
 def constant_columns(df: DataFrame, table: str) -> DataFrame:
@@ -97,7 +100,7 @@ def constant_columns(df: DataFrame, table: str) -> DataFrame:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, message string")
     aggs = []
     for i, c in enumerate(cols):
-        aggs.append(F.min(c).eqNullSafe(F.max(c)).alias(f"k{i}"))
+        aggs.append(F.min(named(c)).eqNullSafe(F.max(named(c))).alias(f"k{i}"))
     one = df.agg(*aggs)
     long = one.select(_stack([(c, f"k{i}") for i, c in enumerate(cols)], "column_name", "_const"))
     return (long.where(F.col("_const"))
@@ -110,8 +113,7 @@ def year_rule(df: DataFrame, table: str, min_year: int = 2010) -> DataFrame:
     """Year/date rule in one aggregation: for each column whose name contains
     "year" (then "date"), the minimum coerced year; the first column (in that
     order) with a minimum below ``min_year`` fails the table."""
-    year_cols = [c for c in df.columns if "year" in c.lower()]
-    date_cols = [c for c in df.columns if "date" in c.lower()]
+    year_cols, date_cols = ([f.name for f in df.schema.fields if kind in f.name.casefold()] for kind in ("year", "date"))
     spark = df.sparkSession
     if not year_cols and not date_cols:
         return spark.createDataFrame(
@@ -120,14 +122,14 @@ def year_rule(df: DataFrame, table: str, min_year: int = 2010) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for i, c in enumerate(year_cols):
-        v = F.col(c).cast("double") if isinstance(types[c], NumericType) else to_num(F.col(c))
+        v = named(c).cast("double") if isinstance(types[c], NumericType) else to_num(named(c))
         aggs.append(F.min(F.nanvl(v, F.lit(None).cast("double"))).alias(f"y{i}"))
     for i, c in enumerate(date_cols):
         dt = types[c].typeName()
         if dt in ("timestamp", "timestamp_ntz", "date"):
-            v = F.year(F.col(c))
+            v = F.year(named(c))
         else:
-            v = F.year(F.try_to_timestamp(F.col(c).cast("string")))
+            v = F.year(F.try_to_timestamp(named(c).cast("string")))
         aggs.append(F.min(v).alias(f"d{i}"))
     one = df.agg(*aggs)
     checks = ([(c, f"y{i}", "data") for i, c in enumerate(year_cols)]

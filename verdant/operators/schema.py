@@ -21,14 +21,15 @@ from verdant.fixed import COLUMN_PATTERNS
 
 def detect_columns(columns: list[str]) -> dict[str, str]:
     """Driver-side detection for one table's column list."""
-    best: dict[str, tuple[int, str]] = {}
-    for metric, patterns in COLUMN_PATTERNS.items():
-        for col in columns:
-            key = col.lower().replace(" ", "_")
-            hit = next((p for p in patterns if p in key), None)
-            if hit is not None and (metric not in best or len(hit) > best[metric][0]):
-                best[metric] = (len(hit), col)
-    return {m: c for m, (_, c) in best.items()}
+    keys = [c.lower().replace(" ", "_") for c in columns]
+
+    def rank(patterns: list[str], place: int) -> tuple[int, int]:
+        """(-length of the column's first pattern, place): the least one wins."""
+        return -len(next((p for p in patterns if p in keys[place]), "")), place
+
+    winners = {metric: min((rank(patterns, i) for i in range(len(columns))), default=(0, 0))
+               for metric, patterns in COLUMN_PATTERNS.items()}
+    return {metric: columns[place] for metric, (score, place) in winners.items() if score}
 
 
 def pattern_table(spark: SparkSession) -> DataFrame:

@@ -96,16 +96,23 @@ def yoy_long(panel: DataFrame, col_map: dict) -> DataFrame:
     """R2 in long form: (company, metric title, column, year, value at 1
     decimal); a duplicate year keeps the last row; metrics that are all-null
     for the company are dropped; rows with a null year are not shown."""
-    long = metric_long(panel, col_map)
-    has_value = long.groupBy("company", "metric").agg(F.count("value").alias("_nv"))
-    per_year = (long.where(F.col("year").isNotNull())
+    # One pass over the panel: the count of values travels with each year's
+    # group and is summed over the (small) result.
+    from pyspark.sql import Window
+    per_year = (metric_long(panel, col_map)
                 .groupBy("company", "metric", "column_name", F.col("year").cast("bigint").alias("year"))
-                .agg(F.max_by("value", "_row_id").alias("value")))
-    out = per_year.join(has_value.where(F.col("_nv") > 0).drop("_nv"), ["company", "metric"])
+                .agg(F.max_by("value", "_row_id").alias("value"), F.count("value").alias("_n")))
+    whole = Window.partitionBy("company", "metric")
+    out = (per_year.withColumn("_nv", F.sum("_n").over(whole))
+           .where((F.col("_nv") > 0) & F.col("year").isNotNull()))
     return out.select("company", F.initcap(F.replace(F.col("metric"), F.lit("_"), F.lit(" "))).alias("metric"),
                       F.col("column_name"), "year", py_round(F.col("value"), 1).alias("value"))
 
 
+#: Pivot columns that may be read from the data; a table of more is no pivot.
+MAX_YEARS = 1000
+
+
 def yoy_pivot(panel: DataFrame, col_map: dict, years: list[int] | None = None) -> DataFrame:
     """R2: one row per (company, metric), one column per year.
 
@@ -117,7 +124,10 @@ def yoy_pivot(panel: DataFrame, col_map: dict, years: list[int] | None = None) -
         # table first so the panel is computed once for both uses.
         from verdant.session import materialize
         long = materialize(long, "yoy_long")
-        years = sorted(r[0] for r in long.select("year").distinct().collect())
+        found = long.select("year").distinct().limit(MAX_YEARS + 1).collect()
+        if len(found) > MAX_YEARS:
+            raise ValueError(f"more than {MAX_YEARS} distinct years: name the pivot columns in years")
+        years = sorted(r[0] for r in found)
     return (long.groupBy("company", "metric", "column_name")
             .pivot("year", years).agg(F.first("value"))
             .select("company", "metric", "column_name", *[F.col(str(y)) for y in years]))

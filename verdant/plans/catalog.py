@@ -158,16 +158,16 @@ def q_yoy_long(spark, sf_dir):
 @register("yoy_pivot", O.YOY_PIVOT)
 def q_yoy_pivot(spark, sf_dir):
     from verdant.operators.trends import yoy_pivot
-    return yoy_pivot(esg_panel(spark, sf_dir), IDENTITY_MAP)
+    return yoy_pivot(esg_panel(spark, sf_dir), IDENTITY_MAP, O.YEARS)
 
 
 # ----------------------------------------------------------------- company context
 def _ctx(spark, sf_dir):
     from verdant.operators.companies import company_maturity
-    from verdant.sources.tables import company_profiles, defined
+    from verdant.sources.tables import company_profiles
     panel = esg_panel(spark, sf_dir)
     profiles = company_profiles(spark, sf_dir)
-    cm = defined(spark, ("company_context", sf_dir), lambda: company_maturity(profiles, panel, IDENTITY_MAP))
+    cm = company_maturity(profiles, panel, IDENTITY_MAP)
     return panel, profiles, cm
 
 
@@ -222,10 +222,8 @@ def _ranked(spark, sf_dir, carry: bool = False):
     """Ranked solutions; with ``carry`` every row also holds the company's
     facts, so KPI and narrative steps need no second pass over the panel."""
     from verdant.operators.solutions import rank_solutions
-    from verdant.sources.tables import defined
     panel, profiles, cm = _ctx(spark, sf_dir)
-    ranked = defined(spark, ("ranked", sf_dir, carry),
-                     lambda: rank_solutions(cm, carry=_fact_columns(cm) if carry else ()))
+    ranked = rank_solutions(cm, carry=_fact_columns(cm) if carry else ())
     return panel, profiles, cm, ranked
 
 
@@ -288,9 +286,7 @@ def q_pii_scrub(spark, sf_dir):
     from verdant.functions.text import pii_scrub
     from verdant.sources.tables import read_table
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select("doc_id", pii_scrub("text", max_chars=None).alias("scrubbed"),
-                       pii_scrub("text").alias("prompt_text"),
-                       pii_scrub("text", local=True).alias("local_prompt_text"))
+    return docs.select("doc_id", pii_scrub("text").alias("scrubbed"))
 
 
 def _profile_extract(spark, sf_dir):
@@ -457,11 +453,10 @@ def q_report_frameworks(spark, sf_dir):
 # ----------------------------------------------------------------- more profiling
 @register("key_metrics", O.KEY_METRICS)
 def q_key_metrics(spark, sf_dir):
-    """A5 per company: stats of the first 15 numeric columns."""
+    """A5 per company: stats of every numeric column."""
     from verdant.operators.profile import column_stats
     panel = esg_panel(spark, sf_dir)
-    return column_stats(panel, _panel_numeric(panel)[:15],
-                        group_cols=["company"])
+    return column_stats(panel, _panel_numeric(panel), group_cols=["company"])
 
 
 @register("trend_series", O.TREND_SERIES)

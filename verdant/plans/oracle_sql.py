@@ -345,8 +345,11 @@ WHERE l.year IS NOT NULL
   AND (l.company, l.metric) IN (SELECT company, metric FROM mlong GROUP BY company, metric HAVING COUNT(value) > 0)
 GROUP BY l.company, t.title, l.column_name, l.year)"""
 YOY_LONG = with_ctes(PANEL, _MLONG, _YOY) + " SELECT * FROM yoy"
-YOY_PIVOT = with_ctes(PANEL, _MLONG, _YOY) + """
-SELECT * FROM (PIVOT yoy ON year USING first(value) GROUP BY company, metric, column_name)"""
+#: Ship years of the line items: the pivot's columns.
+YEARS = list(range(1995, 2002))
+YOY_PIVOT = with_ctes(PANEL, _MLONG, _YOY) + f"""
+SELECT company, metric, column_name, {', '.join(f'MAX(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in YEARS)}
+FROM yoy GROUP BY company, metric, column_name"""
 
 
 # ----------------------------------------------------------------- company context
@@ -578,10 +581,7 @@ def _scrub_sql(x: str) -> str:
 
 
 PII_SCRUB = f"""
-SELECT doc_id, {_scrub_sql('text')} AS scrubbed,
-       {_scrub_sql(f'substring(text, 1, {fixed.PII_MAX_CHARS})')} AS prompt_text,
-       substring(text, 1, {fixed.PII_MAX_CHARS_LOCAL}) AS local_prompt_text
-FROM documents"""
+SELECT doc_id, {_scrub_sql('text')} AS scrubbed FROM documents"""
 
 
 def _first_capture_sql(x: str, patterns) -> str:
@@ -693,7 +693,7 @@ def _cell(c: str) -> str:
     return f"COALESCE(CAST({c} AS VARCHAR), 'nan')"
 
 
-_SAMPLE = " || ' | ' || ".join(f"'{c}: ' || {_cell(c)}" for c in PANEL_USER_COLUMNS[:15])
+_SAMPLE = " || ' | ' || ".join(f"'{c}: ' || {_cell(c)}" for c in PANEL_USER_COLUMNS)
 PROFILE_TEXT_CTE = f"""
 first_row AS (SELECT company, arg_min({_SAMPLE}, _row_id) AS sample FROM panel WHERE company IS NOT NULL GROUP BY company),
 ptext AS (SELECT s.company, 'Columns: {', '.join(PANEL_USER_COLUMNS)}. Row count: ' || CAST(s.row_count AS VARCHAR) || '. '
@@ -748,9 +748,9 @@ SELECT company, CAST(pos - 1 AS INTEGER) AS pos, frameworks[pos] AS framework
 FROM creg, (SELECT unnest(range(1, 10)) AS pos) p WHERE pos <= len(frameworks) AND pos <= 4"""
 
 KEY_METRICS = with_ctes(PANEL, f"""
-kcast AS (SELECT company, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PANEL_NUMERIC[:15])} FROM panel
+kcast AS (SELECT company, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PANEL_NUMERIC)} FROM panel
           WHERE company IS NOT NULL),
-klong AS (SELECT company, column_name, value FROM kcast UNPIVOT (value FOR column_name IN ({', '.join(PANEL_NUMERIC[:15])})))""") + f"""
+klong AS (SELECT company, column_name, value FROM kcast UNPIVOT (value FOR column_name IN ({', '.join(PANEL_NUMERIC)})))""") + f"""
 SELECT company, column_name, {R('MIN(value)', 2)} AS min_val, {R('MAX(value)', 2)} AS max_val,
        {R('AVG(value)', 2)} AS mean_val, {R('quantile_cont(value, 0.5)', 2)} AS median_val
 FROM klong GROUP BY company, column_name"""

@@ -26,19 +26,21 @@ def route_questions(stream: DataFrame) -> DataFrame:
                     pii_scrub("text", max_chars=None).alias("question_scrubbed")))
 
 
-def question_stream(spark: SparkSession, folder: str, file_glob: str = "conversations.parquet") -> DataFrame:
-    schema = spark.read.parquet(os.path.join(folder, file_glob)).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", 64).parquet(folder))
+def question_stream(spark: SparkSession, folder: str, table: str = "conversations.parquet") -> DataFrame:
+    """Stream of the table ``folder/table``, one file or a folder of part files."""
+    path = os.path.join(folder, table)
+    # As a glob that only this name matches, a single file can be a source too.
+    return (spark.readStream.schema(spark.read.parquet(path).schema)
+            .option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[{path[-1]}]"))
 
 
 def run_routing(spark: SparkSession, folder: str, out_dir: str | None = None,
-                file_glob: str = "conversations.parquet") -> str:
+                table: str = "conversations.parquet") -> str:
     """Process everything available now (``availableNow`` trigger) into a
     parquet sink; returns the sink folder."""
     base = out_dir or os.path.join(checkpoint_root(spark), "streams", f"route-{uuid.uuid4().hex}")
     sink, chk = os.path.join(base, "data"), os.path.join(base, "_checkpoint")
-    q = (route_questions(question_stream(spark, folder, file_glob))
+    q = (route_questions(question_stream(spark, folder, table))
          .writeStream.format("parquet").option("path", sink).option("checkpointLocation", chk)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
