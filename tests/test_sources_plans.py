@@ -230,3 +230,30 @@ def test_ranking_replies(spark):
     assert sorted((r.id, r["rank"], r["name"], r.from_template) for r in rows) == sorted(
         [(1, 1, "y", False), (1, 2, "x", False), (1, 3, "z", False)] * 2 + [(2, 1, "t", True), (3, 1, "t", True)])
     assert '"why":"w"' in next(r.entry for r in rows if r["name"] == "x")
+
+
+def test_delimited_rows_do_not_depend_on_the_columns(spark):
+    from verdant.operators.quality import few_rows
+    from verdant.sources.delimited import preview, read_delimited
+    folder = tempfile.mkdtemp(prefix="verdant csv-")
+    with open(f"{folder}/a part.csv", "w") as f:
+        f.write('company,year,note,note,\nA,2020,"x ""y"", z",n,1\nB,2021,a,b,2,too long\n')
+    with open(f"{folder}/b part.csv", "w") as f:
+        f.write("company,year,note,note,\n" + "".join(f"C{i},2022,plain,,\n" for i in range(50)) + "D,2023\n")
+    df = read_delimited(spark, folder)
+    assert df.columns == ["company", "year", "note", "note.1", "Unnamed: 4", "_row_id"]
+    names = ["A"] + [f"C{i}" for i in range(50)] + ["D"]
+    assert [r.company for r in df.orderBy("_row_id").collect()] == names
+    assert sorted(r.company for r in df.select("company").collect()) == sorted(names)
+    assert df.count() == 52 and not df.isEmpty() and df.select("company").count() == 52
+    assert df.groupBy("company").count().count() == 52 and few_rows(df, "t").count() == 0
+    assert df.where("company = 'A'").first().note == 'x "y", z'
+    assert [r.company for r in preview(df, 3).collect()] == ["A", "C0", "C1"]
+    typed = read_delimited(spark, folder, schema={"year": "int"})
+    assert dict(typed.dtypes)["year"] == "int" and typed.count() == 52
+
+
+def test_delimited_line_breaks_in_quotes(spark):
+    from verdant.sources.delimited import read_delimited
+    df = read_delimited(spark, _write('a,b\n"x\ny",1\nz,2\n'), multi_line=True)
+    assert [tuple(r)[:2] for r in df.orderBy("_row_id").collect()] == [("x\ny", 1), ("z", 2)]

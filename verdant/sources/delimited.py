@@ -4,12 +4,15 @@
   comes first, so ``,`` is used whenever it parses (``strict_order=True``).
   With ``strict_order=False`` the delimiter is sniffed from the header line
   (one line read on the driver).
-* Rows with more fields than the header are dropped; short rows are padded
-  with nulls (Spark PERMISSIVE mode flags over-long rows in
-  ``_corrupt_record``).
-* Header names are trimmed. ``_row_id`` records file order.
-* Types are decided the way a pandas read decides them (see
-  ``read_delimited``): one aggregation pass over the text fields.
+* Rows with more fields than the header are dropped, whatever columns a query
+  selects; short rows are padded with nulls.
+* A quote within a quoted field is doubled. Line breaks within quotes need
+  ``multi_line=True`` (such files can't be split between tasks).
+* Header names are trimmed; a repeated name gets ``.1``, ``.2``, a blank one
+  is ``Unnamed: i``. ``_row_id`` is the order of rows, file by file in the
+  order of their paths.
+* Types are given by ``schema``, or decided the way a pandas read decides them
+  (see ``read_delimited``): one aggregation pass over the text fields.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from verdant.fixed import CSV_NA_TOKENS
+from verdant.functions.names import named
 from verdant.functions.numeric import NUMERIC_TEXT, to_num
 
 CANDIDATES = [",", ";", "\t", "|"]
@@ -38,8 +42,33 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return best if counts[best] > 0 else ","
 
 
+def _names(header: list[str | None]) -> list[str]:
+    """Trimmed header names, made distinct."""
+    out: list[str] = []
+    for i, raw in enumerate(header):
+        name = (raw or "").strip() or f"Unnamed: {i}"
+        times = 0
+        while (free := name if not times else f"{name}.{times}") in out:
+            times += 1
+        out.append(free)
+    return out
+
+
+def _with_row_id(df: DataFrame, files: list[str]) -> DataFrame:
+    """``_row_id`` from the file's place among the paths, the place of the
+    split in its file and the row's place in the split. Rows are at least one
+    byte long, so the three add up in order."""
+    order = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], "_path string, _file bigint")
+    # the paths come from the file listing that the driver holds anyway
+    # (one form for file:/ and file:///)
+    same = [F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/") for c in ("_at.file_path", "_path")]
+    placed = df.join(F.broadcast(order), same[0] == same[1])
+    row_id = F.col("_file") * F.lit(1 << 44) + F.col("_at.file_block_start") + F.col("_place")
+    return placed.withColumn("_row_id", row_id).drop("_at", "_place", "_path", "_file")
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strict_order: bool = True,
-                   require_rows: bool = True) -> DataFrame:
+                   require_rows: bool = True, multi_line: bool = False, schema: dict[str, str] | None = None) -> DataFrame:
     """Read a delimited file or folder (see module doc); a file without data
     rows is an error, as every parse strategy would come back empty.
 
@@ -49,41 +78,47 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, stric
     a column is numeric when all its other values are plain numbers (one
     aggregation over the data decides this for all columns at once);
     integral without gaps -> BIGINT, else DOUBLE; an all-missing column is
-    numeric (DOUBLE)."""
+    numeric (DOUBLE). ``schema`` (column -> Spark SQL type; others stay text)
+    saves that pass; values that don't fit their type become null."""
     delim = sep or ("," if strict_order else sniff_delimiter(spark, path))
-    opts = {"header": "true", "sep": delim, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false",
-            "ignoreTrailingWhiteSpace": "false", "nullValue": None}
-    opts = {k: v for k, v in opts.items() if v is not None}
-    header = spark.read.options(**opts).csv(path).columns
-    if not header:
+    reader = spark.read.options(sep=delim, mode="PERMISSIVE", quote='"', escape='"', multiLine=multi_line,
+                                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    first = reader.csv(path).limit(1).collect()
+    if not first:
         raise DelimitedReadError(f"Failed to parse CSV. Last error: no columns in {path}")
-    raw_schema = StructType([StructField(c, StringType(), True) for c in header])
-    if require_rows and spark.read.options(**opts).schema(raw_schema).csv(path).limit(1).count() == 0:
-        raise DelimitedReadError(f"Failed to parse CSV. Last error: no data rows in {path}")
-    schema = StructType(list(raw_schema.fields) + [StructField("_corrupt_record", StringType(), True)])
-    df = (spark.read.options(**opts).option("columnNameOfCorruptRecord", "_corrupt_record")
-          .schema(schema).csv(path))
+    header = _names(list(first[0]))
     n = len(header)
+    raw = [f"_f{i}" for i in range(n)]
+    fields = [StructField(c, StringType(), True) for c in [*raw, "_bad"]]
+    df = reader.options(header=True, columnNameOfCorruptRecord="_bad").schema(StructType(fields)).csv(path)
+    files = df.inputFiles()
     # A flagged row is dropped only when it has more fields than the header
-    # (quote-aware count); short rows stay, padded with nulls.
-    extra = F.size(F.split(F.regexp_replace(F.col("_corrupt_record"), r'"[^"]*"', ""), _re(delim), -1)) > n
-    df = df.where(F.col("_corrupt_record").isNull() | ~extra).drop("_corrupt_record")
-    names = [c.strip() for c in header]
+    # (quotes aside); short rows stay, padded with nulls. The test names every
+    # field, so the reader parses whole rows for any selection of columns.
+    found = F.size(F.split(F.regexp_replace(F.col("_bad"), r'"(?:[^"]|"")*"', ""), _re(delim), -1))
+    whole = F.length(F.concat_ws("", *raw)) >= 0  # always true
+    df = (df.select("*", F.col("_metadata").alias("_at"))
+          .where(whole & (F.col("_bad").isNull() | (found <= n)))
+          .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_bad"))
+    if require_rows and df.isEmpty():
+        raise DelimitedReadError(f"Failed to parse CSV. Last error: no data rows in {path}")
     na = F.array(*[F.lit(t) for t in CSV_NA_TOKENS])
-    df = df.select(*[F.when(F.array_contains(na, F.col(f"`{c}`")) | F.col(f"`{c}`").isNull(), F.lit(None))
-                     .otherwise(F.col(f"`{c}`")).alias(nm) for c, nm in zip(header, names)])
-    df = _apply_inferred_types(df)
-    return df.withColumn("_row_id", F.monotonically_increasing_id())
+    df = df.select(*[F.when(F.array_contains(na, F.col(c)) | F.col(c).isNull(), F.lit(None))
+                     .otherwise(F.col(c)).alias(name) for c, name in zip(raw, header)], "_at", "_place")
+    if schema is None:
+        df = _apply_inferred_types(df, header)
+    else:
+        df = df.select(*[named(c).try_cast(schema[c]).alias(c) if c in schema else named(c) for c in header], "_at", "_place")
+    return _with_row_id(df, files)
 
 
-def _apply_inferred_types(df: DataFrame) -> DataFrame:
+def _apply_inferred_types(df: DataFrame, cols: list[str]) -> DataFrame:
     """One aggregation decides, for every text column, whether all present
     values are numbers (and integers); the decision (a few numbers per
     column) comes back to the driver and becomes casts."""
-    cols = df.columns
     stats = []
     for i, c in enumerate(cols):
-        v, t = F.col(f"`{c}`"), F.lower(F.trim(F.col(f"`{c}`")))
+        v, t = named(c), F.lower(F.trim(named(c)))
         stats += [F.count(v).alias(f"p{i}"), F.count_if(t.rlike(NUMERIC_TEXT)).alias(f"n{i}"),
                   F.count_if(t.rlike(r"^[+-]?\d+$")).alias(f"i{i}")]
     stats.append(F.count(F.lit(1)).alias("rows"))
@@ -91,14 +126,14 @@ def _apply_inferred_types(df: DataFrame) -> DataFrame:
     out = []
     for i, c in enumerate(cols):
         present, numeric, integral = row[f"p{i}"], row[f"n{i}"], row[f"i{i}"]
-        col = F.col(f"`{c}`")
+        col = named(c)
         if numeric == present and present == row["rows"] and integral == present and present > 0:
             out.append(F.trim(col).try_cast("bigint").alias(c))
         elif numeric == present:
             out.append(to_num(col).alias(c))
         else:
             out.append(col.alias(c))
-    return df.select(*out)
+    return df.select(*out, "_at", "_place")
 
 
 def _re(delim: str) -> str:
