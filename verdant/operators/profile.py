@@ -7,11 +7,10 @@ helper, so no column is ever gathered into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdant.functions.names import named, user_columns
-
 from verdant.functions.numeric import py_round
 from verdant.operators.latest import company_key
 from verdant.operators.quality import numeric_columns
@@ -30,7 +29,7 @@ def _long_values(df: DataFrame, cols: list[str], ids: list[str] = (), row_id: st
 
 def column_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 2,
                  group_cols: list[str] = ()) -> DataFrame:
-    """A6 (A5 with ``cols`` = first 15 and ``group_cols`` = company): min,
+    """A6 (A5 with ``group_cols`` = company): min,
     max, mean, median per numeric column (and group), rounded; columns
     without values are skipped. Everything comes from one materialised long
     table, so the input is computed once."""
@@ -62,24 +61,34 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> D
                     r("q50").alias("p50"), r("q75").alias("p75"), r("mx").alias("max"))
 
 
-def company_summary(panel: DataFrame, col_map: dict) -> DataFrame:
-    """A1 + A2 per company: rows, columns, completeness (1 decimal), year range.
+def _null_cells(cols: list[str]) -> F.Column:
+    return F.sum(sum((named(c).isNull().cast("int") for c in cols), F.lit(0)))
+
+
+def _completeness(ncol: int) -> F.Column:
+    return py_round((F.lit(1.0) - F.col("_nulls") / (F.col("row_count") * F.lit(float(ncol)))) * F.lit(100.0), 1)
+
+
+def _year_range(panel: DataFrame, col_map: dict) -> list[F.Column]:
+    if "year" not in col_map:
+        return []
+    from verdant.operators.score import number_sql
+    y = F.expr(number_sql({f.name: f.dataType for f in panel.schema.fields}, col_map["year"]))
+    return [F.min(y).cast("bigint").alias("year_min"), F.max(y).cast("bigint").alias("year_max")]
+
+
+def company_summary(panel: DataFrame, col_map: dict, also: list[F.Column] = ()) -> DataFrame:
+    """A1 + A2 per company: rows, columns, completeness (1 decimal), year range,
+    and the aggregates in ``also``, all in one pass.
 
     Completeness = (1 - mean over columns of the null share) * 100; with the
     same row count in every column that is 1 - nulls / (rows * columns)."""
     user_cols = user_columns(panel.columns)
-    keyed = company_key(panel, col_map)
-    nulls = sum((named(c).isNull().cast("int") for c in user_cols), F.lit(0))
-    aggs = [F.count(F.lit(1)).alias("row_count"), F.sum(nulls).alias("_nulls")]
-    if "year" in col_map:
-        from verdant.operators.score import number_sql
-        y = F.expr(number_sql({f.name: f.dataType for f in panel.schema.fields}, col_map["year"]))
-        aggs += [F.min(y).cast("bigint").alias("year_min"), F.max(y).cast("bigint").alias("year_max")]
-    out = keyed.groupBy("_company").agg(*aggs)
-    ncol = len(user_cols)
-    comp = (F.lit(1.0) - F.col("_nulls") / (F.col("row_count") * F.lit(float(ncol)))) * F.lit(100.0)
-    return (out.withColumn("col_count", F.lit(ncol).cast("bigint"))
-               .withColumn("completeness_pct", py_round(comp, 1))
+    out = company_key(panel, col_map).groupBy("_company").agg(
+        F.count(F.lit(1)).alias("row_count"), _null_cells(user_cols).alias("_nulls"),
+        *_year_range(panel, col_map), *also)
+    return (out.withColumn("col_count", F.lit(len(user_cols)).cast("bigint"))
+               .withColumn("completeness_pct", _completeness(len(user_cols)))
                .withColumnRenamed("_company", "company").drop("_nulls"))
 
 
@@ -117,31 +126,26 @@ def _value_text(df: DataFrame, c: str, ref: str | None = None) -> F.Column:
     return F.coalesce(col.cast("string"), F.lit("None"))
 
 
-def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFrame:
-    """X8 for every company at once: the summary sentence of the company's
-    rows (rows, columns, completeness, years, company, detected metrics and
-    the mean / range of up to four highlight metrics among the
-    numeric columns). ``col_map`` defaults to detection on the column names."""
-    from verdant.functions.numeric import py_float_str_sql, py_round_sql
-    from verdant.operators.schema import detect_columns
-
-    user_cols = user_columns(panel.columns)
-    cmap = col_map if col_map is not None else detect_columns(user_cols)
-    summ = company_summary(panel, cmap)
+def _highlights(panel: DataFrame, cmap: dict) -> list[tuple[str, str]]:
     numeric = numeric_columns(panel)
-    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in numeric]
-    keyed = company_key(panel, cmap)
-    aggs = []
-    for i, (_, c) in enumerate(hl):
-        v = F.nanvl(named(c).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"), F.avg(v).alias(f"_av{i}")]
+    return [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in numeric]
+
+
+def _number(c: str) -> F.Column:
+    return F.nanvl(named(c).cast("double"), F.lit(None).cast("double"))
+
+
+def _sentence(cmap: dict, hl: list[tuple[str, str]], companies: F.Column) -> F.Column:
+    """The summary sentence from ``row_count, col_count, completeness_pct``, the
+    year range and the highlight figures ``_mn, _mx, _av``; null parts are left out."""
+    from verdant.functions.numeric import py_float_str_sql, py_round_sql
     parts = [F.format_string("Dataset: %d rows, %d columns.", F.col("row_count"), F.col("col_count")),
              F.concat(F.lit("Completeness: "), F.expr(py_float_str_sql("completeness_pct")), F.lit("%."))]
     if "year" in cmap:
         parts.append(F.when(F.col("year_min").isNotNull(),
                             F.format_string("Year range: %d-%d.", F.col("year_min"), F.col("year_max"))))
     if "company" in cmap:
-        parts.append(F.concat(F.lit("Companies: "), F.col("company"), F.lit(".")))
+        parts.append(F.concat(F.lit("Companies: "), companies, F.lit(".")))
     if cmap:
         parts.append(F.lit(f"ESG columns detected: {', '.join(cmap.keys())}."))
     r2 = lambda c: F.expr(py_float_str_sql(py_round_sql(c, 2)))
@@ -150,82 +154,77 @@ def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFram
         parts.append(F.when(F.col(f"_mn{i}").isNotNull(), F.concat(
             F.lit(f"{title}: mean="), r2(f"_av{i}"), F.lit(", range ["), r2(f"_mn{i}"), F.lit(", "),
             r2(f"_mx{i}"), F.lit("]."))))
-    out = summ
-    if aggs:
-        stats = keyed.groupBy(F.col("_company").alias("company")).agg(*aggs)
-        out = summ.join(stats, "company")
-    out = out.withColumn("text_summary", F.concat_ws(" ", *parts))
-    return out.select("company", "row_count", "col_count", "completeness_pct", "text_summary")
+    return F.concat_ws(" ", *parts)
+
+
+def _summarised(panel: DataFrame, cmap: dict, also: list[F.Column] = ()) -> DataFrame:
+    """One pass: ``company_summary`` with ``text_summary`` and ``also``."""
+    hl = _highlights(panel, cmap)
+    figures = [f(_number(c)).alias(f"_{n}{i}") for i, (_, c) in enumerate(hl)
+               for f, n in ((F.min, "mn"), (F.max, "mx"), (F.avg, "av"))]
+    return company_summary(panel, cmap, figures + list(also)).withColumn(
+        "text_summary", _sentence(cmap, hl, F.col("company")))
+
+
+def _detected(panel: DataFrame, col_map: dict | None) -> dict:
+    from verdant.operators.schema import detect_columns
+    return col_map if col_map is not None else detect_columns(user_columns(panel.columns))
+
+
+def data_summary_text(panel: DataFrame, col_map: dict | None = None) -> DataFrame:
+    """X8 for every company at once: the summary sentence of the company's
+    rows (rows, columns, completeness, years, company, detected metrics and
+    the mean / range of up to four highlight metrics among the
+    numeric columns). ``col_map`` defaults to detection on the column names."""
+    return _summarised(panel, _detected(panel, col_map)).select(
+        "company", "row_count", "col_count", "completeness_pct", "text_summary")
 
 
 def profile_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_row_id",
                  sample_fields: int | None = None) -> DataFrame:
     """P8 per company: column list, row count, the X8 summary, and the first
     ``sample_fields`` fields (all by default) of the company's first row as ``k: v`` pairs."""
-    from verdant.operators.schema import detect_columns
-
     user_cols = user_columns(panel.columns)
-    cmap = col_map if col_map is not None else detect_columns(user_cols)
-    summ = data_summary_text(panel, cmap)
-    keyed = company_key(panel, cmap)
     fields = user_cols[:sample_fields]
     # Pick each company's first row as a struct of raw values, then format
     # only that row (formatting every panel row would be wasted work).
-    first = (keyed.groupBy(F.col("_company").alias("company"))
-             .agg(F.min_by(F.struct(*[named(c).alias(f"f{i}") for i, c in enumerate(fields)]),
-                           F.col(row_id)).alias("_first")))
+    first = F.min_by(F.struct(*[named(c).alias(f"f{i}") for i, c in enumerate(fields)]), F.col(row_id)).alias("_first")
     pairs = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), _value_text(panel, c, f"_first.f{i}"))
                                  for i, c in enumerate(fields)])
-    first = first.select("company", pairs.alias("_sample"))
-    j = summ.join(first, "company")
     text = F.concat(F.lit(f"Columns: {', '.join(user_cols)}. Row count: "), F.col("row_count").cast("string"),
-                    F.lit(". "), F.col("text_summary"), F.lit("\nSample record: "), F.col("_sample"))
-    return j.select("company", text.alias("profile_text"))
+                    F.lit(". "), F.col("text_summary"), F.lit("\nSample record: "), pairs)
+    return _summarised(panel, _detected(panel, col_map), [first]).select("company", text.alias("profile_text"))
+
+
+#: Buckets in which the first companies are looked for side by side.
+_SEEN_BUCKETS = 64
 
 
 def table_summary_text(panel: DataFrame, col_map: dict | None = None, row_id: str = "_row_id") -> DataFrame:
     """X8 for the whole table (no company selected): one row with the
     summary sentence; the company list is the first five companies in
-    first-seen order (W5), taken from the distributed first-seen ranking."""
-    from verdant.functions.numeric import py_float_str_sql, py_round_sql
-    from verdant.operators.schema import detect_columns
-
+    first-seen order (W5). One pass: figures and first row per company, the
+    first five companies of each of a fixed number of buckets, then one row."""
     user_cols = user_columns(panel.columns)
-    cmap = col_map if col_map is not None else detect_columns(user_cols)
-    whole = {k: v for k, v in cmap.items() if k != "company"}
-    summ = company_summary(panel, whole).drop("company")
-    numeric = numeric_columns(panel)
-    hl = [(m, cmap[m]) for m in HIGHLIGHT_METRICS if m in cmap and cmap[m] in numeric]
-    aggs = []
-    for i, (_, c) in enumerate(hl):
-        v = F.nanvl(named(c).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"), F.avg(v).alias(f"_av{i}")]
-    parts = [F.format_string("Dataset: %d rows, %d columns.", F.col("row_count"), F.col("col_count")),
-             F.concat(F.lit("Completeness: "), F.expr(py_float_str_sql("completeness_pct")), F.lit("%."))]
-    if "year" in cmap:
-        parts.append(F.when(F.col("year_min").isNotNull(),
-                            F.format_string("Year range: %d-%d.", F.col("year_min"), F.col("year_max"))))
-    # Three one-row results are combined by a union and a max per column
-    # (no join between them).
-    pieces = [summ]
-    if aggs:
-        pieces.append(panel.agg(*aggs))
-    if "company" in cmap:
-        seen = companies_first_seen(panel, cmap, row_id).where(F.col("seen_order") <= 5)
-        pieces.append(seen.agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.struct("seen_order", "company"))), lambda x: x["company"]), ", ").alias("_names"),
-            F.count(F.lit(1)).alias("_nn")))
-        parts.append(F.when(F.col("_nn") > 0, F.concat(F.lit("Companies: "), F.col("_names"), F.lit("."))))
-    union = pieces[0]
-    for piece in pieces[1:]:
-        union = union.unionByName(piece, allowMissingColumns=True)
-    out = union.agg(*[F.max(c).alias(c) for c in union.columns])
-    if cmap:
-        parts.append(F.lit(f"ESG columns detected: {', '.join(cmap.keys())}."))
-    r2 = lambda c: F.expr(py_float_str_sql(py_round_sql(c, 2)))
-    for i, (m, _) in enumerate(hl):
-        title = m.replace("_", " ").title()
-        parts.append(F.when(F.col(f"_mn{i}").isNotNull(), F.concat(
-            F.lit(f"{title}: mean="), r2(f"_av{i}"), F.lit(", range ["), r2(f"_mn{i}"), F.lit(", "),
-            r2(f"_mx{i}"), F.lit("]."))))
-    return out.select("row_count", "col_count", "completeness_pct", F.concat_ws(" ", *parts).alias("text_summary"))
+    cmap = _detected(panel, col_map)
+    hl = _highlights(panel, cmap)
+    named_rows = panel.withColumn("_name", named(cmap["company"]).cast("string") if "company" in cmap
+                                  else F.lit(None).cast("string"))
+    per = named_rows.groupBy("_name").agg(
+        F.count(F.lit(1)).alias("row_count"), _null_cells(user_cols).alias("_nulls"), *_year_range(panel, cmap),
+        F.min(row_id).alias("_seen"),
+        *[f(_number(c)).alias(f"_{n}{i}") for i, (_, c) in enumerate(hl)
+          for f, n in ((F.min, "mn"), (F.max, "mx"), (F.sum, "sum"), (F.count, "n"))])
+    bucket = Window.partitionBy(F.pmod(F.xxhash64("_name"), F.lit(_SEEN_BUCKETS))).orderBy("_seen")
+    early = F.when(F.col("_name").isNotNull() & (F.col("_place") <= 5), F.struct("_seen", "_name"))
+    years = [F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max")] if "year" in cmap else []
+    figures = [x for i in range(len(hl)) for x in (
+        F.min(f"_mn{i}").alias(f"_mn{i}"), F.max(f"_mx{i}").alias(f"_mx{i}"),
+        F.try_divide(F.sum(f"_sum{i}"), F.sum(f"_n{i}")).alias(f"_av{i}"))]
+    out = (per.withColumn("_place", F.row_number().over(bucket))
+           .agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), F.sum("_nulls").alias("_nulls"), *years, *figures,
+                F.slice(F.array_sort(F.collect_list(early)), 1, 5).alias("_early"))
+           .withColumn("col_count", F.lit(len(user_cols)).cast("bigint"))
+           .withColumn("completeness_pct", F.when(F.col("row_count") > 0, _completeness(len(user_cols)))))
+    names = F.nullif(F.array_join(F.transform("_early", lambda x: x["_name"]), ", "), F.lit(""))
+    return out.select("row_count", "col_count", "completeness_pct", _sentence(cmap, hl, names).alias("text_summary"))

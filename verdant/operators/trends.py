@@ -55,14 +55,16 @@ def trends_from_facts(facts: DataFrame, col_map: dict) -> DataFrame:
                               F.col(f"last_{m}").alias("last_value")) for m, c in metrics])
     keep = [c for c in facts.columns if c in ("rank", "solution")]
     agg = facts.select("company", *keep, F.inline(rows)).where(F.col("n_values") >= 2)
-    first, last = F.col("first_value"), F.col("last_value")
-    pct = F.when(first != 0, py_round((last - first) / F.abs(first) * F.lit(100.0), 1)).otherwise(F.lit(0.0))
-    agg = agg.withColumn("pct_change", pct)
+    agg = agg.withColumn("pct_change", _change(F.col("first_value"), F.col("last_value")))
     improving = (F.when(F.col("metric").isin(LOWER_IS_BETTER), F.col("pct_change") < 0)
                  .when(F.col("metric").isin(HIGHER_IS_BETTER), F.col("pct_change") > 0))
     return agg.withColumn("is_improving", improving)
 
 
+def _change(first: F.Column, last: F.Column) -> F.Column:
+    return F.when(first != 0, py_round((last - first) / F.abs(first) * F.lit(100.0), 1)).otherwise(F.lit(0.0))
+
+
 def trend_series(panel: DataFrame, col_map: dict) -> DataFrame:
     """P7 / A9 value list in long form: (company, metric, pos, year, value)
     with ``pos`` the 0-based place in year order (null year last, then file
@@ -83,13 +85,32 @@ def trend_direction(trends: DataFrame, companies: DataFrame | None = None) -> Da
         F.count_if(F.col("is_improving") == F.lit(False)).alias("declining_count"))
     if companies is not None:
         agg = companies.join(agg, "company", "left").na.fill(0, ["improving_count", "declining_count"])
+    return agg.withColumn("overall_direction", _direction())
+
+
+def _direction() -> F.Column:
     imp, dec = F.col("improving_count"), F.col("declining_count")
     total = imp + dec
-    direction = (F.when(total == 0, "Insufficient Data")
-                 .when(imp / total >= 0.7, "Improving")
-                 .when(dec / total >= 0.7, "Declining")
-                 .otherwise("Mixed"))
-    return agg.withColumn("overall_direction", direction)
+    return (F.when(total == 0, "Insufficient Data")
+            .when(imp / total >= 0.7, "Improving")
+            .when(dec / total >= 0.7, "Declining")
+            .otherwise("Mixed"))
+
+
+def company_directions(panel: DataFrame, col_map: dict) -> DataFrame:
+    """A11 for every company of the panel, from the one-pass company facts (a
+    row per company): no second pass for companies without trends."""
+    from verdant.operators.facts import company_facts
+    facts = company_facts(panel, col_map)
+    change = {m: F.when(F.col(f"n_{m}") >= 2, _change(F.col(f"first_{m}"), F.col(f"last_{m}")))
+              for m in col_map if f"n_{m}" in facts.columns}
+    better = [change[m] < 0 for m in change if m in LOWER_IS_BETTER] + \
+             [change[m] > 0 for m in change if m in HIGHER_IS_BETTER and m not in LOWER_IS_BETTER]
+    flags = F.array(*better).cast("array<boolean>")
+    return facts.select(
+        "company", F.size(F.filter(flags, lambda x: x)).cast("bigint").alias("improving_count"),
+        F.size(F.filter(flags, lambda x: ~x)).cast("bigint").alias("declining_count")).withColumn(
+        "overall_direction", _direction())
 
 
 def yoy_long(panel: DataFrame, col_map: dict) -> DataFrame:

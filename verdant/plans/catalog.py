@@ -141,12 +141,8 @@ def q_trend_metric(spark, sf_dir):
 
 @register("trend_direction", O.TREND_DIRECTION)
 def q_trend_direction(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from verdant.operators.trends import metric_trends, trend_direction
-    panel = esg_panel(spark, sf_dir)
-    companies = panel.select("company").where(F.col("company").isNotNull()).distinct()
-    return trend_direction(metric_trends(panel, IDENTITY_MAP), companies)
+    from verdant.operators.trends import company_directions
+    return company_directions(esg_panel(spark, sf_dir), IDENTITY_MAP)
 
 
 @register("yoy_long", O.YOY_LONG)

@@ -69,7 +69,6 @@ def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: Dat
             "frameworks": fw.where(F.col("pos") < 4),
             "risks": risks.where((F.col("kind") == "risk") & (F.col("ord") <= 3)),
         }
-    top = ranked.where(F.col("rank") == 1).select("company", F.col("name").alias("solution"))
     return {
         "profile": profile_sheet(cm),
         "pillars": pillars.select("company", "pillar", "score", "status_detailed"),
@@ -77,7 +76,7 @@ def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: Dat
         "risks": risks.where(F.col("kind") == "risk"),
         "opportunities": risks.where(F.col("kind") == "opportunity"),
         "solutions": ranked,
-        "kpis": kpis.join(top, ["company", "solution"]),
+        "kpis": kpis.where(F.col("rank") == 1),
         "frameworks": fw,
         "timeline": timeline,
     }
