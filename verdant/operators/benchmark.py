@@ -72,10 +72,11 @@ def gap_below(bench: DataFrame) -> DataFrame:
                 fixed.MSG_GAP_BELOW, F.col("metric"), F.col("gap"), F.col("industry_avg"), F.col("top_quartile"))))
 
 
-def regulation(cm: DataFrame) -> DataFrame:
-    """J2 per company: applicable frameworks, deadlines, penalties, regulator."""
-    r = dims.with_regulation(cm.select("company", "country"), "country", cm.sparkSession)
-    return r.select("company", "country", F.array_join("frameworks", " | ").alias("frameworks"),
+def regulation(cm: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """J2 per company: applicable frameworks, deadlines, penalties, regulator
+    (and the columns of ``keep``)."""
+    r = dims.with_regulation(cm.select("company", "country", *keep), "country", cm.sparkSession)
+    return r.select("company", "country", *keep, F.array_join("frameworks", " | ").alias("frameworks"),
                     F.size("frameworks").cast("bigint").alias("n_frameworks"),
                     "key_deadlines", "penalties", "regulator")
 

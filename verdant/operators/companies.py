@@ -19,14 +19,15 @@ def money0(c) -> F.Column:
     return F.format_string("%,.0f", py_round(c, 0))
 
 
-def company_maturity(profiles: DataFrame, panel: DataFrame, col_map: dict) -> DataFrame:
+def company_maturity(profiles: DataFrame, panel: DataFrame, col_map: dict, facts: DataFrame | None = None) -> DataFrame:
     """Each company's profile with maturity recomputed on its own rows
     (the completeness of its panel rows drives the governance adjustment).
     The result carries the company facts (latest row, per-metric first /
-    last values), so later operators need no second pass over the panel."""
+    last values), so later operators need no second pass over the panel;
+    ``facts`` puts another per-company table with ``completeness_pct`` in their place."""
     from verdant.operators.facts import company_facts
     spark = profiles.sparkSession
-    facts = company_facts(panel, col_map).drop("row_count", "null_count", "col_count", "year_min", "year_max")
+    facts = (company_facts(panel, col_map) if facts is None else facts).drop("row_count", "null_count", "col_count", "year_min", "year_max")
     base = profiles.join(facts, "company")
     m = maturity(base, dims.modifiers(spark), F.col("completeness_pct"))
     emp = F.coalesce(F.col("employee_count"), F.lit(0))

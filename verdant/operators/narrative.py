@@ -8,12 +8,15 @@ to fixed template tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant import fixed
 from verdant.functions.jsonx import extract_json
 from verdant.functions.names import named
+from verdant.functions.numeric import py_float_str
 from verdant.operators import dims
 from verdant.operators.companies import money0
 
@@ -86,14 +89,15 @@ def executive_summary(ranked: DataFrame) -> DataFrame:
     return j.select("company", text.alias("executive_summary"))
 
 
-def scenario_numbers(cm: DataFrame) -> DataFrame:
-    """X11 per company: the figures each what-if answer quotes."""
+def scenario_numbers(cm: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """X11 per company: the figures each what-if answer quotes, and the
+    columns of ``keep``."""
     budget = F.coalesce(F.col("budget").cast("double"), F.lit(0.0))
     emp = F.coalesce(F.col("employee_count").cast("bigint"), F.lit(0).cast("bigint"))
     emp_or_10 = F.when(emp == 0, F.lit(10).cast("bigint")).otherwise(emp)
     large = F.when(F.col("business_size") == "Large", F.lit(2.5)).otherwise(F.lit(1.0))
     return cm.select(
-        "company", "business_size", budget.alias("budget"), emp.alias("employee_count"),
+        "company", *keep, "business_size", budget.alias("budget"), emp.alias("employee_count"),
         (budget * F.lit(1.2)).alias("budget_optimistic"), (budget * F.lit(0.8)).alias("budget_pessimistic"),
         F.greatest(F.lit(1).cast("bigint"), F.floor(emp_or_10 / F.lit(50)).cast("bigint")).alias("esg_fte"),
         (emp * F.lit(200)).cast("bigint").alias("attrition_savings"),
@@ -102,9 +106,67 @@ def scenario_numbers(cm: DataFrame) -> DataFrame:
         (emp * F.lit(150)).cast("bigint").alias("carbon_credit_high"))
 
 
-def prompt_context(text: F.Column, purpose: str) -> F.Column:
-    """The capped data summary attached to a prompt."""
-    return F.substring(text, 1, fixed.PROMPT_CAPS[purpose])
+def _filled(template: str, slots: dict[str, F.Column]) -> F.Column:
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[slots[piece] if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)])
+
+
+def whatif_answers(cm: DataFrame) -> DataFrame:
+    """X11 per company and intent: the answer text, filled with the company's
+    figures and the regulation of its country. Missing numbers count as 0,
+    missing names take the fixed stand-ins."""
+    d = fixed.WHATIF_DEFAULTS
+    reg = dims.with_regulation(scenario_numbers(cm, ("industry", "country")), "country", cm.sparkSession)
+    fw = F.col("frameworks")
+    first = F.try_element_at(fw, F.lit(1))
+    whole = {c: money0(F.col(c).cast("double")) for c in (
+        "budget", "budget_optimistic", "budget_pessimistic", "attrition_savings", "compliance_cost_low",
+        "compliance_cost_high", "carbon_credit_low", "carbon_credit_high")}
+    slots = {
+        "size": F.coalesce("business_size", F.lit(d["size"])), "industry": F.coalesce("industry", F.lit(d["industry"])),
+        "employees": F.format_string("%,d", "employee_count"), "budget": whole["budget"],
+        "budget_up": whole["budget_optimistic"], "budget_down": whole["budget_pessimistic"],
+        "first_framework": F.coalesce(first, F.lit(d["first_framework"])),
+        "first_standard": F.coalesce(first, F.lit(d["first_standard"])),
+        "two_frameworks": F.array_join(F.slice(fw, 1, 2), ", "), "deadlines": F.col("key_deadlines"),
+        "penalties": F.col("penalties"), "fte": F.col("esg_fte").cast("string"), "attrition": whole["attrition_savings"],
+        "cost_low": whole["compliance_cost_low"], "cost_high": whole["compliance_cost_high"],
+        "credit_low": whole["carbon_credit_low"], "credit_high": whole["carbon_credit_high"]}
+    rows = F.array(*[F.struct(F.lit(k).alias("intent"), _filled(t, slots).alias("answer"))
+                     for k, t in fixed.WHATIF_ANSWERS.items()])
+    return reg.select("company", F.inline(rows))
+
+
+def prompt_table(ranked: DataFrame) -> DataFrame:
+    """X13 per company: the user prompts for the narrative, for risks and
+    opportunities, and for the ranking of solutions. ``ranked`` carries the
+    company's profile, maturity and ``text_summary`` on each solution row; the
+    summary is cut at the fixed limit of each prompt."""
+    spark = ranked.sparkSession
+    per = ranked.groupBy("company").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "name")))),
+                    lambda x: x["name"]).alias("_top"),
+        *[F.first(c).alias(c) for c in ("industry", "country", "business_size", "employee_count", "budget", "m_overall",
+                                        "m_grade", "m_environmental", "m_social", "m_governance", "text_summary")])
+    j = dims.with_regulation(per, "country", spark)
+    budget = money0(F.coalesce(F.col("budget").cast("double"), F.lit(0.0)))
+    text = {c: F.coalesce(F.col(c), F.lit("N/A")) for c in ("industry", "country", "business_size")}
+    score = {c: py_float_str(F.col(f"m_{c}")) for c in ("overall", "environmental", "social", "governance")}
+
+    def data(lead, purpose):
+        has = F.length(F.coalesce("text_summary", F.lit(""))) > 0
+        return F.when(has, F.concat(F.lit(lead), F.substring("text_summary", 1, fixed.PROMPT_CAPS[purpose]), F.lit("\n"))
+                      ).otherwise(F.lit(""))
+
+    slots = {**text, **score, "grade": F.col("m_grade"), "budget": budget,
+             "employees": F.format_string("%,d", F.coalesce(F.col("employee_count"), F.lit(0)).cast("bigint")),
+             "solutions": F.array_join("_top", ", "), "frameworks": F.array_join("frameworks", ", "),
+             "three_frameworks": F.array_join(F.slice("frameworks", 1, 3), ", "), "deadlines": F.col("key_deadlines"),
+             "regulator": F.col("regulator"),
+             "insights": data("\nData insights: ", "narrative"),
+             "risk_data": data("\nData characteristics:\n", "risks"),
+             "solution_data": data("\nData characteristics:\n", "solutions")}
+    return j.select("company", *[_filled(t, slots).alias(f"{k}_prompt") for k, t in fixed.PROMPTS.items()])
 
 
 def validate_ranking(replies: DataFrame, json_col: str = "reply_json",

@@ -165,3 +165,13 @@ def fill_profile(profiles: DataFrame) -> DataFrame:
             .withColumn("budget_in_range", F.col("budget").between(lo_b, hi_b))
             .withColumn("industry_allowed", F.col("industry").isin(fixed.FORM_INDUSTRIES))
             .withColumn("country_allowed", F.col("country").isin(fixed.FORM_COUNTRIES)))
+
+
+def profile_form_view(extracted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """V7 + V8 of extracted profiles: the missing fields, the form's values
+    after defaults, and whether each is in range or among the choices."""
+    filled = fill_profile(missing_fields(extracted))
+    return filled.select(id_col, F.array_join("missing_fields", ",").alias("missing_fields"),
+                         F.size("missing_fields").cast("bigint").alias("n_missing"),
+                         F.col("employee_count").alias("employee_count_filled"), F.col("budget").alias("budget_filled"),
+                         "employee_count_in_range", "budget_in_range", "industry_allowed", "country_allowed")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdant.fixed import COLUMN_PATTERNS
+from verdant.functions.names import named, user_columns
 
 
 def detect_columns(columns: list[str]) -> dict[str, str]:
@@ -57,3 +58,17 @@ def detect_columns_df(columns: DataFrame) -> DataFrame:
     w = Window.partitionBy("table_name", "metric").orderBy(F.col("score").desc(), F.col("column_ord").asc())
     return (scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
             .select("table_name", "metric", "column_name", F.col("score").cast("bigint").alias("score")))
+
+
+def detected_values(df: DataFrame, table: str) -> DataFrame:
+    """The columns that detection picks in ``df`` and, in one pass over them,
+    the rows and non-null values each holds: (table_name, metric, column_name,
+    n_rows, n_values); no row for a table without such columns."""
+    found = list(detect_columns(user_columns(df.columns)).items())
+    if not found:
+        return df.sparkSession.createDataFrame(
+            [], "table_name string, metric string, column_name string, n_rows bigint, n_values bigint")
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(named(c)).alias(f"v{i}") for i, (_, c) in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("column_name"), F.col("n_rows").alias("n_rows"),
+                              F.col(f"v{i}").alias("n_values")) for i, (m, c) in enumerate(found)])
+    return one.select(F.lit(table).alias("table_name"), F.inline(rows))

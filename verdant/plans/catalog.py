@@ -298,17 +298,8 @@ def q_profile_extract(spark, sf_dir):
 
 @register("missing_fields", O.MISSING_FIELDS)
 def q_missing_fields(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from verdant.operators.quality import fill_profile, missing_fields
-    ex = missing_fields(_profile_extract(spark, sf_dir))
-    filled = fill_profile(ex.withColumn("employee_count_raw", F.col("employee_count"))
-                          .withColumn("budget_raw", F.col("budget")))
-    return filled.select("doc_id", F.array_join("missing_fields", ",").alias("missing_fields"),
-                         F.size("missing_fields").cast("bigint").alias("n_missing"),
-                         F.col("employee_count").alias("employee_count_filled"),
-                         F.col("budget").alias("budget_filled"), "employee_count_in_range",
-                         "budget_in_range", "industry_allowed", "country_allowed")
+    from verdant.operators.quality import profile_form_view
+    return profile_form_view(_profile_extract(spark, sf_dir))
 
 
 @register("latin1", O.LATIN1)
@@ -511,3 +502,88 @@ def q_table_summary(spark, sf_dir):
     """X8 / W5 for the whole table: summary with the first five companies seen."""
     from verdant.operators.profile import table_summary_text
     return table_summary_text(esg_panel(spark, sf_dir))
+
+
+@register("whatif_answers", O.WHATIF_ANSWERS)
+def q_whatif_answers(spark, sf_dir):
+    """X11: the answer text of every intent for every company."""
+    from verdant.operators.narrative import whatif_answers
+    return whatif_answers(_ctx(spark, sf_dir)[2])
+
+
+@register("prompts", O.PROMPTS)
+def q_prompts(spark, sf_dir):
+    """The user prompts of every company, data summary attached."""
+    from verdant.operators.companies import company_maturity
+    from verdant.operators.narrative import prompt_table
+    from verdant.operators.profile import data_summary_text
+    from verdant.operators.solutions import rank_solutions
+    from verdant.sources.tables import company_profiles
+    panel = esg_panel(spark, sf_dir)
+    cm = company_maturity(company_profiles(spark, sf_dir), panel, IDENTITY_MAP, data_summary_text(panel))
+    carry = ["country", "employee_count", "text_summary", *[c for c in cm.columns if c.startswith("m_")]]
+    return prompt_table(rank_solutions(cm, carry=carry))
+
+
+@register("peer_table", O.PEER_TABLE)
+def q_peer_table(spark, sf_dir):
+    """The peer table under its display names, one company marked."""
+    from verdant.operators.peers import for_display, peer_comparison
+    return for_display(peer_comparison(esg_panel(spark, sf_dir), IDENTITY_MAP), O.MARKED_COMPANY)
+
+
+@register("solutions_sheet", O.SOLUTIONS_SHEET)
+def q_solutions_sheet(spark, sf_dir):
+    from verdant.sources.sinks import solutions_sheet
+    return solutions_sheet(_ranked(spark, sf_dir)[3])
+
+
+@register("report_regulation", O.REPORT_REGULATION)
+def q_report_regulation(spark, sf_dir):
+    """Key deadline, regulator and penalties of each company's report."""
+    return _report(spark, sf_dir, "executive")["regulation"]
+
+
+@register("report_quality", O.REPORT_QUALITY)
+def q_report_quality(spark, sf_dir):
+    """The data-quality paragraph of the detailed report."""
+    from verdant.operators.profile import company_summary
+    from verdant.operators.schema import detect_columns
+    from verdant.sources.sinks import quality_section
+    panel = esg_panel(spark, sf_dir)
+    return quality_section(company_summary(panel, IDENTITY_MAP), detect_columns(panel.drop("_row_id").columns))
+
+
+@register("report_defaults", O.REPORT_DEFAULTS)
+def q_report_defaults(spark, sf_dir):
+    """Companies of a third of the head counts come without maturity, those
+    of another third without regulation; the report fills in its defaults."""
+    from pyspark.sql import functions as F
+
+    from verdant.operators.benchmark import regulation
+    from verdant.sources.sinks import with_report_defaults
+    cm = _ctx(spark, sf_dir)[2]
+    part = F.col("employee_count") % 3
+    for c in ("m_overall", "m_environmental", "m_social", "m_governance", "m_grade"):
+        cm = cm.withColumn(c, F.when(part != 0, F.col(c)))
+    names = ("frameworks", "key_deadlines", "penalties", "regulator")
+    reg = regulation(cm, keep=("employee_count",)).select(
+        "company", *[F.when(part != 1, F.col(c)).alias(c) for c in names])
+    cm, reg = with_report_defaults(cm, reg)
+    return cm.select("company", "m_overall", "m_environmental", "m_social", "m_governance", "m_grade").join(reg, "company")
+
+
+@register("detected_values", O.DETECTED_VALUES)
+def q_detected_values(spark, sf_dir):
+    """V1: the detected metric columns of every table, with the values they hold."""
+    from verdant.operators.schema import detected_values
+    from verdant.sources.tables import TABLES, read_table
+    tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
+    tables["panel"] = esg_panel(spark, sf_dir)
+    return _union([detected_values(df, t) for t, df in tables.items()])
+
+
+from verdant.plans import composed  # noqa: E402
+
+for _name, (_fn, _sql) in composed.ALL.items():
+    register(_name, _sql)(_fn)

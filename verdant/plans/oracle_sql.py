@@ -828,3 +828,86 @@ SELECT row_count, col_count, completeness_pct,
             CASE WHEN nn > 0 THEN 'Companies: ' || names || '.' END,
             'ESG columns detected: {_detected_keys()}.', {_WHOLE_HL}) AS text_summary
 FROM st, first5"""
+
+# ----------------------------------------------------------------- filled texts
+def _fill_sql(template: str, slots: dict[str, str]) -> str:
+    out = q(template)
+    for name, value in slots.items():
+        if "{" + name + "}" in template:
+            out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+_WD = fixed.WHATIF_DEFAULTS
+_WHOLE = "printf('%,d', CAST({} AS BIGINT))".format
+_EMP0, _BUD0 = "COALESCE(employee_count, 0)", "COALESCE(budget, 0e0)"
+_ADOPT = "(CASE WHEN business_size = 'Large' THEN 2.5e0 ELSE 1e0 END)"
+_SLOTS = {
+    "size": f"COALESCE(business_size, {q(_WD['size'])})", "industry": f"COALESCE(industry, {q(_WD['industry'])})",
+    "employees": _WHOLE(_EMP0), "budget": money0_sql(_BUD0), "budget_up": money0_sql(f"{_BUD0} * 1.2e0"),
+    "budget_down": money0_sql(f"{_BUD0} * 0.8e0"),
+    "first_framework": f"COALESCE(frameworks[1], {q(_WD['first_framework'])})",
+    "first_standard": f"COALESCE(frameworks[1], {q(_WD['first_standard'])})",
+    "two_frameworks": "array_to_string(frameworks[1:2], ', ')", "deadlines": "key_deadlines", "penalties": "penalties",
+    "fte": f"CAST(GREATEST(1, CASE WHEN {_EMP0} = 0 THEN 10 ELSE {_EMP0} END // 50) AS VARCHAR)",
+    "attrition": _WHOLE(f"{_EMP0} * 200"), "cost_low": money0_sql(f"8000e0 * {_ADOPT}"),
+    "cost_high": money0_sql(f"30000e0 * {_ADOPT}"), "credit_low": _WHOLE(f"{_EMP0} * 50"),
+    "credit_high": _WHOLE(f"{_EMP0} * 150")}
+WHATIF_ANSWERS = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + " " + " UNION ALL ".join(
+    f"SELECT company, {q(k)} AS intent, {_fill_sql(t, _SLOTS)} AS answer FROM creg" for k, t in fixed.WHATIF_ANSWERS.items())
+
+
+def _data_sql(lead: str, purpose: str) -> str:
+    return f"CASE WHEN length(text_summary) > 0 THEN {q(lead)} || substring(text_summary, 1, {fixed.PROMPT_CAPS[purpose]}) || chr(10) ELSE '' END"
+
+
+_PSLOTS = {
+    "industry": "COALESCE(industry, 'N/A')", "country": "COALESCE(country, 'N/A')",
+    "business_size": "COALESCE(business_size, 'N/A')", "employees": _WHOLE(_EMP0), "budget": money0_sql(_BUD0),
+    **{c: f"CAST(m_{c} AS VARCHAR)" for c in ("overall", "environmental", "social", "governance")},
+    "grade": GRADE.format(x="m_overall"), "solutions": "top3", "frameworks": "array_to_string(frameworks, ', ')",
+    "three_frameworks": "array_to_string(frameworks[1:3], ', ')", "deadlines": "key_deadlines", "regulator": "regulator",
+    "insights": _data_sql("\nData insights: ", "narrative"), "risk_data": _data_sql("\nData characteristics:\n", "risks"),
+    "solution_data": _data_sql("\nData characteristics:\n", "solutions")}
+PROMPTS = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN, SOL_CTE, SUMMARY_CTE) + """,
+best AS (SELECT company, string_agg(name, ', ' ORDER BY rank) AS top3 FROM ranked WHERE rank <= 3 GROUP BY company),
+p AS (SELECT c.*, b.top3, s.text_summary FROM creg c JOIN best b ON c.company = b.company
+      JOIN summ_txt s ON c.company = s.company)
+SELECT company, """ + ", ".join(f"{_fill_sql(t, _PSLOTS)} AS {k}_prompt" for k, t in fixed.PROMPTS.items()) + " FROM p"
+
+# ----------------------------------------------------------------- display, sheets, report sections
+MARKED_COMPANY = "Supplier#000000001"
+PEER_TABLE = BASE + f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY esg_score DESC, company ASC) AS BIGINT) AS "Rank", company AS "Company",
+       esg_score AS "ESG Score", {GRADE.format(x='esg_score')} AS "Grade", environmental AS "Environmental",
+       social AS "Social", governance AS "Governance", {R('CAST(employees AS DOUBLE)')} AS "Employees",
+       {R('carbon_emissions')} AS "Carbon Emissions", {R('renewable_energy')} AS "Renewable Energy",
+       {R('gender_diversity')} AS "Gender Diversity", {R('board_independence')} AS "Board Independence",
+       {R('waste_recycled')} AS "Waste Recycled", company = {q(MARKED_COMPANY)} AS is_selected
+FROM scored WHERE (SELECT COUNT(*) FROM scored) >= 2"""
+SOLUTIONS_SHEET = SOL_CTX + """
+SELECT company, rank AS "Rank", name AS "Solution", category AS "Category", fit_score AS "Fit Score",
+       upfront_cost_low AS "Cost Low ($)", upfront_cost_high AS "Cost High ($)", annual_savings AS "Annual Savings ($)",
+       payback_years AS "Payback (yrs)" FROM ranked"""
+REPORT_REGULATION = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + """
+SELECT company, COALESCE(key_deadlines, 'N/A') AS key_deadlines, COALESCE(regulator, 'N/A') AS regulator,
+       COALESCE(penalties, 'N/A') AS penalties FROM creg"""
+REPORT_QUALITY = with_ctes(PANEL, SUMMARY_CTE) + f"""
+SELECT company, printf('Dataset: %d rows, %d columns. ', row_count, col_count) || 'Completeness: '
+       || CAST(completeness_pct AS VARCHAR) || '%. '
+       || COALESCE(CASE WHEN year_min IS NOT NULL THEN printf('Year range: %d-%d. ', year_min, year_max) END, '') AS quality,
+       'ESG columns auto-detected: {_detected_keys()}.' AS detected FROM summ"""
+REPORT_DEFAULTS = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + " SELECT company, " + ", ".join(
+    f"CASE WHEN employee_count % 3 = 0 THEN 50e0 ELSE {c} END AS {c}"
+    for c in ("m_overall", "m_environmental", "m_social", "m_governance")) + f""",
+  CASE WHEN employee_count % 3 = 0 THEN 'C' ELSE {GRADE.format(x='m_overall')} END AS m_grade,
+  CASE WHEN employee_count % 3 = 1 THEN '' ELSE array_to_string(frameworks, ' | ') END AS frameworks, """ + ", ".join(
+    f"CASE WHEN employee_count % 3 = 1 THEN 'N/A' ELSE {c} END AS {c}" for c in ("key_deadlines", "penalties", "regulator")) + " FROM creg"
+
+_USER_TABLES = {**DETECT_TABLES, "panel": PANEL_USER_COLUMNS}
+_COUNTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS n_rows, COUNT({c}) AS n_values FROM {t}"
+    for t, cols in _USER_TABLES.items() for c in cols)
+DETECTED_VALUES = with_ctes(PANEL) + f""", picked AS ({COLUMN_DETECT.strip()}), held AS ({_COUNTS})
+SELECT p.table_name, p.metric, p.column_name, h.n_rows, h.n_values FROM picked p
+JOIN held h ON p.table_name = h.table_name AND p.column_name = h.column_name"""

@@ -54,6 +54,16 @@ def with_report_defaults(cm: DataFrame, regulation: DataFrame | None = None):
     return cm, regulation
 
 
+def quality_section(summary: DataFrame, col_map: dict) -> DataFrame:
+    """The data-quality paragraph per company from ``company_summary``,
+    and the line of detected columns (null when none was)."""
+    years = F.when(F.col("year_min").isNotNull(), F.format_string("Year range: %d-%d. ", "year_min", "year_max"))
+    text = F.concat(F.format_string("Dataset: %d rows, %d columns. ", "row_count", "col_count"), F.lit("Completeness: "),
+                    F.coalesce(py_float_str(F.col("completeness_pct")), F.lit("N/A")), F.lit("%. "), F.coalesce(years, F.lit("")))
+    found = F.lit(f"ESG columns auto-detected: {', '.join(col_map)}." if col_map else None).cast("string")
+    return summary.select("company", text.alias("quality"), found.alias("detected"))
+
+
 def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: DataFrame, risks: DataFrame,
                     kpis: DataFrame, bench: DataFrame | None, pillars: DataFrame, timeline: DataFrame) -> dict:
     """The sections of the executive (``mode="executive"``) or
@@ -67,6 +77,7 @@ def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: Dat
             "top_actions": ranked.where(F.col("rank") <= 3).select(
                 "company", "rank", "name", "category", "investment_display", "payback_display"),
             "frameworks": fw.where(F.col("pos") < 4),
+            "regulation": regulation.select("company", "key_deadlines", "regulator", "penalties"),
             "risks": risks.where((F.col("kind") == "risk") & (F.col("ord") <= 3)),
         }
     return {
@@ -78,6 +89,7 @@ def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: Dat
         "solutions": ranked,
         "kpis": kpis.where(F.col("rank") == 1),
         "frameworks": fw,
+        "regulation": regulation.select("company", "key_deadlines", "penalties", "regulator"),
         "timeline": timeline,
     }
 
