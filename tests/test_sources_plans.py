@@ -78,11 +78,40 @@ def test_plan_dimension_joins_are_broadcast_and_no_python(spark):
         assert "BroadcastHashJoin" in plan, name
         for part in plan.split("SortMergeJoin")[1:]:
             assert "LocalTableScan" not in part.split("Join")[0], name
+
+
+#: Queries that read the line items for their own sake, beside the panel, or by their own SQL.
+WHOLE_TABLES = {"dq_duplicates", "dq_missing", "dq_constant", "dq_few_rows", "year_rule", "column_detect", "detected_values"}
+
+
+def test_every_plan_is_python_free_and_computes_the_panel_once(spark):
+    """The panel reads the line items twice (its sums, its distinct orders); no query does so more often."""
+    from verdant.plans.catalog import QUERIES
+    from verdant.sources.tables import read_table
+    from verdant.streaming.chat import route_questions
+    seen = {}
     for name in QUERIES:
-        if name in ("stream_route", "csv_peer_comparison"):
-            continue
-        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+        if name == "stream_route":       # the plan of the stream's output table is a scan
+            plan = _plan(route_questions(read_table(spark, SF_SMALL, "conversations")))
+        else:
+            df = QUERIES[name](spark, SF_SMALL)
+            plan = _plan(df)
+            if name not in WHOLE_TABLES and not name.startswith("sql_"):
+                seen[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+        assert not any(node in plan for node in ("EvalPython", "MapInArrow", "MapInPandas")), name
+    assert {n: k for n, k in seen.items() if k > 2} == {}
+    assert sum(k == 2 for k in seen.values()) > 20
+
+
+def test_composed_queries_reach_every_branch(spark):
+    """No column of a query on composed rows is all null or the same in every row."""
+    from verdant.plans.catalog import QUERIES
+    from verdant.plans.composed import ALL
+    for name in ALL:
+        df = QUERIES[name](spark, SF_SMALL)
+        kinds = df.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("<null>"))).alias(c)
+                         for c in df.columns if c not in ("turn",)]).first()
+        assert all(n > 1 for n in kinds), (name, kinds)
 
 
 def test_plan_scan_prunes_columns_and_pushes_filters(spark):
@@ -101,11 +130,18 @@ def test_plan_panel_aggregates_before_join(spark):
 
 
 def test_peer_rank_has_no_single_partition_window(spark):
+    """Ranks come from range-sorted partitions: no window over the ranked rows is without a partition key."""
+    import re
+
     from verdant.plans.catalog import QUERIES
-    df = QUERIES["peer_comparison"](spark, SF_SMALL)
-    df.collect()
-    plan = _plan(df)
-    assert "SinglePartition" not in plan.split("Window")[0]  # ranking does not funnel rows into one task
+    from verdant.plans.ordinal import global_rank
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
+    ranked = global_rank(rows, [F.col("v").asc()], rank_col="place")
+    assert [r.place for r in ranked.orderBy("v").collect()] == list(range(1, 1001))
+    for df in (ranked, QUERIES["peer_comparison"](spark, SF_SMALL), QUERIES["companies_seen"](spark, SF_SMALL)):
+        logical = df._jdf.queryExecution().optimizedPlan().toString()
+        bare = [w for w in re.findall(r"Window \[.*", logical) if re.search(r"\], \[[^\]]*(v#|esg_score#|_first#)[^\]]*\]$", w)]
+        assert not bare, bare
 
 
 def test_delimited_header_only_is_an_error(spark):

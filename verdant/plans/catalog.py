@@ -556,21 +556,29 @@ def q_report_quality(spark, sf_dir):
 
 @register("report_defaults", O.REPORT_DEFAULTS)
 def q_report_defaults(spark, sf_dir):
-    """Companies of a third of the head counts come without maturity, those
-    of another third without regulation; the report fills in its defaults."""
+    """Companies of a third of the head counts come without maturity; the
+    report fills in its defaults."""
+    from pyspark.sql import functions as F
+
+    from verdant.sources.sinks import with_report_defaults
+    cm = _ctx(spark, sf_dir)[2]
+    scores = ("m_overall", "m_environmental", "m_social", "m_governance", "m_grade")
+    there = F.col("employee_count") % 3 != 0
+    return with_report_defaults(cm.select("company", *[F.when(there, F.col(c)).alias(c) for c in scores]))[0]
+
+
+@register("report_no_regulation", O.REPORT_NO_REGULATION)
+def q_report_no_regulation(spark, sf_dir):
+    """Companies of a third of the head counts come without a regulation."""
     from pyspark.sql import functions as F
 
     from verdant.operators.benchmark import regulation
     from verdant.sources.sinks import with_report_defaults
     cm = _ctx(spark, sf_dir)[2]
-    part = F.col("employee_count") % 3
-    for c in ("m_overall", "m_environmental", "m_social", "m_governance", "m_grade"):
-        cm = cm.withColumn(c, F.when(part != 0, F.col(c)))
-    names = ("frameworks", "key_deadlines", "penalties", "regulator")
-    reg = regulation(cm, keep=("employee_count",)).select(
-        "company", *[F.when(part != 1, F.col(c)).alias(c) for c in names])
-    cm, reg = with_report_defaults(cm, reg)
-    return cm.select("company", "m_overall", "m_environmental", "m_social", "m_governance", "m_grade").join(reg, "company")
+    reg = regulation(cm, keep=("employee_count",))
+    there = F.col("employee_count") % 3 != 1
+    return with_report_defaults(cm, reg.select("company", *[
+        F.when(there, F.col(c)).alias(c) for c in ("frameworks", "key_deadlines", "penalties", "regulator")]))[1]
 
 
 @register("detected_values", O.DETECTED_VALUES)

@@ -43,7 +43,7 @@ _COUNTRY = _pick("s_suppkey", [O.q(x.title()) for x in fixed.TEXT_COUNTRIES])
 _SENTENCE = _pick("s_suppkey", [
     f"concat(s_name, ' has 1,', lpad(CAST(s_suppkey % 1000 AS STRING), 3, '0'), ' employees in ', {_COUNTRY}, '; budget: $', {_K}, 'k for ', {_INDUSTRY}, '.')",
     f"concat('Headcount: ', {_K}, '. We are a ', {_INDUSTRY}, ' firm based in ', {_COUNTRY}, '. Budget ', {_K}, ' million.')",
-    f"concat('Staff of ', {_K}, ', willing to spend $', {_K}, '.5 thousand on ', upper({_INDUSTRY}), '.')",
+    f"concat('Staff of ', CAST(s_suppkey - 2 AS STRING), ', willing to spend $', {_K}, '.5 thousand on ', upper({_INDUSTRY}), '.')",
     f"concat('Workforce: ', {_K}, ' in ', {_COUNTRY}, '.')",
     f"concat('Employee count: ', {_K}, ', we hold $', {_K}, 'm; investment: ,,')",
     "'No figures are known.'",

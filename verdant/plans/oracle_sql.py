@@ -897,11 +897,12 @@ SELECT company, printf('Dataset: %d rows, %d columns. ', row_count, col_count) |
        || CAST(completeness_pct AS VARCHAR) || '%. '
        || COALESCE(CASE WHEN year_min IS NOT NULL THEN printf('Year range: %d-%d. ', year_min, year_max) END, '') AS quality,
        'ESG columns auto-detected: {_detected_keys()}.' AS detected FROM summ"""
-REPORT_DEFAULTS = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + " SELECT company, " + ", ".join(
+REPORT_DEFAULTS = CTX + " SELECT company, " + ", ".join(
     f"CASE WHEN employee_count % 3 = 0 THEN 50e0 ELSE {c} END AS {c}"
     for c in ("m_overall", "m_environmental", "m_social", "m_governance")) + f""",
-  CASE WHEN employee_count % 3 = 0 THEN 'C' ELSE {GRADE.format(x='m_overall')} END AS m_grade,
-  CASE WHEN employee_count % 3 = 1 THEN '' ELSE array_to_string(frameworks, ' | ') END AS frameworks, """ + ", ".join(
+  CASE WHEN employee_count % 3 = 0 THEN 'C' ELSE {GRADE.format(x='m_overall')} END AS m_grade FROM cm"""
+REPORT_NO_REGULATION = with_ctes(PANEL, PROFILES, COMPLETENESS, MATURITY_CTE, REG_JOIN) + """
+SELECT company, CASE WHEN employee_count % 3 = 1 THEN '' ELSE array_to_string(frameworks, ' | ') END AS frameworks, """ + ", ".join(
     f"CASE WHEN employee_count % 3 = 1 THEN 'N/A' ELSE {c} END AS {c}" for c in ("key_deadlines", "penalties", "regulator")) + " FROM creg"
 
 _USER_TABLES = {**DETECT_TABLES, "panel": PANEL_USER_COLUMNS}
