@@ -39,12 +39,6 @@ def to_num(c: Column | str) -> Column:
     return F.when(F.lower(txt).rlike(NUMERIC_TEXT), txt.try_cast("double"))
 
 
-def to_num_typed(c: Column | str, is_numeric: bool) -> Column:
-    """Numeric columns pass through as DOUBLE; text columns go through ``to_num``."""
-    col = F.col(c) if isinstance(c, str) else c
-    return col.cast("double") if is_numeric else to_num(col)
-
-
 def grade(score: Column) -> Column:
     return (F.when(score >= 80, "A").when(score >= 65, "B").when(score >= 50, "C")
             .when(score >= 35, "D").otherwise("F"))

@@ -67,26 +67,12 @@ def risk_templates(spark: SparkSession) -> DataFrame:
         "fw_slot int, fw_fallback string")
 
 
-def solutions(spark: SparkSession) -> DataFrame:
-    """B6 catalogue."""
-    rows = [(o, n, c, d, float(lo), float(hi), float(sv), float(pb), int(fit))
-            for o, n, c, d, lo, hi, sv, pb, fit in fixed.SOLUTIONS]
-    return spark.createDataFrame(
-        rows, "template_ord int, name string, category string, description string, cost_low double, "
-              "cost_high double, savings double, payback_years double, fit_score int")
-
-
 def boosts(spark: SparkSession) -> DataFrame:
     """(industry, solution) pairs that get the +5 fit boost."""
     rows = [(ind, name) for ind, names in fixed.INDUSTRY_BOOSTS for name in names]
     return spark.createDataFrame(rows, "boost_industry string, boost_name string")
 
 
-def kpi_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(o, k, float(b), int(i)) for o, k, b, i in fixed.KPI_TEMPLATES],
-                                 "kpi_ord int, kpi string, base double, improvement int")
-
-
 def kpi_improvement_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixed.KPI_IMPROVEMENT_MAP, "metric string, kpi string, improvement int")
 

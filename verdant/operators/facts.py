@@ -53,8 +53,3 @@ def company_facts(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> D
     return out.selectExpr(
         "*", f"CAST({ncol} AS BIGINT) AS col_count",
         py_round_sql(f"(1D - null_count / (row_count * {float(ncol)}D)) * 100D", 1) + " AS completeness_pct")
-
-
-def facts_summary(facts: DataFrame) -> DataFrame:
-    """A1 + A2 per company from the facts table."""
-    return facts.select("company", "row_count", "year_min", "year_max", "col_count", "completeness_pct")

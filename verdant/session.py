@@ -73,10 +73,6 @@ def resolve_checkpoint_root(configured: str | None, master: str) -> str | None:
     return None
 
 
-def sub_checkpoint(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_root(spark), name)
-
-
 def materialize(df, name: str):
     """Write ``df`` once as a table under the shared checkpoint folder and
     read it back: later readers share one computation and the lineage is cut
