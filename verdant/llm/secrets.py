@@ -33,11 +33,13 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "login", "random", "endpoint")
 MAX_GAP = 200
 
-_LOGIN = re.compile(r"""\b(?:user(?:name|_id)?|login|account(?:_id)?|client_id|key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{2,}""",
+#: Names may follow a prefix, as in DB_USER; connection strings write them as one or two words.
+_LOGIN = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:[\x20_]?(?:name|id))?|uid|login|account(?:_?name|_id)?|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{2,}""",
                     re.IGNORECASE | re.ASCII)
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+#: Random words also begin right after the "=" or ":" of an assignment.
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 _URL = re.compile(r"""(?<![A-Za-z0-9+])[A-Za-z][A-Za-z0-9+]{1,15}://[^\s"'<>]{3,}""", re.ASCII)
-_HOST = re.compile(r"""\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?""",
+_HOST = re.compile(r"""(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?(?:tcp:)?[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?""",
                    re.IGNORECASE | re.ASCII)
 _BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
