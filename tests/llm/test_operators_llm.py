@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from verdant.llm.common import order_within, ship, text_array
 from verdant.llm.components import connected_components
 from verdant.llm.decontaminate import clean_documents, contamination
-from verdant.llm.licenses import license_scan
+from verdant.llm.licenses import TEMPLATES, full_texts, license_scan
 from verdant.llm.lines import duplicate_lines, without_duplicate_lines
 from verdant.llm.mixing import mix, mixed_documents, targets
 from verdant.llm.near_duplicates import choose_bands, near_duplicate_classes, unique_documents
@@ -498,6 +499,30 @@ def test_licenses_own_and_inherited(spark):
                    5: ("Apache-2.0", "own", None), 6: none, 7: none, 8: ("CC-BY-NC-4.0", "own", None), 9: ("MIT", "inherited", "p/q"), 10: none}
 
 
+def test_full_and_wrapped_license_texts(spark):
+    full = {k: v[0] for k, v in full_texts().items()}
+    wrap = lambda t, w, mark="": "\n".join(mark + x for x in textwrap.wrap(t, w))
+    rows = []
+    for k, t in full.items():  # as it is, on one line, wrapped anew, with a copyright line
+        rows += [(f"{k}/a/LICENSE", t, k), (f"{k}/b/COPYING", " ".join(t.split()), k), (f"{k}/c/x", wrap(t, 50), k),
+                 (f"{k}/d/x", "Copyright (c) 2020 Jane Doe and others\n\n" + wrap(t, 90), k), (f"{k}/a/src/deep/y.c", _prose(len(k), 50), k)]
+    heads = {x: k for k, v in TEMPLATES.items() for x in v if len(x.split()) > 12}
+    for j, (x, k) in enumerate(heads.items()):
+        for w in (40, 72):
+            rows.append((f"h{j}/{w}.c", _prose(7, 30) + "\n" + wrap(x, w, " * ") + "\n" + _prose(8, 60), k))
+    english = ("the license of the software is to be used by any person who may copy and modify it under the terms of this and "
+               "not in all other cases where you or the holder shall have the right")
+    rows += [("none/x", english, None), ("none/y", "the of and in to or", None)]
+    table = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "doc_id int, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan(table).collect()}
+    assert [(i, rows[i][0], got[i]["license"]) for i in got if got[i]["license"] != rows[i][2]] == []
+    for i, (path, text, k) in enumerate(rows):
+        assert got[i]["origin"] == ("inherited" if "/deep/" in path else k and "own"), path
+        assert got[i]["is_file"] == (path[0] != "h" and k is not None and "/deep/" not in path), path
+        if path[0] == "h":  # the notice's lines and no others
+            assert (got[i]["line"], got[i]["n_license_lines"]) == (1, text.count("\n") - 1) or got[i]["score"] < 0.99, path
+
+
 def test_license_lines_of_the_documents(docs):
     rows = license_scan(docs.withColumn("path", F.lit("d/f"))).where("origin = 'own'").collect()
     says = re.compile(r"^(Licensed under|Released under|This work is licensed)")

@@ -1,10 +1,14 @@
-"""License scans: sparse TF-IDF cosine of every line to license templates, then
-inheritance from the nearest ancestor directory that holds a license file.
+"""License scans: sparse TF-IDF cosine of lines and joined lines to license
+notices and of whole texts to full license texts, then inheritance from the
+nearest ancestor directory that holds a license file.
 
 Two maps over whole texts: the first counts in how many lines each template
 word occurs (as many numbers as the templates have words), the second weighs
-every line and compares it with all templates. Only verdicts and paths take
-part in the directory joins: license files are reduced to one row per
+every line, every run of up to ``MAX_LINES`` lines with words (a notice may be
+wrapped) and the whole text. The words' products add up over lines and the
+lines' squared lengths are at most the run's, so sums per line give a bound on
+a run's cosine, and only runs that may reach the threshold are weighed. Only
+verdicts and paths take part in the directory joins: license files are reduced to one row per
 directory, the ancestors of each *distinct* directory are looked up once, and
 documents then join their directory's row.
 """
@@ -12,16 +16,23 @@ documents then join their directory's row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import ALNUM_BYTES, LOWER, chunks, cut, small, split_words, text_array
+from verdant.llm.common import ALNUM_BYTES, LOWER, chunks, cut, small, span_indices, split_words, text_array
 
 THRESHOLD = 0.6
 FILE_SHARE = 0.5
+#: Least cosine of a whole text to a full license text.
+TEXT_THRESHOLD = 0.8
+#: Lines with words that are joined at most for a wrapped notice.
+MAX_LINES = 6
+_BLOCK_LINES = 1 << 15
 #: License notices as they are commonly written, per license.
 TEMPLATES = {
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.",
@@ -47,7 +58,8 @@ TEMPLATES = {
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
                 "or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0"],
-    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any "
+            "purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -59,6 +71,13 @@ TEMPLATES = {
 }
 
 
+@cache
+def full_texts() -> dict[str, list[str]]:
+    """Full license texts by license, from ``license_texts``."""
+    return {f.name.removesuffix(".txt"): [f.read_text("utf-8")] for f in files("verdant.llm").joinpath("license_texts").iterdir()
+            if f.name.endswith(".txt")}
+
+
 def _words(data: np.ndarray, bounds: np.ndarray):
     return split_words(LOWER[data], bounds, ALNUM_BYTES)
 
@@ -81,6 +100,72 @@ class _Vocabulary:
         return np.where(self.hash[at] == hashes, at, -1)
 
 
+class _Weights:
+    """Normed template vectors for the rarity of words in a corpus: ``held`` of
+    all ``lines`` hold each word; ``damped``: a word's times count by logarithm."""
+
+    def __init__(self, vocabulary: _Vocabulary, held: np.ndarray, lines: int, damped: bool):
+        self.vocabulary, self.damped = vocabulary, damped
+        self.rarity = np.log((1 + lines) / (1 + held)) + 1
+        self.other = float(np.log(1 + lines) + 1)  # words of no template weigh as the rarest
+        weight = self._times(vocabulary.count) * self.rarity[:, None]
+        self.weight = weight / np.sqrt((weight ** 2).sum(0))
+
+    def _times(self, times: np.ndarray) -> np.ndarray:
+        return np.log2(1 + times) if self.damped else times
+
+    def products(self, group: np.ndarray, token: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Product of each of ``n`` groups (ascending) with every template, and the groups' squared lengths."""
+        at = self.vocabulary.find(token)
+        value = self._times(times) * np.where(at >= 0, self.rarity[at], self.other)
+        known = np.flatnonzero(at >= 0)
+        out = np.zeros((n, self.weight.shape[1]))
+        if len(known):
+            of = group[known]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            out[of[first]] = np.add.reduceat(value[known, None] * self.weight[at[known]], first)
+        return out, np.bincount(group, weights=value ** 2, minlength=n)
+
+
+def _cosines(products: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return np.round(products / np.maximum(np.sqrt(squares), 1e-12)[:, None], 9)
+
+
+def _merged(group: np.ndarray, token: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, word hash, times) with one entry for each word of a group."""
+    order = np.lexsort((token, group))
+    group, token, times = group[order], token[order], times[order]
+    begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (token[1:] != token[:-1])])[:len(group)])
+    return group[begin], token[begin], np.add.reduceat(times, begin) if len(begin) else times
+
+
+def _runs(weights: _Weights, line, token, times, row, products, squares, top, threshold: float):
+    """(first line, lines, cosine, template) of runs of 2 to ``MAX_LINES`` lines
+    of one row that reach the threshold and more than any run or line in them."""
+    entry = np.searchsorted(line, np.arange(len(row) + 1))
+    out = []
+    for lo in range(0, max(len(row) - 1, 0), _BLOCK_LINES):
+        hi = min(len(row), lo + _BLOCK_LINES + MAX_LINES - 1)
+        total, square, within = products[lo:hi], squares[lo:hi], top[lo:hi]
+        for k in range(2, min(MAX_LINES, hi - lo) + 1):
+            total, square = total[:-1] + products[lo + k - 1:hi], square[:-1] + squares[lo + k - 1:hi]
+            within = np.maximum(within[:-1], within[1:])
+            bound = total.max(1) / np.sqrt(np.maximum(square, 1e-24))
+            may = np.flatnonzero((row[lo:hi - k + 1] == row[lo + k - 1:hi]) & (bound >= threshold - 1e-6) & (bound > within - 1e-6))
+            if not len(may):
+                continue
+            start, end = entry[lo + may], entry[lo + may + k]
+            run, of = np.repeat(np.arange(len(may)), end - start), span_indices(start, end)
+            cosine = _cosines(*weights.products(*_merged(run, token[of], times[of]), len(may)))
+            best = cosine.argmax(1)
+            score = cosine[np.arange(len(may)), best]
+            more = (score >= threshold) & (score > within[may]) & (may < _BLOCK_LINES)  # the next block has the others
+            out.append((lo + may[more], np.full(more.sum(), k), score[more], best[more]))
+            within = within.copy()
+            within[may] = np.maximum(within[may], score)
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+
+
 def _lines(data: np.ndarray, bounds: np.ndarray):
     """(line, word hash, times) of the distinct words of each line with words,
     and those lines' rows, numbers in the row and words."""
@@ -98,17 +183,17 @@ def _lines(data: np.ndarray, bounds: np.ndarray):
     return line[begin], token[begin], times, row, number, np.bincount(line, minlength=len(used))
 
 
-def _line_counts(texts: DataFrame, vocabulary: _Vocabulary) -> tuple[np.ndarray, int]:
-    """Lines that hold each template word, over all texts; lines with words."""
-    n = len(vocabulary.hash)
+def _line_counts(texts: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """Lines that hold each of the words (sorted hashes), over all texts; lines with words."""
+    n = len(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n + 1, np.int64)
         for batch in batches:
             for _, _, data, bounds in chunks(text_array(batch.column("text"))):
                 _, token, _, row, _, _ = _lines(data, bounds)
-                at = vocabulary.find(token)
-                total[:n] += np.bincount(at[at >= 0], minlength=n)
+                at = np.minimum(np.searchsorted(words, token), n - 1)
+                total[:n] += np.bincount(at[words[at] == token], minlength=n)
                 total[n] += len(row)
         yield pa.RecordBatch.from_arrays([pa.array(range(n + 1), pa.int32()), pa.array(total)], names=["w", "c"])
 
@@ -120,54 +205,63 @@ def _line_counts(texts: DataFrame, vocabulary: _Vocabulary) -> tuple[np.ndarray,
 
 
 def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path",
-                 templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, path, license, score, line, n_license_lines, is_file``: the best
-    license line of each document (``score`` its cosine, ``line`` its number; the
-    first of equals) and whether license lines hold half of its words."""
-    vocabulary = _Vocabulary(templates)
+                 templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD,
+                 texts: dict[str, list[str]] | None = None, text_threshold: float = TEXT_THRESHOLD) -> DataFrame:
+    """``doc_id, path, license, score, line, n_license_lines, is_file``: of a text
+    whose cosine to a full license text (``texts``, ``full_texts()`` by default)
+    reaches ``text_threshold``, that license and cosine, its first line with words
+    and all of those; of others the best line or run of lines (``score`` its
+    cosine, ``line`` the number of its first line; the first of equals) and the
+    lines in any. ``is_file``: a full license text, or license lines hold half of its words."""
+    notices, full = _Vocabulary(templates), _Vocabulary(full_texts() if texts is None else texts)
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{path_col}`").cast("string").alias("path"),
                       F.col(f"`{text_col}`").alias("text"))
-    held, lines = _line_counts(src.select("text"), vocabulary)
-    rarity = np.log((1 + lines) / (1 + held)) + 1
-    other = float(np.log(1 + lines) + 1)  # words of no template weigh as the rarest
-    weight = vocabulary.count * rarity[:, None]
-    weight /= np.sqrt((weight ** 2).sum(0))
+    every = np.union1d(notices.hash, full.hash)
+    held, lines = _line_counts(src.select("text"), every)
+    by_notice, by_text = (_Weights(v, held[np.searchsorted(every, v.hash)], lines, v is full) for v in (notices, full))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, paths = batch.column("doc_id"), batch.column("path")
             for lo, hi, data, bounds in chunks(text_array(batch.column("text"))):
+                n = hi - lo
                 line, token, times, row, number, words = _lines(data, bounds)
-                at = vocabulary.find(token)
-                value = times * np.where(at >= 0, rarity[at], other)
-                length = np.sqrt(np.bincount(line, weights=value ** 2, minlength=len(row)))
-                known = np.flatnonzero(at >= 0)
-                cosine = np.zeros((len(row), weight.shape[1]))
-                if len(known):
-                    part = value[known, None] * weight[at[known]]
-                    first = np.flatnonzero(np.concatenate([[True], line[known][1:] != line[known][:-1]]))
-                    cosine[line[known][first]] = np.add.reduceat(part, first)
-                cosine = np.round(cosine / np.maximum(length, 1e-12)[:, None], 9)
+                products, squares = by_notice.products(line, token, times, len(row))
+                cosine = _cosines(products, squares)
                 best = cosine.argmax(1) if len(row) else np.zeros(0, np.int64)
                 top = cosine[np.arange(len(row)), best]
-                hit = np.flatnonzero(top >= threshold)
-                n = hi - lo
-                order = hit[np.lexsort((number[hit], -top[hit], row[hit]))]
+                alone = np.flatnonzero(top >= threshold)
+                first, size, run_top, run_best = _runs(by_notice, line, token, times, row, products, squares, top, threshold)
+                hit, size = np.concatenate([alone, first]), np.concatenate([np.ones(len(alone), np.int64), size])
+                top, best = np.concatenate([top[alone], run_top]), np.concatenate([best[alone], run_best])
+                inside = np.zeros(len(row) + 1, np.int64)
+                np.add.at(inside, hit, 1)
+                np.add.at(inside, hit + size, -1)
+                inside = np.cumsum(inside[:-1]) > 0
+                order = np.lexsort((number[hit], -top, row[hit]))
                 chosen = np.full(n, -1)
                 if len(order):
-                    begin = np.concatenate([[True], row[order][1:] != row[order][:-1]])
-                    chosen[row[order][begin]] = order[begin]
+                    begin = np.concatenate([[True], row[hit[order]][1:] != row[hit[order]][:-1]])
+                    chosen[row[hit[order]][begin]] = order[begin]
                 has = chosen >= 0
-                all_words = np.bincount(row, weights=words, minlength=n)
-                license_words = np.bincount(row[hit], weights=words[hit], minlength=n)
                 pick = np.where(has, chosen, 0)
-                get = lambda x: x[pick] if len(x) else np.zeros(n, np.int64)
+                get = lambda x: x[pick] if len(x) else np.zeros(n, x.dtype)
+                all_words = np.bincount(row, weights=words, minlength=n)
+                license_words = np.bincount(row[inside], weights=words[inside], minlength=n)
+                whole = _cosines(*by_text.products(*_merged(row[line], token, times), n))
+                nearest = whole.argmax(1)
+                whole = whole[np.arange(n), nearest]
+                is_text = whole >= text_threshold
+                started = np.minimum(np.searchsorted(row, np.arange(n)), max(len(row) - 1, 0))
+                found = has | is_text
+                at = np.where(is_text, number[started] if len(row) else 0, get(number[hit]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, n), paths.slice(lo, n),
-                     pa.array([vocabulary.names[b] if ok else None for b, ok in zip(get(best), has)], pa.string()),
-                     pa.array(np.where(has, get(top), 0.0), mask=~has), pa.array(get(number).astype(np.int32), mask=~has),
-                     pa.array(np.bincount(row[hit], minlength=n)),
-                     pa.array(has & (license_words >= FILE_SHARE * all_words))],
+                     pa.array([full.names[f] if t else notices.names[b] if ok else None
+                               for f, t, b, ok in zip(nearest, is_text, get(best), has)], pa.string()),
+                     pa.array(np.where(is_text, whole, get(top)), mask=~found), pa.array(at.astype(np.int32), mask=~found),
+                     pa.array(np.where(is_text, np.bincount(row, minlength=n), np.bincount(row[inside], minlength=n))),
+                     pa.array(is_text | (has & (license_words >= FILE_SHARE * all_words)))],
                     names=["doc_id", "path", "license", "score", "line", "n_license_lines", "is_file"])
 
     return src.mapInArrow(score, f"doc_id {dict(src.dtypes)['doc_id']}, path string, license string, score double, "
@@ -177,7 +271,7 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path",
                  templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: ``doc_id, license, origin, score, line, n_license_lines,
-    is_file, from_dir``. ``origin`` is "own" (a line of the text matches),
+    is_file, from_dir``. ``origin`` is "own" (a line, a run of lines or the whole text matches),
     "inherited" (from the nearest ancestor directory of ``path`` with a license
     file, ``from_dir``) or null (no license).
 
