@@ -523,6 +523,22 @@ def test_full_and_wrapped_license_texts(spark):
             assert (got[i]["line"], got[i]["n_license_lines"]) == (1, text.count("\n") - 1) or got[i]["score"] < 0.99, path
 
 
+def test_licenses_inherit_by_real_paths_only(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "Plain words.", "en", "src", "a/LICENSE"), (2, "Released under the MIT License.", "en", "src", "b/LICENSE"),
+            (3, _prose(51, 30), "en", "src", "b/c/x.txt"), (4, _prose(52, 30), "en", "src", "a/y.txt")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, path string")
+    for name, table in (("with", docs), ("without", docs.drop("path"))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+    run = lambda d: {r["doc_id"]: (r["license"], r["origin"], r["from_dir"])
+                     for r in entry.queries()["op9_license_scan"](spark, d).collect()}
+    none, own = (None, None, None), ("MIT", "own", None)
+    assert run(str(tmp_path / "with")) == {1: none, 2: own, 3: ("MIT", "inherited", "b"), 4: none}
+    assert run(str(tmp_path / "without")) == {1: none, 2: own, 3: none, 4: none}
+    assert not [r for r in entry.queries()["op9_license_scan"](spark, SF).collect() if r["origin"] == "inherited"]
+
+
 def test_license_lines_of_the_documents(docs):
     rows = license_scan(docs.withColumn("path", F.lit("d/f"))).where("origin = 'own'").collect()
     says = re.compile(r"^(Licensed under|Released under|This work is licensed)")

@@ -74,9 +74,10 @@ def op7_packed_tokens(spark, sf_dir):
 
 @query
 def op9_license_scan(spark, sf_dir):
-    """The documents have no paths of their own: source, language and id stand for one."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
-    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+    """A table without paths gets each document's own license only: no path is invented."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.col("path") if "path" in docs.columns else F.lit(None).cast("string")
+    return license_scan(docs.select("doc_id", "text", path.alias("path")))
 
 
 @query
