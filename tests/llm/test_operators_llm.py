@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from verdant.llm import lines
 from verdant.llm.common import order_within, ship, text_array
 from verdant.llm.components import connected_components
 from verdant.llm.decontaminate import clean_documents, contamination
@@ -303,6 +304,25 @@ def test_lines_against_brute_force(spark):
     assert {r["doc_id"]: (r["n_lines"], r["n_links"], r["removed"]) for r in got} == _lines_brute(rows)
 
 
+def test_lines_with_a_hot_word_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_ROWS", 100)
+    monkeypatch.setattr(lines, "BLOCK_ROWS", 40)
+    rng, words = random.Random(29), _prose(60, 50).split()
+    rows = []
+    for i in range(300):  # variants of one line, most of them with a number, some shorter or longer
+        line = list(words) + [f"n{i}"]
+        if i % 3 == 0:
+            line = line[rng.randint(0, 14):] + [f"x{i}_{k}" for k in range(rng.randint(0, 9))]
+        rows.append((i, "\n".join([" ".join(line), _prose(100 + i, 6)])))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    held, index = [], lines._index
+    monkeypatch.setattr(lines, "_index", lambda *a: held.append(index(*a)) or held[-1])
+    got = duplicate_lines(table).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_links"], r["removed"]) for r in got} == _lines_brute(rows)
+    most = held[0].groupBy("token").count().agg(F.max("count")).first()[0]
+    assert "side" in held[0].columns and most <= 100  # two blocks and chance
+
+
 def test_lines_of_the_documents_against_brute_force(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = duplicate_lines(docs).collect()

@@ -10,7 +10,9 @@ more for each), kept once per batch of documents, so that a line that fills the
 (3) Classes shuffle on prefix words. Within the run of a word, ordered by size,
 pairs pass the length filter, the positional filter and the parity filter (the
 maps of two sets differ in at most as many bits as the sets in words); a task
-hands on a spanning forest of what passed, not the pairs. (4) The components of
+hands on a spanning forest of what passed, not the pairs. The run of a word in
+many prefixes is split by size and a hash of the class into blocks of bounded
+rows, and pairs of blocks are dealt to tasks. (4) The components of
 those links are verified on the whole word sets, all pairs of a component, in
 blocks of bounded size. (5) A line goes if the same set, or a linked one, stands
 earlier.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import chunks, cut, mix, order_within, span_hashes, split_words, text_array
+from verdant.llm.common import chunks, cut, mix, order_within, small, span_hashes, split_words, text_array
 from verdant.llm.components import connected_components
 from verdant.llm.near_duplicates import in_block_pairs, in_blocks, verified
 from verdant.session import materialize
@@ -36,6 +38,9 @@ _SLICES = 64
 #: Bits of the filter that picks candidate lines before their texts are shuffled.
 FILTER_BITS = 1 << 25
 _RUN_ROWS = 200_000
+#: A word in more prefixes than this has its run split into blocks of about BLOCK_ROWS.
+HOT_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 13
 
 
 def _needed(n, share: float):
@@ -43,15 +48,15 @@ def _needed(n, share: float):
     return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
-def _word_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of word hashes over all texts. Every task adds up its own cells;
-    slices of the tables are summed by key, and 4 MB reach the driver."""
+def _cell_counts(rows: DataFrame, hashes) -> np.ndarray:
+    """Counts of the hashes of all batches in CELLS cells by their lowest bits.
+    Every task adds up its own cells; slices of the tables are summed by key,
+    and 4 MB reach the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, _, data, bounds in chunks(text_array(batch.column("text"))):
-                h = split_words(data, bounds).hash
-                cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            for h in hashes(batch):
+                cells += np.bincount((h & h.dtype.type(CELLS - 1)).astype(np.int64), minlength=CELLS)
         cells = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(cells, _SLICES)], pa.binary())],
@@ -64,13 +69,19 @@ def _word_counts(texts: DataFrame) -> np.ndarray:
         out = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
         return pdf.head(1).assign(cells=[out])
 
-    rows = (texts.mapInArrow(count, "slice int, cells binary").groupBy("slice")
+    rows = (rows.mapInArrow(count, "slice int, cells binary").groupBy("slice")
             .applyInPandas(add, "slice int, cells binary").collect())
     held = {r["slice"]: np.frombuffer(r["cells"], np.uint32) for r in rows}
     empty = np.zeros(CELLS // _SLICES, np.uint32)
     return np.concatenate([held.get(i, empty) for i in range(_SLICES)])
 
 
+def _word_counts(texts: DataFrame) -> np.ndarray:
+    """Counts of word hashes over all texts."""
+    return _cell_counts(texts, lambda batch: (split_words(data, bounds).hash for _, _, data, bounds in
+                                              chunks(text_array(batch.column("text")))))
+
+
 class _Lines:
     """Lines with words of a chunk, and the distinct words of each, line by line."""
 
@@ -169,12 +180,14 @@ def _differing(maps, begin, width, x, y) -> np.ndarray:
 
 def _passing(rows: dict[str, np.ndarray], maps: np.ndarray, share: float):
     """Links between classes of one prefix word that pass all filters; the maps
-    of the rows are at ``begin``, ``width`` long."""
+    of the rows are at ``begin``, ``width`` long. Rows of one ``side`` >= 0 meet
+    in other blocks."""
     order = np.lexsort((rows["node"], rows["size"], rows["token"]))
     rows = {c: x[order] for c, x in rows.items()}
     new = np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])
     once = new[:len(rows["token"])]
-    token, node, size, place, begin, width = (rows[c][once] for c in ("token", "node", "size", "place", "begin", "width"))
+    token, node, size, place, begin, width, side = (
+        rows[c][once] for c in ("token", "node", "size", "place", "begin", "width", "side"))
     at, step, found, held = np.arange(len(token)), 0, [], 0
     while True:
         step += 1
@@ -187,7 +200,7 @@ def _passing(rows: dict[str, np.ndarray], maps: np.ndarray, share: float):
         both = size[at] + size[to]
         least = _needed(both, share / (1 + share))
         room = np.minimum(size[at] - place[at], size[to] - place[to])
-        fits = np.flatnonzero((room >= least) & (node[at] != node[to]))
+        fits = np.flatnonzero((room >= least) & (node[at] != node[to]) & ((side[at] != side[to]) | (side[at] < 0)))
         x, y = at[fits], to[fits]
         passed = _differing(maps, begin, width, x, y) <= both[fits] - 2 * least[fits]
         if passed.any():
@@ -199,9 +212,59 @@ def _passing(rows: dict[str, np.ndarray], maps: np.ndarray, share: float):
     return _spanning(*(np.concatenate(f) for f in zip(*found))) if found else (node[:0], node[:0])
 
 
+def _hot_words(classes: DataFrame, share: float) -> DataFrame | None:
+    """(token, parts: blocks by size class) of the words in more than HOT_ROWS
+    prefixes: counted in cells first, then exactly where a cell has so many.
+    Sets that pass the length filter are of one size class or of neighbours."""
+    counts = _cell_counts(classes.select("prefix"), lambda batch: [batch.column("prefix").flatten().to_numpy(zero_copy_only=False)])
+    cells = [(int(c),) for c in np.flatnonzero(counts > HOT_ROWS)]
+    if not cells:
+        return None
+    cells = small(cut(classes.sparkSession.createDataFrame(cells, "cell int")))
+    sizes = (classes.select(_size_class(share).alias("sized"), F.explode("prefix").alias("token"))
+             .join(cells, F.col("token").bitwiseAND(CELLS - 1) == F.col("cell")).groupBy("token", "sized").agg(F.count(F.lit(1)).alias("c")))
+    part = F.struct("sized", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("k"))
+    return cut(sizes.groupBy("token").agg(F.map_from_entries(F.collect_list(part)).alias("parts"), F.sum("c").alias("c"))
+               .where(F.col("c") > HOT_ROWS).drop("c"))
+
+
+def _size_class(share: float):
+    return F.floor(F.log("size") / (1.001 * max(-np.log(share), 0.01))).cast("int")
+
+
+def _index(classes: DataFrame, share: float) -> DataFrame:
+    """Rows (token, node, size, place, parity) of the classes' prefix words; if
+    there are hot words, each of their rows once for each pair of blocks that
+    holds its block, with the pair in place of the token and its ``side``."""
+    index = classes.select("node", "size", "parity", F.posexplode("prefix").alias("place", "token"))
+    hot = _hot_words(classes, share)
+    if hot is None:
+        return index
+    index = index.join(small(hot), "token", "left").withColumn("sized", _size_class(share))
+    blocks = lambda by: F.coalesce(F.try_element_at("parts", F.col("sized") + by), F.lit(0))
+    mine = F.pmod(F.xxhash64("node"), F.greatest(blocks(0), F.lit(1))).cast("int")
+    index = index.withColumn("block", mine)
+
+    def met(by: int):
+        """Pairs with the blocks of the size class that is ``by`` further."""
+        def pair(j):
+            i = F.col("block")
+            first, second = (F.least(i, j), F.greatest(i, j)) if by == 0 else (i, j) if by > 0 else (j, i)
+            side = F.when(i == j, -1).when(i < j, 0).otherwise(1) if by == 0 else F.lit(0 if by > 0 else 1)
+            key = F.xxhash64("token", F.col("sized") + min(by, 0), F.lit(abs(by)), first, second)
+            return F.struct(key.alias("token"), side.cast("int").alias("side"))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(blocks(by), F.lit(1)) - 1), pair)
+        return F.filter(every, lambda x: blocks(by) > 0)
+
+    alone = F.array(F.struct(F.col("token").cast("long").alias("token"), F.lit(-1).alias("side")))
+    dealt = F.when(F.col("parts").isNull(), alone).otherwise(F.concat(met(0), met(1), met(-1)))
+    return index.withColumn("d", F.explode(dealt)).select("d.token", "node", "size", "place", "parity", "d.side")
+
+
 def _candidates(classes: DataFrame, share: float) -> DataFrame:
     """Links (a, b) whose components hold every pair that passes the filters."""
-    index = classes.select("node", "size", "parity", F.posexplode("prefix").alias("place", "token"))
+    index = _index(classes, share)
+    columns = [c for c in ("token", "node", "size", "place", "parity", "side") if c in index.columns]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -210,8 +273,9 @@ def _candidates(classes: DataFrame, share: float) -> DataFrame:
             maps = rows["parity"].combine_chunks().cast(pa.large_binary())
             ends = np.frombuffer(maps.buffers()[1], np.int64)[maps.offset:maps.offset + len(maps) + 1] // 8
             flat = np.frombuffer(maps.buffers()[2], np.uint64, count=int(ends[-1]))
-            columns = {c: rows[c].to_numpy().astype(np.int64) for c in ("token", "node", "size", "place")}
-            a, b = _passing(columns | {"begin": ends[:-1], "width": np.diff(ends)}, flat, share)
+            numbers = {c: rows[c].to_numpy().astype(np.int64) for c in ("token", "node", "size", "place")}
+            side = rows["side"].to_numpy() if "side" in rows.column_names else np.full(rows.num_rows, -1)
+            a, b = _passing(numbers | {"begin": ends[:-1], "width": np.diff(ends), "side": side}, flat, share)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -228,7 +292,7 @@ def _candidates(classes: DataFrame, share: float) -> DataFrame:
             yield out(held.combine_chunks())
 
     return (index.repartition("token").sortWithinPartitions("token")
-            .select("token", "node", "size", "place", "parity").mapInArrow(sweep, "a bigint, b bigint"))
+            .select(*columns).mapInArrow(sweep, "a bigint, b bigint"))
 
 
 def _filter_bits(raw: DataFrame) -> np.ndarray:
