@@ -417,6 +417,31 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(got[i] for i in range(400)) and not any(got[1000 + i] for i in range(60)) and got[2000]
 
 
+def test_each_quality_statistic_alone_rejects(spark):
+    def text(seed, lines=60, words=9):
+        return [_prose(seed * 100 + k, words).split() for k in range(lines)]
+
+    join = lambda ls: "\n".join(" ".join(x) + "." for x in ls)
+    clean = [join(text(i, 20 + i % 40)) for i in range(200)]
+    phrases = text(901)
+    for k in range(0, 12, 2):  # nine words of a line again within the next, as no line of their own
+        phrases[k + 1] = phrases[k + 1][:3] + phrases[k][:9] + phrases[k + 1][3:]
+    some = text(902, 12)
+    planted = {
+        "word length": join([[w * 3 for w in x] for x in text(903)]),
+        "symbols": join([[w + "#" if k % 3 == 0 else w for k, w in enumerate(x)] for x in text(904)]),
+        "lines": join([x for y in text(905, 50) for x in (y, ["see", "also", "below"])]),
+        "words": join(phrases),
+        "stutter": join([[v for k, w in enumerate(x) for v in [w] * (2 if k % 2 else 1)] for x in text(906)]),
+        "punctuation": join([[w + "," for w in x] for x in text(907)]),
+    }
+    stay = {"one line again": join(some + some[:1])}
+    rows = [(str(i), t, "en", "s") for i, t in enumerate(clean)] + [(k, t, "en", "s") for k, t in (planted | stay).items()]
+    got = {r["doc_id"]: r for r in quality(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert [k for k in planted if got[k]["kept"] or got[k]["base_failed"]] == []
+    assert all(got[k]["kept"] for k in (*stay, *map(str, range(200))))
+
+
 # --- 7: packing ------------------------------------------------------------------------------
 
 def test_best_fit_decreasing_against_brute_force():

@@ -38,9 +38,15 @@ MIN_GROUP = 60
 #: A clean vector is beyond the cut about once in so many times.
 TAIL = 1e-6
 #: Least standard deviation of each statistic: what differs by less is no sign of bad quality.
-FLOORS = (0.05, 0.5, 0.8, 0.12, 0.08, 0.05)
+#: In a group without spread each statistic alone can pass the cut: the limits of repeated
+#: lines and words are bounded (log1p(100), and sqrt(0.2) by the base rule), and their floors suit them.
+FLOORS = (0.05, 0.5, 0.65, 0.075, 0.08, 0.05)
+#: Repeated lines and words: the words of a repeated line are repeated words too, so both together are not two signs.
+REPEAT_CORRELATION = 0.6
 BINS_PER_OCTAVE = 32
 _D = len(FLOORS)
+_FLOOR = np.diag(np.square(FLOORS))
+_FLOOR[2, 3] = _FLOOR[3, 2] = REPEAT_CORRELATION * FLOORS[2] * FLOORS[3]
 _X = [f"x{i}" for i in range(_D)]
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -189,7 +195,7 @@ def _start(rows: DataFrame) -> DataFrame:
 
     def shape(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        inv = np.diag(1 / (pdf["mad"].to_numpy() ** 2 + np.square(FLOORS)))
+        inv = np.linalg.inv(np.diag(pdf["mad"].to_numpy() ** 2) + _FLOOR)
         return pd.DataFrame({"g": [pdf["g"].iat[0]], "mu": [pdf["med"].tolist()], "inv": [inv.ravel().tolist()]})
 
     return med.join(mad, ["g", "i"]).groupBy("g").applyInPandas(shape, "g bigint, mu array<double>, inv array<double>")
@@ -212,7 +218,7 @@ def _c_step(rows: DataFrame, shape: DataFrame) -> DataFrame:
                 mean = np.array(s) / n
                 cov = np.array(ss).reshape(_D, _D) / n - np.outer(mean, mean)
                 mus.append((np.array(mu) + mean).tolist())
-                invs.append(np.linalg.inv(cov + np.diag(np.square(FLOORS))).ravel().tolist())
+                invs.append(np.linalg.inv(cov + _FLOOR).ravel().tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("g"), pa.array(mus, pa.list_(pa.float64())), pa.array(invs, pa.list_(pa.float64()))],
                 names=["g", "mu", "inv"])
