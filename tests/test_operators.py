@@ -1,6 +1,7 @@
 """Per-operator goldens (FIXTURES F10-F16) on small literal DataFrames."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,3 +333,23 @@ def test_peer_comparison_needs_two_companies(spark):
     two = one.unionByName(_panel(spark, [("B", None, None, 2021, 10, *[2.0] * 11, 3)]))
     rows = peer_comparison(two, IDENT).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == [1, 2] and {r.company for r in rows} == {"A", "B"}
+
+
+def test_prompt_summaries_are_whole_without_caps(spark):
+    from verdant.fixed import PROMPT_CAPS
+    from verdant.functions.narrative_caps import capped
+    from verdant.operators.narrative import prompt_table
+
+    text = "x" * 2000
+    summary = spark.createDataFrame([("A", text)], "company string, text_summary string")
+    assert tuple(capped(summary).first()) == ("A", text, text, text, text)
+    assert [len(x) for x in tuple(capped(summary, caps=PROMPT_CAPS).first())[1:]] == list(PROMPT_CAPS.values())
+    ranked = spark.createDataFrame(
+        [("A", 1, "s", "Energy", "US", "Large", 5, 1.0, 50.0, "B", 50.0, 50.0, 50.0, text)],
+        "company string, rank int, name string, industry string, country string, business_size string, employee_count int, "
+        "budget double, m_overall double, m_grade string, m_environmental double, m_social double, m_governance double, "
+        "text_summary string")
+    whole, cut = prompt_table(ranked).first(), prompt_table(ranked, caps=PROMPT_CAPS).first()
+    for kind in ("narrative", "risks", "solutions"):
+        runs = [max(map(len, re.findall("x+", r[f"{kind}_prompt"]))) for r in (whole, cut)]
+        assert runs == [2000, PROMPT_CAPS[kind]]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.fixed import PROMPT_CAPS
 
 
-def capped(summary: DataFrame, text_col: str = "text_summary") -> DataFrame:
-    return summary.select("company", *[F.substring(F.col(text_col), 1, n).alias(f"{kind}_context")
-                                       for kind, n in PROMPT_CAPS.items()])
+def cap(text: Column, caps: dict[str, int] | None, kind: str) -> Column:
+    """``text``, cut only where ``caps`` has a limit (in code points) for the kind."""
+    return text if (caps or {}).get(kind) is None else F.substring(text, 1, caps[kind])
+
+
+def capped(summary: DataFrame, text_col: str = "text_summary", caps: dict[str, int] | None = None) -> DataFrame:
+    """The summary for each kind of prompt: whole, or cut at the limits ``caps``."""
+    return summary.select("company", *[cap(F.col(text_col), caps, kind).alias(f"{kind}_context") for kind in PROMPT_CAPS])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from verdant import fixed
 from verdant.functions.jsonx import extract_json
 from verdant.functions.names import named
+from verdant.functions.narrative_caps import cap
 from verdant.functions.numeric import py_float_str
 from verdant.operators import dims
 from verdant.operators.companies import money0
@@ -137,11 +138,11 @@ def whatif_answers(cm: DataFrame) -> DataFrame:
     return reg.select("company", F.inline(rows))
 
 
-def prompt_table(ranked: DataFrame) -> DataFrame:
+def prompt_table(ranked: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """X13 per company: the user prompts for the narrative, for risks and
     opportunities, and for the ranking of solutions. ``ranked`` carries the
     company's profile, maturity and ``text_summary`` on each solution row; the
-    summary is cut at the fixed limit of each prompt."""
+    summary is whole, or cut at the limits ``caps`` (code points by kind of prompt)."""
     spark = ranked.sparkSession
     per = ranked.groupBy("company").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "name")))),
@@ -155,7 +156,7 @@ def prompt_table(ranked: DataFrame) -> DataFrame:
 
     def data(lead, purpose):
         has = F.length(F.coalesce("text_summary", F.lit(""))) > 0
-        return F.when(has, F.concat(F.lit(lead), F.substring("text_summary", 1, fixed.PROMPT_CAPS[purpose]), F.lit("\n"))
+        return F.when(has, F.concat(F.lit(lead), cap(F.col("text_summary"), caps, purpose), F.lit("\n"))
                       ).otherwise(F.lit(""))
 
     slots = {**text, **score, "grade": F.col("m_grade"), "budget": budget,

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdant import fixed
 from verdant.plans import oracle_sql as O
 from verdant.sources.tables import IDENTITY_MAP, esg_panel
 
@@ -487,7 +488,7 @@ def q_prompt_context(spark, sf_dir):
     """The data summary capped for each prompt kind."""
     from verdant.functions.narrative_caps import capped
     from verdant.operators.profile import data_summary_text
-    return capped(data_summary_text(esg_panel(spark, sf_dir)))
+    return capped(data_summary_text(esg_panel(spark, sf_dir)), caps=fixed.PROMPT_CAPS)
 
 
 @register("whatif_context", O.WHATIF_CONTEXT)
@@ -522,7 +523,7 @@ def q_prompts(spark, sf_dir):
     panel = esg_panel(spark, sf_dir)
     cm = company_maturity(company_profiles(spark, sf_dir), panel, IDENTITY_MAP, data_summary_text(panel))
     carry = ["country", "employee_count", "text_summary", *[c for c in cm.columns if c.startswith("m_")]]
-    return prompt_table(rank_solutions(cm, carry=carry))
+    return prompt_table(rank_solutions(cm, carry=carry), caps=fixed.PROMPT_CAPS)
 
 
 @register("peer_table", O.PEER_TABLE)
