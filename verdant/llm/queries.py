@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from verdant.llm.common import ship, table
 from verdant.llm.decontaminate import contamination
+from verdant.llm.dialogues import repair_report
+from verdant.llm.infill import fill_in_middle, restored
 from verdant.llm.licenses import license_scan
 from verdant.llm.lines import duplicate_lines
 from verdant.llm.mixing import mix
@@ -17,6 +19,7 @@ from verdant.llm.near_duplicates import near_duplicate_classes
 from verdant.llm.packing import pack_tokens
 from verdant.llm.quality import quality
 from verdant.llm.secrets import secret_scan
+from verdant.llm.sketches import sketched_duplicates
 from verdant.llm.substrings import repeated_passages
 from verdant.llm.toxicity import fit, in_held_out, toxicity
 
@@ -85,3 +88,20 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), held_out=in_held_out)
     return toxicity(docs, model).select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_sketched_duplicates(spark, sf_dir):
+    return sketched_duplicates(table(spark, sf_dir, "documents"))
