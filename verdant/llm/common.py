@@ -17,6 +17,9 @@ from verdant.session import checkpoint_root
 
 #: Rows up to which a small side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: Settings of Arrow batches: Spark's default and the bound set in its place.
+ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+                "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 #: Text bytes that a task turns into numpy arrays at once.
 CHUNK_BYTES = 1 << 20
 
@@ -201,11 +204,16 @@ def shingles(words: Words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in the executors' Python workers (once per
     context, by Spark's own file distribution), for sessions that were not
-    started with it on their Python path."""
+    started with it on their Python path, and bound what goes between Spark and
+    a worker at once, unless the session has a bound of its own: whole texts
+    in batches of Spark's default size take hundreds of megabytes of an executor."""
     import shutil
     import tempfile
     from pathlib import Path
 
+    for name, (default, bound) in ARROW_BOUNDS.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, bound)
     sc = spark.sparkContext
     if not getattr(sc, "_verdant_shipped", False):
         package = Path(__file__).resolve().parents[1]
