@@ -244,7 +244,7 @@ def test_global_rank_equals_row_number(spark):
 
     from verdant.plans.ordinal import global_rank
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 1000).alias("v"), F.col("id"))
-    got = global_rank(df, [F.col("v").desc(), F.col("id").asc()], num_partitions=7)
+    got = global_rank(df, [("v", "desc"), ("id", "asc")], num_partitions=7)
     want = df.withColumn("want", F.row_number().over(Window.orderBy(F.col("v").desc(), F.col("id"))))
     j = got.join(want, ["v", "id"])
     assert j.where(F.col("rank") != F.col("want")).count() == 0 and j.count() == 5000
@@ -253,11 +253,11 @@ def test_global_rank_equals_row_number(spark):
 def test_exact_quantiles_match_pandas(spark):
     import pandas as pd
 
-    from verdant.plans.ordinal import exact_quantiles
+    from verdant.plans.quantiles import exact_quantiles
     vals = [(g, float(v)) for g in ("a", "b") for v in ([3, 1, 4, 1, 5, 9, 2, 6] if g == "a" else [10, 20])]
     df = spark.createDataFrame(vals, "g string, v double")
     got = {r.g: (r.q25, r.q50, r.q75) for r in
-           exact_quantiles(df, ["g"], "v", {"q25": .25, "q50": .5, "q75": .75}, num_partitions=3).collect()}
+           exact_quantiles(df, ["g"], "v", {"q25": .25, "q50": .5, "q75": .75}).collect()}
     for g in ("a", "b"):
         s = pd.Series([v for gg, v in vals if gg == g])
         for got_v, p in zip(got[g], (.25, .5, .75)):
@@ -295,16 +295,17 @@ def test_duplicates_with_nulls_and_many_copies(spark):
 def test_quantiles_with_massive_ties(spark):
     import pandas as pd
 
-    from verdant.plans.ordinal import exact_quantiles, with_ordinal
+    from verdant.plans.ordinal import with_ordinal
+    from verdant.plans.quantiles import exact_quantiles
     vals = [0.0] * 3000 + [float(i) for i in range(1, 1001)]
-    # a row id keeps equal values distinguishable, so the tied run can be
-    # split over range partitions by the hash tiebreaker
+    # a row id keeps equal values distinguishable, so the tied run is split
+    # over ranges by the row hash
     df = spark.createDataFrame([("g", v, i) for i, v in enumerate(vals)], "g string, v double, _row_id bigint")
-    got = exact_quantiles(df, ["g"], "v", {"q50": .5, "q90": .9}, num_partitions=8).first()
+    got = exact_quantiles(df, ["g"], "v", {"q50": .5, "q90": .9}).first()
     s = pd.Series(vals)
     assert math.isclose(got.q50, s.quantile(.5)) and math.isclose(got.q90, s.quantile(.9))
     # positions stay exact whatever the partitioning
-    pos = with_ordinal(df, [F.col("v").asc()], ["g"], num_partitions=8)
+    pos = with_ordinal(df, [("v", "asc")], ["g"], num_partitions=8)
     assert sorted(r._pos for r in pos.select("_pos").collect()) == list(range(len(vals)))
     assert pos.where(F.col("_pos") == 3000).first().v == 1.0
 

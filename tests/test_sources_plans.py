@@ -59,11 +59,87 @@ def test_adhoc_sql_error_type(spark):
 def test_report_bundle_written(spark):
     from verdant.plans.catalog import _report
     from verdant.sources.sinks import write_bundle
+    from verdant.sources.sinks import read_sheet
     ds = _report(spark, SF_SMALL, "detailed")
+    ds["none"] = ds["kpis"].where("false")
     out = tempfile.mkdtemp(prefix="verdant-report-")
-    written = write_bundle(ds, out, partition_by_company=True)
-    assert {"profile", "solutions", "kpis", "timeline"} <= set(written)
-    assert spark.read.parquet(os.path.join(out, "kpis")).select("solution").distinct().count() >= 1
+    write_bundle(ds, out, num_files=3)
+    folders = {f.removeprefix("_sheet=") for f in os.listdir(out) if f.startswith("_sheet=")}
+    assert folders == set(ds) - {"none"}                       # an empty sheet leaves nothing
+    assert all(len(os.listdir(os.path.join(out, f"_sheet={f}"))) <= 2 * 3 for f in folders)   # no folder per company
+    for name in ("kpis", "quality", "timeline", "benchmark"):
+        back = read_sheet(spark, out, name)
+        assert [c for c in back.columns if c != "company"] == [c for c in ds[name].columns if c != "company"]
+        assert back.select(ds[name].columns).exceptAll(ds[name]).count() == 0 and back.count() == ds[name].count()
+
+
+def test_workbook_reads_the_panel_once(spark):
+    """All four sheets come from one run over the panel's two scans of the line items."""
+    from verdant.plans.catalog import _workbook
+    from verdant.sources.sinks import bundle
+    df = bundle(_workbook(spark, SF_SMALL))
+    sheets = {r["sheet"]: r["count"] for r in df.groupBy("sheet").count().collect()}
+    assert set(sheets) == {"Profile & Maturity", "Solutions", "KPI Projections", "Benchmarks"} and all(sheets.values())
+    df.collect()
+    assert _plan(df).split("== Initial Plan ==")[0].count("FileScan parquet [l_orderkey") <= 2
+
+
+def test_interleaved_tables_give_their_own_answers(spark):
+    import pytest
+
+    from verdant.plans.adhoc import QueryError, query_with_sql, run_sql
+    one, two = (spark.createDataFrame([(k,)], "x int") for k in (1, 2))
+    text = "/* c */ WITH y AS (SELECT x + 10 AS x FROM company_data) SELECT y.x, '{a}' AS t FROM y WHERE x IN (SELECT x + 10 FROM company_data)"
+    first, second = query_with_sql(one, text), query_with_sql(two, text)
+    assert (first.first().x, second.first().x, first.first().t) == (11, 12, "{a}")
+    assert not spark.catalog.tableExists("company_data")
+    assert run_sql(one, "SELECT 6 / x AS q FROM company_data", lambda d: d.first().q) == 6.0
+    with pytest.raises(QueryError):
+        run_sql(one, "SELECT raise_error('late') AS q FROM company_data", lambda d: d.collect())
+    with pytest.raises(QueryError):
+        query_with_sql(one, "SELEC 1")
+
+
+def test_risk_replies(spark):
+    from verdant.operators.narrative import validate_risks
+    good = '{"risks": [{"title": "t", "severity": "High"}, "x", {"severity": "Low"}], "opportunities": [{"title": "o", "impact": "Low", "description": "d"}]}'
+    rows = [("A", good), ("A", f"Sure ```json {good}```"), ("B", '{"risks": []}'), ("B", None), ("C", "no"),
+            ("A", '{"risks": [], "opportunities": []}'), ("B", '{"risks": 1, "opportunities": []}')]
+    templates = spark.createDataFrame([("B", "risk", 1, "tb", "d", "High"), ("A", "risk", 1, "ta", "d", "Low")],
+                                      "company string, kind string, ord bigint, title string, description string, level string")
+    got = validate_risks(spark.createDataFrame(rows, "company string, reply_json string"), templates).drop("reply_json")
+    want = [("A", "risk", 1, "t", "", "High", False), ("A", "opportunity", 1, "o", "d", "Low", False)] * 2 + [
+        ("B", "risk", 1, "tb", "d", "High", True)] * 3
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+#: Names with blanks, dots, quotes and backticks for every metric that the operators read.
+def test_every_operator_takes_any_column_name(spark):
+    from verdant.operators.companies import company_maturity
+    from verdant.operators.facts import company_facts
+    from verdant.operators.latest import latest_rows
+    from verdant.operators.peers import peer_comparison
+    from verdant.operators.profile import column_stats, companies_first_seen, company_summary, data_summary_text, describe, profile_text
+    from verdant.operators.trends import company_directions, metric_trends, trend_series, yoy_long, yoy_pivot
+    odd = {"company": "Co. `x`", "year": "Fiscal.Year", "employees": "No. of Staff", "carbon_emissions": "CO2 (t.)",
+           "renewable_energy": "it's % green", "water": "a`b.c", "revenue": "Rev. \"net\""}
+    rows = [(c, y, 10 + i, 5.0 * i, 40.0 + i, 3.0, 100.0, i) for i, (c, y) in enumerate([("A", 2020), ("A", 2021), ("B", 2020), ("B", 2022)])]
+    schema = ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in zip(odd.values(), ("string", "int", "bigint", *["double"] * 4))) + ", _row_id bigint"
+    panel = spark.createDataFrame(rows, schema)
+    plain = spark.createDataFrame(rows, ", ".join(f"{m} {t}" for m, t in zip(odd, ("string", "int", "bigint", *["double"] * 4))) + ", _row_id bigint")
+    same = {m: m for m in odd}
+    name = {v: k for k, v in odd.items()}
+    for op in (peer_comparison, company_facts, metric_trends, trend_series, yoy_long, yoy_pivot, company_directions, company_summary):
+        a = sorted(tuple(name.get(x, x) for x in r) for r in op(panel, odd).collect())
+        b = sorted(tuple(r) for r in op(plain, same).collect())
+        assert str(a) == str(b), op.__name__
+    assert latest_rows(panel, odd).count() == 2 and companies_first_seen(panel, odd).count() == 2
+    for op in (describe, column_stats):
+        assert sorted(tuple(name.get(x, x) for x in r) for r in op(panel).collect()) == sorted(tuple(r) for r in op(plain).collect())
+    assert data_summary_text(panel, odd).count() == profile_text(panel, odd).count() == 2
+    profiles = spark.createDataFrame([("A", 5, 1000.0, "Technology", "Germany", "Small")],
+                                     "company string, employee_count int, budget double, industry string, country string, business_size string")
+    assert company_maturity(profiles, panel, odd).count() == 1
 
 
 def _plan(df) -> str:
@@ -81,7 +157,45 @@ def test_plan_dimension_joins_are_broadcast_and_no_python(spark):
 
 
 #: Queries that read the line items for their own sake, beside the panel, or by their own SQL.
-WHOLE_TABLES = {"dq_duplicates", "dq_missing", "dq_constant", "dq_few_rows", "year_rule", "column_detect", "detected_values"}
+WHOLE_TABLES = {"dq_duplicates", "dq_missing", "dq_constant", "dq_few_rows", "year_rule", "detected_values"}
+
+
+#: Queries whose plans name the panel in several branches that share its last shuffle when they run.
+SHARED = {"companies_seen", "csv_peer_comparison", "describe", "key_metrics", "latest_row", "esg_score", "table_score",
+          "peer_comparison", "peer_table", "profile_stats", "trend_series", "workbook"}
+
+
+def test_shared_branches_compute_the_panel_once(spark):
+    """The plans that ran scan the line items twice (the panel's sums, its distinct orders), whatever the branches."""
+    from verdant.plans.catalog import QUERIES
+    for name in sorted(SHARED - {"csv_peer_comparison", "workbook"}):
+        df = QUERIES[name](spark, SF_SMALL)
+        df.collect()
+        plan = _plan(df).split("== Initial Plan ==")[0]
+        assert plan.count("l_suppkey") and plan.count("FileScan parquet [l_orderkey") <= 2, (name, plan)
+        assert "SortAggregate" not in plan, name
+
+
+def test_building_a_ranking_runs_no_job_and_writes_nothing(spark):
+    from verdant.plans.catalog import QUERIES
+    from verdant.session import checkpoint_root
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("quiet"))
+    count = lambda: sum(len(f) for _, _, f in os.walk(checkpoint_root(spark)))
+    QUERIES["peer_comparison"](spark, SF_SMALL)
+    files = count()
+    spark.sparkContext.setJobGroup("quiet", "plan building")
+    try:
+        panel_jobs = []
+        for name in ("peer_comparison", "describe", "key_metrics", "trend_series", "companies_seen", "latest_row"):
+            before = jobs()
+            df = QUERIES[name](spark, SF_SMALL)
+            panel_jobs.append((name, jobs() - before))
+            df.collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Spark reads the footer of each table in a job of its own; nothing else runs.
+    assert all(n <= 3 for _, n in panel_jobs), panel_jobs
+    assert count() == files
 
 
 def test_every_plan_is_python_free_and_computes_the_panel_once(spark):
@@ -96,9 +210,10 @@ def test_every_plan_is_python_free_and_computes_the_panel_once(spark):
         else:
             df = QUERIES[name](spark, SF_SMALL)
             plan = _plan(df)
-            if name not in WHOLE_TABLES and not name.startswith("sql_"):
+            if name not in WHOLE_TABLES | SHARED and not name.startswith("sql_"):
                 seen[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
-        assert not any(node in plan for node in ("EvalPython", "MapInArrow", "MapInPandas")), name
+        # Quoted line breaks are followed along the lines of a split by an Arrow map.
+        assert name == "csv_dirty" or not any(node in plan for node in ("EvalPython", "MapInArrow", "MapInPandas")), name
     assert {n: k for n, k in seen.items() if k > 2} == {}
     assert sum(k == 2 for k in seen.values()) > 20
 
@@ -136,7 +251,7 @@ def test_peer_rank_has_no_single_partition_window(spark):
     from verdant.plans.catalog import QUERIES
     from verdant.plans.ordinal import global_rank
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
-    ranked = global_rank(rows, [F.col("v").asc()], rank_col="place")
+    ranked = global_rank(rows, [("v", "asc")], rank_col="place")
     assert [r.place for r in ranked.orderBy("v").collect()] == list(range(1, 1001))
     for df in (ranked, QUERIES["peer_comparison"](spark, SF_SMALL), QUERIES["companies_seen"](spark, SF_SMALL)):
         logical = df._jdf.queryExecution().optimizedPlan().toString()

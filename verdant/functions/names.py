@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 ROW_ID = "_row_id"
 
 
+def quoted(name: str) -> str:
+    """``name`` as an SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def named(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def user_columns(columns: list[str]) -> list[str]:

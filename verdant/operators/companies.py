@@ -27,7 +27,7 @@ def company_maturity(profiles: DataFrame, panel: DataFrame, col_map: dict, facts
     ``facts`` puts another per-company table with ``completeness_pct`` in their place."""
     from verdant.operators.facts import company_facts
     spark = profiles.sparkSession
-    facts = (company_facts(panel, col_map) if facts is None else facts).drop("row_count", "null_count", "col_count", "year_min", "year_max")
+    facts = company_facts(panel, col_map) if facts is None else facts
     base = profiles.join(facts, "company")
     m = maturity(base, dims.modifiers(spark), F.col("completeness_pct"))
     emp = F.coalesce(F.col("employee_count"), F.lit(0))

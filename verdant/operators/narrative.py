@@ -179,28 +179,58 @@ def validate_ranking(replies: DataFrame, json_col: str = "reply_json",
     of the entry as JSON. Other replies give the rows of ``templates`` (name,
     category, fit_score; a small fixed table) with ``from_template`` true, or
     no row without templates."""
+    found = replies.withColumn("_json", extract_json(named(json_col)))
     schema = "array<struct<name:string,category:string,fit_score:double>>"
-    found = extract_json(named(json_col))
-    parsed = replies.withColumn("_arr", F.from_json(found, schema)).withColumn("_raw", F.from_json(found, "array<variant>"))
+    parsed = found.withColumn("_arr", F.from_json("_json", schema)).withColumn("_raw", F.from_json("_json", "array<variant>"))
     ok = F.coalesce(F.size("_arr") >= 3, F.lit(False))
     entry = F.transform("_arr", lambda e, i: F.struct(
         (-F.coalesce(e["fit_score"], F.lit(0.0))).alias("o"), i.alias("i"), e["name"].alias("name"),
-        e["category"].alias("category"), F.to_json(F.get("_raw", i)).alias("entry")))
+        e["category"].alias("category"), F.to_json(F.get("_raw", i)).alias("entry"), F.lit(False).alias("from_template")))
+    fixed_rows = [] if templates is None else templates.collect()
+    each = [F.struct(F.lit(-float(r["fit_score"])).alias("o"), F.lit(i).alias("i"), F.lit(r["name"]).alias("name"),
+                     F.lit(r["category"]).alias("category"),
+                     F.to_json(F.struct(F.lit(r["name"]).alias("name"), F.lit(r["category"]).alias("category"),
+                                        F.lit(float(r["fit_score"])).alias("fit_score"))).alias("entry"),
+                     F.lit(True).alias("from_template")) for i, r in enumerate(fixed_rows)]
+    rows = F.when(ok, F.array_sort(entry))
+    if each:
+        rows = rows.otherwise(F.array(*each))
     keep = [named(c) for c in replies.columns]
-    out = (parsed.where(ok).select(*keep, F.posexplode(F.array_sort(entry)).alias("_pos", "_e"))
-           .select(*keep, (F.col("_pos") + 1).cast("bigint").alias("rank"), F.col("_e.name").alias("name"),
-                   F.col("_e.category").alias("category"), (-F.col("_e.o")).alias("fit_score"),
-                   F.col("_e.entry").alias("entry"), F.lit(False).alias("from_template")))
-    if templates is None:
-        return out
-    rows = templates.collect()
-    each = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["category"]).alias("category"),
-                              F.lit(float(r["fit_score"])).alias("fit_score")) for r in rows])
-    fallback = (parsed.where(~ok).select(*keep, F.posexplode(each).alias("_pos", "_e"))
-                .select(*keep, (F.col("_pos") + 1).cast("bigint").alias("rank"), F.col("_e.name").alias("name"),
-                        F.col("_e.category").alias("category"), F.col("_e.fit_score").alias("fit_score"),
-                        F.to_json("_e").alias("entry"), F.lit(True).alias("from_template")))
-    return out.unionByName(fallback)
+    return (parsed.select(*keep, F.posexplode(rows).alias("_pos", "_e"))
+            .select(*keep, (F.col("_pos") + 1).cast("bigint").alias("rank"), F.col("_e.name").alias("name"),
+                    F.col("_e.category").alias("category"), (-F.col("_e.o")).alias("fit_score"),
+                    F.col("_e.entry").alias("entry"), F.col("_e.from_template").alias("from_template")))
+
+
+def validate_risks(replies: DataFrame, templates: DataFrame, json_col: str = "reply_json") -> DataFrame:
+    """Risks and opportunities from model replies (a row with a
+    ``company`` each) as rows (kind, ord, title, description, level,
+    from_template) behind the reply's own columns.
+
+    The JSON found in a reply is used if it is an object with both keys,
+    ``risks`` and ``opportunities``, and both are lists. Their entries are
+    cleaned one by one: what is no object with a title is dropped, a missing
+    description is empty, the level is ``severity`` or ``impact`` (null if
+    missing); places count what stays. Any other reply, null too, gives the
+    company's rows of ``templates`` (``risks_and_opportunities``, a handful for a
+    company) with ``from_template`` true, and no row for a company without any."""
+    value = replies.withColumn("_v", F.try_parse_json(extract_json(named(json_col))))
+
+    def entries(key: str, kind: str, level: str) -> F.Column:
+        field = lambda e, f: F.try_variant_get(e, f"$.{f}", "string")
+        whole = F.try_variant_get("_v", f"$.{key}", "array<variant>")
+        rows = F.transform(F.filter(whole, lambda e: field(e, "title").isNotNull()), lambda e, i: F.struct(
+            F.lit(kind).alias("kind"), (i + 1).cast("bigint").alias("ord"), field(e, "title").alias("title"),
+            F.coalesce(field(e, "description"), F.lit("")).alias("description"), field(e, level).alias("level"),
+            F.lit(False).alias("from_template")))
+        return rows
+
+    given = value.withColumn("_given", F.concat(entries("risks", "risk", "severity"),
+                                                entries("opportunities", "opportunity", "impact"))).drop("_v")
+    own = templates.groupBy(F.col("company").alias("_of")).agg(F.array_sort(F.collect_list(F.struct(
+        "kind", "ord", "title", "description", "level", F.lit(True).alias("from_template")))).alias("_own"))
+    rows = given.join(own, F.col("company") == F.col("_of"), "left")
+    return rows.select(*[named(c) for c in replies.columns], F.inline(F.coalesce("_given", "_own")))
 
 
 def whatif_context(ranked: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from verdant.fixed import PEER_METRICS
 from verdant.functions.numeric import py_round
-from verdant.operators.latest import latest_rows
+from verdant.operators.latest import latest_metrics
 from verdant.operators.score import esg_score, metric_value
 from verdant.plans.ordinal import global_rank
 
 
 def scored_latest(panel: DataFrame, col_map: dict, null_year: str = "keep") -> DataFrame:
-    """Latest row per company with the B1 score columns."""
-    return esg_score(latest_rows(panel, col_map, null_year=null_year), col_map)
+    """The year and metrics of each company's latest row with the B1 score columns."""
+    return esg_score(latest_metrics(panel, col_map, null_year=null_year), col_map)
 
 
 def peer_comparison(panel: DataFrame, col_map: dict, null_year: str = "keep") -> DataFrame:
@@ -34,8 +34,7 @@ def peer_comparison(panel: DataFrame, col_map: dict, null_year: str = "keep") ->
     base = scored.select(
         F.col("_company").alias("company"), "esg_score", "grade", "environmental", "social",
         "governance", *metric_cols)
-    ranked = global_rank(base, [F.col("esg_score").desc(), F.col("company").asc()],
-                         rank_col="rank", total_col="_n_companies")
+    ranked = global_rank(base, [("esg_score", "desc"), ("company", "asc")], total_col="_n_companies")
     out = ranked.where(F.col("_n_companies") >= 2).drop("_n_companies")
     return out.select("rank", *[c for c in out.columns if c != "rank"])
 

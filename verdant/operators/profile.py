@@ -1,8 +1,8 @@
 """Table profiling (A1-A7) and the summary sentence.
 
-min / max / mean / count / stddev come from one aggregation row (map-side
-partials); exact medians and quartiles come from the distributed ordinal
-helper, so no column is ever gathered into one task.
+min / max / mean / count / stddev are plain aggregations (map-side partials);
+exact medians and quartiles come from bucket counts (``plans/quantiles.py``),
+so no value is sorted or gathered; ``approximate=True`` takes one pass of sketches.
 """
 
 from __future__ import annotations
@@ -10,51 +10,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdant.functions.names import named, user_columns
+from verdant.functions.names import named, quoted, user_columns
 from verdant.functions.numeric import py_round
 from verdant.operators.latest import company_key
 from verdant.operators.quality import numeric_columns
-from verdant.plans.ordinal import exact_quantiles, global_rank
+from verdant.plans.ordinal import global_rank
+from verdant.plans.quantiles import exact_quantiles, sketch_quantiles
 
 
-def _long_values(df: DataFrame, cols: list[str], ids: list[str] = (), row_id: str = "_row_id") -> DataFrame:
-    """Unpivot numeric columns to (ids..., column_name, value DOUBLE), NaN as
-    null. The source row id rides along (when there is one) so equal values
-    from different rows stay distinguishable for the ordinal tiebreaker."""
-    ids = list(ids) + ([row_id] if row_id in df.columns and row_id not in ids else [])
-    casted = df.select(*ids, *[F.nanvl(named(c).cast("double"), F.lit(None).cast("double")).alias(c)
-                               for c in cols])
-    return casted.unpivot(ids, cols, "column_name", "value")
+def _long_values(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFrame:
+    """Numeric columns as rows (ids..., column_name, value DOUBLE), NaN as null."""
+    value = lambda c: F.nanvl(named(c).cast("double"), F.lit(None).cast("double"))
+    return df.select(*[named(i) for i in ids], F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), value(c).alias("value")) for c in cols])))
+
+
+def _quantiles(df: DataFrame, cols: list[str], ids: list[str], probs: dict, stats: dict, approximate: bool) -> DataFrame:
+    long = _long_values(df, cols, ids)
+    groups = [*ids, "column_name"]
+    if not approximate:
+        return exact_quantiles(long, groups, "value", probs, stats, few_groups=not ids)
+    figures = long.where("value IS NOT NULL").groupBy(*[named(g) for g in groups]).agg(*[c.alias(k) for k, c in stats.items()])
+    return figures.join(sketch_quantiles(long, groups, "value", probs), groups)
 
 
 def column_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 2,
-                 group_cols: list[str] = ()) -> DataFrame:
-    """A6 (A5 with ``group_cols`` = company): min,
-    max, mean, median per numeric column (and group), rounded; columns
-    without values are skipped. Everything comes from one materialised long
-    table, so the input is computed once."""
+                 group_cols: list[str] = (), approximate: bool = False) -> DataFrame:
+    """A6 (A5 with ``group_cols`` = company): min, max, mean, median per numeric
+    column (and group), rounded; columns without values are skipped.
+    ``approximate`` takes the median from a sketch (see ``sketch_quantiles``)."""
     cols = cols if cols is not None else numeric_columns(df)
-    group_cols = list(group_cols)
     v = F.col("value")
-    q = exact_quantiles(_long_values(df, cols, group_cols), group_cols + ["column_name"], "value",
-                        {"md": 0.5}, stats={"mn": F.min(v), "mx": F.max(v), "av": F.avg(v)})
-    return q.select(*group_cols, "column_name", py_round(F.col("mn"), digits).alias("min_val"),
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, min_val double, max_val double, mean_val double, "
+                                                   "median_val double")
+    q = _quantiles(df, cols, list(group_cols), {"md": 0.5}, {"mn": F.min(v), "mx": F.max(v), "av": F.avg(v)}, approximate)
+    return q.select(*[named(g) for g in group_cols], "column_name", py_round(F.col("mn"), digits).alias("min_val"),
                     py_round(F.col("mx"), digits).alias("max_val"),
                     py_round(F.col("av"), digits).alias("mean_val"),
                     py_round(F.col("md"), digits).alias("median_val"))
 
 
-def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> DataFrame:
+def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 2, approximate: bool = False) -> DataFrame:
     """Count, mean, std, min, 25 %, 50 %, 75 %, max per numeric column
-    (columns without values keep a row with count 0)."""
+    (columns without values keep a row with count 0). ``approximate`` takes
+    the quartiles from a sketch (see ``sketch_quantiles``)."""
     cols = cols if cols is not None else numeric_columns(df)
-    v = F.col("value")
-    q = exact_quantiles(_long_values(df, cols), ["column_name"], "value",
-                        {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-                        stats={"n": F.count(v), "av": F.avg(v), "sd": F.stddev_samp(v),
-                               "mn": F.min(v), "mx": F.max(v)})
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-    j = names.join(q, "column_name", "left")
+    if not cols:
+        q = names.selectExpr("column_name", *[f"CAST(NULL AS DOUBLE) AS {c}" for c in ("n", "av", "sd", "mn", "q25", "q50", "q75", "mx")])
+    else:
+        v = F.col("value")
+        q = _quantiles(df, cols, [], {"q25": 0.25, "q50": 0.5, "q75": 0.75},
+                       {"n": F.count(v), "av": F.avg(v), "sd": F.stddev_samp(v), "mn": F.min(v), "mx": F.max(v)}, approximate)
+    j = names.join(F.broadcast(q), "column_name", "left")
     r = lambda c: py_round(F.col(c), digits)
     return j.select("column_name", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("count"),
                     r("av").alias("mean"), r("sd").alias("std"), r("mn").alias("min"), r("q25").alias("p25"),
@@ -101,7 +110,7 @@ def companies_first_seen(df: DataFrame, col_map: dict, row_id: str = "_row_id")
     """A3: distinct companies in first-seen order, as (seen_order, company)."""
     first = (df.where(named(col_map["company"]).isNotNull())
              .groupBy(named(col_map["company"]).alias("company")).agg(F.min(row_id).alias("_first")))
-    ranked = global_rank(first, [F.col("_first").asc()], rank_col="seen_order")
+    ranked = global_rank(first, [("_first", "asc"), ("company", "asc")], rank_col="seen_order")
     return ranked.select("seen_order", "company")
 
 
@@ -117,9 +126,9 @@ def _value_text(df: DataFrame, c: str, ref: str | None = None) -> F.Column:
 
     from verdant.functions.numeric import py_float_str_sql
     t = df.schema[c].dataType
-    col = F.col(ref or c)
+    col = F.col(ref) if ref else named(c)
     if isinstance(t, (DoubleType, FloatType)):
-        name = ref or f"`{c}`"
+        name = ref or quoted(c)
         return F.expr(f"coalesce({py_float_str_sql(name)}, 'nan')")
     if isinstance(t, IntegralType):
         return F.coalesce(col.cast("string"), F.lit("nan"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructField
 
 from verdant import fixed
 from verdant.functions.names import ROW_ID, named, user_columns
@@ -110,38 +110,32 @@ def constant_columns(df: DataFrame, table: str) -> DataFrame:
 
 # ---------------------------------------------------------------- V2
 def year_rule(df: DataFrame, table: str, min_year: int = 2010) -> DataFrame:
-    """Year/date rule in one aggregation: for each column whose name contains
-    "year" (then "date"), the minimum coerced year; the first column (in that
-    order) with a minimum below ``min_year`` fails the table."""
-    year_cols, date_cols = ([f.name for f in df.schema.fields if kind in f.name.casefold()] for kind in ("year", "date"))
-    spark = df.sparkSession
-    if not year_cols and not date_cols:
-        return spark.createDataFrame(
-            [(table, True, fixed.MSG_YEAR_SKIP)],
-            "table_name string, passed boolean, message string")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = []
-    for i, c in enumerate(year_cols):
-        v = named(c).cast("double") if isinstance(types[c], NumericType) else to_num(named(c))
-        aggs.append(F.min(F.nanvl(v, F.lit(None).cast("double"))).alias(f"y{i}"))
-    for i, c in enumerate(date_cols):
-        dt = types[c].typeName()
-        if dt in ("timestamp", "timestamp_ntz", "date"):
-            v = F.year(named(c))
-        else:
-            v = F.year(F.try_to_timestamp(named(c).cast("string")))
-        aggs.append(F.min(v).alias(f"d{i}"))
-    one = df.agg(*aggs)
-    checks = ([(c, f"y{i}", "data") for i, c in enumerate(year_cols)]
-              + [(c, f"d{i}", "dates") for i, c in enumerate(date_cols)])
-    msg = F.lit(fixed.MSG_YEAR_PASS)
-    passed = F.lit(True)
-    for c, alias, word in reversed(checks):
-        yr = F.col(alias).cast("bigint")  # int() truncates
-        bad = F.col(alias).isNotNull() & (yr < min_year)
-        msg = F.when(bad, F.format_string(fixed.MSG_YEAR_FAIL, F.lit(c), F.lit(word), yr)).otherwise(msg)
-        passed = F.when(bad, F.lit(False)).otherwise(passed)
-    return one.select(F.lit(table).alias("table_name"), passed.alias("passed"), msg.alias("message"))
+    """Year/date rule in one aggregation: the minimum year of every column that
+    is a year or a date by its name; the first of them (years before dates, each
+    in the table's order) with a minimum below ``min_year`` fails the table. A
+    column named both ways is checked in both places."""
+    checks = sorted((rank, at) for at, f in enumerate(df.schema.fields)
+                    for rank, word in enumerate(fixed.YEAR_RULE_WORDS) if word in f.name.lower())
+    if not checks:
+        return df.sparkSession.createDataFrame(
+            [(table, True, fixed.MSG_YEAR_SKIP)], "table_name string, passed boolean, message string")
+    least = df.agg(*[F.min(_year_of(df.schema.fields[at], rank)).alias(f"c{i}") for i, (rank, at) in enumerate(checks)])
+    message = F.lit(None).cast("string")
+    for i, (rank, at) in reversed(list(enumerate(checks))):
+        year = F.col(f"c{i}").cast("bigint")  # int() truncates
+        message = F.when(year < min_year, F.format_string(
+            fixed.MSG_YEAR_FAIL, F.lit(df.schema.fields[at].name), F.lit(fixed.YEAR_RULE_KINDS[rank]), year)).otherwise(message)
+    return least.select(F.lit(table).alias("table_name"), message.isNull().alias("passed"),
+                        F.coalesce(message, F.lit(fixed.MSG_YEAR_PASS)).alias("message"))
+
+
+def _year_of(field: StructField, rank: int) -> Column:
+    """A column's values as years: numbers for rank 0, dates for rank 1; null if neither."""
+    c, kind = named(field.name), field.dataType
+    if rank == 0:
+        return F.nanvl(c.cast("double") if isinstance(kind, NumericType) else to_num(c), F.lit(None).cast("double"))
+    is_date = kind.typeName() in ("timestamp", "timestamp_ntz", "date")
+    return F.year(c if is_date else F.try_to_timestamp(c.cast("string")))
 
 
 # ---------------------------------------------------------------- V7, V8

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from verdant.fixed import MSG_SCORE_RATIONALE
+from verdant.functions.names import named, quoted
 from verdant.functions.numeric import NUMERIC_TEXT, grade, py_round, py_round_sql, to_num, weighted_overall
 
 
@@ -23,15 +24,14 @@ def metric_value(df: DataFrame, col_map: dict, metric: str) -> Column | None:
         return None
     dtype = df.schema[name].dataType
     if isinstance(dtype, NumericType):
-        c = F.col(name).cast("double")
-        return F.nanvl(c, F.lit(None).cast("double"))
-    return to_num(F.col(name))
+        return F.nanvl(named(name).cast("double"), F.lit(None).cast("double"))
+    return to_num(named(name))
 
 
 def number_sql(types: dict, name: str, prefix: str = "") -> str:
     """A column coerced to DOUBLE as SQL text: numeric types cast (NaN as
     null), text through the strict number pattern (never an ANSI cast error)."""
-    c = f"{prefix}`{name}`"
+    c = prefix + quoted(name)
     if isinstance(types[name], NumericType):
         return f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE))"
     txt = f"trim(CAST({c} AS STRING))"

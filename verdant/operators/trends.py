@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.fixed import HIGHER_IS_BETTER, LOWER_IS_BETTER
+from verdant.functions.names import named
 from verdant.functions.numeric import py_round
 from verdant.operators.latest import company_key
 from verdant.operators.score import metric_value
 
 DIMENSIONS = ("company", "industry", "country", "year")
+#: Direction of a company without any row.
+UNKNOWN_DIRECTION = "Unknown"
 
 
 def metric_long(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> DataFrame:
@@ -28,11 +31,11 @@ def metric_long(panel: DataFrame, col_map: dict, row_id: str = "_row_id") -> Dat
     types = {f.name: f.dataType for f in panel.schema.fields}
     metrics = [(m, c) for m, c in col_map.items() if m not in DIMENSIONS and c in panel.columns]
     year = (F.expr(number_sql(types, col_map["year"])) if "year" in col_map else F.lit(None).cast("double"))
-    rid = F.col(row_id) if row_id in panel.columns else F.lit(0).cast("bigint")
+    rid = named(row_id) if row_id in panel.columns else F.lit(0).cast("bigint")
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("column_name"),
                                  metric_value(panel, col_map, m).alias("value"))
                         for m, c in metrics])
-    raw = F.col(col_map["year"]) if "year" in col_map else F.lit(None)
+    raw = named(col_map["year"]) if "year" in col_map else F.lit(None).cast("double")
     return keyed.select(F.col("_company").alias("company"), year.alias("year"), raw.alias("_year_raw"),
                         rid.alias("_row_id"), F.inline(entries))
 
@@ -72,20 +75,15 @@ def trend_series(panel: DataFrame, col_map: dict) -> DataFrame:
     with a huge number of rows is never sorted in a single task."""
     from verdant.plans.ordinal import with_ordinal
     long = metric_long(panel, col_map).where(F.col("value").isNotNull())
-    ranked = with_ordinal(long, [F.col("_year_raw").asc_nulls_last(), F.col("_row_id").asc()],
-                          ["company", "metric"], "pos", "_n")
-    return ranked.select("company", "metric", F.col("pos").cast("bigint").alias("pos"),
-                         F.col("year").cast("bigint").alias("year"), "value")
+    ranked = with_ordinal(long, [("_year_raw", "asc"), ("_row_id", "asc")], ["company", "metric"], "pos")
+    return ranked.select("company", "metric", "pos", F.col("year").cast("bigint").alias("year"), "value")
 
 
-def trend_direction(trends: DataFrame, companies: DataFrame | None = None) -> DataFrame:
-    """A11 per company: counts and overall direction (>= 70 % share)."""
-    agg = trends.groupBy("company").agg(
-        F.count_if(F.col("is_improving") == F.lit(True)).alias("improving_count"),
-        F.count_if(F.col("is_improving") == F.lit(False)).alias("declining_count"))
-    if companies is not None:
-        agg = companies.join(agg, "company", "left").na.fill(0, ["improving_count", "declining_count"])
-    return agg.withColumn("overall_direction", _direction())
+def trend_direction(trends: DataFrame) -> DataFrame:
+    """A11 per company of a table of trends: counts and overall direction."""
+    return trends.groupBy("company").agg(
+        F.count_if(F.col("is_improving")).alias("improving_count"),
+        F.count_if(~F.col("is_improving")).alias("declining_count")).withColumn("overall_direction", _direction())
 
 
 def _direction() -> F.Column:
@@ -97,9 +95,11 @@ def _direction() -> F.Column:
             .otherwise("Mixed"))
 
 
-def company_directions(panel: DataFrame, col_map: dict) -> DataFrame:
+def company_directions(panel: DataFrame, col_map: dict, asked: DataFrame | None = None) -> DataFrame:
     """A11 for every company of the panel, from the one-pass company facts (a
-    row per company): no second pass for companies without trends."""
+    row per company): no second pass for companies without trends. With
+    ``asked`` (a ``company`` column) for each of its rows instead: "Unknown" and
+    zero counts for a company of which the panel has no row."""
     from verdant.operators.facts import company_facts
     facts = company_facts(panel, col_map)
     change = {m: F.when(F.col(f"n_{m}") >= 2, _change(F.col(f"first_{m}"), F.col(f"last_{m}")))
@@ -107,10 +107,15 @@ def company_directions(panel: DataFrame, col_map: dict) -> DataFrame:
     better = [change[m] < 0 for m in change if m in LOWER_IS_BETTER] + \
              [change[m] > 0 for m in change if m in HIGHER_IS_BETTER and m not in LOWER_IS_BETTER]
     flags = F.array(*better).cast("array<boolean>")
-    return facts.select(
+    found = facts.select(
         "company", F.size(F.filter(flags, lambda x: x)).cast("bigint").alias("improving_count"),
         F.size(F.filter(flags, lambda x: ~x)).cast("bigint").alias("declining_count")).withColumn(
         "overall_direction", _direction())
+    if asked is None:
+        return found
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("improving_count", "declining_count")]
+    return asked.select("company").join(found, "company", "left").select(
+        "company", *counts, F.coalesce("overall_direction", F.lit(UNKNOWN_DIRECTION)).alias("overall_direction"))
 
 
 def yoy_long(panel: DataFrame, col_map: dict) -> DataFrame:
@@ -138,13 +143,10 @@ def yoy_pivot(panel: DataFrame, col_map: dict, years: list[int] | None = None) -
     """R2: one row per (company, metric), one column per year.
 
     ``years``: the pivot columns; when omitted they are read from the data
-    (a distinct over the year column: one small aggregation)."""
+    by a job of its own (a distinct over the years), so name them where they are known."""
     long = yoy_long(panel, col_map)
     if years is None:
-        # The pivot columns are read from the data; materialise the long
-        # table first so the panel is computed once for both uses.
-        from verdant.session import materialize
-        long = materialize(long, "yoy_long")
+        # The pivot columns are part of the plan, so they are read when it is built.
         found = long.select("year").distinct().limit(MAX_YEARS + 1).collect()
         if len(found) > MAX_YEARS:
             raise ValueError(f"more than {MAX_YEARS} distinct years: name the pivot columns in years")

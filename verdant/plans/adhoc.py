@@ -1,10 +1,19 @@
-"""Ad-hoc SQL over a table registered as ``company_data``; any failure is
-raised as one error type. Spark SQL covers the query classes (Q1): joins of
-every kind, grouping sets / rollup / cube, window frames, set operations,
-subqueries."""
+"""Ad-hoc SQL over a table called ``company_data``; any failure, when the
+query is analysed or when it runs, is raised as one error type. Spark SQL
+covers the query classes (Q1): joins of every kind, grouping sets / rollup /
+cube, window frames, set operations, subqueries.
+
+The table is bound to its own statement: no view of the session is made, so
+queries over different tables can be built and run in any order."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 
@@ -12,14 +21,38 @@ class QueryError(RuntimeError):
     pass
 
 
-def query_with_sql(df: DataFrame, sql: str, view: str = "company_data") -> DataFrame:
+@contextmanager
+def query_errors() -> Iterator[None]:
+    """Spark's errors as ``QueryError``: put the actions on a query's result in it."""
     try:
-        df.createOrReplaceTempView(view)
-        return df.sparkSession.sql(sql)
-    except Exception as e:  # analysis and parse errors alike
+        yield
+    except (PySparkException, ValueError) as e:
         raise QueryError(f"SQL query failed: {e}") from e
 
 
+#: Comments and blanks before a statement, and its WITH.
+_LEAD = re.compile(r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*", re.S)
+_WITH = re.compile(r"WITH\b(\s+RECURSIVE\b)?", re.I)
+
+
+def query_with_sql(df: DataFrame, sql: str, name: str = "company_data") -> DataFrame:
+    """The result of ``sql`` in which ``name`` stands for ``df``."""
+    body = sql[_LEAD.match(sql).end():]
+    own = _WITH.match(body)
+    recursive = own[1] or "" if own else ""
+    rest = f", {body[own.end():]}" if own else f" {body}"
+    braced = rest.replace("{", "{{").replace("}", "}}")  # braces stand for bound tables
+    with query_errors():
+        return df.sparkSession.sql(f"WITH{recursive} {name} AS (SELECT * FROM {{bound}}){braced}", bound=df)
+
+
+def run_sql(df: DataFrame, sql: str, action: Callable[[DataFrame], Any], name: str = "company_data") -> Any:
+    """``action`` on the result of ``query_with_sql``; its failures are ``QueryError`` too."""
+    result = query_with_sql(df, sql, name)
+    with query_errors():
+        return action(result)
+
+
 # Smoke queries, one per class; the same text runs on DuckDB over the same view.
 SMOKE = {
     "sql_join": """

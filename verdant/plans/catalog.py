@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdant import fixed
 from verdant.plans import oracle_sql as O
-from verdant.sources.tables import IDENTITY_MAP, esg_panel
+from verdant.sources.tables import IDENTITY_MAP, PANEL_COLUMNS, esg_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,7 +36,7 @@ def q_latest_row(spark, sf_dir):
 def q_esg_score(spark, sf_dir):
     from verdant.operators.peers import scored_latest
     s = scored_latest(esg_panel(spark, sf_dir), IDENTITY_MAP)
-    return s.select("company", "year", "environmental", "social", "governance", "esg_score",
+    return s.select(s["_company"].alias("company"), "year", "environmental", "social", "governance", "esg_score",
                     "grade", "n_e", "n_s", "n_g", "rationale")
 
 
@@ -85,16 +85,6 @@ def q_year_rule(spark, sf_dir):
                    for t in ["panel", "lineitem", "orders", "events", "customer"]])
 
 
-# ----------------------------------------------------------------- detection (V1)
-@register("column_detect", O.COLUMN_DETECT)
-def q_column_detect(spark, sf_dir):
-    from verdant.operators.schema import column_table, detect_columns_df
-    from verdant.sources.tables import TABLES, read_table
-    tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
-    tables["panel"] = esg_panel(spark, sf_dir)
-    return detect_columns_df(column_table(spark, tables))
-
-
 # ----------------------------------------------------------------- profiling
 def _panel_numeric(panel):
     from verdant.operators.quality import numeric_columns
@@ -146,6 +136,16 @@ def q_trend_direction(spark, sf_dir):
     return company_directions(esg_panel(spark, sf_dir), IDENTITY_MAP)
 
 
+@register("trend_unknown", O.TREND_UNKNOWN)
+def q_trend_unknown(spark, sf_dir):
+    """A11 for the names of all suppliers and customers: a customer has no panel rows."""
+    from verdant.operators.trends import company_directions
+    from verdant.sources.tables import read_table
+    asked = read_table(spark, sf_dir, "supplier").selectExpr("s_name AS company").unionByName(
+        read_table(spark, sf_dir, "customer").selectExpr("c_name AS company"))
+    return company_directions(esg_panel(spark, sf_dir), IDENTITY_MAP, asked)
+
+
 @register("yoy_long", O.YOY_LONG)
 def q_yoy_long(spark, sf_dir):
     from verdant.operators.trends import yoy_long
@@ -409,6 +409,27 @@ def q_csv_peer_comparison(spark, sf_dir):
     return peer_comparison(read_delimited(spark, path), IDENTITY_MAP)
 
 
+@register("csv_dirty", O.CSV_DIRTY)
+def q_csv_dirty(spark, sf_dir):
+    """The customers as delimited text in several files, with padded
+    headers, quoted line breaks, long, short and blank rows and missing-value tokens."""
+    import os
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from verdant.plans.composed import CSV_DIRTY_HEADER, CSV_DIRTY_LINE, CSV_FILES
+    from verdant.session import checkpoint_root
+    from verdant.sources.delimited import read_delimited
+    from verdant.sources.tables import read_table
+    path = os.path.join(checkpoint_root(spark), "csv", uuid.uuid4().hex)
+    rows = read_table(spark, sf_dir, "customer").selectExpr(f"c_custkey % {CSV_FILES} AS file", "c_custkey AS at", f"{CSV_DIRTY_LINE} AS line")
+    heads = rows.select("file").distinct().select("file", F.lit(-1).cast("bigint").alias("at"), F.lit(CSV_DIRTY_HEADER).alias("line"))
+    (rows.unionByName(heads).repartition("file").sortWithinPartitions("file", "at").select("file", "line")
+     .write.partitionBy("file").text(path))
+    return read_delimited(spark, path + "/*").select("id", "name", "segment", "balance")
+
+
 # ----------------------------------------------------------------- exports and reports
 @register("profile_sheet", O.PROFILE_SHEET)
 def q_profile_sheet(spark, sf_dir):
@@ -416,16 +437,78 @@ def q_profile_sheet(spark, sf_dir):
     return profile_sheet(_ctx(spark, sf_dir)[2])
 
 
+def _shared_ranked(spark, sf_dir):
+    """The company context and the ranked solutions, dealt once for all that is derived from them."""
+    from verdant.operators.solutions import rank_solutions
+    from verdant.sources.sinks import shared
+    cm = shared(_ctx(spark, sf_dir)[2])
+    return cm, shared(rank_solutions(cm, carry=_fact_columns(cm)))
+
+
 def _report(spark, sf_dir, mode):
     from verdant.operators import dims
     from verdant.operators.benchmark import benchmark_comparison, pillar_view, regulation
     from verdant.operators.kpi import kpi_projection
-    from verdant.operators.narrative import risks_and_opportunities
-    from verdant.sources.sinks import report_datasets
-    panel, profiles, cm, ranked = _ranked(spark, sf_dir, carry=True)
+    from verdant.operators.narrative import executive_summary, risks_and_opportunities
+    from verdant.operators.schema import detect_columns
+    from verdant.sources.sinks import quality_section, report_datasets
+    cm, ranked = _shared_ranked(spark, sf_dir)
+    detected = detect_columns([c for c in PANEL_COLUMNS])
     return report_datasets(mode, cm, ranked.drop(*_fact_columns(cm)), regulation(cm), risks_and_opportunities(cm),
                            kpi_projection(ranked, IDENTITY_MAP), benchmark_comparison(cm, IDENTITY_MAP),
-                           pillar_view(cm), dims.timeline(spark))
+                           pillar_view(cm), dims.timeline(spark), executive_summary(ranked), quality_section(cm, detected))
+
+
+def _workbook(spark, sf_dir):
+    from verdant.operators.benchmark import benchmark_comparison
+    from verdant.operators.kpi import kpi_projection
+    from verdant.sources.sinks import workbook
+    cm, ranked = _shared_ranked(spark, sf_dir)
+    return workbook(cm, ranked, kpi_projection(ranked, IDENTITY_MAP), benchmark_comparison(cm, IDENTITY_MAP))
+
+
+@register("kpi_sheet", O.KPI_SHEET)
+def q_kpi_sheet(spark, sf_dir):
+    return _workbook(spark, sf_dir)["KPI Projections"]
+
+
+@register("benchmark_sheet", O.BENCHMARK_SHEET)
+def q_benchmark_sheet(spark, sf_dir):
+    return _workbook(spark, sf_dir)["Benchmarks"]
+
+
+@register("workbook", O.WORKBOOK)
+def q_workbook(spark, sf_dir):
+    """The four sheets written as one bundle and read back: rows and a total of each company's sheets."""
+    import os
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from verdant.session import checkpoint_root
+    from verdant.sources.sinks import read_sheet, write_bundle
+    path = os.path.join(checkpoint_root(spark), "workbook", uuid.uuid4().hex)
+    write_bundle(_workbook(spark, sf_dir), path)
+    figure = {"Profile & Maturity": "length(value)", "Solutions": "`Fit Score`", "KPI Projections": "Projected", "Benchmarks": "Gap"}
+    return _union([read_sheet(spark, path, name).groupBy("company").agg(
+        F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(F.expr(f"CAST({c} AS DOUBLE)")), 4).alias("total"))
+        for name, c in figure.items()])
+
+
+@register("report_narrative", O.EXECUTIVE_SUMMARY)
+def q_report_narrative(spark, sf_dir):
+    """The overview of the executive report."""
+    return _report(spark, sf_dir, "executive")["narrative"]
+
+
+@register("risk_replies", O.risk_replies())
+def q_risk_replies(spark, sf_dir):
+    """Good, half, broken and missing risk replies for each company, templates where they don't do."""
+    from verdant.operators.narrative import risks_and_opportunities, validate_risks
+    from verdant.plans.composed import RISK_REPLY
+    from verdant.sources.tables import read_table
+    replies = read_table(spark, sf_dir, "supplier").selectExpr("s_name AS company", f"{RISK_REPLY} AS reply")
+    return validate_risks(replies, risks_and_opportunities(_ctx(spark, sf_dir)[2]), "reply").drop("reply")
 
 
 @register("report_top_actions", O.REPORT_TOP_ACTIONS)
@@ -548,11 +631,7 @@ def q_report_regulation(spark, sf_dir):
 @register("report_quality", O.REPORT_QUALITY)
 def q_report_quality(spark, sf_dir):
     """The data-quality paragraph of the detailed report."""
-    from verdant.operators.profile import company_summary
-    from verdant.operators.schema import detect_columns
-    from verdant.sources.sinks import quality_section
-    panel = esg_panel(spark, sf_dir)
-    return quality_section(company_summary(panel, IDENTITY_MAP), detect_columns(panel.drop("_row_id").columns))
+    return _report(spark, sf_dir, "detailed")["quality"]
 
 
 @register("report_defaults", O.REPORT_DEFAULTS)

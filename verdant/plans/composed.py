@@ -170,6 +170,35 @@ def merged_profiles(made: DataFrame) -> DataFrame:
     return merge_profile(rows, "found", {"k": "bigint"}).drop("found")
 
 
+# ---------------------------------------------------------------- X14 risk replies (by supplier)
+_GOOD = ("concat('{\"risks\": [{\"title\": \"supply of ', s_name, '\", \"description\": \"d\", \"severity\": \"High\"}, 7, "
+         "{\"severity\": \"Low\"}, {\"title\": \"second\", \"severity\": \"Low\"}], \"opportunities\": "
+         "[{\"title\": \"growth\", \"description\": \"more\", \"impact\": \"Medium\"}]}')")
+RISK_REPLY = _pick("s_suppkey", [
+    _GOOD,
+    f"concat('Here you are:', chr(10), '```json', chr(10), {_GOOD}, chr(10), '```')",
+    "'{\"risks\": [{\"title\": \"alone\"}]}'",
+    "'{\"risks\": [], \"opportunities\": []}'",
+    "'{\"risks\": \"many\", \"opportunities\": []}'",
+    "'[{\"title\": \"a list\"}]'",
+    "CAST(NULL AS STRING)",
+    "'no answer'",
+])
+
+# ---------------------------------------------------------------- S1 on a dirty file
+CSV_FILES = 3
+CSV_DIRTY_HEADER = " id , name,segment , balance "
+_K1, _BAL = "CAST(c_custkey AS STRING)", "CAST(c_acctbal AS STRING)"
+CSV_DIRTY_LINE = _pick("c_custkey", [
+    f"concat({_K1}, ',', c_name, ',', c_mktsegment, ',', {_BAL})",
+    f"concat({_K1}, ',\"', c_name, chr(10), 'line two\",', c_mktsegment, ',', {_BAL})",
+    f"concat({_K1}, ',', c_name, ',', c_mktsegment, ',', {_BAL}, ',too long')",
+    f"concat({_K1}, ',', c_name)",
+    f"concat({_K1}, ',\"say \"\"', c_name, '\"\", ok\",', c_mktsegment, ',', {_BAL})",
+    f"concat({_K1}, ',n/a,', c_mktsegment, ',NULL')",
+    f"concat({_K1}, ',\"a', chr(10), chr(10), ',b\",', c_mktsegment, ',', {_BAL}, chr(10))",
+])
+
 # ---------------------------------------------------------------- V3-V6 on a table with every defect
 _DIRTY = ["o_orderkey", "o_custkey", "CAST(7 AS BIGINT) AS fixed_fee", "CAST(NULL AS DOUBLE) AS lost",
           "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price"]

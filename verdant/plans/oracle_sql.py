@@ -336,6 +336,12 @@ LEFT JOIN (SELECT company, COUNT(*) FILTER (WHERE is_improving) AS improving_cou
                   COUNT(*) FILTER (WHERE NOT is_improving) AS declining_count
            FROM trends2 GROUP BY company) t ON c.company = t.company"""
 
+TREND_UNKNOWN = "WITH found AS (" + TREND_DIRECTION + """)
+SELECT a.company, COALESCE(f.improving_count, 0) AS improving_count, COALESCE(f.declining_count, 0) AS declining_count,
+       COALESCE(f.overall_direction, 'Unknown') AS overall_direction
+FROM (SELECT s_name AS company FROM supplier UNION ALL SELECT c_name FROM customer) a
+LEFT JOIN found f ON a.company = f.company"""
+
 _TITLES = values_sql([(m, m.replace("_", " ").title()) for m in PANEL_METRICS], ["metric", "title"])
 _YOY = f"""yoy AS (
 SELECT l.company, t.title AS metric, l.column_name, CAST(l.year AS BIGINT) AS year,
@@ -912,3 +918,45 @@ _COUNTS = " UNION ALL ".join(
 DETECTED_VALUES = with_ctes(PANEL) + f""", picked AS ({COLUMN_DETECT.strip()}), held AS ({_COUNTS})
 SELECT p.table_name, p.metric, p.column_name, h.n_rows, h.n_values FROM picked p
 JOIN held h ON p.table_name = h.table_name AND p.column_name = h.column_name"""
+
+KPI_SHEET = KPI_CTX + """
+SELECT company, solution AS "Solution", kpi AS "KPI", current AS "Current", projected AS "Projected",
+       improvement_pct AS "Improvement_Pct" FROM kpis"""
+BENCHMARK_SHEET = BENCH_CTX + """
+SELECT company, metric AS "Metric", company_value AS "Company_Value", industry_avg AS "Industry_Avg",
+       top_quartile AS "Top_Quartile", gap AS "Gap", status AS "Status" FROM bench2"""
+
+
+def _sheet_total(sql: str, sheet: str, figure: str) -> str:
+    return (f"SELECT company, {q(sheet)} AS sheet, COUNT(*) AS n_rows, ROUND(SUM(CAST({figure} AS DOUBLE)), 4) AS total "
+            f"FROM ({sql}) GROUP BY company")
+
+
+WORKBOOK = " UNION ALL ".join([
+    _sheet_total(PROFILE_SHEET, "Profile & Maturity", "length(value)"), _sheet_total(SOLUTIONS_SHEET, "Solutions", '"Fit Score"'),
+    _sheet_total(KPI_SHEET, "KPI Projections", '"Projected"'), _sheet_total(BENCHMARK_SHEET, "Benchmarks", '"Gap"')])
+
+
+def risk_replies() -> str:
+    from verdant.plans.composed import RISK_REPLY  # which imports this module
+    good = """SELECT company, 'risk' AS kind, CAST(1 AS BIGINT) AS ord, 'supply of ' || company AS title, 'd' AS description, 'High' AS level,
+       FALSE AS from_template FROM made WHERE k IN (0, 1)
+UNION ALL SELECT company, 'risk', 2, 'second', '', 'Low', FALSE FROM made WHERE k IN (0, 1)
+UNION ALL SELECT company, 'opportunity', 1, 'growth', 'more', 'Medium', FALSE FROM made WHERE k IN (0, 1)"""
+    n = RISK_REPLY.split(" % ")[1].split()[0]
+    return RISK_CTX + f""", made AS (SELECT s_name AS company, s_suppkey % {n} AS k FROM supplier)
+{good}
+UNION ALL SELECT ro.*, TRUE FROM ro JOIN made ON ro.company = made.company WHERE k NOT IN (0, 1, 3)"""
+
+
+def _csv_dirty() -> str:
+    names = [("c_name", "c_mktsegment"), ("c_name || chr(10) || 'line two'", "c_mktsegment"), None, ("c_name", "NULL"),
+             ("'say \"' || c_name || '\", ok'", "c_mktsegment"), ("NULL", "c_mktsegment"),
+             ("'a' || chr(10) || chr(10) || ',b'", "c_mktsegment")]
+    return " UNION ALL ".join(
+        f"SELECT c_custkey AS id, {p[0]} AS name, {p[1]} AS segment, "
+        f"{'NULL' if k in (3, 5) else 'CAST(c_acctbal AS DOUBLE)'} AS balance FROM customer WHERE c_custkey % {len(names)} = {k}"
+        for k, p in enumerate(names) if p)
+
+
+CSV_DIRTY = _csv_dirty()

@@ -1,122 +1,118 @@
-"""Distributed ordinal positions (global rank, rank within huge groups, exact
-quantiles) without routing a whole group through one task.
-
-Plan: range-partition on (group, order, row tiebreaker), sort inside each
-partition, tag each row with ``monotonically_increasing_id`` (partition id in
-the high bits, row number in the low 33 bits), count rows per (partition,
-group), turn the counts into running offsets on that small table, and join the
-offsets back. The tagged rows are written once as a table in the shared
-checkpoint folder (``spark.checkpoint.dir``) and both branches read that
-table, so the ids are stable even if executors are lost. The offsets table
-has one row per (partition, group present in it).
+"""Ordinal positions (global rank, rank within groups of any size) without
+sending a whole group through one task, and without writing anything.
+
+Plan. A deterministic sample of the rows (those with the least hashes) gives,
+as a scalar subquery, the bounds of a fixed number of ranges over (group,
+order, row hash). Each row finds its range by comparing itself with the
+bounds, so the assignment is part of the row: branches of the plan agree on it
+whatever the executors do. Rows are numbered within their range (a window
+keyed by the range), and ranges are added up from their counts: for a global rank one
+row per range, for groups only the few groups that reach over a bound.
+
+Sample, counts and rows are three uses of the input. The row hash names every
+column, so the three ask for the same columns and share the input's shuffles
+(they would be computed anew, with the same result, if Spark did not share them).
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, LongType, NumericType, TimestampType
+
+from verdant.functions.names import named
+
+#: Sampled rows per range, and the most ranges.
+SAMPLE_ROWS, MAX_RANGES = 32, 4096
+Order = list[tuple[str, str]]
+
+
+def _key(df: DataFrame, order: Order, groups: list[str]) -> Column:
+    """The sort key as one struct that compares in ascending order, nulls last:
+    descending numbers are negated, nullable columns come behind a null flag."""
+    fields = {f.name: f for f in df.schema.fields}
+    parts = []
+    for c, direction in [*((g, "asc") for g in groups), *order]:
+        kind, value = fields[c].dataType, named(c)
+        if direction == "desc":
+            if isinstance(kind, (DateType, TimestampType)):
+                value = F.unix_date(value) if isinstance(kind, DateType) else F.unix_micros(value)
+                kind = LongType()
+            if not isinstance(kind, NumericType):
+                raise ValueError(f"{c}: only numbers, dates and times can be in descending order")
+            value = F.bitwise_not(value) if isinstance(kind, IntegralType) else -value
+        elif direction != "asc":
+            raise ValueError(f"direction of {c} must be asc or desc")
+        if fields[c].nullable:
+            parts.append(named(c).isNull().alias(f"n{len(parts)}"))
+        parts.append(value.alias(f"v{len(parts)}"))
+    return F.struct(*parts, F.xxhash64(*[named(c) for c in df.columns]).alias("tie"))
+
 
-from verdant.session import checkpoint_root
-
-_LOW_BITS = (1 << 33) - 1
-
-
-def with_ordinal(df: DataFrame, order: list[Column], group_cols: list[str] | tuple = (),
-                 pos_col: str = "_pos", size_col: str = "_size",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Add the 0-based position of each row within its group under ``order``
-    and the group size. Ties in ``order`` get distinct, arbitrary positions;
-    give a total order for a deterministic result."""
-    group_cols = list(group_cols)
-    # A per-row tiebreaker ends the range key, so a run of equal keys (say a
-    # third of a column holding the same value) is split across partitions
-    # instead of landing in one task. It is a hash of the row's values:
-    # deterministic, so a recomputed map task sends every row to the same
-    # partition as before (carry a row id in ``df`` when whole rows repeat).
-    # Positions are read back from the written table, so the tiebreaker
-    # never affects the result.
-    keys = ([F.col(g).asc_nulls_last() for g in group_cols] + list(order)
-            + [F.col("_o_tie").asc()])
+def _with_range(df: DataFrame, key: Column, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``__key`` and its range number ``__range``, and the one-row table of bounds."""
+    keyed = df.withColumn("__key", key)
+    sample = keyed.select("__key", F.xxhash64("__key").alias("h")).orderBy("h").limit(ranges * SAMPLE_ROWS)
+    bounds = sample.agg(F.filter(F.sort_array(F.collect_list("__key")), lambda _, i: (i + 1) % SAMPLE_ROWS == 0).alias("bounds"))
+    # Two steps of about sqrt(ranges) comparisons each instead of one for every
+    # bound; the subquery is named once, so that it is planned once.
+    step = math.isqrt(ranges - 1) + 1
+    below = lambda part: F.size(F.filter(part, lambda b: b < F.col("__key")))
+    first = F.transform("__bounds", lambda b: F.struct(
+        b.alias("b"), below(F.filter(b, lambda _, i: (i + 1) % step == 0)).alias("c")))
+    both = F.transform(first, lambda x: x["c"] * step + below(F.slice(x["b"], x["c"] * step + 1, step)))
+    out = keyed.withColumn("__bounds", F.array(bounds.scalar())).withColumn("__range", both[0])
+    return out.drop("__bounds"), bounds
+
+
+def with_ordinal(df: DataFrame, order: Order, group_cols: list[str] | tuple = (), pos_col: str = "_pos",
+                 size_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Adds the 0-based position of each row within its group under ``order``
+    ((column, "asc" or "desc"), nulls last; "desc" for numbers, dates and times) and, if ``size_col`` is given, the
+    group's size. Ties get distinct positions by a hash of the row; give a total
+    order for a result that is the same for the same rows. Null groups are a
+    group. ``num_partitions`` is the number of ranges (by default
+    ``spark.sql.shuffle.partitions``); a range is sorted in one task."""
+    groups = list(group_cols)
     spark = df.sparkSession
-    tied = df.withColumn("_o_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    # Without an explicit count AQE may coalesce neighbouring ranges (small
-    # inputs then write few files); ids stay consistent because they are
-    # assigned and written in the same job.
-    ranged = (tied.repartitionByRange(num_partitions, *keys) if num_partitions
-              else tied.repartitionByRange(*keys))
-    ranged = ranged.sortWithinPartitions(*keys).drop("_o_tie")
-    # Materialise the tagged rows once as a table in the shared checkpoint
-    # folder: every later reader (the counts branch and the main branch) sees
-    # the same stored ids, whatever happens to executors afterwards.
-    path = os.path.join(checkpoint_root(spark), "ordinal", uuid.uuid4().hex)
-    ranged.withColumn("_o_mid", F.monotonically_increasing_id()).write.parquet(path)
-    tagged = (spark.read.parquet(path)
-              .withColumn("_o_pid", F.shiftrightunsigned(F.col("_o_mid"), 33))
-              .withColumn("_o_local", F.col("_o_mid").bitwiseAND(F.lit(_LOW_BITS))))
-    counts = tagged.groupBy("_o_pid", *group_cols).agg(
-        F.count(F.lit(1)).alias("_o_cnt"), F.min("_o_local").alias("_o_first"))
-    by_group = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
-    counts = (counts
-              .withColumn("_o_before", F.coalesce(F.sum("_o_cnt").over(
-                  by_group.orderBy("_o_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn(size_col, F.sum("_o_cnt").over(by_group)))
-    counts = counts.select(*[F.col(c).alias(f"_o_k_{c}") for c in ["_o_pid", *group_cols]],
-                           "_o_before", "_o_first", size_col)
-    cond = reduce(lambda a, b: a & b,
-                  [tagged[c].eqNullSafe(counts[f"_o_k_{c}"]) for c in ["_o_pid", *group_cols]])
-    joined = tagged.join(counts, cond, "inner")
-    out = joined.withColumn(pos_col, F.col("_o_before") + F.col("_o_local") - F.col("_o_first"))
-    drop = ["_o_mid", "_o_pid", "_o_local", "_o_before", "_o_first"] + [f"_o_k_{c}" for c in ["_o_pid", *group_cols]]
-    return out.drop(*drop)
-
-
-def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
-                total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """1-based dense-free rank (row_number semantics) over the whole table."""
-    out = with_ordinal(df, order, (), "_pos", "_size", num_partitions)
-    out = out.withColumn(rank_col, (F.col("_pos") + 1).cast("bigint"))
-    if total_col:
-        out = out.withColumnRenamed("_size", total_col)
-    else:
-        out = out.drop("_size")
-    return out.drop("_pos")
-
-
-def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str,
-                    probs: dict[str, float], num_partitions: int | None = None,
-                    stats: dict | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group (pandas / ``quantile_cont``
-    semantics) for groups of any size. Nulls are ignored.
-
-    Returns one row per group with one column per entry of ``probs``, plus
-    one per entry of ``stats`` (name -> aggregate Column over the group's
-    non-null values), computed from the same materialised rows so the input
-    is evaluated once.
-    """
-    single = not group_cols
-    if single:  # one global group: a constant key keeps every step a keyed one
-        long_df, group_cols = long_df.withColumn("_o_g", F.lit(0)), ["_o_g"]
-    vals = long_df.where(F.col(value_col).isNotNull())
-    ranked = with_ordinal(vals, [F.col(value_col).asc()], group_cols, "_pos", "_size", num_partitions)
-    picks, aggs = [], []
-    for name, p in probs.items():
-        idx = (F.col("_size") - 1) * F.lit(float(p))
-        lo, hi = F.floor(idx), F.ceil(idx)
-        picks.append((F.col("_pos") == lo) | (F.col("_pos") == hi))
-        aggs += [F.max(F.when(F.col("_pos") == lo, F.col(value_col))).alias(f"_lo_{name}"),
-                 F.max(F.when(F.col("_pos") == hi, F.col(value_col))).alias(f"_hi_{name}"),
-                 F.max(idx - lo).alias(f"_fr_{name}")]
-    sel = ranked.where(reduce(lambda a, b: a | b, picks))
-    out = sel.groupBy(*group_cols).agg(*aggs)
-    if stats:
-        extra = ranked.groupBy(*group_cols).agg(*[c.alias(k) for k, c in stats.items()])
-        out = out.join(extra, group_cols)
-    for name in probs:
-        lo_v, hi_v, fr = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_fr_{name}")
-        out = out.withColumn(name, lo_v + (hi_v - lo_v) * fr)
-    out = out.drop(*[f"_{k}_{n}" for n in probs for k in ("lo", "hi", "fr")])
-    return out.drop("_o_g") if single else out
+    ranges = min(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    tagged, bounds = _with_range(df, _key(df, order, groups), max(ranges, 1))
+    names = [f"__g{i}" for i in range(len(groups))]
+    counted = tagged.select("__range", *[named(g).alias(n) for n, g in zip(names, groups)])
+    if groups:
+        # A group that reaches over a bound holds that bound's key: at most so many groups as bounds.
+        fields = [f for f in tagged.schema["__key"].dataType.names if f.startswith("v")][:len(groups)]
+        over = bounds.select(F.explode("bounds").alias("b")).select(
+            *[F.col(f"b.{f}").alias(f"__o{i}") for i, f in enumerate(fields)]).distinct()
+        counted = counted.join(F.broadcast(over), _pairs(names, [f"__o{i}" for i in range(len(groups))]), "left_semi")
+    counts = counted.groupBy("__range", *names).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*names)
+    # One row per range, or per range of a group that reaches over a bound.
+    offsets = counts.select(F.col("__range").alias("__at"), *names, F.sum("__n").over(
+        whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__offset"),
+        F.sum("__n").over(whole).alias("__total"))
+    within = Window.partitionBy("__range", *[named(g) for g in groups])
+    out = tagged.join(F.broadcast(offsets), _pairs(["__range", *groups], ["__at", *names]), "left").withColumn(
+        pos_col, (F.row_number().over(within.orderBy("__key")) - 1 + F.coalesce("__offset", F.lit(0))).cast("bigint"))
+    kept = [named(c) for c in df.columns] + [named(pos_col)]
+    if size_col:
+        size = F.coalesce("__total", F.count(F.lit(1)).over(within) if groups else F.lit(0))
+        kept.append(size.cast("bigint").alias(size_col))
+    return out.select(*kept)
+
+
+def _pairs(left: list[str], right: list[str]) -> Column:
+    """Whether columns are equal pair by pair, nulls being equal."""
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & named(a).eqNullSafe(F.col(b))
+    return cond
+
+
+def global_rank(df: DataFrame, order: Order, rank_col: str = "rank", total_col: str | None = None,
+                num_partitions: int | None = None) -> DataFrame:
+    """1-based rank without ties (row_number semantics) over the whole table."""
+    out = with_ordinal(df, order, (), rank_col, total_col, num_partitions)
+    return out.withColumn(rank_col, named(rank_col) + 1)

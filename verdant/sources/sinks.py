@@ -1,17 +1,19 @@
 """Exports and report datasets.
 
 Spreadsheet and PDF rendering are single-machine formats; here every sheet or
-report section is a DataFrame keyed by company, written as its own dataset
-(partitioned by company when asked), and written only when a sink is called.
+report section is a DataFrame keyed by company. A bundle is one table of all
+their rows, tagged with the sheet: one plan, written by one job, clustered by
+company, each sheet a folder of its own to be read back with ``read_sheet``.
 """
 
 from __future__ import annotations
 
-import os
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdant.functions.names import named, quoted
 from verdant.functions.numeric import py_float_str
 from verdant.operators.companies import money0
 
@@ -20,6 +22,10 @@ PROFILE_FIELDS = ["Industry", "Country", "Employees", "ESG Budget", "Business Si
 SOLUTION_SHEET = {"rank": "Rank", "name": "Solution", "category": "Category", "fit_score": "Fit Score",
                   "upfront_cost_low": "Cost Low ($)", "upfront_cost_high": "Cost High ($)",
                   "annual_savings": "Annual Savings ($)", "payback_years": "Payback (yrs)"}
+KPI_SHEET = {"solution": "Solution", "kpi": "KPI", "current": "Current", "projected": "Projected",
+             "improvement_pct": "Improvement_Pct"}
+BENCHMARK_SHEET = {"metric": "Metric", "company_value": "Company_Value", "industry_avg": "Industry_Avg",
+                   "top_quartile": "Top_Quartile", "gap": "Gap", "status": "Status"}
 
 
 def profile_sheet(cm: DataFrame) -> DataFrame:
@@ -65,14 +71,18 @@ def quality_section(summary: DataFrame, col_map: dict) -> DataFrame:
 
 
 def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: DataFrame, risks: DataFrame,
-                    kpis: DataFrame, bench: DataFrame | None, pillars: DataFrame, timeline: DataFrame) -> dict:
+                    kpis: DataFrame, bench: DataFrame | None, pillars: DataFrame, timeline: DataFrame,
+                    narrative: DataFrame | None = None, quality: DataFrame | None = None) -> dict:
     """The sections of the executive (``mode="executive"``) or
-    detailed (any other mode) report."""
+    detailed (any other mode) report. ``narrative`` (``executive_summary``) is the
+    overview of the former; ``quality`` (``quality_section``) the data-quality paragraph of the
+    latter; both are left out where there is none."""
     cm, regulation = with_report_defaults(cm, regulation)
     fw = (regulation.where(F.col("frameworks") != "")
           .select("company", F.posexplode(F.split("frameworks", r" \| ")).alias("pos", "framework")))
     if mode == "executive":
         return {
+            **({} if narrative is None else {"narrative": narrative}),
             "pillars": pillars.select("company", "pillar", "score", "status"),
             "top_actions": ranked.where(F.col("rank") <= 3).select(
                 "company", "rank", "name", "category", "investment_display", "payback_display"),
@@ -82,6 +92,7 @@ def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: Dat
         }
     return {
         "profile": profile_sheet(cm),
+        **({} if quality is None else {"quality": quality}),
         "pillars": pillars.select("company", "pillar", "score", "status_detailed"),
         "benchmark": bench if bench is not None else cm.sparkSession.createDataFrame([], "company string"),
         "risks": risks.where(F.col("kind") == "risk"),
@@ -94,15 +105,51 @@ def report_datasets(mode: str, cm: DataFrame, ranked: DataFrame, regulation: Dat
     }
 
 
-def write_bundle(datasets: dict[str, DataFrame], path: str, partition_by_company: bool = False) -> list[str]:
-    """Write each non-empty dataset under ``path/<name>``; empty ones are skipped."""
-    written = []
-    for name, df in datasets.items():
-        if df.isEmpty():
-            continue
-        w = df.write.mode("overwrite")
-        if partition_by_company and "company" in df.columns:
-            w = w.partitionBy("company")
-        w.parquet(os.path.join(path, name))
-        written.append(name)
-    return written
+def kpi_sheet(kpis: DataFrame) -> DataFrame:
+    """S5 sheet 3: the KPI projections of every solution with display names."""
+    return kpis.select("company", *[F.col(k).alias(v) for k, v in KPI_SHEET.items()])
+
+
+def benchmark_sheet(bench: DataFrame) -> DataFrame:
+    """S5 sheet 4: the benchmark comparison with display names."""
+    return bench.select("company", *[F.col(k).alias(v) for k, v in BENCHMARK_SHEET.items()])
+
+
+def workbook(cm: DataFrame, ranked: DataFrame, kpis: DataFrame, bench: DataFrame | None) -> dict[str, DataFrame]:
+    """The four sheets of the export, by name; a missing one is left out."""
+    sheets = {"Profile & Maturity": profile_sheet(cm), "Solutions": solutions_sheet(ranked), "KPI Projections": kpi_sheet(kpis)}
+    return sheets if bench is None else sheets | {"Benchmarks": benchmark_sheet(bench)}
+
+
+def bundle(sheets: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all sheets in one table: ``company`` (null for a sheet that
+    is the same for all), ``sheet`` and a struct column for each sheet, which
+    holds the row's cells and is null in the rows of other sheets."""
+    def tagged(name: str, df: DataFrame) -> DataFrame:
+        company = F.col("company") if "company" in df.columns else F.lit(None).cast("string")
+        cells = F.struct(*[named(c) for c in df.columns if c != "company"])
+        return df.select(company.alias("company"), F.lit(name).alias("sheet"), cells.alias(name))
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [tagged(n, df) for n, df in sheets.items()])
+
+
+def write_bundle(sheets: dict[str, DataFrame], path: str, num_files: int | None = None) -> None:
+    """Writes ``bundle`` below ``path`` in one job: a folder per sheet with any
+    rows, in it files of neighbouring companies, each company's rows together.
+    A read of one company skips the other files by their statistics. Sheets
+    that are given by one pass over shared rows are computed in one (see ``shared``)."""
+    rows = bundle(sheets).withColumnRenamed("sheet", "_sheet")
+    by = ["company", "_sheet"]
+    ranged = rows.repartitionByRange(num_files, *by) if num_files else rows.repartitionByRange(*by)
+    ranged.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("_sheet").parquet(path)
+
+
+def read_sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One sheet of a bundle, as it was handed to ``write_bundle`` (``company`` first)."""
+    return spark.read.parquet(path).where(F.col("_sheet") == name).select("company", f"{quoted(name)}.*")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` dealt once by a hash that names every column: branches of a plan
+    that use different columns of it still ask for the same shuffle, so Spark computes it once."""
+    return df.repartition(F.xxhash64(*[named(c) for c in df.columns]))
