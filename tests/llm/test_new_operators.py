@@ -351,3 +351,52 @@ def test_bands_for_states_what_cannot_be_had():
 
 def test_sketched_empty_table(spark):
     assert sketched_duplicates(make_docs(spark, [])).collect() == []
+
+
+# --- decontamination: equal short items -------------------------------------------
+
+def brute_contamination(docs, items, window=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(len(w) - window + 1, 1) if w else 0):
+            windows[tuple(w[k:k + window])].add(str(i))
+    out = {}
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (got := windows.get(tuple(w[k:k + size]))):
+                    hit.update(range(k, k + size))
+                    found |= got
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_equal_and_nested_items_equal_brute_force(spark, block_bytes):
+    from verdant.llm.decontaminate import contamination
+    long = " ".join(f"w{k % 7}" for k in range(40))
+    items = [(k, "Yes") for k in range(30)] + [(k, "yes no") for k in range(30, 40)] + [(40, long), (41, long), (42, "w3 " + long), (43, "no")]
+    docs = [(1, "yes " * 500), (2, "no yes no yes"), (3, long + " yes " + long), (4, "clean"), (5, None), (6, long[:40])]
+    table = ship(spark).createDataFrame(docs, "doc_id bigint, text string")
+    got = contamination(table, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes).collect()
+    assert {r["doc_id"]: tuple(r[1:5]) for r in got} == brute_contamination(docs, items)
+
+
+def test_many_equal_short_items_cost_their_distinct_suffixes():
+    """10,000 items "yes" against a document of 200,000: no (item, place) pairs are listed."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from verdant.llm.decontaminate import _block, _folded_words, _items_of, _shard_hits
+    block = _block([str(k) for k in range(10_000)], ["Yes"] * 10_000)
+    assert len(block.at) == 1
+    tracemalloc.start()
+    for lo, hi, w in _folded_words(pa.array(["yes " * 200_000], pa.large_utf8()), 1 << 21):
+        row, first, end, suffix, longest = _shard_hits(w, hi - lo, block, 10)
+        assert len(row) == 200_000 and len(_items_of(row, suffix, block, 1)[0]) == 10_000
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()

@@ -6,6 +6,8 @@ into shards of a few hundred thousand words, builds the shard's suffix array and
 binary-searches *every* benchmark suffix in it, one word deeper at a time,
 until its interval is empty: that gives the longest verbatim match of each
 suffix and, from the interval at window depth, all places of the window.
+Suffixes with the same words up to their items' ends, such as equal short
+answers, are searched once and stand for all items that hold them.
 Documents are read once per block and never shuffled; with one block (the
 usual case) a document's row is finished in its map task.
 """
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import ALNUM_BYTES, LOWER, chunks, cut, split_words, text_array
+from verdant.llm.common import ALNUM_BYTES, LOWER, chunks, cut, span_hashes, span_indices, split_words, text_array
 
 WINDOW = 10
 #: Bytes of benchmark text broadcast at once; a larger benchmark goes in blocks.
@@ -32,12 +34,15 @@ _ORDERED = 27  # words by which a shard's suffixes are ordered
 
 
 class Block(NamedTuple):
-    """Benchmark words: hash, item number, words left in the item; item ids as strings."""
+    """Benchmark words, and its distinct suffixes: their first words, the words
+    left in their items, whether that is the whole item, and the items of each."""
     hash: np.ndarray
-    item: np.ndarray
+    at: np.ndarray
     left: np.ndarray
-    size: np.ndarray
-    names: list
+    whole: np.ndarray
+    items: np.ndarray   # item numbers, suffix by suffix
+    first: np.ndarray   # of a suffix among them
+    names: list         # item ids as strings
 
 
 def _folded_words(texts: pa.Array, max_bytes: int):
@@ -53,8 +58,14 @@ def _block(names: list, texts: list) -> Block:
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     item = np.concatenate(items) if items else np.zeros(0, np.int64)
     size = np.bincount(item, minlength=len(names))
-    start = np.concatenate([[0], np.cumsum(size)])
-    return Block(h, item, start[item + 1] - np.arange(len(h)), size, names)
+    end = np.concatenate([[0], np.cumsum(size)])[item + 1]
+    left = end - np.arange(len(h))
+    whole = left == size[item]
+    # A suffix is its words, and whether it is a whole item (short ones are windows then).
+    digest = span_hashes(h, np.arange(len(h)), end) ^ whole.astype(np.uint64)
+    _, at, group = np.unique(digest, return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([group, item]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
+    return Block(h, at, left[at], whole[at], pairs[1], np.searchsorted(pairs[0], np.arange(len(at) + 1)), names)
 
 
 def suffix_array(ids: np.ndarray, stop: np.ndarray, depth: int = _ORDERED) -> np.ndarray:
@@ -83,19 +94,20 @@ def suffix_array(ids: np.ndarray, stop: np.ndarray, depth: int = _ORDERED) -> np
     return np.argsort(rank, kind="stable")
 
 
-def _search(ids, stop, sa, qids, qleft):
-    """For each depth up to _ORDERED the query suffixes that still match and
-    their intervals in ``sa``: the depth at which a suffix is last listed is its
-    longest match (longer ones are followed place by place by the caller)."""
-    n, m = len(sa), len(qids)
+def _search(ids, stop, sa, qids, at, left):
+    """For each depth up to _ORDERED the query suffixes (words ``qids`` from
+    ``at``, ``left`` of them) that still match and their intervals in ``sa``: the
+    depth at which a suffix is last listed is its longest match (longer ones
+    are followed place by place by the caller)."""
+    n, m = len(sa), len(at)
     lo, hi = np.zeros(m, np.int64), np.full(m, n, np.int64)
-    live = np.flatnonzero(qids > 0)
+    live = np.flatnonzero(qids[at] > 0)
     intervals = {}
     for depth in range(_ORDERED):
-        live = live[qleft[live] > depth]
+        live = live[left[live] > depth]
         if not len(live):
             break
-        want = qids[live + depth]
+        want = qids[at[live] + depth]
         ends = []
         for upper in (False, True):
             a, b = lo[live].copy(), hi[live].copy()
@@ -123,7 +135,7 @@ def _places(interval, sa):
 
 
 def _shard_hits(words, rows: int, block: Block, window: int):
-    """(row, first word, end word, item, longest match) of every occurrence."""
+    """(row, first word, end word, suffix, longest match) of every occurrence."""
     h = words.hash
     if not len(h) or not len(block.hash):
         return [np.zeros(0, np.int64)] * 5
@@ -134,14 +146,11 @@ def _shard_hits(words, rows: int, block: Block, window: int):
     at = np.minimum(np.searchsorted(vocabulary, block.hash), len(vocabulary) - 1)
     qids = np.where(vocabulary[at] == block.hash, at + 1, 0)
     sa = suffix_array(ids, stop)
-    intervals = _search(ids, stop, sa, qids, block.left)
+    intervals = _search(ids, stop, sa, qids, block.at, block.left)
     found = []
-    size = block.size[block.item]
     for length in sorted(intervals):
         live = intervals[length][0]
-        ask = length == window
-        whole = (size[live] == length) & (block.left[live] == length) & (length < window)
-        pick = whole | ask & (size[live] >= window)
+        pick = block.left[live] >= window if length == window else block.whole[live] & (block.left[live] == length) & (length < window)
         if pick.any():
             which, pos = _places(tuple(x[pick] for x in intervals[length]), sa)
             found.append((which, pos, np.full(len(pos), length)))
@@ -155,11 +164,20 @@ def _shard_hits(words, rows: int, block: Block, window: int):
         ok = (d < block.left[q]) & (p + d < stop[p])
         more = more[ok]
         q, p, d = q[ok], p[ok], d[ok]
-        more = more[qids[q + d] == ids[p + d]]
+        more = more[qids[block.at[q] + d] == ids[p + d]]
         longest[more] += 1
     row = words.row[pos]
     first = pos - bounds[row]
-    return [row, first, first + length, block.item[which], longest]
+    return [row, first, first + length, which, longest]
+
+
+def _items_of(row: np.ndarray, suffix: np.ndarray, block: Block, rows: int) -> list[list[str]]:
+    """Sorted distinct item ids of each row, from its distinct suffixes."""
+    pairs = np.unique(np.stack([row, suffix]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+    begin, end = block.first[pairs[1]], block.first[pairs[1] + 1]
+    item, owner = block.items[span_indices(begin, end)], np.repeat(pairs[0], end - begin)
+    cutat = np.searchsorted(owner, np.arange(rows + 1))
+    return [sorted({block.names[i] for i in np.unique(item[cutat[r]:cutat[r + 1]])}) for r in range(rows)]
 
 
 def _covered(row, first, end, counts):
@@ -182,12 +200,9 @@ def _finished(id_type: str) -> str:
             "contaminated boolean, items array<string>, longest bigint, longest_at bigint")
 
 
-def _rows(ids: pa.Array, counts, row, first, end, item, longest, names) -> pa.RecordBatch:
+def _rows(ids: pa.Array, counts, row, first, end, longest, items: list[list[str]]) -> pa.RecordBatch:
     n = len(counts)
     hit = _covered(row, first, end, counts)
-    pairs = np.unique(np.stack([row, item], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-    cutat = np.searchsorted(pairs[:, 0], np.arange(n + 1))
-    items = [sorted({names[i] for i in pairs[cutat[r]:cutat[r + 1], 1]}) for r in range(n)]
     most, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     order = np.lexsort((-first, longest))
     most[row[order]] = longest[order]
@@ -245,8 +260,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, w in _folded_words(text_array(batch.column("text")), SHARD_BYTES):
-                hits = _shard_hits(w, hi - lo, block, window)
-                yield _rows(ids.slice(lo, hi - lo), np.bincount(w.row, minlength=hi - lo), *hits, block.names)
+                row, first, end, suffix, longest = _shard_hits(w, hi - lo, block, window)
+                yield _rows(ids.slice(lo, hi - lo), np.bincount(w.row, minlength=hi - lo), row, first, end, longest,
+                            _items_of(row, suffix, block, hi - lo))
 
     if len(blocks) == 1:
         return src.mapInArrow(in_map, _finished(id_type))
@@ -274,10 +290,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
 
 def _by_blocks(src: DataFrame, id_type: str, blocks: list, window: int) -> DataFrame:
-    """The same for a benchmark of many blocks: each block gives the spans of
-    its own hits, and a document's spans meet by row (their number is bounded
-    by the document's words times the items that share them)."""
-    spans_type = f"row bigint, doc_id {id_type}, n_words bigint, first bigint, end bigint, item string, longest bigint"
+    """The same for a benchmark of many blocks: each block gives a row per
+    document with the places of its hits, each place once, and its items; a
+    document's rows meet by its number."""
+    spans_type = (f"row bigint, doc_id {id_type}, n_words bigint, first array<bigint>, end array<bigint>, "
+                  "longest array<bigint>, items array<string>")
 
     def of(block):
         def spans(batches):
@@ -285,16 +302,19 @@ def _by_blocks(src: DataFrame, id_type: str, blocks: list, window: int) -> DataF
             for batch in batches:
                 ids, key = batch.column("doc_id"), batch.column("row")
                 for lo, hi, w in _folded_words(text_array(batch.column("text")), SHARD_BYTES):
-                    counts = np.bincount(w.row, minlength=hi - lo)
-                    row, first, end, item, longest = _shard_hits(w, hi - lo, b, window)
-                    none = np.setdiff1d(np.arange(hi - lo), row)
-                    take = pa.array(np.concatenate([row, none]) + lo)
-                    gap = pa.nulls(len(none), pa.int64())
-                    cat = lambda x, t=pa.int64(): pa.concat_arrays([pa.array(x, t), gap.cast(t)])
+                    row, first, end, suffix, longest = _shard_hits(w, hi - lo, b, window)
+                    items = _items_of(row, suffix, b, hi - lo)
+                    # Each place once, with its longest match.
+                    order = np.lexsort((-longest, end, first, row))
+                    row, first, end, longest = (x[order] for x in (row, first, end, longest))
+                    new = np.ones(len(row), bool)
+                    new[1:] = (np.diff(np.stack([row, first, end])) != 0).any(axis=0)
+                    at = pa.array(np.searchsorted(row[new], np.arange(hi - lo + 1)).astype(np.int32))
+                    listed = [pa.ListArray.from_arrays(at, pa.array(x[new].astype(np.int64))) for x in (first, end, longest)]
                     yield pa.RecordBatch.from_arrays(
-                        [key.take(take), ids.take(take), pa.array(counts[np.concatenate([row, none])], pa.int64()),
-                         cat(first), cat(end), cat([b.names[i] for i in item], pa.string()), cat(longest)],
-                        names=["row", "doc_id", "n_words", "first", "end", "item", "longest"])
+                        [key.slice(lo, hi - lo), ids.slice(lo, hi - lo), pa.array(np.bincount(w.row, minlength=hi - lo), pa.int64()),
+                         *listed, pa.array(items, pa.list_(pa.string()))],
+                        names=["row", "doc_id", "n_words", "first", "end", "longest", "items"])
         return spans
 
     parts = [src.mapInArrow(of(b), spans_type) for b in blocks]
@@ -303,12 +323,10 @@ def _by_blocks(src: DataFrame, id_type: str, blocks: list, window: int) -> DataF
         every = every.union(p)
 
     def finish(pdf):
-        has = pdf[pdf["first"].notna()]
-        names = sorted(has["item"].unique())
-        code = has["item"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)
-        cols = [has[c].to_numpy(np.int64) for c in ("first", "end", "longest")]
-        out = _rows(pa.array(pdf["doc_id"].iloc[:1]), np.array([int(pdf["n_words"].iat[0])]),
-                    np.zeros(len(has), np.int64), cols[0], cols[1], code, cols[2], names)
+        first, end, longest = (np.concatenate([np.asarray(x, np.int64) for x in pdf[c]]) for c in ("first", "end", "longest"))
+        items = sorted({i for x in pdf["items"] for i in x})
+        out = _rows(pa.array(pdf["doc_id"].iloc[:1]), np.array([int(pdf["n_words"].iat[0])]), np.zeros(len(first), np.int64),
+                    first, end, longest, [items])
         return out.to_pandas()
 
     return every.groupBy("row").applyInPandas(finish, _finished(id_type))
