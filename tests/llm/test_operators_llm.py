@@ -155,8 +155,10 @@ def test_secrets_weak_parts_need_a_partner(spark):
     texts = ["login=bob\npassword=hunter22x", "login=bob\n\npassword=hunter22x", "login=bob" + " " * 300 + "password=hunter22x",
              "https://db.example.org/x Ab3dEf6hIj9kLm2nOp", "https://db.example.org/x login=bob", "Ab3dEf6hIj9kLm2nOp alone"]
     rows = secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
-    assert [r["spans"] for r in rows] == ["login:0:9,assign:10:28", "assign:11:29", "assign:309:327",
+    assert [r["spans"] for r in rows] == ["login:0:9,assign:10:28", "assign:11:29", "login:0:9,assign:309:327",
                                           "endpoint:0:24,random:25:43", "", ""]
+    near = secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), max_gap=200).orderBy("doc_id").collect()
+    assert [r["spans"] for r in near[:3]] == ["login:0:9,assign:10:28", "assign:11:29", "assign:309:327"]
 
 
 def test_secrets_written_without_blanks_are_linked(spark):
@@ -257,7 +259,8 @@ def test_near_duplicates_against_brute_force(spark, docs):
 def test_choose_bands_reaches_the_recall():
     bands, rows = choose_bands(0.8, 0.9999, 256)
     assert bands * rows <= 256 and 1 - (1 - 0.8 ** rows) ** bands >= 0.9999 and rows > 1
-    assert choose_bands(0.01, 0.9999, 10) == (10, 1)
+    with pytest.raises(ValueError):  # a recall that can't be had is an error, not less recall
+        choose_bands(0.01, 0.9999, 10)
 
 
 def test_one_document_of_each_class_stays(spark):

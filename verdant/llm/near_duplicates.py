@@ -45,15 +45,17 @@ _HELD_BYTES = 8 << 20
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL,
                  max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most selective band (most rows) whose number of
-    bands for the target recall at ``threshold`` fits in ``max_hashes``;
-    one row per band if none does."""
+    bands for the target recall at ``threshold`` fits in ``max_hashes``; an
+    error if none does."""
     best = None
     for rows in range(1, max_hashes + 1):
         p = threshold ** rows
         bands = 1 if p >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-p))
         if bands * rows <= max_hashes:
             best = (bands, rows)
-    return best or (max_hashes, 1)
+    if best is None:
+        raise ValueError(f"a recall of {recall} at {threshold} needs more than {max_hashes} hashes")
+    return best
 
 
 def _band_hashes(texts: pa.Array, words: int, bands: int, rows: int) -> list[np.ndarray]:

@@ -5,8 +5,8 @@ identifiers, secrets and endpoints, each with its span and its scope (a block
 of lines without a blank line between them). Parts that stand for themselves
 (the base kinds) are always reported. Weak parts - a login name, a random-looking
 word, a network address - are reported only where a complementary part lies
-within ``MAX_GAP`` code points in the same scope: an identifier or an endpoint
-next to a secret. That interval join is a sweep over the parts of a scope in
+in the same scope (and within ``max_gap`` code points, if that is given): an
+identifier or an endpoint with a secret. That interval join is a sweep over the parts of a scope in
 order of position: the nearest complementary part before and after each part
 decides, so a scope full of parts costs a sort, never its pairs. Only parts
 are shuffled, never texts.
@@ -31,7 +31,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "login", "random", "endpoint")
-MAX_GAP = 200
 
 #: Names may follow a prefix, as in DB_USER; connection strings write them as one or two words.
 _LOGIN = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:[\x20_]?(?:name|id))?|uid|login|account(?:_?name|_id)?|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{2,}""",
@@ -90,7 +89,7 @@ def _joined(spans) -> Column:
         s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int = MAX_GAP) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int | None = None) -> DataFrame:
     """One row per row: ``doc_id, n_assign, n_access, n_hex`` (base kinds),
     ``base_sha256`` and ``spans`` (base and linked weak spans as
     ``kind:start:end`` by start, then kind; code points, end exclusive),
@@ -126,9 +125,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size(F.filter("found", lambda s: s["kind"] > 2)).cast("long").alias("n_linked"), "found")
 
 
-def _linked(rows: DataFrame, max_gap: int) -> DataFrame:
+def _linked(rows: DataFrame, max_gap: int | None) -> DataFrame:
     """The interval join: (doc_id, parts that stay) of each row. A secret needs
-    another role near it, an identifier or endpoint needs a secret."""
+    another role in its scope (near it, if there is a ``max_gap``), an identifier or endpoint a secret."""
     role = F.when(F.col("kind").isin(1, 3), "id").when(F.col("kind").isin(0, 2, 4), "secret").otherwise("endpoint")
     is_secret = role == "secret"
     where = Window.partitionBy("row", "scope").orderBy("start", "kind", "end")
@@ -137,6 +136,8 @@ def _linked(rows: DataFrame, max_gap: int) -> DataFrame:
     def near(of):
         gap_before = F.col("start") - F.max(F.when(of, F.col("end"))).over(before)
         gap_after = F.min(F.when(of, F.col("start"))).over(after) - F.col("end")
+        if max_gap is None:
+            return gap_before.isNotNull() | gap_after.isNotNull()
         return (F.coalesce(gap_before <= max_gap, F.lit(False)) | F.coalesce(gap_after <= max_gap, F.lit(False)))
 
     kept = (F.col("kind") <= 2) | F.when(is_secret, F.col("by_other")).otherwise(F.col("by_secret"))
