@@ -87,9 +87,9 @@ class Model(NamedTuple):
 class _Sample:
     """Labelled texts as distinct words with their grams, and word codes."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: pa.Array):
         known, grams, sizes, codes, counts = np.zeros(0, np.uint64), [], [], [], []
-        for lo, hi, data, bounds in chunks(text_array(pa.array(texts, type=pa.large_utf8()))):
+        for lo, hi, data, bounds in chunks(text_array(texts)):
             w, hashes, at, inverse = _distinct(data, bounds)
             new = ~np.isin(hashes, known)
             g, owner = _word_grams(data, w.start[at[new]], w.end[at[new]])
@@ -141,17 +141,19 @@ def _worst(row: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, n
     return order[place < most], place[place < most]
 
 
-def train(texts: list[str], labels: list[int], turns: int = 8, rate: float = 0.3) -> Model:
+def train(texts: list[str] | pa.Array | pa.ChunkedArray, labels: list[int], turns: int = 8, rate: float = 0.3) -> Model:
     """Vectors and softmax from labelled texts; deterministic. Without texts of
     both labels the model knows only how frequent label 1 is."""
     y = np.asarray(labels, dtype=np.int64)
     base = (y.sum() + 0.5) / (len(y) + 1.0)
     prior = float(np.log(base / (1 - base)))
-    if len(set(labels)) < 2 or not any(t and not t.isspace() for t in texts):
+    sample = _Sample(pa.array(texts, type=pa.large_utf8()) if isinstance(texts, list) else texts)
+    if len(set(labels)) < 2 or not len(sample.codes):
         return Model(np.zeros(BUCKETS, np.float32), prior)
     rng = np.random.default_rng(_SEED)
-    sample = _Sample(texts)
-    vectors = (rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32)
+    vectors = np.empty((BUCKETS, DIM), np.float32)
+    for lo in range(0, BUCKETS, 1 << 14):  # by parts: the random numbers are twice as wide
+        vectors[lo:lo + (1 << 14)] = rng.standard_normal((len(vectors[lo:lo + (1 << 14)]), DIM)) * 0.05
     seen = np.full(BUCKETS, 1e-6, np.float32)
     soft = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias, held = np.array([0.0, prior], np.float32), np.full((DIM + 1, 2), 1e-6, np.float32)
@@ -223,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most about ``limit`` rows: a bounded side.
     found = (docs.select(key.alias("_id"), F.col(f"`{text_col}`").alias("_text"))
              .join(F.broadcast(rows), "_id").where("_text IS NOT NULL")
-             .dropDuplicates(["_id"]).select("_id", "_y", "_text").toArrow().sort_by("_id"))
-    return train(found["_text"].to_pylist(), [int(v > 0) for v in found["_y"].to_pylist()])
+             .dropDuplicates(["_id"]).orderBy("_id").select("_y", "_text").toArrow())
+    return train(found["_text"], [int(v > 0) for v in found["_y"].to_pylist()])
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
