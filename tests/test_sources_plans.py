@@ -130,9 +130,8 @@ def test_every_operator_takes_any_column_name(spark):
     same = {m: m for m in odd}
     name = {v: k for k, v in odd.items()}
     for op in (peer_comparison, company_facts, metric_trends, trend_series, yoy_long, yoy_pivot, company_directions, company_summary):
-        a = sorted(tuple(name.get(x, x) for x in r) for r in op(panel, odd).collect())
-        b = sorted(tuple(r) for r in op(plain, same).collect())
-        assert str(a) == str(b), op.__name__
+        flat = lambda r: str([tuple(x) if isinstance(x, tuple) else name.get(x, x) for x in r])
+        assert sorted(map(flat, op(panel, odd).collect())) == sorted(map(flat, op(plain, same).collect())), op.__name__
     assert latest_rows(panel, odd).count() == 2 and companies_first_seen(panel, odd).count() == 2
     for op in (describe, column_stats):
         assert sorted(tuple(name.get(x, x) for x in r) for r in op(panel).collect()) == sorted(tuple(r) for r in op(plain).collect())

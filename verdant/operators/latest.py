@@ -81,8 +81,9 @@ def latest_rows(df: DataFrame, col_map: dict, null_year: str = "keep",
 
 
 def latest_metrics(df: DataFrame, col_map: dict, null_year: str = "keep", row_id: str = "_row_id") -> DataFrame:
-    """``_company`` and, under their names, the year and the mapped metrics of
-    each company's latest row as numbers: one hash aggregation, no row is fetched."""
+    """``_company`` and, under their names, the company, the year and the mapped
+    metrics of each company's latest row, the latter as numbers: one hash
+    aggregation, no row is fetched."""
     from verdant.operators.score import number_sql
     keyed = company_key(df, col_map)
     if "year" in col_map and null_year == "drop":
@@ -92,5 +93,7 @@ def latest_metrics(df: DataFrame, col_map: dict, null_year: str = "keep", row_id
     columns = dict.fromkeys(c for m, c in col_map.items() if m not in ("company", "industry", "country") and c in types)
     number = {c: quoted(c) if c == col_map.get("year") and isinstance(types[c], IntegralType) else number_sql(types, c)
               for c in columns}
-    return with_row_order(keyed, col_map, row_id).groupBy("_company").agg(
-        F.max("_order").alias("_last"), *[F.expr(f"max_by({v}, _order) AS {quoted(c)}") for c, v in number.items()]).drop("_last")
+    latest = with_row_order(keyed, col_map, row_id).groupBy("_company").agg(
+        F.max("_order").alias("_last"), *[F.expr(f"max_by({v}, _order) AS {quoted(c)}") for c, v in number.items()])
+    name = [F.col("_company").alias(col_map["company"])] if "company" in col_map else []
+    return latest.select("_company", *name, *[named(c) for c in number])
