@@ -95,7 +95,7 @@ def _profiles(spark, rows):
 def test_maturity_golden(spark):
     from verdant.operators.score import maturity
     p = _profiles(spark, [("A", 300, 400000.0, "Technology", "Germany")])
-    r = maturity(p, dims.modifiers(spark), F.lit(95.0)).first()
+    r = maturity(p, dims.modifiers(spark), "95D").first()
     assert (r.m_environmental, r.m_social, r.m_governance, r.m_overall, r.m_grade) == (63.0, 48.0, 68.0, 60.0, "C")
 
 

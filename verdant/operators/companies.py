@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.functions.numeric import py_round
+from verdant import fixed
+from verdant.functions.numeric import py_round, py_round_sql
 from verdant.operators import dims
-from verdant.operators.score import maturity
+from verdant.operators.score import maturity, sql_literal
 
 
 def money0(c) -> F.Column:
@@ -29,18 +30,14 @@ def company_maturity(profiles: DataFrame, panel: DataFrame, col_map: dict, facts
     spark = profiles.sparkSession
     facts = company_facts(panel, col_map) if facts is None else facts
     base = profiles.join(facts, "company")
-    m = maturity(base, dims.modifiers(spark), F.col("completeness_pct"))
-    emp = F.coalesce(F.col("employee_count"), F.lit(0))
-    budget = F.coalesce(F.col("budget").cast("double"), F.lit(0.0))
-    per_emp = budget / F.greatest(emp.cast("double"), F.lit(1.0))
-    size = F.lower(F.coalesce(F.col("business_size"), F.lit("Medium")))
-    rationale = F.concat(
-        F.lit("Based on a "), size, F.lit(" "), F.lower(F.col("industry")), F.lit(" company with "),
-        F.format_string("%,d", emp.cast("bigint")), F.lit(" employees and $"), money0(budget),
-        F.lit(" ESG budget. Environmental score reflects per-employee commitment of $"), money0(per_emp),
-        F.lit(". Social score accounts for workforce scale and industry norms. "
-              "Governance score considers budget magnitude and disclosure readiness."))
-    return m.withColumn("m_rationale", rationale)
+    m = maturity(base, dims.modifiers(spark), "completeness_pct")
+    budget, staff = "coalesce(CAST(budget AS DOUBLE), 0D)", "CAST(coalesce(employee_count, 0) AS BIGINT)"
+    money = lambda x: f"format_string('%,.0f', {py_round_sql(x, 0)})"
+    words = ["lower(coalesce(business_size, 'Medium'))", "lower(industry)", staff, money(budget),
+             money(f"{budget} / greatest(CAST({staff} AS DOUBLE), 1D)")]
+    # A null industry makes the whole text null.
+    return m.selectExpr("*", f"CASE WHEN industry IS NOT NULL THEN format_string({sql_literal(fixed.MATURITY_RATIONALE)}, "
+                             f"{', '.join(words)}) END AS m_rationale")
 
 
 def maturity_view(cm: DataFrame) -> DataFrame:

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from verdant import fixed
 from verdant.fixed import MSG_SCORE_RATIONALE
 from verdant.functions.names import named, quoted
-from verdant.functions.numeric import NUMERIC_TEXT, grade, py_round, py_round_sql, to_num, weighted_overall
+from verdant.functions.numeric import NUMERIC_TEXT, py_round, py_round_sql, to_num
+
+
+GRADE_SQL = "CASE " + " ".join(f"WHEN {{0}} >= {bound} THEN '{g}'" for bound, g in fixed.GRADES[:-1]) + f" ELSE '{fixed.GRADES[-1][1]}' END"
 
 
 def metric_value(df: DataFrame, col_map: dict, metric: str) -> Column | None:
@@ -140,8 +144,7 @@ def esg_score(latest: DataFrame, col_map: dict) -> DataFrame:
     out = out.selectExpr("*", py_round_sql("environmental * 0.4D + social * 0.3D + governance * 0.3D", 1)
                          + " AS esg_score")
     out = out.selectExpr(
-        "*", "CASE WHEN esg_score >= 80 THEN 'A' WHEN esg_score >= 65 THEN 'B' WHEN esg_score >= 50 THEN 'C' "
-             "WHEN esg_score >= 35 THEN 'D' ELSE 'F' END AS grade",
+        "*", GRADE_SQL.format("esg_score") + " AS grade",
         f"format_string({sql_literal(MSG_SCORE_RATIONALE)}, n_e, n_s, n_g) AS rationale")
     return out.drop(*[n for p in names for n in names[p]])
 
@@ -153,38 +156,35 @@ def business_size(employees: Column) -> Column:
 
 
 # ---------------------------------------------------------------- B2
-def maturity(profiles: DataFrame, modifiers: DataFrame, completeness: Column | None = None) -> DataFrame:
+def maturity(profiles: DataFrame, modifiers: DataFrame, completeness: str | None = None) -> DataFrame:
     """B2 per profile row. ``modifiers`` is the industry modifier dimension
     (lower-case industry, e, s, g), joined case-insensitively (broadcast: a
-    fixed 19-row table). ``completeness`` is the data completeness percentage
-    (null = no data summary)."""
-    budget = F.coalesce(F.col("budget").cast("double"), F.lit(0.0))
-    emp = F.coalesce(F.col("employee_count").cast("double"), F.lit(0.0))
-    per_emp = budget / F.greatest(emp, F.lit(1.0))
-    env = (F.when(per_emp > 2000, 72).when(per_emp > 1000, 58).when(per_emp > 500, 45).otherwise(32))
-    soc = F.when(emp > 1000, 60).when(emp > 500, 55).when(emp > 100, 45).otherwise(35)
-    gov = (F.when(budget > 1_000_000, 68).when(budget > 500_000, 60).when(budget > 200_000, 52)
-           .when(budget > 50_000, 40).otherwise(30))
-    mods = F.broadcast(modifiers.select(F.col("industry_key").alias("_mod_key"),
-                                        F.col("e").alias("_me"), F.col("s").alias("_ms"),
-                                        F.col("g").alias("_mg")))
-    keyed = profiles.withColumn("_ind_key", F.lower(F.coalesce(F.col("industry"), F.lit("unknown"))))
-    j = keyed.join(mods, keyed["_ind_key"] == mods["_mod_key"], "left")
-    me, ms, mg = (F.coalesce(F.col(c), F.lit(0)) for c in ("_me", "_ms", "_mg"))
-    j = (j.withColumn("_env", F.greatest(F.least(env + me, F.lit(95)), F.lit(10)))
-          .withColumn("_soc", F.greatest(F.least(soc + ms, F.lit(95)), F.lit(10)))
-          .withColumn("_gov", F.greatest(F.least(gov + mg, F.lit(95)), F.lit(10))))
+    fixed 19-row table). ``completeness`` is the column of the data completeness
+    percentage (null = no data summary)."""
+    mods = F.broadcast(modifiers.selectExpr("industry_key AS _mod_key", "e AS _me", "s AS _ms", "g AS _mg"))
+    staged = profiles.selectExpr(
+        "*", "lower(coalesce(industry, 'unknown')) AS _ind_key", "coalesce(CAST(budget AS DOUBLE), 0D) AS _budget",
+        "coalesce(CAST(employee_count AS DOUBLE), 0D) AS _emp")
+    j = staged.join(mods, staged["_ind_key"] == mods["_mod_key"], "left")
+    per_emp = "_budget / greatest(_emp, 1D)"
+    base = {"_env": _ladder(per_emp, fixed.MATURITY_BUDGET_STEPS) + " + coalesce(_me, 0)",
+            "_soc": _ladder("_emp", fixed.MATURITY_STAFF_STEPS) + " + coalesce(_ms, 0)",
+            "_gov": _ladder("_budget", fixed.MATURITY_TOTAL_STEPS) + " + coalesce(_mg, 0)"}
+    j = j.selectExpr("*", *[f"greatest(least({x}, 95), 10) AS {n}" for n, x in base.items()])
+    gov = "_gov"
     if completeness is not None:
-        gv = F.col("_gov")
-        j = j.withColumn("_gov", F.when(completeness > 90, F.least(gv + 8, F.lit(95)))
-                         .when(completeness < 50, F.greatest(gv - 10, F.lit(10))).otherwise(gv))
-    j = (j.withColumn("m_environmental", F.col("_env").cast("double"))
-          .withColumn("m_social", F.col("_soc").cast("double"))
-          .withColumn("m_governance", F.col("_gov").cast("double")))
-    j = j.withColumn("m_overall", weighted_overall(F.col("m_environmental"), F.col("m_social"),
-                                                   F.col("m_governance")))
-    j = j.withColumn("m_grade", grade(F.col("m_overall")))
-    return j.drop("_ind_key", "_mod_key", "_me", "_ms", "_mg", "_env", "_soc", "_gov")
+        gov = (f"CASE WHEN {completeness} > 90 THEN least(_gov + 8, 95) WHEN {completeness} < 50 "
+               "THEN greatest(_gov - 10, 10) ELSE _gov END")
+    j = j.selectExpr(*[quoted(c) for c in profiles.columns], "CAST(_env AS DOUBLE) AS m_environmental",
+                     "CAST(_soc AS DOUBLE) AS m_social", f"CAST({gov} AS DOUBLE) AS m_governance")
+    j = j.selectExpr("*", py_round_sql("m_environmental * 0.4D + m_social * 0.3D + m_governance * 0.3D", 1) + " AS m_overall")
+    return j.selectExpr("*", GRADE_SQL.format("m_overall") + " AS m_grade")
+
+
+def _ladder(x: str, steps: list) -> str:
+    """The value of the first step that ``x`` is above; the last step has no bound."""
+    *upper, (_, low) = steps
+    return "(CASE " + " ".join(f"WHEN {x} > {float(bound)}D THEN {value}" for bound, value in upper) + f" ELSE {low} END)"
 
 
 # ---------------------------------------------------------------- B9, B10, B11

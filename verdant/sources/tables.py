@@ -35,18 +35,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _industry_of(suppkey):
-    m = F.pmod(suppkey, F.lit(6))
-    return (F.when(m == 0, "Technology").when(m == 1, "Finance").when(m == 2, "Manufacturing")
-            .when(m == 3, "Energy").when(m == 4, "Financial Services").otherwise("Automotive"))
-
-
-def _country_of(nationkey):
-    m = F.pmod(nationkey, F.lit(5))
-    return (F.when(m == 0, "Germany").when(m == 1, "United States").when(m == 2, "Japan")
-            .when(m == 3, "Brazil").otherwise("Norway"))
-
-
 def esg_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company x year panel derived from line items (FIXTURES F17)."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -127,14 +115,8 @@ COUNTRY_SQL = ("CASE pmod(s_nationkey, 5) WHEN 0 THEN 'Germany' WHEN 1 THEN 'Uni
 
 def company_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile per company (FIXTURES F5): head count, ESG budget, industry, country."""
-    from verdant.operators.score import business_size
-
-    sup = read_table(spark, sf_dir, "supplier")
-    emp = F.pmod(F.col("s_suppkey") * F.lit(37), F.lit(2000))
-    return sup.select(
-        F.col("s_name").alias("company"),
-        emp.alias("employee_count"),
-        (F.col("s_acctbal") * F.lit(100.0)).alias("budget"),
-        _industry_of(F.col("s_suppkey")).alias("industry"),
-        _country_of(F.col("s_nationkey")).alias("country"),
-    ).withColumn("business_size", business_size(F.col("employee_count")))
+    return read_table(spark, sf_dir, "supplier").selectExpr(
+        "s_name AS company", "pmod(s_suppkey * 37, 2000) AS employee_count", "s_acctbal * 100D AS budget",
+        f"{INDUSTRY_SQL} AS industry", f"{COUNTRY_SQL} AS country",
+        "CASE WHEN pmod(s_suppkey * 37, 2000) >= 250 THEN 'Large' WHEN pmod(s_suppkey * 37, 2000) >= 50 THEN 'Medium' "
+        "ELSE 'Small' END AS business_size")
