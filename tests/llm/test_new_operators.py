@@ -400,3 +400,22 @@ def test_many_equal_short_items_cost_their_distinct_suffixes():
         assert len(row) == 200_000 and len(_items_of(row, suffix, block, 1)[0]) == 10_000
     assert tracemalloc.get_traced_memory()[1] < 300 << 20
     tracemalloc.stop()
+
+
+# --- clashing names ----------------------------------------------------------------
+
+def test_documents_keep_columns_of_any_name(spark):
+    from verdant.llm.lines import without_duplicate_lines
+    from verdant.llm.mixing import mixed_documents
+    from verdant.llm.near_duplicates import unique_documents
+    from verdant.llm.substrings import without_repeats
+    names = ["_mix_size", "_mix_key", "_mix_part", "_near_text", "_near_key", "_cut_id", "_cut_spans", "_line_id", "_line_gone",
+             "c0", "a.b", "key", "rep", "node"]
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, t, "s", *names) for i, t in [(1, "one two three four five six"), (2, "one two three four five six"), (3, None), (4, "")]]
+    docs = ship(spark).createDataFrame(rows, schema)
+    for op in (mixed_documents, unique_documents, without_repeats, without_duplicate_lines):
+        got = op(docs)
+        assert got.columns == docs.columns and got.count() > 0, op
+        assert {tuple(r)[3:] for r in got.collect()} == {tuple(names)}
+        assert op(docs.where("false")).collect() == []

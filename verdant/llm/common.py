@@ -44,6 +44,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, ... so that names of an operator's
+    own can't clash with them, and the new names of ``columns``; ``toDF`` with
+    the old names at the end brings these back."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in columns]
+
+
 # --- words ------------------------------------------------------------------
 
 def _byte_table(pred) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import chunks, cut, mix, order_within, small, span_hashes, split_words, text_array
+from verdant.llm.common import chunks, cut, mix, numbered, order_within, small, span_hashes, split_words, text_array
 from verdant.llm.components import connected_components
 from verdant.llm.near_duplicates import in_block_pairs, in_blocks, verified
 from verdant.session import materialize
@@ -415,10 +415,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with later matching lines taken out of the texts. Ids must be
-    unique here; rows without id stay as they are."""
-    gone = duplicate_lines(docs, id_col, text_col, threshold).where("n_removed > 0").select(
+    unique here; rows without id, and null and empty texts, stay as they are.
+    An empty table gives an empty result. Columns may have any names."""
+    plain, (ids, texts) = numbered(docs, id_col, text_col)
+    gone = duplicate_lines(plain, ids, texts, threshold).where("n_removed > 0").select(
         F.col("doc_id").alias("_line_id"), F.transform(F.split("removed", ","), lambda x: x.cast("int")).alias("_line_gone"))
-    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("_line_id"), "left")
-    lines = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("_line_gone", i))
-    return joined.select(*[F.when(F.col("_line_id").isNull(), F.col(f"`{c}`")).otherwise(F.array_join(lines, "\n")).alias(c)
-                           if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    joined = plain.join(gone, F.col(ids) == F.col("_line_id"), "left")
+    lines = F.filter(F.split(F.col(texts), "\n"), lambda x, i: ~F.array_contains("_line_gone", i))
+    return joined.select(*[F.when(F.col("_line_id").isNull(), F.col(c)).otherwise(F.array_join(lines, "\n")).alias(c)
+                           if c == texts else F.col(c) for c in plain.columns]).toDF(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdant.llm.common import chunks, cut, small, split_words, text_array
+from verdant.llm.common import chunks, cut, numbered, small, split_words, text_array
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -159,11 +159,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
                     weights=WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a document comes
     once per epoch, and once more if the fraction takes at least half of it
-    (texts stay whole)."""
-    sized = _sized(docs, id_col, source_col, text_col, seed)
+    (texts stay whole). Nulls, ties, repeated rows and sources as in ``mix``;
+    documents without words are in no fraction, and so come once per whole epoch. An empty table
+    gives an empty result. Columns may have any names."""
+    plain, (ids, sources, texts) = numbered(docs, id_col, source_col, text_col)
+    sized = _sized(plain, ids, sources, texts, seed)
     rows = cut(sized.select("_mix_source", "_mix_size", "_mix_key"))
     out = _decided(sized, _plan(rows, weights, share, epochs))
     more: Column = (F.col("_mix_part") > 0) & (F.col("_mix_part") * 2 >= F.col("_mix_size"))
     copies = (F.col("_mix_epochs") + more.cast("long")).cast("int")
     return (out.where(copies > 0).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(*plain.columns).toDF(*docs.columns))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import chunks, cut, mix, shingles, span_indices, split_words, text_array
+from verdant.llm.common import chunks, cut, mix, numbered, shingles, span_indices, split_words, text_array
 from verdant.llm.components import connected_components
 
 WORDS = 5
@@ -264,10 +264,12 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id (one of
     them, if it is repeated with the same text). The id is part of the join
-    key, so a large group of copies is spread over all tasks."""
-    heads = _verdicts(_keyed(docs, id_col, text_col), words, threshold, recall).where("is_head").select(
+    key, so a large group of copies is spread over all tasks. Null and empty
+    texts are copies of each other; a class without any id keeps one of its
+    rows. An empty table gives an empty result. Columns may have any names."""
+    plain, (ids, texts) = numbered(docs, id_col, text_col)
+    heads = _verdicts(_keyed(plain, ids, texts), words, threshold, recall).where("is_head").select(
         F.col("key").alias("_near_key"), F.col("rep").alias("_near_rep"))
-    rows = docs.select("*", F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("_near_text"))
-    return (rows.join(heads, (F.col("_near_text") == F.col("_near_key"))
-                      & F.col(f"`{id_col}`").eqNullSafe(F.col("_near_rep")))
-            .dropDuplicates(["_near_key", "_near_rep"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = plain.select("*", F.unhex(F.md5(F.coalesce(F.col(texts), F.lit("")))).alias("_near_text"))
+    return (rows.join(heads, (F.col("_near_text") == F.col("_near_key")) & F.col(ids).eqNullSafe(F.col("_near_rep")))
+            .dropDuplicates(["_near_key", "_near_rep"]).select(*plain.columns).toDF(*docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdant.llm.common import chunks, mix, span_hashes, split_words, text_array
+from verdant.llm.common import chunks, mix, numbered, span_hashes, split_words, text_array
 
 #: One byte in so many ends a chunk; ends closer than MIN_GAP to one before don't; longer chunks are cut.
 ONE_IN = 20
@@ -162,14 +162,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated passages cut out of the texts.
-    Ids must be unique here; rows without id stay as they are."""
-    spans = repeated_passages(docs, id_col, text_col, min_run_words).where("n_removed_words > 0").select(
+    Ids must be unique here; rows without id, and null and empty texts, stay as
+    they are. An empty table gives an empty result. Columns may have any names."""
+    plain, (ids, texts) = numbered(docs, id_col, text_col)
+    spans = repeated_passages(plain, ids, texts, min_run_words).where("n_removed_words > 0").select(
         F.col("doc_id").alias("_cut_id"), F.col("spans").alias("_cut_spans"))
-    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col("_cut_id"), "left")
+    joined = plain.join(spans, F.col(ids) == F.col("_cut_id"), "left")
     kept = F.aggregate(
         "_cut_spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(F.concat(a["text"], F.substring(F.col(f"`{text_col}`"), a["at"] + 1, s["start"] - a["at"])).alias("text"),
+        lambda a, s: F.struct(F.concat(a["text"], F.substring(F.col(texts), a["at"] + 1, s["start"] - a["at"])).alias("text"),
                               s["end"].alias("at")),
-        lambda a: F.concat(a["text"], F.substring(F.col(f"`{text_col}`"), a["at"] + 1, F.length(F.col(f"`{text_col}`")))))
-    return joined.select(*[F.when(F.col("_cut_id").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col
-                           else F.col(f"`{c}`") for c in docs.columns])
+        lambda a: F.concat(a["text"], F.substring(F.col(texts), a["at"] + 1, F.length(texts))))
+    return joined.select(*[F.when(F.col("_cut_id").isNull(), F.col(c)).otherwise(kept).alias(c) if c == texts else F.col(c)
+                           for c in plain.columns]).toDF(*docs.columns)
