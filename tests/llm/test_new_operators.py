@@ -419,3 +419,14 @@ def test_documents_keep_columns_of_any_name(spark):
         assert got.columns == docs.columns and got.count() > 0, op
         assert {tuple(r)[3:] for r in got.collect()} == {tuple(names)}
         assert op(docs.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("lines", [1, 3, 7, 10, 14, 41])
+def test_a_notice_wrapped_over_any_number_of_lines(spark, lines):
+    from verdant.llm.licenses import TEMPLATES, license_scan
+    words = max(TEMPLATES["GPL-3.0"], key=lambda t: len(t.split())).split()
+    per = -(-len(words) // lines)
+    text = "\n".join(" ".join(words[k:k + per]) for k in range(0, len(words), per))
+    body = "\n".join(f"line {k} of other prose here" for k in range(60))
+    got = license_scan(ship(spark).createDataFrame([(1, body + "\n" + text + "\n" + body, None)], "doc_id int, text string, path string")).first()
+    assert got["license"] == "GPL-3.0" and got["score"] > 0.999

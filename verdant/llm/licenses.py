@@ -30,8 +30,6 @@ THRESHOLD = 0.6
 FILE_SHARE = 0.5
 #: Least cosine of a whole text to a full license text.
 TEXT_THRESHOLD = 0.8
-#: Lines with words that are joined at most for a wrapped notice.
-MAX_LINES = 6
 _BLOCK_LINES = 1 << 15
 #: License notices as they are commonly written, per license.
 TEMPLATES = {
@@ -69,6 +67,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain.",
                   "SPDX-License-Identifier: Unlicense"],
 }
+#: Lines with words that are joined at most for a wrapped notice: as many as the longest one has words.
+MAX_LINES = max(len(t.split()) for notices in TEMPLATES.values() for t in notices)
 
 
 @cache
