@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -628,6 +629,25 @@ def test_fit_without_labels(spark, edge):
         assert toxicity(edge, fit(edge, labels)).count() == len(EDGE)
 
 
+def test_fit_leaves_texts_and_vectors_to_a_task(spark):
+    words = _prose(77, 4000).split()
+    rows = [(i, " ".join(random.Random(i).choices(words, k=300)) + " zzoxicword" * (i % 4 == 0)) for i in range(600)]
+    held = ship(spark).createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    tracemalloc.start()
+    try:
+        model = fit(held, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = train([t for _, t in rows], [int(i % 4 == 0) for i, _ in rows])
+    assert (model.weight == whole.weight).all() and model.bias == whole.bias
+    assert peak < 16 << 20  # the model takes 2 MB, the vectors 32 MB
+
+
 # --- queries and pipeline -----------------------------------------------------------------------
 
 def test_queries_registered():

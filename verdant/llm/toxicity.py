@@ -9,14 +9,15 @@ worst in each document, so a single toxic word in a long clean text is seen.
 A document's score is that of its worst window. Misspelt and inflected forms
 share grams, and so vectors, with the forms that were labelled.
 
-Training takes place on the driver over a bounded sample (``TRAIN_DOCS``
-labelled documents); scoring is one map over all documents with the folded
-model (one float per gram bucket, 2 MB) as a broadcast.
+Training takes place in one task over a bounded sample (``TRAIN_DOCS``
+labelled documents), whose texts it reads batch by batch and holds as word
+codes; the driver gets the folded model only (one float per gram bucket, 2 MB).
+Scoring is one map over all documents with that model as a broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -85,11 +86,11 @@ class Model(NamedTuple):
 
 
 class _Sample:
-    """Labelled texts as distinct words with their grams, and word codes."""
+    """Labelled texts, given in parts, as distinct words with their grams, and word codes."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, parts: Iterable[pa.Array]):
         known, grams, sizes, codes, counts = np.zeros(0, np.uint64), [], [], [], []
-        for lo, hi, data, bounds in chunks(text_array(texts)):
+        for lo, hi, data, bounds in (piece for part in parts for piece in chunks(text_array(part))):
             w, hashes, at, inverse = _distinct(data, bounds)
             new = ~np.isin(hashes, known)
             g, owner = _word_grams(data, w.start[at[new]], w.end[at[new]])
@@ -144,11 +145,14 @@ def _worst(row: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, n
 def train(texts: list[str] | pa.Array | pa.ChunkedArray, labels: list[int], turns: int = 8, rate: float = 0.3) -> Model:
     """Vectors and softmax from labelled texts; deterministic. Without texts of
     both labels the model knows only how frequent label 1 is."""
-    y = np.asarray(labels, dtype=np.int64)
+    return _train(_Sample([pa.array(texts, type=pa.large_utf8()) if isinstance(texts, list) else texts]),
+                  np.asarray(labels, dtype=np.int64), turns, rate)
+
+
+def _train(sample: _Sample, y: np.ndarray, turns: int = 8, rate: float = 0.3) -> Model:
     base = (y.sum() + 0.5) / (len(y) + 1.0)
     prior = float(np.log(base / (1 - base)))
-    sample = _Sample(pa.array(texts, type=pa.large_utf8()) if isinstance(texts, list) else texts)
-    if len(set(labels)) < 2 or not len(sample.codes):
+    if len(np.unique(y)) < 2 or not len(sample.codes):
         return Model(np.zeros(BUCKETS, np.float32), prior)
     rng = np.random.default_rng(_SEED)
     vectors = np.empty((BUCKETS, DIM), np.float32)
@@ -191,6 +195,22 @@ def train(texts: list[str] | pa.Array | pa.ChunkedArray, labels: list[int], turn
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model of the batches' rows (_y, _text); without rows, none."""
+    labels: list[np.ndarray] = []
+
+    def texts() -> Iterator[pa.Array]:
+        for batch in batches:
+            labels.append(batch.column("_y").to_numpy() > 0)
+            yield batch.column("_text")
+
+    sample = _Sample(texts())
+    if labels:
+        model = _train(sample, np.concatenate(labels).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])],
+                                         names=["weight", "bias"])
+
+
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     """Score of the worst window of each text; a text without words gets the bias alone."""
     out = np.zeros(len(texts))
@@ -212,7 +232,7 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", held_out=None, limit: int = TRAIN_DOCS) -> Model:
     """Train on about ``limit`` labelled documents at most, chosen by a hash of
-    the id; ``held_out`` (condition on the label's id column) keeps rows out.
+    the id, in one task; ``held_out`` (condition on the label's id column) keeps rows out.
     Rows without id or label don't count; an id labelled twice takes the larger label."""
     key = F.col(f"`{id_col}`")
     rows = labels.select(key.alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where(
@@ -225,8 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most about ``limit`` rows: a bounded side.
     found = (docs.select(key.alias("_id"), F.col(f"`{text_col}`").alias("_text"))
              .join(F.broadcast(rows), "_id").where("_text IS NOT NULL")
-             .dropDuplicates(["_id"]).orderBy("_id").select("_y", "_text").toArrow())
-    return train(found["_text"], [int(v > 0) for v in found["_y"].to_pylist()])
+             .dropDuplicates(["_id"]).repartition(1).sortWithinPartitions("_id").select("_y", "_text"))
+    made = found.mapInArrow(_trained, "weight binary, bias double").collect()
+    return Model(np.frombuffer(made[0]["weight"], np.float32), made[0]["bias"]) if made else train([], [])
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
